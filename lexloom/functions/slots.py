@@ -75,39 +75,42 @@ def free_text_ref(c: Column | str) -> Column:
     )
 
 
-# Deadline phrase formats and anchor words.
+# Deadline phrase formats; group 1 value, 2 unit, 3 working-day mark, 4 what follows.
 _UNITS = r"(ngày|tháng|năm)"
 _WORKING = r"(\s+làm\s+việc)?"
 _DEADLINE_FORMS = [
-    (r"(?iu)(?:trong\s+(?:thời\s+hạn|vòng)|chậm\s+nhất)\s*(\d{1,3})\s*" + _UNITS + _WORKING, (1, 2, 3)),
-    (r"(?iu)(\d{1,3})\s*" + _UNITS + _WORKING + r"\s*kể\s+từ\s+ngày\s+", (1, 2, 3)),
-    (r"(?iu)(?<![\p{L}\p{N}_])(\d{1,3})\s*" + _UNITS + r"(?![\p{L}\p{N}_])" + _WORKING, (1, 2, 3)),
+    r"(?iu)(?:trong\s+(?:thời\s+hạn|vòng)|chậm\s+nhất)\s*(\d{1,3})\s*" + _UNITS + _WORKING + "(.{0,140})",
+    r"(?iu)(\d{1,3})\s*" + _UNITS + _WORKING + r"\s*kể\s+từ\s+ngày\s+([^.;]{0,90})",
+    r"(?iu)(?<![\p{L}\p{N}_])(\d{1,3})\s*" + _UNITS + r"(?![\p{L}\p{N}_])" + _WORKING,
 ]
 _UNIT_NAMES = {"ngày": "day", "tháng": "month", "năm": "year"}
-DEADLINE_ANCHORS = {
-    "tiep_nhan": [r"tiếp nhận"], "nhan_ho_so": [r"nhận hồ sơ", r"nhận đủ hồ sơ"], "thong_bao": [r"thông báo"],
-    "cap": [r"cấp"], "thay_doi": [r"thay đổi"], "quyet_dinh": [r"quyết định"],
-}
 
 
-def deadline_slots(c: Column | str, triggers: Sequence[str] = P.DEADLINE,
-                   anchors: Mapping[str, Sequence[str]] = DEADLINE_ANCHORS) -> Column:
+def _anchor(after: Column) -> list[tuple[Column, str]]:
+    """What the deadline counts from, by words in the text after it."""
+    has = lambda *ws: [F.contains(after, F.lit(w)) for w in ws]
+    received, dossier, dossier_plain = has("nhận", "hồ sơ", "ho so")
+    changed, formal, founded = has("thay đổi", "chính thức", "lập")
+    return [(received & (dossier | dossier_plain), "from_receipt_of_dossier"),
+            (changed, "from_change_event"), (formal | founded, "from_establishment_date")]
+
+
+def deadline_slots(c: Column | str, triggers: Sequence[str] = P.DEADLINE) -> Column:
     """struct(value, unit, anchor); first of three phrase forms that matches decides."""
     t = squeeze(c)
-    values, units, works = [], [], []
-    hits = []
-    for rx, (v, u, w) in _DEADLINE_FORMS:
-        hits.append(t.rlike(rx))
-        values.append(F.regexp_extract(t, rx, v))
-        units.append(F.lower(F.regexp_extract(t, rx, u)))
-        works.append(F.regexp_extract(t, rx, w) != "")
+    hits = [t.rlike(rx) for rx in _DEADLINE_FORMS]
+    pick = lambda i: case_when([(h, F.regexp_extract(t, rx, i)) for h, rx in zip(hits, _DEADLINE_FORMS)])
     on = has_phrase(t, triggers)
-    value = F.when(on, case_when(zip(hits, values)))
-    unit_word, working = case_when(zip(hits, units)), case_when(zip(hits, works))
-    unit = F.when(on, F.when((unit_word == "ngày") & working, F.lit("working_day")).otherwise(lookup(unit_word, _UNIT_NAMES)))
-    anchored = on & (hits[0] | hits[1])
-    anchor = F.when(anchored, case_when([(has_phrase(t, ph), name) for name, ph in anchors.items()]))
-    return F.struct(value.alias("value"), unit.alias("unit"), anchor.alias("anchor"))
+    word, working = F.lower(pick(2)), pick(3) != ""
+    unit = F.when((word == "ngày") & working, F.lit("working_day")).otherwise(lookup(word, _UNIT_NAMES))
+    after = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[0], 4))
+    phrase = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[1], 4))
+    lead = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[0], 0))
+    first = case_when(_anchor(after) + [(F.contains(after, F.lit("kể từ ngày")), "from_anchor"),
+                                        (F.startswith(lead, F.lit("chậm")), "no_later_than")])
+    anchor = case_when([(hits[0], first), (hits[1], case_when(_anchor(phrase), "from_anchor"))])
+    return F.struct(F.when(on, pick(1)).alias("value"), F.when(on, unit).alias("unit"),
+                    F.when(on, anchor).alias("anchor"))
 
 
 # Quantity phrase formats.

@@ -45,3 +45,28 @@ SELECT event_id, user_id AS session_id,
          ELSE CASE WHEN event_id % 3 = 0 THEN concat(cast(user_id AS string), ' ngày') WHEN event_id % 3 = 1 THEN concat(cast(user_id AS string), ' days') ELSE event_type END
        END AS answer
 FROM {events}""")
+
+DERIVED["chunks"] = (["documents"], """
+SELECT doc_id AS item_id, text, concat('R', cast(doc_id % 97 AS string)) AS rule_id, source,
+       cast(1 + doc_id % 40 AS string) AS article, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cast(1 + doc_id % 7 AS string) END AS clause
+FROM {documents}""")
+
+DERIVED["questions"] = (["benchmark"], """
+SELECT item_id AS query_id, text, CASE WHEN item_id % 5 = 0 THEN NULL ELSE concat('R', cast(item_id % 97 AS string)) END AS rule_id,
+       cast(1 + item_id % 40 AS string) AS article, cast(1 + item_id % 7 AS string) AS clause,
+       substr(text, 1, 60) AS conclusion, substr(text, 10, 50) AS source_ref,
+       CASE cast(item_id % 4 AS int) WHEN 0 THEN 'must' WHEN 1 THEN 'deadline' WHEN 2 THEN 'unknown' ELSE 'nop_ho_so' END AS goal_predicate
+FROM {benchmark}""")
+
+DERIVED["rules"] = (["part"], """
+SELECT p_partkey, concat('R', cast(p_partkey % 1500 AS string)) AS rule_id,
+       CASE cast(p_partkey % 3 AS int) WHEN 0 THEN 'enterprise' WHEN 1 THEN 'tax' ELSE 'labor' END AS domain,
+       CASE WHEN p_partkey % 10 = 0 THEN 'shared' ELSE 'domain' END AS layer,
+       lower(p_type) AS doc_code, cast(1 + p_partkey % 30 AS string) AS article,
+       CASE cast(p_size % 9 AS int) WHEN 0 THEN 'obligation' WHEN 1 THEN 'permission' WHEN 2 THEN 'prohibition' WHEN 3 THEN 'deadline'
+            WHEN 4 THEN 'threshold' WHEN 5 THEN 'applicability' WHEN 6 THEN 'legal_effect' WHEN 7 THEN 'procedure' ELSE 'dossier' END AS logic_form,
+       CASE cast(p_partkey % 7 AS int) WHEN 0 THEN 'must' WHEN 1 THEN 'sanction' WHEN 2 THEN '' WHEN 3 THEN 'eligibility'
+            WHEN 4 THEN lower(p_type) WHEN 5 THEN 'deadline' ELSE 'obligation' END AS head_predicate,
+       concat('company_x,', replace(p_name, ' ', '_'), ',', CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE lower(p_type) END) AS head_args,
+       concat(p_name, ' ', lower(p_type), ' thời hạn') AS surface, p_name, p_brand, p_type, p_size, p_retailprice
+FROM {part}""")

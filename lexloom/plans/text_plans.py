@@ -140,8 +140,8 @@ def free_text_ref(t):
 WITH a AS (SELECT unit_id, text AS s, regexp_extract(text, '(?i)(trong\\s+(?:thời\\s+hạn|vòng)|chậm\\s+nhất)\\s*(\\d{{1,3}})\\s*(ngày|tháng|năm)(\\s+làm\\s+việc)?', ['w','v','u','k']) AS m FROM clauses)
 SELECT unit_id, nullif(m.v, '') AS value,
   CASE WHEN m.v = '' THEN NULL WHEN m.u = 'ngày' AND m.k <> '' THEN 'working_day' WHEN m.u = 'ngày' THEN 'day' WHEN m.u = 'tháng' THEN 'month' ELSE 'year' END AS unit,
-  CASE WHEN m.v = '' THEN NULL WHEN contains(s, 'tiếp nhận') THEN 'tiep_nhan' WHEN contains(s, 'nhận hồ sơ') THEN 'nhan_ho_so'
-       WHEN contains(s, 'thông báo') THEN 'thong_bao' WHEN regexp_matches(s, {_rx('cấp')}) THEN 'cap' END AS anchor FROM a""", uses=["clauses"])
+  CASE WHEN m.v = '' THEN NULL WHEN m.w = 'chậm nhất' THEN 'no_later_than'
+       WHEN regexp_matches(s, 'thời hạn [0-9]+ ngày làm việc kể từ ngày nhận') THEN 'from_anchor' END AS anchor FROM a""", uses=["clauses"])
 def deadline_slots(t):
     return t.clauses.select("unit_id", slots.deadline_slots("text").alias("d")).select("unit_id", "d.*")
 
