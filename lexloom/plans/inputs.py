@@ -70,3 +70,36 @@ SELECT p_partkey, concat('R', cast(p_partkey % 1500 AS string)) AS rule_id,
        concat('company_x,', replace(p_name, ' ', '_'), ',', CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE lower(p_type) END) AS head_args,
        concat(p_name, ' ', lower(p_type), ' thời hạn') AS surface, p_name, p_brand, p_type, p_size, p_retailprice
 FROM {part}""")
+
+DERIVED["seeds"] = (["lineitem", "part"], """
+SELECT concat(cast(l_orderkey AS string), '_', cast(l_linenumber AS string), '_', cast(l_partkey AS string), '_', cast(l_suppkey AS string)) AS rule_id,
+  concat('F', cast(l_orderkey AS string)) AS frame_id, concat('G', cast(l_orderkey AS string), '_', cast(l_linenumber % 3 AS string)) AS group_id,
+  concat('U', cast(l_partkey AS string)) AS unit_id, concat(lower(p_type), ' ', cast(l_suppkey % 6 AS string)) AS doc_code,
+  CASE cast(l_linenumber AS int) WHEN 1 THEN 'quy_tac_nghia_vu' WHEN 2 THEN 'quy_tac_quyen' WHEN 3 THEN 'quy_tac_nguong_dinh_luong' WHEN 4 THEN 'quy_tac_thoi_han'
+       WHEN 5 THEN 'quy_tac_ho_so' WHEN 6 THEN 'quy_tac_dieu_kien' ELSE 'khac' END AS rule_type,
+  CASE WHEN l_partkey % 4 = 0 THEN 'bat_buoc' WHEN l_partkey % 4 = 1 THEN 'quyen' WHEN l_partkey % 4 = 2 THEN 'cam' ELSE 'thoi_han' END AS nature,
+  CASE WHEN l_suppkey % 3 = 0 THEN 'must' WHEN l_suppkey % 3 = 1 THEN '' ELSE 'xyz' END AS family,
+  CASE WHEN l_quantity < 10 THEN NULL WHEN l_quantity < 30 THEN concat('dang_ky_', lower(p_type)) ELSE replace(p_name, ' ', '_') END AS canonical_predicate,
+  CASE WHEN l_tax < 0.03 THEN NULL ELSE concat('t', cast(l_linenumber % 2 AS string), ':', replace(p_name, ' ', '_')) END AS typed_predicate,
+  CASE WHEN l_discount < 0.01 THEN '' ELSE concat('Đăng ký ', p_name) END AS action,
+  concat(p_name, ' ', CASE WHEN l_linenumber % 2 = 0 THEN 'Hồ sơ' ELSE 'hồ SƠ' END) AS object,
+  CASE WHEN l_linenumber = 5 THEN concat('giấy ', p_name, '; bản sao ', lower(p_brand), ';điều lệ') END AS dossier,
+  CASE WHEN l_returnflag = 'A' THEN concat('được cấp ', p_name) WHEN l_returnflag = 'R' THEN 'bị thu hồi' END AS effect,
+  CASE WHEN l_linestatus = 'F' THEN concat('Cấp giấy ', p_type) END AS result,
+  CASE cast(l_suppkey % 4 AS int) WHEN 0 THEN 'Doanh nghiệp' WHEN 1 THEN 'doanh  nghiep' WHEN 2 THEN 'Công ty' ELSE NULL END AS subject,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'tổ chức' ELSE 'cá nhân' END AS subject_type, CASE WHEN l_suppkey % 5 = 0 THEN 'người nộp' END AS subject_role,
+  CASE WHEN l_partkey % 6 = 0 THEN 'Cơ quan thuế' WHEN l_partkey % 6 = 1 THEN 'co quan thue' END AS receiver,
+  CASE WHEN l_partkey % 7 = 0 THEN 'Sở Kế hoạch' END AS handler, CASE WHEN l_partkey % 9 = 0 THEN 'toàn quốc' END AS scope,
+  CASE WHEN l_linenumber = 3 AND l_suppkey % 3 <> 0 THEN concat('Tỷ lệ ', lower(p_type)) END AS metric,
+  CASE WHEN l_linenumber = 3 AND l_suppkey % 2 = 0 THEN 'phần trăm' END AS unit, CASE WHEN l_linenumber = 3 AND l_suppkey % 2 = 0 THEN '>=' END AS op,
+  CASE WHEN l_linenumber = 3 AND l_suppkey % 2 = 0 THEN cast(cast(l_quantity AS int) AS string) END AS threshold,
+  CASE WHEN l_linenumber = 4 OR (l_linenumber = 3 AND l_suppkey % 7 = 0) THEN cast(1 + l_suppkey % 30 AS string) END AS deadline_value,
+  CASE WHEN l_linenumber = 4 OR (l_linenumber = 3 AND l_suppkey % 7 = 0) THEN 'day' END AS deadline_unit,
+  CASE WHEN l_linenumber = 4 THEN 'from_anchor' END AS anchor,
+  CASE WHEN l_linenumber <> 6 AND l_partkey % 3 = 0 THEN concat('khi ', p_name) END AS condition,
+  CASE WHEN l_partkey % 5 = 0 THEN concat('trừ trường hợp ', lower(p_type)) END AS exception,
+  CASE WHEN l_suppkey % 8 = 0 THEN '' ELSE concat('Tóm tắt ', p_name, ' ', p_type) END AS summary,
+  CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE concat('Văn bản ', p_name, ' số ', cast(l_partkey AS string)) END AS source_text,
+  CASE WHEN l_partkey % 13 = 0 THEN '' ELSE concat('Điều ', cast(l_partkey % 40 AS string), ', khoản ', cast(l_linenumber AS string)) END AS source_ref,
+  CASE WHEN l_linenumber = 2 THEN 'cu' ELSE '' END AS notes
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""")
