@@ -214,11 +214,8 @@ SELECT chunk_id, min(text) AS text, count(DISTINCT group_id) AS n_links FROM f G
 def merge_chunks(t):
     r = t.seeds.select(F.col("frame_id").alias("rule_id"), "group_id", F.col("subject_type").alias("domain"), F.col("source_text").alias("surface_text"),
                        F.col("summary").alias("verbalized"), F.col("doc_code").alias("source_doc"))
-    ch = r.withColumn("frame", F.col("rule_id"))
-    chunks = C.rule_chunks(ch)
+    one, _ = C.merge_chunks(C.rule_chunks(r))
     # Rule ids of a chunk are the groups of its frame here.
-    keyed = C.rule_chunks(r.withColumn("text_id", F.col("group_id")))
-    one, _ = C.merge_chunks(chunks)
     text = F.concat_ws("\n", F.nullif("surface_text", F.lit("")), F.nullif("verbalized", F.lit("")))
     links = C.merge_chunks(r.select(F.concat(F.lit("rb:"), "domain", F.lit(":"), "rule_id").alias("chunk_id"), text.alias("text"), "source_doc",
                                     F.col("group_id").alias("rule_id"), F.lit("rulebase_runtime").alias("origin")).filter("text <> ''"))[1]
