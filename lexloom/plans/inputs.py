@@ -103,3 +103,36 @@ SELECT concat(cast(l_orderkey AS string), '_', cast(l_linenumber AS string), '_'
   CASE WHEN l_partkey % 13 = 0 THEN '' ELSE concat('Điều ', cast(l_partkey % 40 AS string), ', khoản ', cast(l_linenumber AS string)) END AS source_ref,
   CASE WHEN l_linenumber = 2 THEN 'cu' ELSE '' END AS notes
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""")
+
+DERIVED["fact_log"] = (["events"], """
+SELECT user_id AS case_id, event_id,
+    CASE cast(event_id % 6 AS int) WHEN 0 THEN concat('numeric:', event_type) WHEN 1 THEN concat('metric:', event_type)
+      WHEN 2 THEN concat('constraint:', event_type) WHEN 3 THEN concat('carrier(', event_type, ',', cast(cast(floor(value) AS bigint) AS string), ')')
+      ELSE concat(event_type, '(a', cast(event_id % 7 AS string), ')') END AS fact_key,
+    event_id % 5 <> 0 AS value_bool, CASE WHEN event_id % 6 < 3 AND event_id % 4 <> 0 THEN CASE WHEN event_id % 8 = 1 THEN value / 500 ELSE value END END AS value_num
+FROM {events}""")
+
+DERIVED["facts"] = (["fact_log"], """
+SELECT l.case_id, l.fact_key, value_bool, value_num FROM {fact_log} l JOIN
+  (SELECT case_id, fact_key, max(event_id) AS event_id FROM {fact_log} GROUP BY case_id, fact_key) m
+  ON l.case_id = m.case_id AND l.fact_key = m.fact_key AND l.event_id = m.event_id""")
+
+DERIVED["candidates"] = (["lineitem"], """
+SELECT l_suppkey AS case_id, concat('R', cast(l_partkey AS string)) AS rule_id, max(l_extendedprice) / 10000 AS score,
+  max(l_discount) * 10 AS exact_head, cast(max(l_linenumber) AS bigint) AS n_bindings, max(l_tax) * 10 AS compatibility, min(l_partkey) % 10 = 0 AS shared
+FROM {lineitem} GROUP BY l_suppkey, l_partkey""")
+
+DERIVED["atoms"] = (["part"], """
+SELECT concat('R', cast(p_partkey AS string)) AS rule_id, 'positive' AS role, 0 AS seq,
+  concat(CASE cast(p_partkey % 5 AS int) WHEN 0 THEN 'view' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'click' END, '(a', cast(p_partkey % 7 AS string), ')') AS key FROM {part}
+UNION ALL SELECT concat('R', cast(p_partkey AS string)), 'positive', 1, concat('view(a', cast(p_size % 7 AS string), ')') FROM {part} WHERE p_size % 3 = 0
+UNION ALL SELECT concat('R', cast(p_partkey AS string)), 'unless', 0, concat('error(a', cast(p_size % 7 AS string), ')') FROM {part} WHERE p_size % 4 = 0
+UNION ALL SELECT concat('R', cast(p_partkey AS string)), 'exception', 0, concat('signup(a', cast(p_size % 7 AS string), ')') FROM {part} WHERE p_partkey % 6 = 0""")
+
+DERIVED["constraints"] = (["part"], """
+SELECT concat('R', cast(p_partkey AS string)) AS rule_id, 0 AS seq, CASE cast(p_size % 5 AS int) WHEN 0 THEN 'deadline' WHEN 1 THEN 'dossier' WHEN 2 THEN 'threshold_note' ELSE 'threshold' END AS kind,
+  concat('constraint:', CASE cast(p_partkey % 3 AS int) WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'nothing' END) AS session_key,
+  CASE cast(p_partkey % 4 AS int) WHEN 0 THEN 'view' WHEN 1 THEN 'purchase' WHEN 2 THEN 'signup' ELSE 'absent' END AS metric,
+  CASE cast(p_partkey % 6 AS int) WHEN 0 THEN '>=' WHEN 1 THEN 'lte' WHEN 2 THEN 'gt' WHEN 3 THEN '<' WHEN 4 THEN 'eq' ELSE '~' END AS op,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE cast(p_size AS double) END AS target, CASE WHEN p_partkey % 2 = 0 THEN 'phan_tram' ELSE '' END AS unit
+FROM {part} WHERE p_partkey % 3 <> 1""")
