@@ -130,8 +130,8 @@ def _lexicon_rows(frames: DataFrame) -> DataFrame:
     parts = lambda c: F.filter(F.transform(F.split(text_or_empty(c), r"[;；]\s*"), lambda x: F.trim(x)), lambda x: x != "")
     row = lambda role: lambda x: F.struct(F.lit(role).alias("role"), x.alias("surface"))
     every = F.concat(F.transform(F.filter(F.array(F.trim(text_or_empty("action"))), lambda x: x != ""), row("action")), F.transform(parts("condition"), row("condition")), F.transform(parts("documents"), row("document")))
-    e = frames.select("frame_id", F.posexplode(every).alias("i", "r")).select("frame_id", "i", "r.*")
-    s = slug("surface")
+    e = frames.select("frame_id", F.posexplode(every).alias("i", "r")).select("frame_id", "i", "r.*").withColumn("__s", slug("surface"))
+    s = F.col("__s")
     pred = case_when([(F.startswith(s, F.lit(p)), n) for p, n, _ in PREDICATE_RULES])
     group = case_when([(F.startswith(s, F.lit(p)), g) for p, _, g in PREDICATE_RULES], "khac")
     return e.select("frame_id", "i", "role", "surface", F.coalesce(pred, F.substring(s, 1, 60)).alias("normalized"), group.alias("grp"), F.when(pred.isNull(), "can_ra_soat").otherwise("chuan_hoa").alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.common import as_col, broadcast_if_small, case_when, first_row, has_phrase, lookup, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
-from lexloom.functions.text import fold_text, stable_hash, token_overlap, tokens
+from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
 
 K1, B = 1.5, 0.75  # fixed values of the ranking formula
 
@@ -127,25 +127,24 @@ def multi_query_max(variants: DataFrame, items: DataFrame) -> DataFrame:
     return best
 
 
-def contained_tokens(needles: DataFrame, items: DataFrame, gram: int = 3) -> DataFrame:
+def contained_tokens(needles: DataFrame, items: DataFrame, gram: int = 4) -> DataFrame:
     """(item_id, needle): every item whose text has the needle as a substring of a word.
 
-    Exact. The containment test runs on the distinct words of the corpus, blocked by
-    the needle's first `gram` characters; the words then join back by equality.
+    Exact. The containment test runs on the distinct words of the corpus, blocked by the needle's first `gram`
+    characters (shorter needles by their whole text); the words then join back by equality.
     """
     words = items.select("item_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word <> ''")
     vocab = words.select("word").distinct()
-    size = F.least(F.lit(gram), F.length("needle"))
-    heads = needles.select("needle").distinct().select("needle", F.substring("needle", F.lit(1), size).alias("g"))
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("word") - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring("word", i, F.lit(n)))
-
-    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, gram + 1)]))
-    hits = (vocab.select("word", F.explode(every).alias("g")).join(broadcast_if_small(heads), "g")
-            .filter(F.contains(F.col("word"), F.col("needle"))).select("word", "needle").distinct())
-    return words.join(broadcast_if_small(hits), "word").select("item_id", "needle").distinct()
+    heads = needles.select("needle").distinct().filter("needle <> ''")
+    hits = None
+    for n in range(1, gram + 1):
+        part = heads.filter(F.length("needle") >= n) if n == gram else heads.filter(F.length("needle") == n)
+        part = part.select("needle", F.substring("needle", 1, n).alias("g"))
+        grams = F.array_distinct(F.regexp_extract_all("word", F.lit("(?=(.{%d}))" % n), 1))
+        found = (vocab.select("word", F.explode(grams).alias("g")).join(broadcast_if_small(part), "g")
+                 .filter(F.contains(F.col("word"), F.col("needle"))).select("word", "needle"))
+        hits = found if hits is None else hits.unionByName(found)
+    return words.join(broadcast_if_small(hits.distinct()), "word").select("item_id", "needle").distinct()
 
 
 def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataFrame | None = None) -> DataFrame:
@@ -248,9 +247,16 @@ def candidate_pool(queries: DataFrame, rules: DataFrame) -> tuple[DataFrame, Dat
     return pairs, whole
 
 
+def _set_overlap(x: Column, y: Column) -> Column:
+    """Jaccard of two word arrays, 0 when either is empty."""
+    inter = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(inter / (F.size(x) + F.size(y) - inter))
+
+
 def _sum_overlap(left: Column, right: Column) -> Column:
+    """Sum of overlaps over two arrays of word arrays."""
     return F.aggregate(left, F.lit(0.0), lambda acc, g: acc + F.aggregate(
-        right, F.lit(0.0), lambda a, h: a + token_overlap(g, h)))
+        right, F.lit(0.0), lambda a, h: a + _set_overlap(g, h)))
 
 
 def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|unknown.*)$") -> DataFrame:
@@ -264,6 +270,12 @@ def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|un
     zero = F.lit(0.0)
     on = lambda cond, v: F.when(cond, F.lit(float(v))).otherwise(zero)
     named = lambda arr: F.filter(arr, lambda x: ~x.rlike(placeholders))
+    words = lambda arr: F.transform(arr, lambda x: word_set(x))
+    columns = pairs.columns
+    # Word sets once per row and column; the terms below work on arrays only.
+    pairs = pairs.select("*", words(named("q_args")).alias("__ga"), words(named("r_args")).alias("__ra"), words(c("r_args")).alias("__rall"), word_set("q_text").alias("__qt"),
+                         word_set("q_action").alias("__qa"), word_set("q_object").alias("__qo"), word_set("r_action").alias("__rw"), word_set("r_blob").alias("__rb"),
+                         word_set("q_time").alias("__qm"), word_set("q_exception").alias("__qe"), fold_text("r_blob").alias("__blob"))
     q_family = normalize_family(F.when(~c("q_goal").isin("", "unknown"), c("q_goal")).otherwise(
         F.when(c("q_focus") != "unknown", c("q_focus")).otherwise(F.lit(""))))
     r_family = normalize_family(F.when(~c("r_head").isin("", "unknown"), c("r_head")).otherwise(c("r_form")))
@@ -272,16 +284,15 @@ def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|un
     both = (F.size("q_conditions") > 0) & (F.size("r_conditions") > 0) & (inter > 0)
     cond = F.when(both, 6.0 * inter / union + F.when(inter == q_size, 2.0).when(inter >= 2, 1.0).otherwise(0.0)).otherwise(zero)
     event = on((c("q_event") != "") & ((c("q_event") == c("r_event")) | F.array_contains("r_conditions", c("q_event"))), 7)
-    spaced = lambda x: F.replace(x, F.lit("_"), F.lit(" "))
-    anchor = F.greatest(F.when(c("q_action") != "", token_overlap(spaced(c("q_action")), c("r_action"))).otherwise(zero),
-                        F.when(c("q_object") != "", token_overlap(spaced(c("q_object")), c("r_blob"))).otherwise(zero))
+    over = lambda x, y: _set_overlap(c(x), c(y))
+    anchor = F.greatest(over("__qa", "__rw"), over("__qo", "__rb"))
     structural = ["deadline", "threshold", "dossier", "procedure"]
     normative = ["permission", "obligation", "prohibition", "applicability", "legal_effect"]
     loose_deadline = (q_family == "deadline") & (anchor < 0.35)
     same_family = 3.5 - on(loose_deadline, 2.5)
     other_family = -(F.lit(3.5) + on(c("r_shared"), 2.0) + on(q_family.isin(normative) & r_family.isin(structural), 2.5))
     family = F.when((q_family == "") | (r_family == ""), zero).when(q_family == r_family, same_family).otherwise(other_family)
-    blob = fold_text("r_blob")
+    blob = c("__blob")
     timed = (F.trim("q_time") != "") & blob.rlike("thoi han|ngày|deadline|han")
     missing = F.size(F.array_except("r_context", "q_context"))
     enforced = F.array_contains(F.array_except("r_context", "q_context"), "tax_enforcement")
@@ -290,21 +301,20 @@ def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|un
         "logic_form_focus_match": on((c("q_focus") != "unknown") & (c("q_focus") == c("r_form")), 5),
         "focus_logic_penalty": F.when((c("q_focus") == "permission") & c("r_form").isin(structural), -3.0)
                                 .when((c("q_focus") == "permission") & c("r_form").isin("obligation", "legal_effect"), 1.0).otherwise(zero),
-        "goal_head_arg_overlap": 2.0 * _sum_overlap(named(c("q_args")), named(c("r_args"))),
-        "action_modality_overlap": 1.5 * F.aggregate("r_args", zero, lambda a, h: a + token_overlap(c("q_text"), h)),
+        "goal_head_arg_overlap": 2.0 * _sum_overlap(c("__ga"), c("__ra")),
+        "action_modality_overlap": 1.5 * _sum_overlap(F.array("__qt"), c("__rall")),
         "event_type_match": event,
         "condition_atom_overlap": cond,
         "event_atom_alignment_bonus": on((event > 0) & (cond > 0.01), 2.5),
         "subject_id_in_rule": on((c("q_subject") != "") & F.contains(c("r_blob"), c("q_subject")), 1),
-        "time_deadline_relevance": F.when(timed, 1.2 * token_overlap("q_time", "r_blob")).otherwise(zero),
-        "exception_relevance": F.when(F.trim("q_exception") != "", 1.2 * token_overlap("q_exception", "r_blob")).otherwise(zero),
+        "time_deadline_relevance": F.when(timed, 1.2 * over("__qm", "__rb")).otherwise(zero),
+        "exception_relevance": 1.2 * over("__qe", "__rb"),
         "metadata_domain": on((c("r_domain") != "") & F.contains(fold_text("q_domain_text"), c("r_domain")), 0.5),
         "goal_family_match": family,
-        "action_object_match": F.when(c("q_action") != "", 2.2 * token_overlap(spaced(c("q_action")), c("r_blob"))).otherwise(zero)
-                               + F.when(c("q_object") != "", 1.8 * token_overlap(spaced(c("q_object")), c("r_blob"))).otherwise(zero),
+        "action_object_match": 2.2 * over("__qa", "__rb") + 1.8 * over("__qo", "__rb"),
         "context_mismatch_penalty": -(2.2 * missing + on(enforced, 1.8)),
     }
-    out = pairs.select("*", *[v.cast("double").alias(n) for n, v in terms.items()], loose_deadline.alias("deadline_mismatch"))
+    out = pairs.select(*columns, *[v.cast("double").alias(n) for n, v in terms.items()], loose_deadline.alias("deadline_mismatch"))
     anchored = (c("head_predicate_match") > 0) | (c("goal_head_arg_overlap") > 0.01) | (c("condition_atom_overlap") > 0.01) | (c("action_modality_overlap") > 0.01)
     out = out.withColumn("shared_anchor_penalty", F.when(c("r_shared") & ~anchored, F.lit(-3.5)).otherwise(zero))
     names = [*terms, "shared_anchor_penalty"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.common import broadcast_if_small, case_when, cut_lineage, first_row, is_blank, lookup, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
-from lexloom.functions.text import fold_text, token_overlap, word_set
+from lexloom.functions.text import fold_text, word_set
 
 
 def atom_key(predicate: Column, args: Column) -> Column:
@@ -196,17 +196,25 @@ def _group_of(c: Column) -> Column:
     return F.when(k == "", "").otherwise(case_when([(k.rlike("|".join(cues)), g) for g, cues in ACTION_GROUPS.items()], "other"))
 
 
+def _term(x: Column) -> Column:
+    """A term with its word set, action words and placeholder flag, computed once."""
+    w = word_set(x)
+    act = F.filter(word_set(F.replace(x, F.lit("-"), F.lit(" "))), lambda t: (F.length(t) > 1) & ~t.isin(ACTION_NOISE))
+    return F.struct(x.alias("t"), w.alias("w"), act.alias("a"), F.translate(fold_text(x), "- ", "__").isin(PLACEHOLDERS).alias("vague"), F.trim(x).rlike(VARIABLE).alias("var"))
+
+
+def _jaccard(x: Column, y: Column) -> Column:
+    inter = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(inter / (F.size(x) + F.size(y) - inter))
+
+
 def _same_term(a: Column, b: Column) -> Column:
-    return (a == b) | (token_overlap(a, b) >= 0.34)
+    return (a["t"] == b["t"]) | (_jaccard(a["w"], b["w"]) >= 0.34)
 
 
 def _same_action(a: Column, b: Column) -> Column:
-    vague = lambda x: F.translate(fold_text(x), "- ", "__").isin(PLACEHOLDERS)
-    words = lambda x: F.filter(word_set(F.replace(x, F.lit("-"), F.lit(" "))), lambda w: (F.length(w) > 1) & ~w.isin(ACTION_NOISE))
-    x, y = words(a), words(b)
-    inter, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    close = (inter > 0) & ((inter / union >= 0.45) | ((inter >= 2) & (inter / union >= 0.4)))
-    return vague(a) | vague(b) | _same_term(a, b) | close
+    inter, j = F.size(F.array_intersect(a["a"], b["a"])), _jaccard(a["a"], b["a"])
+    return a["vague"] | b["vague"] | _same_term(a, b) | (j >= 0.45) | ((inter >= 2) & (j >= 0.4))
 
 
 def unify(pairs: DataFrame) -> DataFrame:
@@ -229,30 +237,33 @@ def unify(pairs: DataFrame) -> DataFrame:
     conflict = F.lit(False)
     for g, others in GROUP_CONFLICTS.items():
         conflict = conflict | ((c("__gg") == g) & c("__hg").isin(others))
-    is_var = lambda x: F.trim(x).rlike(VARIABLE)
-    start = F.struct(F.lit(True).alias("ok"), F.create_map().cast("map<string,string>").alias("m"))
+    term_t = "map<string,struct<t:string,w:array<string>,a:array<string>,vague:boolean,var:boolean>>"
+    start = F.struct(F.lit(True).alias("ok"), F.create_map().cast(term_t).alias("m"))
 
     def step(acc: Column, slot: Column) -> Column:
-        g, h, i = slot["g"], slot["h"], slot["i"]
-        var = F.when(is_var(g), g).when(is_var(h), h)
-        other = F.when(is_var(g), h).otherwise(g)
-        bound = F.element_at(acc["m"], F.coalesce(var, F.lit("")))
-        relaxed = (i >= 1) & c("__gf").isin(RELAXED_FAMILIES)
-        plain = _same_term(g, h) | (relaxed & _same_action(g, h))
-        again = _same_term(bound, other) | (relaxed & _same_action(g, h))
+        g, h = slot["g"], slot["h"]
+        var = F.when(g["var"], g["t"]).when(h["var"], h["t"])
+        name = F.coalesce(var, F.lit(""))
+        other = F.when(g["var"], h).otherwise(g)
+        bound = F.element_at(acc["m"], name)
+        relaxed = (slot["i"] >= 1) & c("__gf").isin(RELAXED_FAMILIES)
+        loose = relaxed & _same_action(g, h)
+        ok = F.when(var.isNull(), _same_term(g, h) | loose).when(bound.isNull(), F.lit(True)).otherwise(_same_term(bound, other) | loose)
         fresh = var.isNotNull() & bound.isNull()
-        ok = F.when(var.isNull(), plain).when(bound.isNull(), F.lit(True)).otherwise(again)
-        grown = F.map_concat(acc["m"], F.map_from_arrays(F.array(F.coalesce(var, F.lit(""))), F.array(other)))
-        return F.struct((acc["ok"] & ok).alias("ok"), F.when(fresh, grown).otherwise(acc["m"]).alias("m"))
+        grown = F.when(fresh, F.map_concat(acc["m"], F.map_from_arrays(F.array(name), F.array(other)))).otherwise(acc["m"])
+        return F.struct((acc["ok"] & ok).alias("ok"), grown.cast(term_t).alias("m"))
 
-    slots = F.transform(F.arrays_zip(c("__g").alias("g"), c("__h").alias("h")), lambda z, i: F.struct(z["g"].alias("g"), z["h"].alias("h"), i.alias("i")))
+    # Terms are prepared once per row, outside the fold.
+    p = p.withColumn("__gt", F.transform("__g", _term)).withColumn("__ht", F.transform("__h", _term))
+    slots = F.transform(F.arrays_zip(c("__gt").alias("g"), c("__ht").alias("h")), lambda z, i: F.struct(z["g"].alias("g"), z["h"].alias("h"), i.alias("i")))
     p = p.withColumn("__u", F.when(F.size("__g") == F.size("__h"), F.aggregate(slots, start, step)))
     other_family = (c("__gf") == "") | (c("__gf") != c("__hf"))
     differ = c("__gp") != c("__hp")
     failure = case_when([(differ & other_family, "predicate_mismatch"), (differ & conflict, "action_group_conflict"),
                          (F.size("__g") != F.size("__h"), "arity_mismatch"), (~c("__u.ok"), "term_unification_failed")], "")
-    bindings = F.when(failure == "", c("__u.m")).otherwise(F.create_map().cast("map<string,string>"))
-    exact = F.size(F.filter(slots, lambda s: F.trim(s["g"]) == F.trim(s["h"])))
+    bound = F.transform_values(F.coalesce("__u.m", F.create_map().cast(term_t)), lambda _, v: v["t"])
+    bindings = F.when(failure == "", bound).otherwise(F.create_map().cast("map<string,string>"))
+    exact = F.size(F.filter(F.zip_with("__g", "__h", lambda g, h: F.trim(g) == F.trim(h)), lambda x: x))
     exact_head = (F.when(c("goal_predicate") != c("head_predicate"), 0.0).when(F.size("__g") != F.size("__h"), 0.2)
                   .when(F.size("__g") == 0, 1.0).otherwise(exact / F.size("__g")))
     return p.select(*pairs.columns, failure.alias("failure"), bindings.alias("bindings"), exact_head.alias("exact_head"))
@@ -273,19 +284,24 @@ def best_path(plan: DataFrame, forward: DataFrame) -> DataFrame:
 def derive_closure(facts: DataFrame, rules: DataFrame, max_rounds: int = 4) -> DataFrame:
     """Facts (case_id, fact_key, round) after repeated rule application.
 
-    rules(rule_id, head_key, atom_key): a rule derives its head for a case that has all its atoms. Semi-naive: a
-    round looks only at rules touched by the last round's facts. Each round ends in a reliable checkpoint.
+    rules(rule_id, head_key, atom_key): a rule derives its head for a case that has all its atoms. Semi-naive: a round
+    joins only the last round's facts to the atoms and adds to the running count per (case, rule). Each round ends in a
+    reliable checkpoint.
     """
-    need = rules.select("rule_id", "atom_key").distinct().groupBy("rule_id").agg(F.count("*").alias("n_need"))
     atoms = rules.select("rule_id", "atom_key").distinct()
+    need = atoms.groupBy("rule_id").agg(F.count("*").alias("n_need"))
     heads = rules.select("rule_id", "head_key").distinct()
     known = cut_lineage(facts.select("case_id", "fact_key").distinct().withColumn("round", F.lit(0)))
-    delta = known
+    delta, have = known, None
     for i in range(1, max_rounds + 1):
-        touched = (delta.select("case_id", F.col("fact_key").alias("atom_key")).join(atoms, "atom_key").select("case_id", "rule_id").distinct())
-        have = (touched.join(atoms, "rule_id").join(known.select("case_id", F.col("fact_key").alias("atom_key")), ["case_id", "atom_key"], "left_semi")
-                .groupBy("case_id", "rule_id").agg(F.count("*").alias("n_have")))
-        fired = have.join(need, "rule_id").filter("n_have = n_need").join(heads, "rule_id").select("case_id", F.col("head_key").alias("fact_key")).distinct()
+        add = (delta.select("case_id", F.col("fact_key").alias("atom_key")).join(broadcast_if_small(atoms), "atom_key")
+               .groupBy("case_id", "rule_id").agg(F.count("*").alias("n_add")))
+        prev = add.select("case_id", "rule_id", "n_add", F.lit(0).cast("bigint").alias("n_old"))
+        if have is not None:
+            prev = prev.unionByName(have.select("case_id", "rule_id", F.lit(0).cast("bigint").alias("n_add"), F.col("n_have").alias("n_old")))
+        have = cut_lineage(prev.groupBy("case_id", "rule_id").agg((F.sum("n_add") + F.sum("n_old")).alias("n_have"), (F.sum("n_add") > 0).alias("fresh")))
+        fired = (have.filter("fresh").join(broadcast_if_small(need), "rule_id").filter("n_have = n_need").join(broadcast_if_small(heads), "rule_id")
+                 .select("case_id", F.col("head_key").alias("fact_key")).distinct())
         delta = cut_lineage(fired.join(known, ["case_id", "fact_key"], "left_anti").withColumn("round", F.lit(i)))
         if delta.isEmpty():
             break

@@ -23,8 +23,8 @@ m4 AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx, row_number
 nl AS (SELECT doc_id, max(i) AS n FROM ln GROUP BY 1),
 m5 AS (SELECT m4.*, coalesce(nx - 1, n) AS last_line FROM m4 JOIN nl USING (doc_id) WHERE k IN ('article', 'clause', 'point')),
 bd AS (SELECT m.doc_id, m.i, string_agg(l, chr(10) ORDER BY ln.i) AS body FROM m5 m JOIN ln ON ln.doc_id = m.doc_id AND ln.i > m.i AND ln.i <= m.last_line AND l <> '' GROUP BY ALL),
-un AS (SELECT m.doc_id, unit_no::INT AS unit_no, c.key AS chapter, CASE WHEN se > ch THEN s.key END AS section, a.key AS article, a.rest AS heading, CASE WHEN k <> 'article' THEN q.key END AS clause, CASE WHEN k = 'point' THEN lower(m.key) END AS point,
-  trim(concat_ws(chr(10), CASE WHEN k <> 'article' THEN nullif(m.rest, '') END, body)) AS text, m.i::INT AS first_line, last_line::INT AS last_line
+un AS (SELECT m.doc_id, unit_no::INT AS unit_no, c.key AS chapter, CASE WHEN m.se > m.ch THEN s.key END AS section, a.key AS article, a.rest AS heading, CASE WHEN m.k <> 'article' THEN q.key END AS clause, CASE WHEN m.k = 'point' THEN lower(m.key) END AS point,
+  trim(concat_ws(chr(10), CASE WHEN m.k <> 'article' THEN nullif(m.rest, '') END, body)) AS text, m.i::INT AS first_line, last_line::INT AS last_line
   FROM m5 m LEFT JOIN hd c ON c.doc_id = m.doc_id AND c.i = m.ch LEFT JOIN hd s ON s.doc_id = m.doc_id AND s.i = m.se LEFT JOIN hd a ON a.doc_id = m.doc_id AND a.i = m.ar LEFT JOIN hd q ON q.doc_id = m.doc_id AND q.i = m.cl LEFT JOIN bd ON bd.doc_id = m.doc_id AND bd.i = m.i)"""
 
 
@@ -51,7 +51,7 @@ DEON = _rx("phải", r"có\s+nghĩa\s+vụ", r"có\s+trách\s+nhiệm", r"chịu
 
 @query("unit_markers", f"""WITH u AS (SELECT unit_id, text, (regexp_matches(text, {DEFN}) OR heading = 'Giải thích từ ngữ') AND NOT regexp_matches(text, {DEON}) AS quiet FROM clauses)
 SELECT unit_id, NOT quiet AND regexp_matches(text, {_rx('nếu', 'khi', 'trường hợp')}) AS has_condition, NOT quiet AND regexp_matches(text, {_rx('trong thời hạn', 'trong vòng', 'kể từ ngày', 'chậm nhất')}) AS has_deadline,
- NOT quiet AND regexp_matches(text, {_rx('trừ trường hợp')}) AS has_exception, NOT quiet AND regexp_matches(text, {_rx('cơ quan')}) AS has_authority, NOT quiet AND regexp_matches(text, {_rx('hồ sơ', 'kèm theo')}) AS has_document FROM u""", uses=["clauses"])
+ NOT quiet AND regexp_matches(text, {_rx('trừ trường hợp', 'nếu không')}) AS has_exception, NOT quiet AND regexp_matches(text, {_rx('cơ quan')}) AS has_authority, NOT quiet AND regexp_matches(text, {_rx('hồ sơ', 'kèm theo')}) AS has_document FROM u""", uses=["clauses"])
 def unit_markers(t):
     return S.unit_markers(t.clauses).select("unit_id", "has_condition", "has_deadline", "has_exception", "has_authority", "has_document")
 

@@ -175,7 +175,7 @@ def unify(t):
     return L.unify(_goal_pairs(t)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "failure", F.size("bindings").alias("n_bindings"))
 
 
-CHAIN_RULES = """SELECT concat('C', cast(p_partkey AS string)) AS rule_id, concat('d(', cast(p_partkey % 40 AS string), ')') AS head_key, concat(CASE WHEN p_size % 2 = 0 THEN 'view(a' ELSE 'click(a' END, cast(p_size % 7 AS string), ')') AS atom_key FROM {part}
+CHAIN_RULES = """SELECT concat('C', cast(p_partkey AS string)) AS rule_id, concat('d(', cast(p_partkey % 40 AS string), ')') AS head_key, concat(CASE WHEN p_size % 2 = 0 THEN 'carrier(view,' ELSE 'carrier(click,' END, cast(p_partkey % 60 AS string), ')') AS atom_key FROM {part}
 UNION ALL SELECT concat('C', cast(p_partkey AS string)), concat('d(', cast(p_partkey % 40 AS string), ')'), concat('d(', cast((p_partkey + 1) % 40 AS string), ')') FROM {part} WHERE p_size % 5 <> 0"""
 CLOSE = "cr AS (" + CHAIN_RULES.replace("{part}", "part") + """), rn AS (SELECT rule_id, count(DISTINCT atom_key) AS n FROM cr GROUP BY 1), rh AS (SELECT DISTINCT rule_id, head_key FROM cr), f0 AS (SELECT DISTINCT case_id, fact_key, 0 AS rd FROM facts)"""
 
