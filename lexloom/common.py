@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,14 +87,21 @@ def share(num: Column, den: Column, digits: int = 4) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(F.round(num / den, digits))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New folder under the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
+
 
-    Only when no folder is set (tests on one machine) a temporary one is used.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a Parquet table into the shared checkpoint folder and read it back.
+
+    Survives lost executors like a checkpoint does, and the table has a known size, so later joins
+    can choose a broadcast from it.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import as_col, broadcast_if_small, case_when, first_row, has_phrase, lookup, tags, text_or_empty, top_k
+from lexloom.common import as_col, broadcast_if_small, case_when, cut_lineage, first_row, has_phrase, lookup, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
 
@@ -144,7 +144,8 @@ def contained_tokens(needles: DataFrame, items: DataFrame, gram: int = 4) -> Dat
         found = (vocab.select("word", F.explode(grams).alias("g")).join(broadcast_if_small(part), "g")
                  .filter(F.contains(F.col("word"), F.col("needle"))).select("word", "needle"))
         hits = found if hits is None else hits.unionByName(found)
-    return words.join(broadcast_if_small(hits.distinct()), "word").select("item_id", "needle").distinct()
+    hits = cut_lineage(hits.distinct(), "hits")
+    return words.join(broadcast_if_small(hits), "word").select("item_id", "needle").distinct()
 
 
 def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataFrame | None = None) -> DataFrame:
@@ -169,6 +170,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     needles = (q.select("query_id", F.explode(F.split("__q", " ")).alias("needle")).filter(F.length("needle") > 3)
                .groupBy("query_id", "needle").agg(F.count("*").alias("times"))
                .union(q.filter("__c <> ''").select("query_id", longest.alias("needle"), F.lit(0).alias("times"))))
+    needles = cut_lineage(needles, "needles")
     found = (contained_tokens(needles, folded).join(broadcast_if_small(needles), "needle")
              .select("query_id", "item_id", F.lit(None).cast("double").alias("bm25"), F.lit(None).cast("string").alias("variant"),
                      "times"))
@@ -208,9 +210,11 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     total = sum(boosts.values(), F.lit(0.0))
     full = full.select("query_id", "item_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), total.alias("structured"),
                        *[b.alias(n) for n, b in boosts.items()])
-    full = normalize_scores(normalize_scores(full, "bm25", out="bm25_norm"), "structured", out="structured_norm")
-    full = full.withColumn("score", 0.42 * F.col("bm25_norm") + 0.58 * F.col("structured_norm"))
-    return top_items(full, k)
+    full = cut_lineage(full, "evidence")
+    pos = lambda c: F.when(F.max(c) == 0, F.lit(1e-9)).otherwise(F.max(c))
+    best = full.groupBy("query_id").agg(pos("bm25").alias("__b"), pos("structured").alias("__s"))
+    full = full.join(broadcast_if_small(best), "query_id").withColumn("score", 0.42 * F.col("bm25") / F.col("__b") + 0.58 * F.col("structured") / F.col("__s"))
+    return top_items(full.drop("__b", "__s"), k)
 
 
 def provenance_rescue(top: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, score: float = 0.35) -> DataFrame:

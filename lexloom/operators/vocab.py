@@ -97,23 +97,29 @@ def has_prefix(c: Column | str, parts: Sequence[str]) -> Column:
 
 
 def predicate_vocab(seeds: DataFrame) -> DataFrame:
-    """One row per predicate: family, typed form, rule-type mix, examples and quality."""
-    name = first_nonblank("canonical_predicate", F.when(~is_blank("action"), slug("action")))
-    w = seeds.select(name.alias("canonical"), "rule_id", none_if_blank("rule_type").alias("rule_type"), none_if_blank("typed_predicate").alias("typed"),
-                     F.nullif(normalize_family("family"), F.lit("")).alias("family"), none_if_blank("summary").alias("summary"),
-                     none_if_blank("action").alias("act")).filter("canonical IS NOT NULL")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rule_id")))
-    base = w.groupBy("canonical").agg(first("family").alias("family"), first("summary").alias("summary"), first("act").alias("act"), F.count("*").alias("n"))
-    types = w.filter("rule_type IS NOT NULL").groupBy("canonical", "rule_type").agg(F.count("*").alias("m"))
+    """One row per predicate: family, typed form, rule-type mix, examples and quality.
+
+    The seeds are aggregated by their raw name first (map-side), so the slug and all later steps run on that small table.
+    """
+    raw = first_nonblank("canonical_predicate", "action")
+    w = seeds.select(raw.alias("raw"), is_blank("canonical_predicate").alias("is_act"), "rule_id", none_if_blank("rule_type").alias("rule_type"), none_if_blank("typed_predicate").alias("typed"),
+                     F.nullif(normalize_family("family"), F.lit("")).alias("family"), none_if_blank("summary").alias("summary"), none_if_blank("action").alias("act")).filter("raw IS NOT NULL")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rule_id", c)))
+    name = F.when(F.col("is_act"), slug("raw")).otherwise(F.col("raw"))
+    small = w.groupBy("raw", "is_act", "rule_type", "typed").agg(first("family").alias("family"), first("summary").alias("summary"), first("act").alias("act"), F.count("*").alias("n"))
+    small = small.withColumn("canonical", name)
+    base = small.groupBy("canonical").agg(F.min("family")["family"].alias("family"), F.min("summary")["summary"].alias("summary"), F.min("act")["act"].alias("act"), F.sum("n").alias("n"))
+    types = small.filter("rule_type IS NOT NULL").groupBy("canonical", "rule_type").agg(F.sum("n").alias("m"))
+    ids = top_k(w.select("raw", "is_act", "rule_id"), ["raw", "is_act"], [F.asc("rule_id")], 5).select(name.alias("canonical"), "rule_id")
     top5 = top_k(types, ["canonical"], [F.desc("m"), F.asc("rule_type")], 5)
     lead = F.struct((-F.col("m")).alias("o"), F.col("rule_type").alias("t"))
     mix = top5.groupBy("canonical").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(lead)), lambda x: F.concat(x["t"], F.lit("("), (-x["o"]).cast("string"), F.lit(")"))), "; ").alias("when_used"),
         F.min(lead)["t"].alias("mode_type"), F.max("m").alias("top_n"))
     n_types = types.groupBy("canonical").agg(F.count("*").alias("n_types"))
-    typed = w.filter("typed IS NOT NULL").groupBy("canonical", "typed").agg(F.count("*").alias("m"))
+    typed = small.filter("typed IS NOT NULL").groupBy("canonical", "typed").agg(F.sum("n").alias("m"))
     typed = typed.groupBy("canonical").agg(F.min_by("typed", F.struct(-F.col("m"), F.col("typed"))).alias("typed"))
-    out = (base.join(mix, "canonical", "left").join(n_types, "canonical", "left").join(typed, "canonical", "left").join(example_ids(w, ["canonical"], 5), "canonical"))
+    out = (base.join(mix, "canonical", "left").join(n_types, "canonical", "left").join(typed, "canonical", "left").join(example_ids(ids, ["canonical"], 5), "canonical"))
     guess = case_when([(F.contains(F.col("canonical"), F.lit(p)), f) for p, f in PREDICATE_FAMILIES], "khac")
     out = out.select("canonical", F.coalesce("family", guess).alias("family"),
                      F.coalesce("typed", F.concat(F.coalesce("mode_type", F.lit("unknown")), F.lit(":"), "canonical")).alias("typed"),
@@ -123,23 +129,29 @@ def predicate_vocab(seeds: DataFrame) -> DataFrame:
     return predicate_qa(out)
 
 
-def _named(rows: DataFrame, min_raw: int, min_name: int, cut: int) -> DataFrame:
-    r = rows.withColumn("raw", none_if_blank("raw")).filter(F.length("raw") >= min_raw).withColumn("canonical", slug("raw"))
+def _named(rows: DataFrame, min_raw: int, min_name: int, cut: int, n_ids: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with their slug, cut to the first `n_ids` rule ids per raw text.
+
+    That is all the vocabularies need: every raw text stays, and the smallest ids of a name are among the smallest of
+    its raw texts. The cut happens before the shuffle, and the slug runs on distinct texts only.
+    """
+    r = rows.withColumn("raw", none_if_blank("raw")).filter(F.length("raw") >= min_raw)
+    r = top_k(r, [*keys, "raw"], [F.asc("rule_id")], n_ids).withColumn("canonical", slug("raw"))
     return r.filter(F.length("canonical") >= min_name).withColumn("raw", F.substring("raw", 1, cut))
 
 
 def object_vocab(seeds: DataFrame) -> DataFrame:
     """Objects and the parts of dossier lists."""
     parts = F.transform(F.split(text_or_empty("dossier"), r"[;；]\s*"), lambda x: F.trim(x))
-    rows = seeds.select("rule_id", F.explode(F.concat(F.array("object"), parts)).alias("raw"))
-    g = variant_groups(_named(rows, 2, 3, 300), ["canonical"], 4, 5)
+    rows = seeds.select("rule_id", F.explode(F.array_distinct(F.concat(F.array(F.trim("object")), parts))).alias("raw"))
+    g = variant_groups(_named(rows, 2, 3, 300, 5), ["canonical"], 4, 5)
     family = case_when([(has_part("canonical", ps), f) for ps, f in OBJECT_FAMILIES], "khac")
     return object_effect_qa(g.withColumn("family", family))
 
 
 def effect_vocab(seeds: DataFrame) -> DataFrame:
-    rows = seeds.select("rule_id", F.explode(F.array("effect", "result")).alias("raw"))
-    g = variant_groups(_named(rows, 3, 4, 400), ["canonical"], 3, 5)
+    rows = seeds.select("rule_id", F.explode(F.array_distinct(F.array(F.trim("effect"), F.trim("result")))).alias("raw"))
+    g = variant_groups(_named(rows, 3, 4, 400, 5), ["canonical"], 3, 5)
     family = case_when([(has_prefix("canonical", [p]), f) for p, f in EFFECT_PREFIXES] + [(has_part("canonical", ps), f) for ps, f in EFFECT_PARTS], "khac")
     return object_effect_qa(g.withColumn("family", family))
 
@@ -151,8 +163,8 @@ ENTITY_COLUMNS = [("subject", "subject"), ("subject_type", "subject_type"), ("su
 
 def entity_rows(seeds: DataFrame, columns: Sequence[tuple[str, str]] = ENTITY_COLUMNS) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("raw")) for c, kind in columns])
-    r = seeds.select("rule_id", F.explode(pairs).alias("p")).select("rule_id", "p.kind", "p.raw")
-    return _named(r, 2, 2, 400)
+    r = seeds.select("rule_id", F.explode(F.array_distinct(pairs)).alias("p")).select("rule_id", "p.kind", "p.raw")
+    return _named(r, 2, 2, 400, 8, ["kind"])
 
 
 def entity_vocab(seeds: DataFrame) -> DataFrame:

@@ -1,10 +1,8 @@
 """Queries for sources, sinks and the session stream."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from lexloom.common import ensure_checkpoint_dir
+from lexloom.common import scratch_path
 from lexloom.plans.registry import query
 from lexloom.sources import readers, sinks
 from lexloom.streaming.session_facts import session_facts as latest_facts
@@ -12,10 +10,7 @@ from lexloom.streaming.session_facts import session_facts_stream as stream_facts
 
 
 def _scratch(t, name):
-    """Folder under the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    base = t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}_{next(tempfile._get_candidate_names())}"
+    return scratch_path(t.spark, name)
 
 
 @query("read_rules", """SELECT rule_id || '_' || p_partkey AS rule_id, CASE WHEN p_size % 6 = 0 THEN 'unknown' ELSE logic_form END AS logic_form, CASE WHEN head_predicate = '' THEN 'unknown' ELSE head_predicate END AS predicate FROM rules WHERE p_partkey % 9 <> 0""", uses=["rules"])
