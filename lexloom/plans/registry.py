@@ -12,6 +12,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores when its files give fewer splits than there are cores.
+
+    One small file with one row group is one task, whatever comes after it. Tables that already have enough splits
+    (any large one) are left alone, so no shuffle is added there. Filters and column pruning pass below it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 class Tables:
     """Lazy access to the base tables and to inputs that Spark derives from them."""
 
@@ -23,7 +35,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._seen:
             if name in TABLES:
-                df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+                df = _spread(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
             else:
                 needs, sql = DERIVED[name]
                 df = self.spark.sql(sql, **{n: getattr(self, n) for n in needs})

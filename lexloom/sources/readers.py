@@ -98,6 +98,6 @@ def artifact_inventory(spark: SparkSession, root: str, kinds: Sequence[str] = ("
     part = F.split("p", "/")
     f = f.select(F.element_at(part, -2).alias("domain"), F.element_at(part, -1).alias("file"))
     kind = case_when([(F.startswith(F.col("file"), F.lit(k)), k) for k in kinds])
-    g = f.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("domain").pivot("kind", list(kinds)).agg(F.count("*")).na.fill(0, list(kinds))
+    g = f.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("domain").pivot("kind", list(kinds)).agg(F.count("kind")).na.fill(0, list(kinds))
     absent = F.array_compact(F.array(*[F.when(F.col(k) == 0, F.lit(k)) for k in kinds]))
     return g.withColumn("missing", F.array_join(absent, ",")).withColumn("complete", F.size(absent) == 0)
