@@ -10,7 +10,7 @@ import time
 from lexloom.plans import QUERIES
 from lexloom.session import local_session
 
-HEADLINE = ["bm25_topk", "multi_query_max", "evidence_topk", "pattern_scores", "condition_match", "scoped_retrieve", "structured_score", "rank_rules", "segment_units", "dedupe_by_content", "merge_by_signature",
+HEADLINE = ["bm25_topk", "multi_query_max", "pattern_scores", "condition_match", "scoped_retrieve", "structured_score", "rank_rules", "segment_units", "dedupe_by_content", "merge_by_signature",
             "variant_roles", "core_gate", "predicate_vocab", "object_vocab", "normalize_with_vocab", "prune_conflicts", "temporal_filter", "backward_plan",
             "forward_eval", "derive_closure", "unify", "score_tables", "cross_domain_frequencies", "stage_funnel", "generate_candidates", "build_rule_seeds", "session_facts"]
 

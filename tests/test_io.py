@@ -60,7 +60,9 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
     d = spark.createDataFrame(rows, "session_id long, fact_key string, value string, seq long")
     d.write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    q = (session_facts_expiring(src, 3_600_000).writeStream.outputMode("update").format("memory").queryName("facts_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    q = (session_facts_expiring(src, 3_600_000).writeStream.outputMode("update").format("memory").queryName("facts_out").option("checkpointLocation", str(tmp_path / "c")).start())
+    # A query with a processing-time timeout does not end by itself.
+    q.awaitTermination(20)
+    q.stop()
     key = lambda df: sorted((r.session_id, r.fact_key, r.value) for r in df.collect())
     assert key(spark.table("facts_out")) == key(session_facts(d)) == [(1, "k", "b"), (2, "k", "true")]
