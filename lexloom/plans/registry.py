@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.common import plan_bytes
 from lexloom.plans.inputs import DERIVED, TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,9 +16,11 @@ ORACLES: dict[str, str] = {}
 def _spread(df: DataFrame) -> DataFrame:
     """Spread a table over the cores when its files give fewer splits than there are cores.
 
-    One small file with one row group is one task, whatever comes after it. Tables that already have enough splits
-    (any large one) are left alone, so no shuffle is added there. Filters and column pruning pass below it.
+    One small file with one row group is one task, whatever comes after it. Only tables of at most 1 GiB are spread,
+    so no shuffle is added to a large one. Filters and column pruning pass below it.
     """
+    if plan_bytes(df) > 1 << 30:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
