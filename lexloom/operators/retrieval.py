@@ -189,8 +189,9 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
         pairs = pairs.unionByName(more, allowMissingColumns=True)
     pairs = pairs.groupBy("query_id", "item_id").agg(
         F.max("bm25").alias("bm25"), F.max("variant").alias("variant"), (0.12 * F.sum("times")).alias("token_overlap"))
-    side = chunks.select("item_id", "text", F.col("rule_id").alias("c_rule"), F.col("article").alias("c_article"),
-                         F.col("clause").alias("c_clause"))
+    # The text is folded once per passage, before it meets its queries.
+    side = chunks.select("item_id", "text", fold_text("text").alias("c_folded"), F.col("rule_id").alias("c_rule"),
+                         F.col("article").alias("c_article"), F.col("clause").alias("c_clause"))
     full = pairs.join(side, "item_id").join(
         broadcast_if_small(q.select("query_id", "__c", "rule_id", "article", "clause", "source_ref")), "query_id")
 
@@ -203,7 +204,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
         "source_ref_substring": F.when(long_ref & head(40), 3.5).when(long_ref & head(24), 2.5),
         "article_align": F.when(F.col("article") == F.col("c_article"), 2.5),
         "clause_align": F.when(F.col("clause") == F.col("c_clause"), 1.8),
-        "conclusion_overlap": F.when((F.col("__c") != "") & F.contains(fold_text("text"), F.col("__c")), 2.2),
+        "conclusion_overlap": F.when((F.col("__c") != "") & F.contains(F.col("c_folded"), F.col("__c")), 2.2),
         "question_token_overlap": F.col("token_overlap"),
     }
     boosts = {n: F.coalesce(b, F.lit(0.0)) for n, b in boosts.items()}
