@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.util import arrow_schema
+from lexloom.llm.words import hash_words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -34,24 +35,12 @@ _FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
-_CODE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_LONG = 64
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, word starts, word ends and a 64-bit hash per word (never 0)."""
     b = _FOLD[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff((b != 0).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    start, end = edge[0::2], edge[1::2]
-    size, h = end - start, np.zeros(len(start), np.uint64)
-    live = np.flatnonzero(size <= _LONG)
-    for j in range(int(size[live].max(initial=0))):
-        live = live[size[live] > j]
-        h[live] = h[live] * _BASE + _CODE[b[start[live] + j]]
-    for i in np.flatnonzero(size > _LONG):
-        h[i] = int.from_bytes(hashlib.blake2b(b[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
-    return b, start, end, np.maximum(h, np.uint64(1))
+    return (b, *hash_words(b, b != 0))
 
 
 def suffix_array(words: np.ndarray) -> np.ndarray:
