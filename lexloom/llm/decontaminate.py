@@ -182,6 +182,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 SPANS = "spans array<struct<a:long,b:long>>"
 
 
+def _shards(column: pa.Array, shard_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts (null: empty) that fill a shard, with the row where each begins."""
+    a, size, own = 0, 0, []
+    for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
+        if own and size + len(t or b"") > shard_bytes:
+            yield a, own
+            a, size, own = i, 0, []
+        own.append(t or b"")
+        size += len(t or b"")
+    if own:
+        yield a, own
+
+
 def _search(docs: DataFrame, bench: Broadcast, shard_bytes: int, share: int | None) -> DataFrame:
     """One pass over the documents for one block; earlier blocks' spans and items are carried along. `share`: make the result."""
     carried = "spans" in docs.columns
@@ -190,21 +203,14 @@ def _search(docs: DataFrame, bench: Broadcast, shard_bytes: int, share: int | No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column(1).cast(pa.binary()).to_pylist()
-            at = 0
-            while at < b.num_rows:
-                n, room = 1, shard_bytes - len(size[at] or b"")
-                while at + n < b.num_rows and room >= len(size[at + n] or b""):
-                    room -= len(size[at + n] or b"")
-                    n += 1
-                part = b.slice(at, n)
-                rows = list(judge(part.column(0).to_pylist(), size[at:at + n], *(part.column(i).to_pylist() for i in range(2, part.num_columns))))
+            for a, texts in _shards(b.column(1), shard_bytes):
+                part = b.slice(a, len(texts))
+                rows = list(judge(part.column(0).to_pylist(), texts, *(part.column(i).to_pylist() for i in range(2, part.num_columns))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                at += n
 
     def judge(ids: list, texts: list, spans: list | None = None, items: list | None = None) -> Iterator[tuple]:
         q = bench.value
-        shard = Shard([t or b"" for t in texts])
+        shard = Shard(texts)
         at, which = shard.find(q)
         docs_hit = shard.doc[at]
         by = np.argsort(docs_hit, kind="stable")
@@ -225,9 +231,34 @@ def _search(docs: DataFrame, bench: Broadcast, shard_bytes: int, share: int | No
                     runs.append([int(a), int(b)])
             out = [{"a": a, "b": b} for a, b in runs]
             if share is None:
-                yield doc, texts[i] and texts[i].decode(), out, sorted(named)
+                yield doc, texts[i].decode(), out, sorted(named)
                 continue
             n, hit = int(shard.n_words[i]), sum(b - a for a, b in runs)
             yield doc, n, hit, len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), hit > 0 and share * hit >= n, max((b - a for a, b in runs), default=0), out
 
     return docs.mapInArrow(run, ddl)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+               window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of documents that are not contaminated, with all their columns."""
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, more = next(blocks, []), next(blocks, None)
+    if more is not None:  # a document's hits add up over blocks: judged by id, so rows that share an id go together
+        gone = decontaminate(docs, benchmark, id_col, text_col, item_col, item_text_col, window, share, shard_bytes, block_bytes)
+        gone = gone.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    bench, at = docs.sparkSession.sparkContext.broadcast(Benchmark(first, window)), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, texts in _shards(b.column(at), shard_bytes):
+                shard = Shard(texts)
+                word, which = shard.find(bench.value)
+                edge = np.zeros(len(shard.start) + 1, np.int64)
+                np.add.at(edge, word, 1)
+                np.add.at(edge, word + bench.value.width[which], -1)
+                hit = np.bincount(shard.doc, np.cumsum(edge)[:-1] > 0, len(texts))
+                yield b.slice(a, len(texts)).filter(pa.array((hit == 0) | (share * hit < shard.n_words)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lexloom.llm.decontaminate import Shard, decontaminate, suffix_array
+from lexloom.llm.decontaminate import Shard, decontaminate, keep_clean, suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -42,7 +42,10 @@ def test_against_brute_force(spark, docs_of):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for window, block in ((5, 1 << 20), (13, 40)):
         got = decontaminate(docs_of(docs), bench, window=window, block_bytes=block, shard_bytes=400)
-        assert sorted([tuple(r)[:6] for r in got.collect()], key=str) == brute(docs, items, window)
+        want = brute(docs, items, window)
+        assert sorted([tuple(r)[:6] for r in got.collect()], key=str) == want
+        kept = keep_clean(docs_of(docs), bench, window=window, block_bytes=block, shard_bytes=400)
+        assert kept.columns[:2] == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == {r[0] for r in want} - {r[0] for r in want if r[5]}
 
 
 def test_empty_tables(spark, docs_of):
