@@ -29,7 +29,6 @@ from functools import lru_cache
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,21 +212,43 @@ def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFr
     sent = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "n", "sketch", "component")
 
-    def meet(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id").drop_duplicates("id")
-        same = own.i.iloc[0] == own.j.iloc[0]
-        left, right = (own, own) if same else (own[own.left], own[~own.left])
-        bits = [np.frombuffer(b"".join(s.sketch), np.uint64).reshape(len(s), -1) if len(s) else np.zeros((0, SKETCH_BITS // 64), np.uint64) for s in (left, right)]
-        a, b, ca, cb, ia, ib = left.n.to_numpy(), right.n.to_numpy(), left.component.to_numpy(), right.component.to_numpy(), left.id.to_numpy(), right.id.to_numpy()
-        out = []
-        for r in range(len(left)):
-            able = np.flatnonzero((cb != ca[r]) & (np.bitwise_count(bits[0][r] ^ bits[1]).sum(1) <= limit.difference(a[r], b)))
-            if same:
-                able = able[ib[able] > ia[r]]
-            out.append(pd.DataFrame({"a": np.minimum(ia[r], ib[able]), "b": np.maximum(ia[r], ib[able])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    return sent.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    ddl = "a long, b long"
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            key, i, j = (now.column(c).to_numpy() for c in ("key", "i", "j"))
+            same = (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on in the next batch
+            yield from pairs(now.slice(0, cut))
+            rest = now.slice(cut)
+        if rest is not None:
+            yield from pairs(rest)
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Rows of a group stand together: row r meets row r + d for d = 1, 2, ... as long as any group reaches so far."""
+        if not t.num_rows:
+            return
+        key, i, j, left, ids, n, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "n", "component"))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        run = np.cumsum(edge) - 1
+        ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]
+        row, d = np.arange(t.num_rows), 1
+        while len(row := row[row + d < ends[row]]):
+            x, y = row, row + d
+            able = (group[x] != group[y]) & ((i[x] == j[x]) | (left[x] != left[y]))
+            x, y = x[able], y[able]
+            able = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= limit.difference(n[x], n[y])
+            x, y = ids[x[able]], ids[y[able]]
+            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            d += 1
+
+    keys = ["key", "i", "j"]
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, ddl).where("a <> b").distinct()
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, limit: Threshold) -> int:
