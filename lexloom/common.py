@@ -64,6 +64,16 @@ def has_phrase(c: Column | str, phrases: Sequence[str]) -> Column:
     return as_col(c).rlike(phrase_regex(phrases))
 
 
+def head_of(c: Column | str, n: int | None) -> Column:
+    """The first n characters; all of them without n."""
+    return as_col(c) if n is None else F.substring(as_col(c), 1, n)
+
+
+def shortened(c: Column, n: int | None) -> Column:
+    """At most n characters, the last an ellipsis where text was left out; the whole text without n."""
+    return c if n is None else F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, n - 1)), F.lit("…")))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
           rank: str | None = None) -> DataFrame:
     """Best k rows per key.
@@ -87,40 +97,25 @@ def share(num: Column, den: Column, digits: int = 4) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(F.round(num / den, digits))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`, which all executors share; a folder of our own only in one process without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder under the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
+    """New folder under the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a Parquet table into the shared checkpoint folder and read it back.
-
-    Survives lost executors like a checkpoint does, and the table has a known size, so later joins
-    can choose a broadcast from it.
-    """
+    """Write a Parquet table into the shared folder and read it back; survives lost executors like a checkpoint."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(named)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Size estimate of a plan, as the optimiser sees it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Broadcast hint only when the size estimate is under `limit`; else left to AQE."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df

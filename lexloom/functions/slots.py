@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.common import as_col, case_when, first_nonblank, has_phrase, lookup, none_if_blank, tags
+from lexloom.common import as_col, case_when, first_nonblank, has_phrase, head_of, lookup, none_if_blank, tags
 from lexloom.functions import patterns as P
 from lexloom.functions.text import squeeze
 
@@ -39,13 +39,13 @@ _CODE_DECREE = r"(?iu)(?<![\p{L}\p{N}_])(\d{1,4})\s*/\s*(\d{4})\s*/\s*N[ĐD]-CP(
 _BODIES = {"văn phòng quốc hội": "Văn phòng Quốc hội", "chính phủ": "Chính phủ"}
 
 
-def doc_metadata(c: Column | str, head_chars: int = 3000) -> Column:
+def doc_metadata(c: Column | str, head_chars: int | None = None) -> Column:
     """struct(doc_code, first_date, effective_date, issuing_body).
 
-    The reference looks for code and body in the head of a document only.
+    Code and body are looked for in the whole text, or in its first `head_chars` characters.
     """
     text = as_col(c)
-    head = F.substring(text, 1, head_chars)
+    head = head_of(text, head_chars)
     code = F.coalesce(
         F.concat(_group(head, _CODE_CONSOLIDATED, 1), F.lit("/VBHN-VPQH")),
         F.concat(_group(head, _CODE_DECREE, 1), F.lit("/"), _group(head, _CODE_DECREE, 2), F.lit("/NĐ-CP")),

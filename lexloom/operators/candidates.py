@@ -7,19 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, first_nonblank, first_row, has_phrase, is_blank, none_if_blank, phrase_regex, tags, text_or_empty
+from lexloom.common import as_col, case_when, first_nonblank, first_row, has_phrase, is_blank, none_if_blank, phrase_regex, tags, text_or_empty
 from lexloom.functions import patterns as P
 from lexloom.functions.text import squeeze, stable_hash
-from lexloom.operators.segment import definition_like
 
-# Cue phrases and limits of candidate generation.
-EXCEPTION = [r"trừ\s+trường\s+hợp", r"ngoại\s+trừ", r"trừ\s+khi", r"nếu\s+không"]
-THRESHOLD = [r"không\s+quá", r"ít\s+nhất", r"tối\s+thiểu", r"tối\s+đa", r"trở\s+lên"]
-EFFECT = [r"hết\s+hiệu\s+lực", r"chấm\s+dứt", r"bị\s+thu\s+hồi", r"thu\s+hồi", r"được\s+cấp"]
-PROCEDURE = [r"trình\s+tự", r"thủ\s+tục", r"đăng\s+ký"]
-TRIGGERS = [*P.OBLIGATION, *P.PROHIBITION, *P.PERMISSION, *P.DEADLINE, *P.DOCUMENT, *P.AUTHORITY, *P.CONDITION, *EXCEPTION, *THRESHOLD, *EFFECT, *PROCEDURE]
-POINT_ITEM = r"(?iu)(?:(?<=\s)|^)[a-zđ]\)\s+"
-MAX_CHARS, MAX_MATCHES, MAX_PER_UNIT, PRE_CHARS, MIN_CHARS = 360, 18, 12, 40, 20
+# Cue phrases of candidate generation.
+EXCEPTION = [r"trừ\s+trường\s+hợp", r"ngoại\s+trừ", r"trừ\s+khi", r"nếu\s+không", r"trừ", r"không\s+áp\s+dụng\s+cho", r"ngoại\s+lệ"]
+THRESHOLD = [r"không\s+quá", r"ít\s+nhất", r"trở\s+lên", r"từ\s+\d{1,4}", r"\d{1,3}\s*%", r"tỷ\s+lệ", r"phần\s+trăm", r"từ\s+[^.;]{0,10}\s+đến\s+[^.;]{0,10}"]
+EFFECT = [r"được\s+cấp", r"bị\s+thu\s+hồi", r"thu\s+hồi\s+Giấy", r"được\s+công\s+bố", r"có\s+hiệu\s+lực", r"hết\s+hiệu\s+lực", r"bị\s+tạm\s+ng(?:ừ|ư)ng", r"khôi\s+phục", r"chấp\s+thuận", r"bị\s+giải\s+thể"]
+PROCEDURE = [r"đăng\s*ký", r"thông\s*báo", r"gửi\s+đến", r"gửi", r"nộp", r"công\s*bố", r"lưu\s+giữ", r"trình\s+tự", r"thủ\s+tục"]
+# Each trigger is looked for by itself, so matches may overlap; the four lists below count as one trigger each.
+TRIGGERS = [*[[x] for x in (*P.OBLIGATION, *P.PROHIBITION, *P.PERMISSION, *P.DEADLINE, *P.DOCUMENT, *P.AUTHORITY, *P.CONDITION)], EXCEPTION, THRESHOLD, EFFECT, PROCEDURE]
+POINT_ITEM = r"(?imu)^\s*[a-zđ]\)\s+"
+STOP = r"(?s)(?:[.;]\s|\n{2}).*$"
+PRE_CHARS, COMMA_CHARS, NESTED_CHARS = 120, 180, 20
 
 
 def _positions(t: Column, rx: str) -> Column:
@@ -30,39 +31,59 @@ def _positions(t: Column, rx: str) -> Column:
     return F.transform(hit_len, lambda _, i: total(gap_len, i + 1) + total(hit_len, i))
 
 
-def generate_candidates(units: DataFrame, triggers: Sequence[str] = TRIGGERS, exceptions: Sequence[str] = EXCEPTION, pre_chars: int = PRE_CHARS,
-                        max_chars: int = MAX_CHARS, max_matches: int = MAX_MATCHES, per_unit: int = MAX_PER_UNIT) -> DataFrame:
-    """(unit_id, idx, cand_text, how) candidates of each unit, row by row and without Python.
+def generate_candidates(units: DataFrame, triggers: Sequence[Sequence[str]] = TRIGGERS, exceptions: Sequence[str] = EXCEPTION, effects: Sequence[str] = EFFECT,
+                        pre_chars: int = PRE_CHARS, max_chars: int | None = None, max_matches: int | None = None, per_unit: int | None = None) -> DataFrame:
+    """(unit_id, idx, cand_text, how) candidates of each unit, inside the row: no shuffle, no Python.
 
-    Two or more `a)` items split the unit; else two or more exception phrases give one slice each; else windows start
-    before a trigger and end at the next trigger, at `max_chars`, or at the first sentence end. The caps are the
-    reference's own definition of a candidate set.
+    Two or more `a)` items split the unit, each item as it is; else two or more exception phrases give one slice each;
+    else there is a window per trigger match, from `pre_chars` before it (at a word's start) to the next match or the
+    first sentence end, then a slice per exception and per effect phrase. Equal texts count once, and a text inside
+    another that is longer by more than `NESTED_CHARS` goes. The three maxima cut only where they are given.
     """
     t = F.regexp_replace(text_or_empty("text"), "\r\n?", "\n")
-    u = units.select("unit_id", t.alias("t"))
-    u = u.select("unit_id", "t", _positions(F.col("t"), POINT_ITEM).alias("pts"), F.slice(_positions(F.col("t"), phrase_regex(triggers)), 1, max_matches).alias("trg"),
-                 F.regexp_extract_all("t", F.lit(r"(?iu)(?:" + "|".join(exceptions) + r")[^.;]{0,200}"), 0).alias("exc"))
-    full = F.length("t")
-    after = lambda arr, i: F.coalesce(F.try_element_at(F.col(arr), i + 2), full)
-    item = lambda p, i: F.struct(F.trim(F.substring("t", p + 1, after("pts", i) - p)).alias("c"), F.lit("split=points").alias("how"))
+    cut = lambda arr, n: arr if n is None else F.slice(arr, 1, n)
+    u = units.select("unit_id", t.alias("t"), squeeze(t).alias("flat"))
+    u = u.select("*", F.length("t").alias("full"), _positions(F.col("t"), POINT_ITEM).alias("pts"),
+                 cut(F.array_sort(F.concat(*[_positions(F.col("t"), phrase_regex(x)) for x in triggers])), max_matches).alias("trg"),
+                 _positions(F.col("flat"), phrase_regex(exceptions)).alias("exc"), _positions(F.col("flat"), phrase_regex(effects)).alias("eff"))
+    row = lambda text, how: F.struct(text.alias("c"), F.lit(how).alias("how"))
+    after = lambda arr, i: F.coalesce(F.get(F.col(arr), i + 1), F.col("full"))
 
     def window(p: Column, i: Column) -> Column:
         start = F.greatest(F.lit(0), p - pre_chars)
-        head = F.substring("t", F.lit(1), start)
-        # A window never starts inside a word: the rest of a cut word is skipped.
-        cut = F.when((start > 0) & head.rlike(r"[\p{L}\p{N}]$"), F.length(F.regexp_extract(F.substring("t", start + 1, full), r"^[\p{L}\p{N}]*", 0))).otherwise(0)
-        begin = start + cut
-        raw = F.substring("t", begin + 1, F.least(after("trg", i), begin + max_chars) - begin)
-        stop = F.regexp_replace(F.trim(raw), r"(?s)[.;](?:\s.*|$)", "")
-        return F.struct(squeeze(stop).alias("c"), F.lit("split=trigger_window").alias("how"))
-
-    exc = F.transform("exc", lambda e: F.struct(squeeze(e).alias("c"), F.lit("split=exception").alias("how")))
-    rows = (F.when(F.size("pts") >= 2, F.transform("pts", item)).when(F.size("exc") >= 2, exc).otherwise(F.concat(F.transform("trg", window), exc)))
-    e = u.select("unit_id", F.posexplode(F.filter(rows, lambda r: r["c"] != "")).alias("i", "r")).select("unit_id", "i", F.col("r.c").alias("cand_text"), F.col("r.how").alias("how"))
-    e = e.withColumn("__k", stable_hash(F.substring("cand_text", 1, 140), 10))
-    e = first_row(e, ["unit_id", "__k"], [F.asc("i")]).drop("__k")
-    g = e.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("i", "cand_text", "how"))).alias("c"))
-    return g.select("unit_id", F.posexplode(F.slice("c", 1, per_unit)).alias("idx", "c")).select("unit_id", "idx", "c.cand_text", "c.how")
+        inside = (start > 0) & F.substring("t", start, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+        rest = F.substring("t", start + 1, F.col("full"))
+        skip = lambda rx: F.length(F.regexp_extract(rest, rx, 0))
+        begin = start + F.when(inside, skip(r"^[\p{L}\p{N}]*[ \t]*")).when(start > 0, skip(r"^[ \t]*")).otherwise(0)
+        end = after("trg", i) if max_chars is None else F.least(after("trg", i), begin + max_chars)
+        return row(squeeze(F.regexp_replace(F.trim(F.substring("t", begin + 1, end - begin)), STOP, "")), "split=trigger_window")
+
+    def focused(how: str):
+        def one(p: Column) -> Column:
+            text = F.regexp_replace(F.substring("flat", p + 1, F.col("full") if max_chars is None else F.lit(max_chars)), STOP, "")
+            return row(squeeze(F.when(F.length(text) > COMMA_CHARS, F.substring_index(text, ",", 1)).otherwise(text)), how)
+        return one
+
+    items = F.transform("pts", lambda p, i: row(F.regexp_replace(F.substring("t", p + 1, after("pts", i) - p), r"^\s+|\s+$", ""), "split=points"))
+    exc, eff = F.transform("exc", focused("split=focused_exception")), F.transform("eff", focused("split=focused_legal_effect"))
+    filled = lambda arr: F.filter(arr, lambda r: r["c"] != "")
+    every = filled(F.concat(F.transform("trg", window), exc, eff))
+    texts = F.array_distinct(F.transform(every, lambda r: r["c"]))
+    first = F.transform(texts, lambda x: F.get(F.filter(every, lambda r: r["c"] == x), F.lit(0)))
+    within = lambda x, y: F.contains(F.lower(y["c"]), F.lower(x["c"])) & (F.length(x["c"]) + NESTED_CHARS < F.length(y["c"]))
+    alone = F.filter(first, lambda x: ~F.exists(first, lambda y: within(x, y)))
+    rows = F.when(F.size("pts") >= 2, filled(items)).when(F.size("exc") >= 2, filled(exc)).otherwise(alone)
+    return u.select("unit_id", F.posexplode(cut(rows, per_unit)).alias("idx", "r")).select("unit_id", "idx", F.col("r.c").alias("cand_text"), F.col("r.how").alias("how"))
+
+
+# A candidate that defines; its head, then phrases. Not the list for whole units.
+DEFINITION_HEAD = r"(?iu)^\s*\p{L}[^.;]{0,120}\s+là\s+"
+DEFINITION_LIKE = [r"được\s+hiểu\s+là", r"là\s+dãy\s+số", r"là\s+đơn\s+vị\s+phụ\s+thuộc", r"là\s+tình\s+trạng", r"là\s+việc", r"là\s+tổ\s+chức", r"là\s+cá\s+nhân", r"là\s+người",
+                   r"là\s+quyền", r"là\s+doanh\s+nghiệp"]
+
+
+def definition_like(text: Column | str) -> Column:
+    return as_col(text).rlike(DEFINITION_HEAD) | has_phrase(text, DEFINITION_LIKE)
 
 
 def rule_type(text: Column | str) -> Column:
@@ -81,10 +102,11 @@ SUBJECTS = [r"doanh\s+nghiệp", r"công\s+ty", r"cơ\s+quan(?:\s+\p{L}+)?", r"n
 ACTIONS = [r"phải", r"được", r"không\s+được", r"có\s+quyền", r"có\s+trách\s+nhiệm", r"có\s+thể", r"nộp", r"nghiêm\s+cấm"]  # fixed values
 
 
-def filter_candidates(candidates: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Candidates inside the length bounds, with a type, a subject or action, and a confidence."""
+def filter_candidates(candidates: DataFrame, min_chars: int = 0, max_chars: int | None = None) -> DataFrame:
+    """Candidates with a type, a subject or action, and a confidence."""
     t = squeeze("cand_text")
-    c = candidates.withColumn("cand_text", t).filter(F.length("cand_text").between(min_chars, max_chars))
+    c = candidates.withColumn("cand_text", t).filter(F.length("cand_text") >= min_chars)
+    c = c if max_chars is None else c.filter(F.length("cand_text") <= max_chars)
     subj = F.nullif(F.regexp_extract("cand_text", "(?iu)(" + "|".join(SUBJECTS) + ")", 1), F.lit(""))
     act = F.nullif(F.regexp_extract("cand_text", "(?iu)((?:" + "|".join(ACTIONS) + r")[^.;,]{0,80})", 1), F.lit(""))
     mod = case_when([(has_phrase("cand_text", ph), n) for n, ph in P.MODALITY.items()])
@@ -105,10 +127,10 @@ def quality_score(text: str = "cand_text") -> Column:
             + w(F.length("action_span") >= 12, 0.8) - w(definition_like(text), 2.0) - w(F.length(text) > 220, 0.6))
 
 
-def dedupe_overlaps(candidates: DataFrame, per_unit: int = MAX_PER_UNIT) -> DataFrame:
+def dedupe_overlaps(candidates: DataFrame, per_unit: int | None = None) -> DataFrame:
     """Per unit, best quality first, drop a candidate that contains or is contained in a kept one; text order again.
 
-    A unit has at most a dozen candidates, so the fold runs on a short array.
+    The candidates of one unit are gathered, never those of several.
     """
     row = F.struct((-F.col("quality")).alias("o"), F.col("idx").alias("idx"), F.col("cand_text").alias("cand_text"))
     g = candidates.groupBy("unit_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
@@ -116,7 +138,8 @@ def dedupe_overlaps(candidates: DataFrame, per_unit: int = MAX_PER_UNIT) -> Data
     t = "array<struct<o:double,idx:int,cand_text:string>>"
     clash = lambda kept, x: F.exists(kept, lambda k: F.contains(low(k["cand_text"]), low(x["cand_text"])) | F.contains(low(x["cand_text"]), low(k["cand_text"])))
     kept = F.aggregate("c", F.array().cast(t), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
-    back = F.slice(F.array_sort(kept, lambda a, b: a["idx"] - b["idx"]), 1, per_unit)
+    back = F.array_sort(kept, lambda a, b: a["idx"] - b["idx"])
+    back = back if per_unit is None else F.slice(back, 1, per_unit)
     return g.select("unit_id", F.explode(back).alias("k")).select("unit_id", "k.idx", "k.cand_text", (-F.col("k.o")).alias("quality"))
 
 
@@ -143,15 +166,14 @@ def fill_slots(candidates: DataFrame, spans: Mapping[str, Sequence[str]] = SPANS
     return c.withColumn("slot_score", n).withColumn("decision", F.when(F.col("slot_score") >= 2, "extract").when(F.col("slot_score") == 1, "review").otherwise("skip"))
 
 
-def expand_candidates(candidates: DataFrame, limit: int = 6) -> DataFrame:
-    """Each candidate plus up to six derived rows (exception, threshold, effect, document, deadline, condition), once per unit, type and text head."""
+def expand_candidates(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Each candidate plus its derived rows (exception, threshold, effect, document, deadline, condition; the first `limit` if given), once per unit, type and text."""
     want = [("exception_span", "condition", 14, "derived_ngoai_le"), ("threshold_span", "threshold", 10, "derived_nguong"), ("effect_span", "legal_effect", 12, "derived_ket_qua"),
             ("document_span", "document_requirement", 14, "derived_ho_so"), ("deadline_span", "deadline", 12, "derived_thoi_han"), ("condition_span", "condition", 10, "derived_dieu_kien")]
     own = F.struct(F.col("cand_text").alias("cand_text"), F.col("candidate_type").alias("candidate_type"), F.lit("").alias("note"))
     derived = F.array_compact(F.array(*[F.when(F.length(c) >= n, F.struct(F.col(c).alias("cand_text"), F.lit(k).alias("candidate_type"), F.lit(note).alias("note"))) for c, k, n, note in want]))
-    e = candidates.select("unit_id", "idx", F.posexplode(F.concat(F.array(own), F.slice(derived, 1, limit))).alias("sub", "r")).select("unit_id", "idx", "sub", "r.*")
-    e = e.withColumn("__k", stable_hash(F.concat_ws("|", "unit_id", "candidate_type", F.substring("cand_text", 1, 120)), 14))
-    return first_row(e, ["unit_id", "__k"], [F.asc("idx"), F.asc("sub")]).drop("__k")
+    e = candidates.select("unit_id", "idx", F.posexplode(F.concat(F.array(own), derived if limit is None else F.slice(derived, 1, limit))).alias("sub", "r")).select("unit_id", "idx", "sub", "r.*")
+    return first_row(e, ["unit_id", "candidate_type", "cand_text"], [F.asc("idx"), F.asc("sub")])
 
 
 def mark_units(units: DataFrame, candidates: DataFrame) -> DataFrame:

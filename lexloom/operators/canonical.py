@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import as_col, case_when, first_nonblank, first_row, is_blank, lookup, none_if_blank, tags, text_or_empty, top_k
+from lexloom.common import as_col, case_when, first_nonblank, first_row, head_of, is_blank, lookup, none_if_blank, tags, text_or_empty, top_k
 from lexloom.functions import patterns as P
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import slug, stable_hash
@@ -91,21 +91,20 @@ def content_fingerprint(cols: Sequence[str]) -> Column:
 
 
 def dedupe_by_content(rows: DataFrame, cols: Sequence[str], rich: Richness, id_col: str = "rule_id",
-                      notes_chars: int = 1800) -> DataFrame:
+                      notes_chars: int | None = None) -> DataFrame:
     """Keep the richest row per content; name the merged ids in its notes.
 
-    A group of copies may be huge. The kept row comes from a per-partition first-row
-    cut; the id list is limited to 1800 characters by definition, so only its first
-    900 ids (two characters each at least) are ever gathered per group.
+    The kept row comes from a per-partition first-row cut. All merged ids are named; where `notes_chars` is given, only
+    the ids that can stand in so many characters are gathered, so that a huge group of copies stays cheap.
     """
     w = rows.withColumn("__fp", content_fingerprint(cols)).withColumn("__score", richness(rich))
     kept = first_row(w, ["__fp"], [F.desc("__score"), F.asc(id_col)])
     ids = w.select("__fp", F.col(id_col).alias("__id"))
     losers = ids.join(kept.select(F.col("__fp").alias("__kfp"), F.col(id_col).alias("__kid")),
                       (F.col("__fp") == F.col("__kfp")) & (F.col("__id") == F.col("__kid")), "left_anti")
-    few = top_k(losers, ["__fp"], [F.asc("__id")], notes_chars // 2)
+    few = losers if notes_chars is None else top_k(losers, ["__fp"], [F.asc("__id")], notes_chars // 2)
     merged = few.groupBy("__fp").agg(F.array_sort(F.collect_list("__id")).alias("__ids"))
-    text = F.substring(F.array_join("__ids", "|"), 1, notes_chars)
+    text = head_of(F.array_join("__ids", "|"), notes_chars)
     out = kept.join(merged, "__fp", "left")
     parts = F.filter(F.transform(F.split(text_or_empty("notes"), ";"), lambda x: F.trim(x)), lambda x: x != "")
     extra = F.array(F.lit("dedup_theo_noi_dung"), F.lit("giu_ban_day_du_hon"), F.concat(F.lit("merged_rule_ids="), text))
@@ -181,17 +180,18 @@ def variant_roles(rules: DataFrame) -> DataFrame:
     form = F.coalesce(none_if_blank("logic_form"), F.lit("generic_rule"))
     source = F.coalesce(F.nullif(ref, F.lit("")), F.when(~is_blank("source_text"), F.substring(slug("source_text"), 1, 50)), F.col("rule_id"))
     tag = lambda p, c, n: F.concat(F.lit(p), stable_hash(c, n))
+    key = F.concat_ws("|", form, ref, term_text(F.col("head")), body(same))
     r = rules.select(
-        "*", tag("sig_", F.concat_ws("|", form, ref, term_text(F.col("head")), body(same)), 16).alias("signature"),
+        "*", key.alias("__key"), tag("sig_", F.concat_ws("|", form, ref, term_text(F.col("head")), body(same)), 16).alias("signature"),
         tag("fp_", F.concat_ws("|", form, ref, term_text(coarse(F.col("head"))), body(coarse)), 16).alias("fingerprint"),
         tag("cluster_", F.concat_ws("|", form, F.coalesce(none_if_blank("head.predicate"), F.lit("generic")), source), 12).alias("cluster_id"),
         F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in READINESS.items() for x in kv]), F.col("readiness")), F.lit(1)).alias("__ready"))
     # The full text of the signature decides groups; its hash names them.
-    best = r.groupBy("signature").agg(F.count("*").alias("n_variants"), F.min(F.struct(-F.col("__ready"), F.col("rule_id"))).alias("__best"))
-    r = r.join(best, "signature")
+    best = r.groupBy("__key").agg(F.count("*").alias("n_variants"), F.min(F.struct(-F.col("__ready"), F.col("rule_id"))).alias("__best"))
+    r = r.join(best, "__key")
     primary = F.col("rule_id") == F.col("__best.rule_id")
     role = F.when(F.col("n_variants") == 1, F.lit("unique_variant")).when(primary, F.lit("primary_variant")).otherwise(F.lit("redundant_variant"))
-    return r.withColumn("duplicate_role", role).withColumn("is_primary", role != "redundant_variant").drop("__ready", "__best")
+    return r.withColumn("duplicate_role", role).withColumn("is_primary", role != "redundant_variant").drop("__ready", "__best", "__key")
 
 
 # Words that make an obligation a dossier rule.

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, first_row, is_blank, none_if_blank, share, tags, text_or_empty, top_k
+from lexloom.common import case_when, first_row, head_of, is_blank, none_if_blank, share, tags, text_or_empty, top_k
 
 
 def _empty() -> Column:
@@ -203,11 +203,11 @@ def calibrated_scores(rows: DataFrame, caps: Mapping[str, float] | None = None)
     return out
 
 
-def crash_causes(rows: DataFrame) -> DataFrame:
-    """(cause, n) of crashed cases; long details are cut to 60 characters."""
+def crash_causes(rows: DataFrame, chars: int | None = None) -> DataFrame:
+    """(cause, n) of crashed cases; causes are told apart by their whole text, or by its first `chars` characters."""
     d = text_or_empty("error_detail")
     cause = (F.when(F.contains(d, F.lit("maximum recursion depth")), "maximum recursion depth exceeded").when(F.contains(d, F.lit("conclusion_line")), "conclusion_line unbound variable")
-             .when(d == "", "unknown").otherwise(F.substring(d, 1, 60)))
+             .when(d == "", "unknown").otherwise(head_of(d, chars)))
     return rows.filter("backend_error").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
@@ -301,7 +301,7 @@ def trace_presence(cases: DataFrame, canonical: DataFrame, runtime: DataFrame) -
     n = e.join(a, "rule_id", "left").join(b, "rule_id", "left").groupBy("case_id").agg(
         F.count("rule_id").alias("n_retrieved"), F.count("in_c").alias("in_canonical"), F.count("in_r").alias("in_runtime"))
     heads = runtime.groupBy(F.col("head_predicate").alias("goal")).agg(F.count("*").alias("n_goal_rules"))
-    g = cases.select("case_id", "goal").join(broadcast_if_small(heads), "goal", "left").select("case_id", F.coalesce("n_goal_rules", F.lit(0)).alias("n_goal_rules"))
+    g = cases.select("case_id", "goal").join(heads, "goal", "left").select("case_id", F.coalesce("n_goal_rules", F.lit(0)).alias("n_goal_rules"))
     return n.join(g, "case_id")
 
 

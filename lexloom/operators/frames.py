@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, first_nonblank, first_row, has_phrase, is_blank, none_if_blank, tags, text_or_empty
+from lexloom.common import case_when, first_nonblank, first_row, has_phrase, head_of, is_blank, none_if_blank, tags, text_or_empty
 from lexloom.functions.slots import deadline_slots, quantity_slots, threshold_fields, THRESHOLD_FIELDS
 from lexloom.functions.text import slug, squeeze, stable_hash
 
@@ -113,7 +113,7 @@ def enrich_frames(frames: DataFrame, units: DataFrame, short: int = 80, vague: S
 def apply_overrides(rows: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], note: str) -> DataFrame:
     """Curated patches by key: NULL leaves a value, blank clears it, anything else replaces it; the note is added once."""
     p = patches.select(key, *[F.col(c).alias("p_" + c) for c in columns], F.lit(True).alias("__hit"))
-    j = rows.join(broadcast_if_small(p), key, "left")
+    j = rows.join(p, key, "left")
     for c in columns:
         v = F.col("p_" + c)
         j = j.withColumn(c, F.when(v.isNull(), F.col(c)).when(F.trim(v) == "", F.lit(None)).otherwise(v))
@@ -126,7 +126,7 @@ PREDICATE_RULES = [("dang_ky", "dang_ky", "thu_tuc"), ("nop_ho_so", "nop_ho_so",
                    ("chuyen_nhuong", "chuyen_nhuong", "giao_dich"), ("phai", "nghia_vu", "nghia_vu"), ("khong_duoc", "cam", "cam"), ("duoc", "quyen", "quyen")]
 
 
-def _lexicon_rows(frames: DataFrame) -> DataFrame:
+def _lexicon_rows(frames: DataFrame, name_chars: int | None) -> DataFrame:
     parts = lambda c: F.filter(F.transform(F.split(text_or_empty(c), r"[;；]\s*"), lambda x: F.trim(x)), lambda x: x != "")
     row = lambda role: lambda x: F.struct(F.lit(role).alias("role"), x.alias("surface"))
     every = F.concat(F.transform(F.filter(F.array(F.trim(text_or_empty("action"))), lambda x: x != ""), row("action")), F.transform(parts("condition"), row("condition")), F.transform(parts("documents"), row("document")))
@@ -134,23 +134,24 @@ def _lexicon_rows(frames: DataFrame) -> DataFrame:
     s = F.col("__s")
     pred = case_when([(F.startswith(s, F.lit(p)), n) for p, n, _ in PREDICATE_RULES])
     group = case_when([(F.startswith(s, F.lit(p)), g) for p, _, g in PREDICATE_RULES], "khac")
-    return e.select("frame_id", "i", "role", "surface", F.coalesce(pred, F.substring(s, 1, 60)).alias("normalized"), group.alias("grp"), F.when(pred.isNull(), "can_ra_soat").otherwise("chuan_hoa").alias("status"))
+    return e.select("frame_id", "i", "role", "surface", F.coalesce(pred, head_of(s, name_chars)).alias("normalized"), group.alias("grp"), F.when(pred.isNull(), "can_ra_soat").otherwise("chuan_hoa").alias("status"))
 
 
-def build_lexicon(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_lexicon(frames: DataFrame, name_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, surface map): first surface per (predicate, group, role); last predicate per surface."""
-    r = _lexicon_rows(frames)
+    r = _lexicon_rows(frames, name_chars)
     entries = first_row(r, ["normalized", "grp", "role"], [F.asc("frame_id"), F.asc("i")]).select("normalized", "grp", "role", "surface", "status")
     surfaces = first_row(r, ["surface"], [F.desc("frame_id"), F.desc("i")]).select("surface", "normalized")
     return entries, surfaces
 
 
-def build_rule_seeds(frames: DataFrame, surfaces: DataFrame, max_docs: int = 15, max_exceptions: int = 10, max_conditions: int = 12) -> DataFrame:
+def build_rule_seeds(frames: DataFrame, surfaces: DataFrame, max_docs: int | None = None, max_exceptions: int | None = None, max_conditions: int | None = None) -> DataFrame:
     """Seeds of each frame: main, deadline, documents, exceptions, threshold, condition parts, outcome.
 
-    The caps per frame are the reference's. Ids come from the content, not from a counter.
+    Parts of a frame are cut only where a maximum is given. Ids come from the content, not from a counter.
     """
-    parts = lambda c, rx, n: F.slice(F.filter(F.transform(F.split(text_or_empty(c), rx), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
+    every_part = lambda c, rx: F.filter(F.transform(F.split(text_or_empty(c), rx), lambda x: F.trim(x)), lambda x: x != "")
+    parts = lambda c, rx, n: every_part(c, rx) if n is None else F.slice(every_part(c, rx), 1, n)
     row = lambda kind, item: F.struct(F.lit(kind).alias("rule_type"), item.alias("item"))
     main = {"obligation_rule": "quy_tac_nghia_vu", "prohibition_rule": "quy_tac_cam_doan", "permission_rule": "quy_tac_quyen", "deadline_rule": "quy_tac_thoi_han", "document_rule": "quy_tac_ho_so",
             "authority_rule": "quy_tac_hanh_dong_co_quan", "threshold_rule": "quy_tac_nguong_dinh_luong", "effect_rule": "quy_tac_ket_qua_phap_ly", "exception_rule": "quy_tac_ngoai_le", "procedure_rule": "quy_tac_thu_tuc"}
@@ -162,7 +163,7 @@ def build_rule_seeds(frames: DataFrame, surfaces: DataFrame, max_docs: int = 15,
                      opt(~is_blank("count_limit") | ~is_blank("ratio_limit"), "quy_tac_nguong_dinh_luong", first_nonblank("ratio_limit", "count_limit")),
                      F.transform(parts("condition", r"(?iu)[;；]\s*|\s+hoặc\s+", max_conditions), lambda x: row("quy_tac_dieu_kien", x)), opt(~is_blank("effect"), "quy_tac_ket_qua_phap_ly", F.col("effect")))
     s = frames.select("frame_id", "unit_id", "subject", "action", "source_text", F.posexplode(every).alias("seq", "r")).select("*", "r.rule_type", "r.item").drop("r")
-    s = s.withColumn("rule_id", F.concat(F.lit("R_"), stable_hash(F.concat_ws("|", "frame_id", "rule_type", "seq", "item"), 16))).withColumn("group_id", F.concat(F.lit("G_"), stable_hash("frame_id", 12)))
+    s = s.withColumn("rule_id", F.concat(F.lit("R_"), stable_hash(F.concat_ws("|", "frame_id", "rule_type", "seq", "item"), 64))).withColumn("group_id", F.concat(F.lit("G_"), stable_hash("frame_id", 64)))
     lex = surfaces.select(F.col("surface").alias("__s"), F.col("normalized").alias("canonical_predicate"))
     return s.withColumn("__s", F.trim(text_or_empty("action"))).join(lex, "__s", "left").drop("__s")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, cut_lineage, first_row, has_phrase, is_blank, lookup, tags, text_or_empty, top_k
+from lexloom.common import case_when, cut_lineage, first_row, has_phrase, is_blank, lookup, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 
 
@@ -114,7 +114,7 @@ class BridgeFact(NamedTuple):
 
 
 def emit_bridge_facts(cases: DataFrame, entities: DataFrame, rules: Sequence[BridgeFact], declared: Mapping[str, Sequence[str]] | None = None,
-                      max_entities: int = 3) -> DataFrame:
+                      max_entities: int | None = None) -> DataFrame:
     """(case_id, fact_key, bridge_id) emitted by triggered bridges; the first emitter of a key wins.
 
     cases(case_id, text, bridges), entities(case_id, entity, pos). An empty bridge list lets every rule try.
@@ -125,7 +125,8 @@ def emit_bridge_facts(cases: DataFrame, entities: DataFrame, rules: Sequence[Bri
     row = lambda i, r: F.struct(F.lit(i).alias("no"), F.lit(r.bridge_id).alias("bridge_id"), F.lit(r.template).alias("template"), F.lit(r.fallback).alias("fallback"))
     hit = F.array_compact(F.array(*[F.when((free | F.array_contains("bridges", r.bridge_id)) & any_of(r.when_contains), row(i, r)) for i, r in enumerate(rules)]))
     fired = cases.select("case_id", F.explode(hit).alias("r")).select("case_id", "r.*")
-    few = top_k(entities, ["case_id"], [F.asc("pos")], max_entities, rank="n")
+    few = entities.withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy("pos")))
+    few = few if max_entities is None else few.where(F.col("n") <= max_entities)
     inst = (fired.filter("template LIKE '%{entity}%'").join(few.select("case_id", "entity", "n"), "case_id")
             .select("case_id", F.replace("template", F.lit("{entity}"), F.col("entity")).alias("fact_key"), "bridge_id", "no", "n"))
     inst = first_row(inst, ["case_id", "fact_key"], [F.asc("no"), F.asc("n")])
@@ -145,7 +146,7 @@ def primary_filter(candidates: DataFrame, context: DataFrame) -> tuple[DataFrame
 
     candidates(case_id, rule_id, domain, layer, scope, score); context(case_id, primary_domains, include_shared, ...).
     """
-    c = candidates.join(broadcast_if_small(context.select("case_id", "primary_domains", "include_shared")), "case_id")
+    c = candidates.join(context.select("case_id", "primary_domains", "include_shared"), "case_id")
     shared = F.col("include_shared") & ((F.col("layer") == "shared") | (F.col("scope") == "shared") | (F.col("domain") == "shared"))
     ok = shared | F.array_contains("primary_domains", F.col("domain")) | ((F.col("scope") != "") & F.array_contains("primary_domains", F.col("scope")))
     c = c.withColumn("__ok", F.coalesce(ok, F.lit(False))).drop("primary_domains", "include_shared")
@@ -156,7 +157,7 @@ def secondary_merge(primary: DataFrame, candidates: DataFrame, context: DataFram
     """Primary rows plus secondary-domain rows of cases where policy and a bridge allow them."""
     ctx = context.select("case_id", "secondary_domains", "bridges")
     open_case = F.lit(allow) & ((F.size("bridges") > 0) if need_bridge else F.lit(True))
-    extra = (candidates.join(broadcast_if_small(ctx), "case_id").filter(open_case & F.array_contains("secondary_domains", F.col("domain")))
+    extra = (candidates.join(ctx, "case_id").filter(open_case & F.array_contains("secondary_domains", F.col("domain")))
              .join(primary.select("case_id", "rule_id"), ["case_id", "rule_id"], "left_anti").drop("secondary_domains", "bridges"))
     extra = first_row(extra, ["case_id", "rule_id"], [F.desc("score")])
     return primary.withColumn("expanded", F.lit(False)).unionByName(extra.withColumn("expanded", F.lit(True)))
@@ -165,7 +166,7 @@ def secondary_merge(primary: DataFrame, candidates: DataFrame, context: DataFram
 def best_bridge(cases: DataFrame, bridges: DataFrame) -> DataFrame:
     """Applicable bridge of highest priority into each case's target domain (first id on ties)."""
     best = bridges.filter("applicable").groupBy("to_domain").agg(F.min(F.struct(-F.col("priority"), F.col("bridge_id")))["bridge_id"].alias("bridge_id"))
-    j = cases.join(broadcast_if_small(best), cases["target_domain"] == best["to_domain"], "left").drop("to_domain")
+    j = cases.join(best, cases["target_domain"] == best["to_domain"], "left").drop("to_domain")
     return j.withColumn("reason", F.when(F.col("bridge_id").isNull(), F.concat(F.lit("no_applicable_bridge_to_"), "target_domain")).otherwise("bridge_crossing_succeeded"))
 
 
@@ -185,7 +186,7 @@ def domain_reach(cases: DataFrame, bridges: DataFrame, max_hops: int) -> DataFra
     seen = cut_lineage(cases.select("case_id", "domain").distinct().withColumn("hop", F.lit(0)))
     edge = seen
     for i in range(1, max_hops + 1):
-        nxt = (edge.select("case_id", F.col("domain").alias("from_domain")).join(broadcast_if_small(edges), "from_domain")
+        nxt = (edge.select("case_id", F.col("domain").alias("from_domain")).join(edges, "from_domain")
                .select("case_id", F.col("to_domain").alias("domain")).distinct().join(allowed, ["case_id", "domain"], "left_semi")
                .join(seen, ["case_id", "domain"], "left_anti").withColumn("hop", F.lit(i)))
         edge = cut_lineage(nxt)
@@ -429,9 +430,9 @@ def transition_audit(transitions: DataFrame, context: DataFrame, bridges: DataFr
     """
     hops = transitions.filter("bridge_id IS NOT NULL").select("case_id", "bridge_id").distinct().groupBy("case_id").agg(F.count("*").alias("n")).filter(F.col("n") > max_hops)
     e1 = hops.select("case_id", F.concat(F.lit("hop_count_exceeded: "), F.col("n").cast("string"), F.lit(f" > {max_hops}")).alias("error"))
-    j = transitions.join(broadcast_if_small(context.select("case_id", "domains")), "case_id")
+    j = transitions.join(context.select("case_id", "domains"), "case_id")
     e2 = j.filter(~F.array_contains("domains", F.col("to_domain"))).select("case_id", F.concat(F.lit("invalid_target_domain: "), "to_domain").alias("error"))
-    e3 = (transitions.filter("bridge_id IS NOT NULL").join(broadcast_if_small(bridges.select("bridge_id")), "bridge_id", "left_anti")
+    e3 = (transitions.filter("bridge_id IS NOT NULL").join(bridges.select("bridge_id"), "bridge_id", "left_anti")
           .select("case_id", F.concat(F.lit("unregistered_bridge: "), "bridge_id").alias("error")))
     return e1.unionByName(e2.distinct()).unionByName(e3.distinct())
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.common import as_col, broadcast_if_small, case_when, cut_lineage, first_row, has_phrase, lookup, tags, text_or_empty, top_k
+from lexloom.common import as_col, case_when, cut_lineage, first_row, head_of, has_phrase, lookup, shortened, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
 
@@ -23,7 +23,7 @@ def _postings(items: DataFrame, keep_terms: DataFrame | None, fold: bool) -> Dat
     t = items.select("item_id", tokens("text", fold).alias("toks"))
     t = t.select("item_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     if keep_terms is not None:
-        t = t.join(broadcast_if_small(keep_terms), "term", "left_semi")
+        t = t.join(keep_terms, "term", "left_semi")
     t = t.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
     return t
 
@@ -60,7 +60,7 @@ def bm25_scores(queries: DataFrame, items: DataFrame, fold: bool = False,
         *query_keys, "term", (F.col("qtf") * F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
     norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.greatest(avgdl, F.lit(1e-6)))
     part = F.col("w") * (F.col("tf") * (K1 + 1)) / norm
-    return (tf.join(broadcast_if_small(weights, 256 << 20), "term")
+    return (tf.join(weights, "term")
             .groupBy(*query_keys, "item_id").agg(F.sum(part).alias("score")))
 
 
@@ -100,15 +100,16 @@ QUERY_ALIASES = {
 }
 
 
-def expand_query(queries: DataFrame, aliases: Mapping[str, Sequence[str]] = QUERY_ALIASES, limit: int = 24) -> DataFrame:
-    """Append the alias phrases whose key occurs in the text or equals the goal predicate."""
+def expand_query(queries: DataFrame, aliases: Mapping[str, Sequence[str]] = QUERY_ALIASES, limit: int | None = None) -> DataFrame:
+    """Append the alias phrases whose key occurs in the text or equals the goal predicate; the first `limit` of them if given."""
     low = F.lower("text")
     goal = F.lower(F.trim(text_or_empty("goal_predicate")))
     none = F.array().cast("array<string>")
     words = lambda ws: F.array(*[F.lit(w) for w in ws])
     by_goal = F.concat(*[F.when(goal == k, words(v)).otherwise(none) for k, v in aliases.items()])
     by_text = F.concat(*[F.when(F.contains(low, F.lit(k)), words(v)).otherwise(none) for k, v in aliases.items()])
-    extra = F.slice(F.array_distinct(F.concat(by_goal, by_text)), 1, limit)
+    extra = F.array_distinct(F.concat(by_goal, by_text))
+    extra = extra if limit is None else F.slice(extra, 1, limit)
     blank = F.trim(text_or_empty("text")) == ""
     full = F.array_join(F.concat(F.array(F.trim("text")), extra), " ")
     return queries.withColumn("expanded", F.when(blank, F.lit("")).otherwise(full))
@@ -141,14 +142,15 @@ def contained_tokens(needles: DataFrame, items: DataFrame, gram: int = 4) -> Dat
         part = heads.filter(F.length("needle") >= n) if n == gram else heads.filter(F.length("needle") == n)
         part = part.select("needle", F.substring("needle", 1, n).alias("g"))
         grams = F.array_distinct(F.regexp_extract_all("word", F.lit("(?=(.{%d}))" % n), 1))
-        found = (vocab.select("word", F.explode(grams).alias("g")).join(broadcast_if_small(part), "g")
+        found = (vocab.select("word", F.explode(grams).alias("g")).join(part, "g")
                  .filter(F.contains(F.col("word"), F.col("needle"))).select("word", "needle"))
         hits = found if hits is None else hits.unionByName(found)
     hits = cut_lineage(hits.distinct(), "hits")
-    return words.join(broadcast_if_small(hits), "word").select("item_id", "needle").distinct()
+    return words.join(hits, "word").select("item_id", "needle").distinct()
 
 
-def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataFrame | None = None) -> DataFrame:
+def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataFrame | None = None,
+                  question_chars: int | None = None, conclusion_chars: int | None = None) -> DataFrame:
     """Best k passages per query from lexical and structured signals.
 
     queries(query_id, text, conclusion, rule_id, article, clause, source_ref) and
@@ -162,8 +164,8 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     """
     bm25 = bm25 if bm25 is not None else bm25_scores(queries, chunks).withColumn("variant", F.lit("primary"))
     folded = chunks.select("item_id", fold_text("text").alias("text"))
-    q = queries.select("*", fold_text(F.substring("text", 1, 500)).alias("__q"),
-                       fold_text(F.substring(text_or_empty("conclusion"), 1, 100)).alias("__c"))
+    q = queries.select("*", fold_text(head_of("text", question_chars)).alias("__q"),
+                       fold_text(head_of(text_or_empty("conclusion"), conclusion_chars)).alias("__c"))
 
     longest = F.element_at(F.array_sort(F.filter(F.split("__c", " "), lambda w: w != ""),
                                         lambda a, b: F.length(b) - F.length(a)), 1)
@@ -171,7 +173,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
                .groupBy("query_id", "needle").agg(F.count("*").alias("times"))
                .union(q.filter("__c <> ''").select("query_id", longest.alias("needle"), F.lit(0).alias("times"))))
     needles = cut_lineage(needles, "needles")
-    found = (contained_tokens(needles, folded).join(broadcast_if_small(needles), "needle")
+    found = (contained_tokens(needles, folded).join(needles, "needle")
              .select("query_id", "item_id", F.lit(None).cast("double").alias("bm25"), F.lit(None).cast("string").alias("variant"),
                      "times"))
 
@@ -193,7 +195,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     side = chunks.select("item_id", "text", fold_text("text").alias("c_folded"), F.col("rule_id").alias("c_rule"),
                          F.col("article").alias("c_article"), F.col("clause").alias("c_clause"))
     full = pairs.join(side, "item_id").join(
-        broadcast_if_small(q.select("query_id", "__c", "rule_id", "article", "clause", "source_ref")), "query_id")
+        q.select("query_id", "__c", "rule_id", "article", "clause", "source_ref"), "query_id")
 
     ref = text_or_empty("source_ref")
     long_ref = F.length(ref) > 8
@@ -214,7 +216,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     full = cut_lineage(full, "evidence")
     pos = lambda c: F.when(F.max(c) == 0, F.lit(1e-9)).otherwise(F.max(c))
     best = full.groupBy("query_id").agg(pos("bm25").alias("__b"), pos("structured").alias("__s"))
-    full = full.join(broadcast_if_small(best), "query_id").withColumn("score", 0.42 * F.col("bm25") / F.col("__b") + 0.58 * F.col("structured") / F.col("__s"))
+    full = full.join(best, "query_id").withColumn("score", 0.42 * F.col("bm25") / F.col("__b") + 0.58 * F.col("structured") / F.col("__s"))
     return top_items(full.drop("__b", "__s"), k)
 
 
@@ -389,7 +391,8 @@ def chunk_rerank(ranked: DataFrame) -> DataFrame:
     generic = pen((F.size("q_scopes") > 0) & c("generic_only") & (F.size("e_scopes") == 0), 1.4)
     r = ranked.withColumn("adjustment", action + subtype + scope + generic + conflict)
     r = r.withColumn("final_score", c("total") + c("adjustment"))
-    return top_k(r, ["query_id"], [F.desc("adjustment"), F.desc("final_score"), F.desc("bm25_norm"), F.asc("position")], 1000, rank="final_rank")
+    best = Window.partitionBy("query_id").orderBy(F.desc("adjustment"), F.desc("final_score"), F.desc("bm25_norm"), F.asc("position"))
+    return r.withColumn("final_rank", F.row_number().over(best))
 
 
 def scoped_retrieve(scored: DataFrame, routing: DataFrame, k_scope: int = 8, k_final: int = 20) -> DataFrame:
@@ -398,7 +401,7 @@ def scoped_retrieve(scored: DataFrame, routing: DataFrame, k_scope: int = 8, k_f
     scored(query_id, rule_id, global_key, domain, layer, score) and routing(query_id, primary_domain,
     secondary_domain, include_shared, allow_expansion).
     """
-    s = scored.join(broadcast_if_small(routing), "query_id")
+    s = scored.join(routing, "query_id")
     scope = (F.when((F.col("layer") == "shared"), F.when(F.col("include_shared"), F.lit("shared")))
              .when(F.col("domain") == F.col("primary_domain"), F.col("domain"))
              .when(F.col("allow_expansion") & (F.col("domain") == F.col("secondary_domain")), F.concat(F.lit("secondary:"), "domain")))
@@ -424,28 +427,30 @@ def link_subgoals(snippets: DataFrame, subgoals: DataFrame) -> DataFrame:
     return first_row(pairs, ["case_id", "snippet_id"], [F.desc("hits"), F.asc("goal_no")])
 
 
-def citations(evidence: DataFrame, rules: DataFrame, limit: int = 6, excerpt_chars: int = 320) -> DataFrame:
-    """Distinct passages per answer in rank order, then the rule's own reference if there is room.
+def citations(evidence: DataFrame, rules: DataFrame, limit: int | None = None, excerpt_chars: int | None = None,
+              source_chars: int | None = None, ref_chars: int | None = None) -> DataFrame:
+    """Distinct passages per answer in rank order, then the rule's own reference; cut only where a limit is given.
 
     evidence(answer_id, rank, chunk_id, article_clause, source_doc, text); rules(answer_id, rule_id, source_ref, source_text).
     """
     label = F.concat_ws(" — ", F.nullif(F.trim(text_or_empty("article_clause")), F.lit("")),
-                        F.nullif(F.concat(F.substring(F.trim("source_doc"), 1, 72),
-                                          F.when(F.length(F.trim("source_doc")) > 72, F.lit("…")).otherwise(F.lit(""))), F.lit("")))
+                        F.nullif(shortened(F.trim("source_doc"), source_chars), F.lit("")))
     label = F.when(label == "", F.lit("Tham chiếu pháp lý")).otherwise(label)
 
     def excerpt(c: str) -> Column:
         t = F.replace(F.trim(text_or_empty(c)), F.lit("\n"), F.lit(" "))
-        return F.when(F.length(t) <= excerpt_chars, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, excerpt_chars - 1)), F.lit("…")))
+        return shortened(t, excerpt_chars)
 
     ev = evidence.withColumn("__key", F.concat_ws("|", "chunk_id", text_or_empty("article_clause"), text_or_empty("source_doc")))
     ev = first_row(ev, ["answer_id", "__key"], [F.asc("rank"), F.asc("text")])
     ev = ev.select("answer_id", F.col("rank").alias("ord"), label.alias("label"), excerpt("text").alias("excerpt"), F.col("chunk_id").cast("string").alias("source"))
     own = rules.filter(F.trim(text_or_empty("source_ref")) != "").select(
         "answer_id", F.lit(1 << 30).alias("ord"),
-        F.when(F.length("source_ref") <= 200, F.col("source_ref")).otherwise(F.concat(F.substring("source_ref", 1, 197), F.lit("…"))).alias("label"),
+        shortened(F.col("source_ref"), ref_chars).alias("label"),
         excerpt("source_text").alias("excerpt"), F.concat(F.lit("rule:"), "rule_id").alias("source"))
-    return top_k(ev.unionByName(own), ["answer_id"], [F.asc("ord"), F.asc("source"), F.asc("label"), F.asc("excerpt")], limit, rank="citation_no").drop("ord")
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("ord", "source", "label", "excerpt"))
+    out = ev.unionByName(own).withColumn("citation_no", place).drop("ord")
+    return out if limit is None else out.where(F.col("citation_no") <= limit)
 
 
 def pattern_scores(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -461,14 +466,14 @@ def pattern_scores(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     p = p.select("entry_id", "pattern", words.alias("words"))
     pw = p.select("pattern", F.explode("words").alias("word")).groupBy("pattern", "word").agg(F.count("*").alias("times"))
     tw = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("word"))
-    part = (tw.join(broadcast_if_small(pw), "word").groupBy("text_id", "pattern").agg(F.sum("times").alias("hits")))
+    part = (tw.join(pw, "word").groupBy("text_id", "pattern").agg(F.sum("times").alias("hits")))
     # Whole-phrase test: the longest piece of the pattern must be contained in a word of the text.
     piece = F.element_at(F.array_sort(F.filter(F.split("pattern", " "), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1)
     heads = p.select("pattern", piece.alias("needle"))
-    near = contained_tokens(heads, t.withColumnRenamed("text_id", "item_id")).join(broadcast_if_small(heads), "needle")
+    near = contained_tokens(heads, t.withColumnRenamed("text_id", "item_id")).join(heads, "needle")
     phrase = (near.select(F.col("item_id").alias("text_id"), "pattern").join(t, "text_id")
               .filter(F.contains(F.col("text"), F.col("pattern"))).select("text_id", "pattern", F.lit(True).alias("whole")))
-    both = part.join(phrase, ["text_id", "pattern"], "full_outer").join(broadcast_if_small(p), "pattern")
+    both = part.join(phrase, ["text_id", "pattern"], "full_outer").join(p, "pattern")
     ratio = F.coalesce("hits", F.lit(0)) / F.size("words")
     raw = (F.when(F.col("whole"), 0.72 + F.least(F.lit(0.27), F.length("pattern") / 120.0))
            .when(F.size("words") == 0, 0.0).when(ratio >= 0.85, 0.42 + 0.12 * ratio)
@@ -482,7 +487,7 @@ def condition_match(scores: DataFrame, entries: DataFrame, texts: DataFrame) ->
     entries(entry_id, predicate, domain, family, priority, generic); texts(text_id, text, domain_hint, family_hint).
     """
     c = F.col
-    s = scores.join(broadcast_if_small(entries), "entry_id").join(texts.select("text_id", "domain_hint", "family_hint"), "text_id")
+    s = scores.join(entries, "entry_id").join(texts.select("text_id", "domain_hint", "family_hint"), "text_id")
     top_specific = s.filter("NOT generic").groupBy("text_id").agg(F.max("raw").alias("best_specific"))
     s = s.join(top_specific, "text_id", "left")
     eff = (c("raw") + c("priority") / 1000.0) * F.when(c("generic") & (F.coalesce("best_specific", F.lit(0.0)) >= 0.58), 0.82).otherwise(1.0)

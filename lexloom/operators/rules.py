@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, cut_lineage, first_row, is_blank, lookup, tags, text_or_empty, top_k
+from lexloom.common import case_when, cut_lineage, first_row, is_blank, lookup, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, word_set
 
@@ -281,26 +283,29 @@ def best_path(plan: DataFrame, forward: DataFrame) -> DataFrame:
                     F.array_join(F.transform(before, lambda x: F.concat(x["rule_id"], F.lit(":"), x["reason"])), ";").alias("failed_paths"))
 
 
-def derive_closure(facts: DataFrame, rules: DataFrame, max_rounds: int = 4) -> DataFrame:
+def derive_closure(facts: DataFrame, rules: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Facts (case_id, fact_key, round) after repeated rule application.
 
     rules(rule_id, head_key, atom_key): a rule derives its head for a case that has all its atoms. Semi-naive: a round
     joins only the last round's facts to the atoms and adds to the running count per (case, rule). Each round ends in a
-    reliable checkpoint.
+    table in the shared folder. Ends at the fixpoint; with `max_rounds` it may end before, and says so in a warning.
     """
     atoms = rules.select("rule_id", "atom_key").distinct()
     need = atoms.groupBy("rule_id").agg(F.count("*").alias("n_need"))
     heads = rules.select("rule_id", "head_key").distinct()
     known = cut_lineage(facts.select("case_id", "fact_key").distinct().withColumn("round", F.lit(0)))
     delta, have = known, None
-    for i in range(1, max_rounds + 1):
-        add = (delta.select("case_id", F.col("fact_key").alias("atom_key")).join(broadcast_if_small(atoms), "atom_key")
+    for i in count(1):
+        if max_rounds is not None and i > max_rounds:
+            warnings.warn(f"derive_closure stopped after {max_rounds} rounds before the fixpoint", stacklevel=2)
+            break
+        add = (delta.select("case_id", F.col("fact_key").alias("atom_key")).join(atoms, "atom_key")
                .groupBy("case_id", "rule_id").agg(F.count("*").alias("n_add")))
         prev = add.select("case_id", "rule_id", "n_add", F.lit(0).cast("bigint").alias("n_old"))
         if have is not None:
             prev = prev.unionByName(have.select("case_id", "rule_id", F.lit(0).cast("bigint").alias("n_add"), F.col("n_have").alias("n_old")))
         have = cut_lineage(prev.groupBy("case_id", "rule_id").agg((F.sum("n_add") + F.sum("n_old")).alias("n_have"), (F.sum("n_add") > 0).alias("fresh")))
-        fired = (have.filter("fresh").join(broadcast_if_small(need), "rule_id").filter("n_have = n_need").join(broadcast_if_small(heads), "rule_id")
+        fired = (have.filter("fresh").join(need, "rule_id").filter("n_have = n_need").join(heads, "rule_id")
                  .select("case_id", F.col("head_key").alias("fact_key")).distinct())
         delta = cut_lineage(fired.join(known, ["case_id", "fact_key"], "left_anti").withColumn("round", F.lit(i)))
         if delta.isEmpty():

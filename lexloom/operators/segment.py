@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import case_when, has_phrase, none_if_blank, tags, text_or_empty
+from lexloom.common import as_col, case_when, has_phrase, none_if_blank, tags, text_or_empty
 from lexloom.functions import patterns as P
 from lexloom.functions.text import squeeze
 
@@ -80,11 +80,13 @@ MARKER_CUES = {
     "has_document": [r"hồ\s+sơ", r"giấy\s+tờ", r"tài\s+liệu", r"kèm\s+theo"], "has_threshold": [r"không\s+quá", r"ít\s+nhất", r"trở\s+lên", r"\d+\s*%?(?=\s*(?:tổng|thành|cổ|vốn))"],
     "has_cross_reference": [r"theo\s+quy\s+định\s+tại", r"điều\s+\d+", r"khoản\s+\d+"],
 }
-DEFINITION_LIKE = [r"là(?:\s+\p{L}+){1,12}", r"được\s+hiểu\s+là"]
+# A unit that defines; its head, then phrases.
+DEFINITION_HEAD = r"(?iu)^\s*[^.;:\n]{1,120}\s+là\s+"
+DEFINITION_LIKE = [r"được\s+hiểu\s+là", r"giải\s+thích\s+từ\s+ngữ", r"(?:bao\s+gồm|gồm\s+các)(?=\s)", r"là\s+(?:một\s+)?(?:tổ\s+chức|doanh\s+nghiệp|việc)"]
 
 
 def definition_like(text: Column | str) -> Column:
-    return has_phrase(text, DEFINITION_LIKE)
+    return as_col(text).rlike(DEFINITION_HEAD) | has_phrase(text, DEFINITION_LIKE)
 
 
 def _is_glossary(heading: str) -> Column:

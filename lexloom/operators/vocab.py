@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import broadcast_if_small, case_when, first_nonblank, first_row, is_blank, none_if_blank, tags, text_or_empty, top_k
+from lexloom.common import case_when, first_nonblank, first_row, is_blank, none_if_blank, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import slug
 
@@ -281,7 +281,7 @@ def normalize_with_vocab(rules: DataFrame, predicates: DataFrame, objects: DataF
                      F.coalesce(key("metric"), F.lit("")).alias("k_m"), F.coalesce(key("unit"), F.lit("")).alias("k_u"))
 
     def attach(df: DataFrame, table: DataFrame, key_col: str, value: str, out: str) -> DataFrame:
-        t = broadcast_if_small(table.select(F.col("canonical").alias(key_col), F.col(value).alias(out)))
+        t = table.select(F.col("canonical").alias(key_col), F.col(value).alias(out))
         return df.join(t, key_col, "left")
 
     preds = predicates.select("canonical", "family")
@@ -298,7 +298,7 @@ def normalize_with_vocab(rules: DataFrame, predicates: DataFrame, objects: DataF
         r = attach(r, entities.filter(F.col("kind") == kind), k, "canonical", f"v{k[1:]}")
     m = metrics.select(F.col("metric_canonical").alias("k_m"), F.col("unit_canonical").alias("k_u"), F.lit(True).alias("m_exact"))
     bare = metrics.filter("unit_canonical = ''").select(F.col("metric_canonical").alias("k_m"), F.lit(True).alias("m_bare"))
-    r = r.join(broadcast_if_small(m), ["k_m", "k_u"], "left").join(broadcast_if_small(bare), "k_m", "left")
+    r = r.join(m, ["k_m", "k_u"], "left").join(bare, "k_m", "left")
     pred = F.coalesce("v_cp", "v_tp", "v_act")
     free = F.col("obj_blocked").isNull()
     obj = F.when(free, F.col("v_obj"))

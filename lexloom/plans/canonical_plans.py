@@ -39,7 +39,7 @@ _FILLED = lambda cols: " + ".join(f"CASE WHEN trim(coalesce({c}, '')) = '' THEN
 WITH f AS (SELECT rule_id, notes, sha256(concat_ws('␞', {", ".join(f"trim(coalesce({c}, ''))" for c in CONTENT_COLS)})) AS fp,
   3 * ({_FILLED(RICH.key_cols)}) + {_FILLED(RICH.side_cols)} + least(length(trim(summary)), 350) / 70.0 + least(length(trim(source_text)), 500) / 125.0 AS sc FROM seeds),
 r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY round(sc, 6) DESC, rule_id) AS rn FROM f),
-l AS (SELECT fp, substr(string_agg(rule_id, '|' ORDER BY rule_id), 1, 1800) AS ids FROM r WHERE rn > 1 GROUP BY fp)
+l AS (SELECT fp, string_agg(rule_id, '|' ORDER BY rule_id) AS ids FROM r WHERE rn > 1 GROUP BY fp)
 SELECT rule_id, CASE WHEN ids IS NULL THEN notes ELSE concat_ws(';', nullif(notes, ''), 'dedup_theo_noi_dung', 'giu_ban_day_du_hon', 'merged_rule_ids=' || ids) END AS notes
 FROM r LEFT JOIN l USING (fp) WHERE rn = 1""", uses=["seeds"])
 def dedupe_by_content(t):

@@ -45,7 +45,7 @@ def unit_ids(t):
     return S.unit_ids(u).select("doc_id", "unit_no", "unit_id", "heading_text", "parent_context", "source_ref")
 
 
-DEFN = _rx(r"là(?:\s+[\p{L}]+){1,12}")
+DEFN = r"'(?i)(?:^\s*[^.;:\n]{1,120}\s+là\s+|(?:^|[^\p{L}\p{N}_])(?:được\s+hiểu\s+là|giải\s+thích\s+từ\s+ngữ|(?:bao\s+gồm|gồm\s+các)\s|là\s+(?:một\s+)?(?:tổ\s+chức|doanh\s+nghiệp|việc)(?:$|[^\p{L}\p{N}_])))'"
 DEON = _rx("phải", r"có\s+nghĩa\s+vụ", r"có\s+trách\s+nhiệm", r"chịu\s+trách\s+nhiệm", r"không\s+được", r"nghiêm\s+cấm")
 
 
@@ -235,7 +235,7 @@ def apply_overrides(t):
 _SL = "coalesce(nullif(trim(regexp_replace(strip_accents(replace(lower({0}), 'đ', 'd')), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown')"
 LEX = f"""f AS ({FRO}), r0 AS (SELECT frame_id, 0 AS i, 'action' AS role, trim(action) AS surface FROM f WHERE action IS NOT NULL UNION ALL SELECT frame_id, 1, 'condition', trim(condition) FROM f WHERE condition IS NOT NULL
  UNION ALL SELECT frame_id, 2, 'document', trim(split_part(documents, ';', 1)) FROM f WHERE documents IS NOT NULL UNION ALL SELECT frame_id, 3, 'document', trim(split_part(documents, ';', 2)) FROM f WHERE documents IS NOT NULL),
-lx AS (SELECT *, {_SL.format('surface')} AS s FROM r0), ly AS (SELECT *, CASE WHEN s LIKE 'nop%' THEN 'nop' ELSE substr(s, 1, 60) END AS normalized, CASE WHEN s LIKE 'nop%' THEN 'ho_so' ELSE 'khac' END AS grp FROM lx)"""
+lx AS (SELECT *, {_SL.format('surface')} AS s FROM r0), ly AS (SELECT *, CASE WHEN s LIKE 'nop%' THEN 'nop' ELSE s END AS normalized, CASE WHEN s LIKE 'nop%' THEN 'ho_so' ELSE 'khac' END AS grp FROM lx)"""
 
 
 @query("build_lexicon", f"WITH {LEX} SELECT normalized, grp, role, surface FROM ly QUALIFY row_number() OVER (PARTITION BY normalized, grp, role ORDER BY frame_id, i) = 1")
@@ -252,7 +252,7 @@ def surface_map(t):
  UNION ALL SELECT frame_id, action, 'quy_tac_thoi_han', deadline_value || ' day' FROM f WHERE deadline_value IS NOT NULL UNION ALL SELECT frame_id, action, 'quy_tac_ho_so', trim(unnest(string_split(documents, ';'))) FROM f WHERE documents IS NOT NULL
  UNION ALL SELECT frame_id, action, 'quy_tac_ngoai_le', exception FROM f WHERE exception IS NOT NULL UNION ALL SELECT frame_id, action, 'quy_tac_nguong_dinh_luong', count_limit FROM f WHERE count_limit IS NOT NULL
  UNION ALL SELECT frame_id, action, 'quy_tac_dieu_kien', trim(unnest(string_split(condition, ' hoặc '))) FROM f WHERE condition IS NOT NULL UNION ALL SELECT frame_id, action, 'quy_tac_ket_qua_phap_ly', effect FROM f WHERE effect IS NOT NULL)
-SELECT frame_id, rule_type, item, normalized AS canonical_predicate, 'G_' || substr(sha256(frame_id), 1, 12) AS group_id FROM s LEFT JOIN sm ON sm.surface = trim(action)""")
+SELECT frame_id, rule_type, item, normalized AS canonical_predicate, 'G_' || sha256(frame_id) AS group_id FROM s LEFT JOIN sm ON sm.surface = trim(action)""")
 def build_rule_seeds(t):
     f = _sql(t, FRM)
     return FR.build_rule_seeds(f, FR.build_lexicon(f)[1]).select("frame_id", "rule_type", "item", "canonical_predicate", "group_id")

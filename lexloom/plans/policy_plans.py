@@ -83,7 +83,7 @@ EM = [P.BridgeFact("b_tax", ["tion"], "taxpayer({entity})", "taxpayer(x)"), P.Br
 
 @query("emit_bridge_facts", """
 WITH c AS (SELECT conv_id AS case_id, text, regexp_matches(lower(text), 'ing|heit') AS bt, regexp_matches(lower(text), 'th[a-z]+\\s+of') AS bl FROM conversations WHERE turn = 0),
-d AS (SELECT *, NOT bt AND NOT bl AS fr FROM c), e AS (SELECT conv_id AS case_id, role || turn AS entity, turn AS n FROM conversations WHERE turn > 0 AND turn <= 3),
+d AS (SELECT *, NOT bt AND NOT bl AS fr FROM c), e AS (SELECT conv_id AS case_id, role || turn AS entity, turn AS n FROM conversations WHERE turn > 0),
 f AS (SELECT case_id, 0 AS no, 'b_tax' AS b, 'taxpayer(' AS tp, 'taxpayer(x)' AS fb FROM d WHERE (fr OR bt) AND contains(lower(text), 'tion') UNION ALL SELECT case_id, 1, 'b_labor', 'employer(', NULL FROM d WHERE (fr OR bl) AND contains(lower(text), 'the')
   UNION ALL SELECT case_id, 2, 'b_tax', NULL, 'taxpayer(x)' FROM d WHERE (fr OR bt) AND contains(lower(text), 'that')),
 g AS (SELECT case_id, no, n, b, tp || entity || ')' AS fact_key FROM f JOIN e USING (case_id) WHERE tp IS NOT NULL),

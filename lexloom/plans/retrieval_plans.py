@@ -94,7 +94,7 @@ def multi_query_max(t):
 FOLD = "trim(regexp_replace(strip_accents(lower({0})), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
 EVIDENCE = VARIANT_SCORES + f""",
 ck AS (SELECT *, {FOLD.format('text')} AS f FROM chunks),
-qq AS (SELECT *, {FOLD.format('substr(text, 1, 500)')} AS fq, {FOLD.format('substr(conclusion, 1, 100)')} AS fc FROM questions),
+qq AS (SELECT *, {FOLD.format('text')} AS fq, {FOLD.format('conclusion')} AS fc FROM questions),
 st AS (SELECT q.query_id, c.item_id, coalesce(mq.score, 0) AS bm,
   CASE WHEN mq.variant <> 'primary' THEN 0.1 ELSE 0 END + CASE WHEN q.rule_id = c.rule_id THEN 6.0 ELSE 0 END
   + CASE WHEN length(q.source_ref) > 8 AND contains(c.text, substr(q.source_ref, 1, 40)) THEN 3.5 WHEN length(q.source_ref) > 8 AND contains(c.text, substr(q.source_ref, 1, 24)) THEN 2.5 ELSE 0 END
@@ -296,7 +296,7 @@ WITH e AS (SELECT l_orderkey AS a, l_linenumber AS rk, l_partkey % 5 AS ch, CASE
 d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a, ch, ac, sd ORDER BY rk, tx) = 1),
 u AS (SELECT a, rk, concat_ws(' — ', nullif(ac, ''), sd) AS label, replace(tx, chr(10), ' ') AS excerpt, ch::VARCHAR AS source FROM d
   UNION ALL SELECT o_orderkey, 1000000, 'ref ' || o_orderpriority, o_orderstatus, 'rule:R' || o_custkey FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT a AS answer_id, label, excerpt, source, (row_number() OVER (PARTITION BY a ORDER BY rk, source, label, excerpt))::INT AS citation_no FROM u QUALIFY citation_no <= 6""")
+SELECT a AS answer_id, label, excerpt, source, (row_number() OVER (PARTITION BY a ORDER BY rk, source, label, excerpt))::INT AS citation_no FROM u""")
 def citations(t):
     ev = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 5).alias("chunk_id"),

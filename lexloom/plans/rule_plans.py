@@ -187,7 +187,7 @@ f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT case_id, fact_key, {i} FROM n{i
 
 @query("derive_closure", f"WITH {CLOSE}, {', '.join(_round(i) for i in range(1, 5))} SELECT case_id, fact_key, rd::INT AS round FROM f4", uses=["facts"])
 def derive_closure(t):
-    return L.derive_closure(t.facts, t.spark.sql(CHAIN_RULES, part=t.part), 4)
+    return L.derive_closure(t.facts, t.spark.sql(CHAIN_RULES, part=t.part))
 
 
 @query("quality_gate", """

@@ -33,16 +33,32 @@ def test_segment_empty(spark):
     assert S.segment_units(d).count() == 0
 
 
-def test_candidates_by_points_and_windows(spark):
-    u = spark.createDataFrame([("p", "Hồ sơ: a) giấy đề nghị đăng ký b) điều lệ công ty"), ("w", "Doanh nghiệp phải nộp thuế. Công ty không được trốn thuế."), ("n", "không gì cả")], "unit_id string, text string")
+def _generated(spark, **texts):
+    u = spark.createDataFrame(list(texts.items()), "unit_id string, text string")
     got = {}
-    for r in K.generate_candidates(u).collect():
-        got.setdefault(r.unit_id, []).append((r.idx, r.cand_text, r.how))
-    assert [c for _, c, _ in sorted(got["p"])] == ["a) giấy đề nghị đăng ký", "b) điều lệ công ty"]
-    assert all(h == "split=trigger_window" for _, _, h in got["w"])
-    # Brute force: a window ends at the next trigger or the first sentence end.
-    assert any(c.endswith("phải nộp thuế") for _, c, _ in got["w"])
+    for r in K.generate_candidates(u).orderBy("unit_id", "idx").collect():
+        got.setdefault(r.unit_id, []).append((r.cand_text, r.how))
+    return got
+
+
+def test_candidates_by_points_and_windows(spark):
+    got = _generated(spark, p="Hồ sơ:\na) giấy đề nghị đăng ký\nb) điều lệ công ty", w="Doanh nghiệp phải nộp thuế. Công ty không được trốn thuế.", n="không gì cả",
+                     e="Thuế được miễn, trừ trường hợp thứ nhất; phạt tiền ngoại trừ khi có lý do. Hết.")
+    assert [c for c, _ in got["p"]] == ["a) giấy đề nghị đăng ký", "b) điều lệ công ty"]
+    assert {h for _, h in got["w"]} == {"split=trigger_window"} and any(c.endswith("phải nộp thuế") for c, _ in got["w"])
     assert "n" not in got
+    assert got["e"] == [("trừ trường hợp thứ nhất", "split=focused_exception"), ("ngoại trừ khi có lý do", "split=focused_exception")]
+
+
+def test_candidates_lose_nothing(spark):
+    start = "giấy tờ " * 40
+    got = _generated(spark, items="\n".join(f"{c}) {start}{c}" for c in "abcde"), many=" ".join(f"Người số {i} phải nộp khoản {i}." for i in range(40)), long="Doanh nghiệp phải " + "làm việc " * 200 + "xong.",
+                     overlap="Cơ quan có trách nhiệm xem xét hồ sơ này")
+    assert len(got["items"]) == 5 and len({c for c, _ in got["items"]}) == 5
+    # A window ends at its first sentence end, so it may show the sentence of an earlier trigger; none is cut off by number.
+    assert len(got["many"]) >= 36
+    assert any(len(c) > 1700 for c, _ in got["long"])
+    assert any(c.endswith("xem xét hồ sơ này") for c, _ in got["overlap"])
 
 
 def test_overlaps_keep_best(spark):
