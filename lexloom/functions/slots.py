@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,13 +88,22 @@ _DEADLINE_FORMS = [
 _UNIT_NAMES = {"ngày": "day", "tháng": "month", "năm": "year"}
 
 
-def _anchor(after: Column) -> list[tuple[Column, str]]:
-    """What the deadline counts from, by words in the text after it."""
-    has = lambda *ws: [F.contains(after, F.lit(w)) for w in ws]
-    received, dossier, dossier_plain = has("nhận", "hồ sơ", "ho so")
-    changed, formal, founded = has("thay đổi", "chính thức", "lập")
-    return [(received & (dossier | dossier_plain), "from_receipt_of_dossier"),
-            (changed, "from_change_event"), (formal | founded, "from_establishment_date")]
+# What a deadline counts from. Each row: groups of words, of every group one has to occur, and the label.
+DEADLINE_ANCHORS = [
+    ([["nhận"], ["hồ sơ", "ho so"]], "from_receipt_of_dossier"),
+    ([["thay đổi", "có thay đổi"]], "from_change_event"),
+    ([["chính thức", "lập"]], "from_establishment_date"),
+]
+
+
+def says_all(text: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """True where the text holds a word of every group."""
+    holds = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return F.lit(True) if not groups else reduce(lambda x, y: x & y, [holds(g) for g in groups])
+
+
+def deadline_anchor(text: Column) -> list[tuple[Column, str]]:
+    return [(says_all(text, groups), label) for groups, label in DEADLINE_ANCHORS]
 
 
 def deadline_slots(c: Column | str, triggers: Sequence[str] = P.DEADLINE) -> Column:
@@ -106,9 +117,9 @@ def deadline_slots(c: Column | str, triggers: Sequence[str] = P.DEADLINE) -> Col
     after = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[0], 4))
     phrase = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[1], 4))
     lead = F.lower(F.regexp_extract(t, _DEADLINE_FORMS[0], 0))
-    first = case_when(_anchor(after) + [(F.contains(after, F.lit("kể từ ngày")), "from_anchor"),
+    first = case_when(deadline_anchor(after) + [(F.contains(after, F.lit("kể từ ngày")), "from_anchor"),
                                         (F.startswith(lead, F.lit("chậm")), "no_later_than")])
-    anchor = case_when([(hits[0], first), (hits[1], case_when(_anchor(phrase), "from_anchor"))])
+    anchor = case_when([(hits[0], first), (hits[1], case_when(deadline_anchor(phrase), "from_anchor"))])
     return F.struct(F.when(on, pick(1)).alias("value"), F.when(on, unit).alias("unit"),
                     F.when(on, anchor).alias("anchor"))
 
@@ -130,72 +141,73 @@ def quantity_slots(c: Column | str) -> Column:
 THRESHOLD_FIELDS = ["metric", "op", "value", "unit", "low", "high", "range_kind"]
 
 
-def threshold_fields(c: Column | str) -> Column:
-    """struct of THRESHOLD_FIELDS; the first phrase form that can fill a field fills it.
+@dataclass(frozen=True)
+class QuantityForm:
+    """One way to state a quantity.
 
-    Each form states its guard, its trigger and the fields it would fill. Fields are
-    resolved per column with `coalesce` in form order.
+    numbers: field -> group of the pattern. names: (groups of words as in `says_all`, metric), the first that holds;
+    units: (prefix of the unit group, unit, metric or None). only: words of which one has to occur. after: the form
+    fills fields only while this one is open. `fixed` are fields with one value.
     """
+
+    pattern: str
+    numbers: dict[str, int]
+    fixed: dict[str, str]
+    names: tuple[tuple[tuple[tuple[str, ...], ...], str], ...] = ()
+    unit_group: int = 0
+    units: tuple[tuple[str, str, str | None], ...] = ()
+    only: tuple[str, ...] = ()
+    after: str | None = None
+
+
+# The forms in order, and the two kinds of people they count.
+PEOPLE = (("thành", "thanh_vien", "so_thanh_vien"), ("", "co_dong", "so_co_dong"))
+QUANTITY_FORMS = [
+    QuantityForm(r"ít nhất\s+(\d+)\s*%\s*(?:tổng\s+số\s+)?(?:cổ\s+phần\s+phổ\s+thông|cổ\s+phần)", {"value": 1}, {"op": ">=", "unit": "phan_tram"}, (((), "ty_le_so_huu_co_phan_pho_thong"),)),
+    QuantityForm(r"ít\s+nhất\s+(\d+)\s*%", {"value": 1}, {"op": ">=", "unit": "phan_tram"}, (((("phiếu",), ("biểu quyết",)), "ty_le_phieu_bieu_quyet"), ((), "ty_le")), after="value"),
+    QuantityForm(r"(?:trên|lớn hơn)\s+(\d+)\s*%", {"value": 1}, {"op": ">", "unit": "phan_tram"}, (((("vốn điều lệ", "von dieu le"),), "ty_le_von_dieu_le"), ((), "ty_le")), after="value"),
+    QuantityForm(r"(?:dưới|nhỏ hơn|không quá)\s+(\d+)\s*%", {"value": 1}, {"op": "<=", "unit": "phan_tram"}, (((("thành viên",),), "ty_le_thanh_vien_so_huu"), ((), "ty_le")), after="op"),
+    QuantityForm(r"không\s+quá\s+(\d+)\s+(thành\s+viên|cổ\s+đông)", {"value": 1}, {"op": "<="}, unit_group=2, units=PEOPLE),
+    QuantityForm(r"ít\s+nhất\s+(\d+)\s+(cổ\s+đông|thành\s+viên)", {"value": 1}, {"op": ">="}, unit_group=2, units=PEOPLE),
+    QuantityForm(r"từ\s+0*(\d+)\s+đến\s+0*(\d+)\s+(thành\s+viên|cổ\s+đông)", {"low": 1, "high": 2}, {"range_kind": "dong"}, unit_group=3, units=PEOPLE),
+    QuantityForm(r"thời\s+hạn\s+(\d+)\s+(ngày|tháng)(?![\p{L}\p{N}_])", {"value": 1}, {"op": "eq", "metric": "thoi_han_thanh_toan"}, unit_group=2, units=(("ngày", "ngay", None), ("", "thang", None)),
+                 only=("thanh toán", "góp vốn", "than toan", "gop von"), after="metric"),
+    QuantityForm(r"trong\s+thời\s+hạn\s+(\d+)\s+ngày(\s+làm\s+việc)?", {"value": 1}, {"op": "eq"},
+                 (((("đăng ký chuyển đổi", "dang ky chuyen doi"),), "thoi_han_dang_ky_chuyen_doi"), ((("nhận hồ sơ", "nhan ho so"),), "thoi_han_xu_ly_ho_so"), ((), "thoi_han_xu_ly")),
+                 unit_group=2, units=((" ", "ngay_lam_viec", None), ("", "ngay", None)), after="value"),
+    QuantityForm(r"(\d+)\s+ngày\s+làm\s+việc", {"value": 1}, {"op": "eq", "metric": "thoi_han_thuc_hien", "unit": "ngay_lam_viec"}, only=("gửi", "thông báo"), after="value"),
+]
+
+
+def _offers(form: QuantityForm, raw: Column, low: Column) -> dict[str, Column]:
+    """What a form would put into each field."""
+    group = lambda i: F.regexp_extract(raw, "(?iu)" + form.pattern, i)
+    out = {k: F.lit(v) for k, v in form.fixed.items()} | {k: group(i) for k, i in form.numbers.items()}
+    if form.names:
+        out["metric"] = case_when([(says_all(low, groups), name) for groups, name in form.names])
+    if form.units:
+        starts = [F.startswith(F.lower(group(form.unit_group)), F.lit(prefix)) for prefix, _, _ in form.units]
+        out["unit"] = case_when([(c, unit) for c, (_, unit, _) in zip(starts, form.units)])
+        if form.units[0][2]:
+            out["metric"] = case_when([(c, metric) for c, (_, _, metric) in zip(starts, form.units)])
+    return out
+
+
+def threshold_fields(c: Column | str, forms: Sequence[QuantityForm] = QUANTITY_FORMS) -> Column:
+    """struct of THRESHOLD_FIELDS: every field has the offer of the first form that applies and makes one."""
     raw = squeeze(c)
     low = F.lower(raw)
 
-    def says(*words: str) -> Column:
-        cond = F.lit(False)
-        for w in words:
-            cond = cond | F.contains(low, F.lit(w))
-        return cond
-
-    def people(rx: str) -> tuple[Column, Column]:
-        is_member = F.startswith(F.lower(F.regexp_extract(raw, rx, 2)), F.lit("thành"))
-        return (F.when(is_member, F.lit("so_thanh_vien")).otherwise(F.lit("so_co_dong")),
-                F.when(is_member, F.lit("thanh_vien")).otherwise(F.lit("co_dong")))
-
-    pct = F.lit("phan_tram")
-    # The Vietnamese phrases of the forms below.
-    share = r"(?iu)ít nhất\s+(\d+)\s*%\s*(?:tổng\s+số\s+)?(?:cổ\s+phần\s+phổ\s+thông|cổ\s+phần)"
-    at_least = r"(?iu)ít\s+nhất\s+(\d+)\s*%"
-    above = r"(?iu)(?:trên|lớn hơn)\s+(\d+)\s*%"
-    below = r"(?iu)(?:dưới|nhỏ hơn|không quá)\s+(\d+)\s*%"
-    max_people = r"(?iu)không\s+quá\s+(\d+)\s+(thành\s+viên|cổ\s+đông)"
-    min_people = r"(?iu)ít\s+nhất\s+(\d+)\s+(cổ\s+đông|thành\s+viên)"
-    span_people = r"(?iu)từ\s+0*(\d+)\s+đến\s+0*(\d+)\s+(thành\s+viên|cổ\s+đông)"
-    pay_term = r"(?iu)thời\s+hạn\s+(\d+)\s+(ngày|tháng)(?![\p{L}\p{N}_])"
-    handle_term = r"(?iu)trong\s+thời\s+hạn\s+(\d+)\s+ngày(\s+làm\s+việc)?"
-    act_term = r"(?iu)(\d+)\s+ngày\s+làm\s+việc"
-
-    got = {k: F.lit(None).cast("string") for k in THRESHOLD_FIELDS}
-
-    def fill(cond: Column, **fields: Column | str) -> None:
-        for k, v in fields.items():
-            v = v if isinstance(v, Column) else F.lit(v)
-            got[k] = F.coalesce(got[k], F.when(cond, F.nullif(v, F.lit(""))))
-
-    num = lambda rx, i=1: F.regexp_extract(raw, rx, i)
-    fill(raw.rlike(share), metric="ty_le_so_huu_co_phan_pho_thong", op=">=", value=num(share), unit=pct)
-    vote = says("phiếu") & says("biểu quyết")
-    fill(raw.rlike(at_least) & got["value"].isNull(), op=">=", value=num(at_least), unit=pct,
-         metric=F.when(vote, F.lit("ty_le_phieu_bieu_quyet")).otherwise(F.lit("ty_le")))
-    fill(raw.rlike(above) & got["value"].isNull(), op=">", value=num(above), unit=pct,
-         metric=F.when(says("vốn điều lệ", "von dieu le"), F.lit("ty_le_von_dieu_le")).otherwise(F.lit("ty_le")))
-    fill(raw.rlike(below) & got["op"].isNull(), op="<=", value=num(below), unit=pct,
-         metric=F.when(says("thành viên"), F.lit("ty_le_thanh_vien_so_huu")).otherwise(F.lit("ty_le")))
-    metric, unit = people(max_people)
-    fill(raw.rlike(max_people), metric=metric, op="<=", value=num(max_people), unit=unit)
-    metric, unit = people(min_people)
-    fill(raw.rlike(min_people), metric=metric, op=">=", value=num(min_people), unit=unit)
-    members = F.startswith(F.lower(num(span_people, 3)), F.lit("thành"))
-    fill(raw.rlike(span_people), low=num(span_people, 1), high=num(span_people, 2), range_kind="dong",
-         metric=F.when(members, F.lit("so_thanh_vien")).otherwise(F.lit("so_co_dong")),
-         unit=F.when(members, F.lit("thanh_vien")).otherwise(F.lit("co_dong")))
-    fill(raw.rlike(pay_term) & got["metric"].isNull() & says("thanh toán", "góp vốn", "than toan", "gop von"),
-         metric="thoi_han_thanh_toan", op="eq", value=num(pay_term),
-         unit=F.when(F.lower(num(pay_term, 2)) == "ngày", F.lit("ngay")).otherwise(F.lit("thang")))
-    fill(raw.rlike(handle_term) & got["value"].isNull(), op="eq", value=num(handle_term),
-         metric=case_when([(says("đăng ký chuyển đổi", "dang ky chuyen doi"), "thoi_han_dang_ky_chuyen_doi"),
-                           (says("nhận hồ sơ", "nhan ho so"), "thoi_han_xu_ly_ho_so")], "thoi_han_xu_ly"),
-         unit=F.when(num(handle_term, 2) != "", F.lit("ngay_lam_viec")).otherwise(F.lit("ngay")))
-    fill(raw.rlike(act_term) & got["value"].isNull() & says("gửi", "thông báo"),
-         metric="thoi_han_thuc_hien", op="eq", value=num(act_term), unit="ngay_lam_viec")
+    def fold(got: dict[str, Column], form: QuantityForm) -> dict[str, Column]:
+        applies = raw.rlike("(?iu)" + form.pattern)
+        if form.only:
+            applies = applies & says_all(low, [form.only])
+        if form.after:
+            applies = applies & got[form.after].isNull()
+        offers = _offers(form, raw, low)
+        return {k: F.coalesce(v, F.when(applies, F.nullif(offers[k], F.lit("")))) if k in offers else v for k, v in got.items()}
+
+    got = reduce(fold, forms, {k: F.lit(None).cast("string") for k in THRESHOLD_FIELDS})
     return F.struct(*[got[k].alias(k) for k in THRESHOLD_FIELDS])
 
 

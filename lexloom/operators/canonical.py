@@ -259,7 +259,11 @@ CUT_SUFFIXES = ["_mot_t", "_mot_th", "_mot_tho", "_co_l", "_dieu_l", "_cong_ngh"
 MAX_ATOM, LONG_EFFECT, LONG_ANCHOR = 96, 100, 88
 
 
-def core_gate(rules: DataFrame, generic_actions: Sequence[str] = ()) -> DataFrame:
+# Actions that say nothing by themselves.
+GENERIC_ACTIONS = ["dang_ky", "thong_bao", "xem_xet", "cap_nhat", "nop_ho_so", "chuan_bi_ho_so", "thuc_hien"]
+
+
+def core_gate(rules: DataFrame, generic_actions: Sequence[str] = GENERIC_ACTIONS) -> DataFrame:
     """Structural, normalisation and semantic gates in that order; the first that fails gives the reasons.
 
     Reads the columns of `export_partition` plus normalization_status, notes, canonical_status, authority, object,

@@ -48,8 +48,9 @@ def score_irac(joined: DataFrame) -> DataFrame:
         "C": F.when(F.contains(text_or_empty("mode"), F.lit("B")), b_mode).otherwise(a_mode),
         "L": half(cited) + quarter(proof) + quarter(F.col("v_parse") == "PASS"),
     }
-    out = joined.select("*", *[F.round(F.least(v, F.lit(1.0)), 4).alias(k) for k, v in dims.items()])
-    return out.withColumn("score", F.round((F.col("I") + F.col("R") + F.col("A") + F.col("C") + F.col("L")) / 5, 4))
+    dims = {k: F.least(v, F.lit(1.0)) for k, v in dims.items()}
+    # The mean is taken before anything is rounded.
+    return joined.select("*", *[F.round(v, 4).alias(k) for k, v in dims.items()], F.round(sum(dims.values(), F.lit(0.0)) / 5, 4).alias("score"))
 
 
 def score_verifiability(joined: DataFrame) -> DataFrame:

@@ -563,15 +563,15 @@ def entity_mentions(texts: DataFrame, patterns: Sequence[tuple[str, str]] = MENT
 def focus_score(texts: DataFrame, cues: Sequence[tuple[str, float, Sequence[str]]], default: str = "unknown") -> DataFrame:
     """Score each focus by its weighted cue sets; best focus per text, earlier focus on ties.
 
-    cues: (focus, weight, phrases). Each cue set counts once when any of its phrases occurs.
+    cues: (focus, weight, phrases). Each cue set counts once when any of its phrases occurs; accents and case are folded.
     """
     names = list(dict.fromkeys(f for f, _, _ in cues))
-    low = F.lower("text")
+    low = fold_text("text")
 
     def hit(phrases: Sequence[str]) -> Column:
         out = F.lit(False)
         for p in phrases:
-            out = out | F.contains(low, F.lit(p))
+            out = out | F.contains(low, fold_text(F.lit(p)))
         return out
 
     score = {n: sum((F.when(hit(ph), F.lit(float(w))).otherwise(0.0) for f, w, ph in cues if f == n), F.lit(0.0)) for n in names}

@@ -184,9 +184,11 @@ ACTION_NOISE = ["co", "duoc", "phep", "phai", "bat", "buoc", "nghia", "vu", "tru
 RELAXED_FAMILIES = ["obligation", "permission", "prohibition", "applicability", "legal_effect"]
 ACTION_GROUPS = {"notification": ["thong_bao", "gui"], "registration": ["dang_ky", "cap_nhat"], "submission": ["nop", "bo_sung", "ho_so"],
                  "payment": ["thue", "le_phi", "tien"], "enforcement": ["cuong_che", "xu_phat"]}
-GROUP_CONFLICTS = {"notification": ["payment", "enforcement", "submission"], "registration": ["payment", "enforcement", "submission"],
-                   "payment": ["notification", "registration", "submission"], "enforcement": ["notification", "registration", "submission"],
-                   "submission": ["notification", "registration", "payment"]}
+GROUP_CONFLICTS = [
+    ("notification", "payment"), ("notification", "enforcement"), ("notification", "submission"), ("registration", "payment"), ("registration", "enforcement"), ("registration", "submission"),
+    ("payment", "notification"), ("payment", "registration"), ("payment", "submission"), ("enforcement", "notification"), ("enforcement", "registration"), ("enforcement", "submission"),
+    ("submission", "notification"), ("submission", "registration"), ("submission", "payment"),
+]
 
 
 def _key_form(c: Column) -> Column:
@@ -237,8 +239,8 @@ def unify(pairs: DataFrame) -> DataFrame:
     second = lambda arr: F.coalesce(F.try_element_at(arr, F.lit(2)), F.lit(""))
     p = p.select("*", _group_of(second(c("__g"))).alias("__gg"), _group_of(second(c("__h"))).alias("__hg"))
     conflict = F.lit(False)
-    for g, others in GROUP_CONFLICTS.items():
-        conflict = conflict | ((c("__gg") == g) & c("__hg").isin(others))
+    for g, h in GROUP_CONFLICTS:
+        conflict = conflict | ((c("__gg") == g) & (c("__hg") == h))
     term_t = "map<string,struct<t:string,w:array<string>,a:array<string>,vague:boolean,var:boolean>>"
     start = F.struct(F.lit(True).alias("ok"), F.create_map().cast(term_t).alias("m"))
 

@@ -28,7 +28,7 @@ ir AS (SELECT *, CASE WHEN status NOT IN ('error', '') THEN 0.5 ELSE 0 END + CAS
    ELSE CASE WHEN must_answer AND status = 'success' THEN 0.75 WHEN status IN ('success', 'partial') THEN 0.4 ELSE 0 END + CASE WHEN must_cite AND cites <> '' THEN 0.25 ELSE 0 END END) AS c0,
   CASE WHEN cites <> '' THEN 0.5 ELSE 0 END + CASE WHEN proof_present THEN 0.25 ELSE 0 END + CASE WHEN v_parse = 'PASS' THEN 0.25 ELSE 0 END AS l0 FROM ov),
 sc AS (SELECT *, round(i0::DOUBLE, 4) AS "I", round(r0::DOUBLE, 4) AS "R", round(a0::DOUBLE, 4) AS "A", round(c0::DOUBLE, 4) AS "C", round(l0::DOUBLE, 4) AS "L" FROM ir),
-s2 AS (SELECT *, round(("I" + "R" + "A" + "C" + "L") / 5, 4) AS score, (cites <> '' AND proof_present)::INT AS grounded, proof_present::INT AS proof,
+s2 AS (SELECT *, round((i0::DOUBLE + r0::DOUBLE + a0::DOUBLE + c0::DOUBLE + l0::DOUBLE) / 5, 4) AS score, (cites <> '' AND proof_present)::INT AS grounded, proof_present::INT AS proof,
   CASE WHEN v_forward = 'N/A' AND v_rule = 'N/A' AND v_parse = 'N/A' AND v_answer = 'N/A' THEN 0 WHEN v_parse <> 'FAIL' AND v_answer <> 'FAIL' THEN 1 ELSE 0 END AS verified,
   CASE WHEN contains(mode, 'B') THEN CASE WHEN mf = '' THEN 0 WHEN gm = '' THEN 1 ELSE (ov >= 0.5)::INT END END AS missing_fact_correct FROM sc)"""
 EV = ["results", "gold"]

@@ -370,9 +370,9 @@ def _any(*ws):
 
 
 @query("focus_score", f"""
-WITH x AS (SELECT conv_id, turn, lower(text) AS l FROM conversations),
+WITH x AS (SELECT conv_id, turn, {FOLD.format("text")} AS l FROM conversations),
 s AS (SELECT conv_id, turn, CASE WHEN {_any('by', 'par', 'von')} THEN 2.0 ELSE 0.0 END + CASE WHEN {_any('was')} THEN 1.5 ELSE 0.0 END AS d,
-  CASE WHEN {_any('with', 'avec', 'mit')} THEN 2.5 ELSE 0.0 END AS o, CASE WHEN {_any('from', 'pour', 'für')} THEN 2.0 ELSE 0.0 END + CASE WHEN {_any('that')} THEN 1.0 ELSE 0.0 END AS p FROM x)
+  CASE WHEN {_any('with', 'avec', 'mit')} THEN 2.5 ELSE 0.0 END AS o, CASE WHEN {_any('from', 'pour', 'fur')} THEN 2.0 ELSE 0.0 END + CASE WHEN {_any('that')} THEN 1.0 ELSE 0.0 END AS p FROM x)
 SELECT conv_id * 100 + turn AS text_id, d::DOUBLE AS score_deadline, o::DOUBLE AS score_obligation, p::DOUBLE AS score_permission,
   CASE WHEN greatest(d, o, p) = 0 THEN 'unknown' WHEN d = greatest(d, o, p) THEN 'deadline' WHEN o = greatest(d, o, p) THEN 'obligation' ELSE 'permission' END AS focus FROM s""")
 def focus_score(t):

@@ -185,7 +185,7 @@ def _round(i):
 f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT case_id, fact_key, {i} FROM n{i} WHERE (case_id, fact_key) NOT IN (SELECT (case_id, fact_key) FROM f{i - 1}))"""
 
 
-@query("derive_closure", f"WITH {CLOSE}, {', '.join(_round(i) for i in range(1, 5))} SELECT case_id, fact_key, rd::INT AS round FROM f4", uses=["facts"])
+@query("derive_closure", f"WITH {CLOSE}, {', '.join(_round(i) for i in range(1, 13))} SELECT case_id, fact_key, rd::INT AS round FROM f12", uses=["facts"])
 def derive_closure(t):
     return L.derive_closure(t.facts, t.spark.sql(CHAIN_RULES, part=t.part))
 

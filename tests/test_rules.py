@@ -11,7 +11,7 @@ def test_unify_rejects_weak_overlap(spark):
             ("deadline", ["a"], "must", ["a"]), ("must", ["a", "b"], "must", ["a"])]
     p = spark.createDataFrame(rows, "goal_predicate string, goal_args array<string>, head_predicate string, head_args array<string>")
     got = {(r.goal_predicate, tuple(r.goal_args)): (r.failure, r.bindings) for r in L.unify(p).collect()}
-    assert got[("obligation", ("enterprise_x", "nop_thue", "co_quan_thue"))][0] in ("term_unification_failed", "action_group_conflict")
+    assert got[("obligation", ("enterprise_x", "nop_thue", "co_quan_thue"))][0] == "term_unification_failed"
     assert got[("obligation", ("company_x", "nop_thue", "co_quan_thue"))] == ("", {"company_x": "cong_ty"})
     assert got[("deadline", ("a",))][0] == "predicate_mismatch"
     assert got[("must", ("a", "b"))][0] == "arity_mismatch"
