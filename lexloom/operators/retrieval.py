@@ -154,11 +154,11 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     """Best k passages per query from lexical and structured signals.
 
     queries(query_id, text, conclusion, rule_id, article, clause, source_ref) and
-    chunks(item_id, text, rule_id, article, clause). `bm25(query_id, item_id, score,
+    chunks(item_id, text, rule_id or rule_ids, article, clause). `bm25(query_id, item_id, score,
     variant)` may be given by `multi_query_max`. Passages without any signal are not listed.
 
     Candidate pairs come from equality joins (shared term, shared rule id, contained
-    token). A pair that shares only its article or clause has no other signal, so for
+    token of the question, the conclusion or the head of the source reference). A pair that shares only its article or clause has no other signal, so for
     those the first k passages per key are enough; every signal is then computed on
     the union.
     """
@@ -167,17 +167,19 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     q = queries.select("*", fold_text(head_of("text", question_chars)).alias("__q"),
                        fold_text(head_of(text_or_empty("conclusion"), conclusion_chars)).alias("__c"))
 
-    longest = F.element_at(F.array_sort(F.filter(F.split("__c", " "), lambda w: w != ""),
-                                        lambda a, b: F.length(b) - F.length(a)), 1)
+    longest = lambda text: F.element_at(F.array_sort(F.filter(F.split(text, " "), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1)
+    ref_head = fold_text(F.substring(text_or_empty("source_ref"), 1, 24))
     needles = (q.select("query_id", F.explode(F.split("__q", " ")).alias("needle")).filter(F.length("needle") > 3)
                .groupBy("query_id", "needle").agg(F.count("*").alias("times"))
-               .union(q.filter("__c <> ''").select("query_id", longest.alias("needle"), F.lit(0).alias("times"))))
+               .union(q.filter("__c <> ''").select("query_id", longest("__c").alias("needle"), F.lit(0).alias("times")))
+               .union(q.filter(F.length(text_or_empty("source_ref")) > 8).select("query_id", longest(ref_head).alias("needle"), F.lit(0).alias("times")).filter("needle IS NOT NULL")))
     needles = cut_lineage(needles, "needles")
     found = (contained_tokens(needles, folded).join(needles, "needle")
              .select("query_id", "item_id", F.lit(None).cast("double").alias("bm25"), F.lit(None).cast("string").alias("variant"),
                      "times"))
 
-    by_rule = q.join(chunks.select("item_id", "rule_id"), "rule_id").select("query_id", "item_id")
+    rules = F.col("rule_ids") if "rule_ids" in chunks.columns else F.array("rule_id")
+    by_rule = q.join(chunks.select("item_id", F.explode(rules).alias("rule_id")), "rule_id").select("query_id", "item_id").distinct()
     order = [F.asc("item_id")]
     keyed = chunks.select("item_id", "article", "clause")
     by_key = []
@@ -192,7 +194,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     pairs = pairs.groupBy("query_id", "item_id").agg(
         F.max("bm25").alias("bm25"), F.max("variant").alias("variant"), (0.12 * F.sum("times")).alias("token_overlap"))
     # The text is folded once per passage, before it meets its queries.
-    side = chunks.select("item_id", "text", fold_text("text").alias("c_folded"), F.col("rule_id").alias("c_rule"),
+    side = chunks.select("item_id", "text", fold_text("text").alias("c_folded"), rules.alias("c_rules"),
                          F.col("article").alias("c_article"), F.col("clause").alias("c_clause"))
     full = pairs.join(side, "item_id").join(
         q.select("query_id", "__c", "rule_id", "article", "clause", "source_ref"), "query_id")
@@ -202,7 +204,7 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
     head = lambda n: F.contains(F.col("text"), F.substring(ref, 1, n))
     boosts = {
         "lexical_variant": F.when(F.col("variant") != "primary", 0.1),
-        "rule_id_match": F.when(F.col("rule_id") == F.col("c_rule"), 6.0),
+        "rule_id_match": F.when(F.array_contains("c_rules", F.col("rule_id")), 6.0),
         "source_ref_substring": F.when(long_ref & head(40), 3.5).when(long_ref & head(24), 2.5),
         "article_align": F.when(F.col("article") == F.col("c_article"), 2.5),
         "clause_align": F.when(F.col("clause") == F.col("c_clause"), 1.8),

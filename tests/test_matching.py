@@ -57,3 +57,12 @@ def test_merge_registry_partitions(spark):
     b = spark.createDataFrame([("r1", "b1"), ("r3", "b3")], "rule_id string, row_id string")
     kept, rest = C.merge_registry([("shared", a), ("domain", b)], ["row_id"])
     assert {r.row_id for r in kept.collect()} == {"a1", "a2", "b3"} and {r.row_id for r in rest.collect()} == {"b1"}
+
+
+def test_evidence_by_source_reference_or_one_of_several_rules(spark):
+    q = spark.createDataFrame([("q", "zz", "", "R2", "", "", "Nghị định 168/2025 điều bảy"), ("p", "zz", "", None, "", "", "short")],
+                              "query_id string, text string, conclusion string, rule_id string, article string, clause string, source_ref string")
+    c = spark.createDataFrame([(1, "theo Nghị định 168/2025 điều bảy quy định", ["R9"], "a", "b"), (2, "khác hẳn", ["R1", "R2"], "a", "b"), (3, "không liên quan", ["R1"], "a", "b"), (4, "cũng không", None, "a", "b")],
+                              "item_id int, text string, rule_ids array<string>, article string, clause string")
+    got = {(r.query_id, r.item_id): (r.source_ref_substring, r.rule_id_match) for r in R.evidence_topk(q, c).collect()}
+    assert got == {("q", 1): (3.5, 0.0), ("q", 2): (0.0, 6.0)}
