@@ -270,7 +270,7 @@ def normalize_with_vocab(rules: DataFrame, predicates: DataFrame, objects: DataF
                          metrics: DataFrame, blocked_objects: DataFrame) -> DataFrame:
     """Vocabulary entry of each slot of a rule by prioritised lookups, with notes and full / partial status.
 
-    Vocabularies are joined on the slug; each is broadcast only when its estimated size allows it.
+    Vocabularies are joined on the slug; how is left to the optimiser.
     """
     filled = lambda c: ~is_blank(c)
     key = lambda c: F.when(filled(c), slug(c))

@@ -121,10 +121,10 @@ def expand_candidates(t):
     return K.expand_candidates(_sql(t, EXP)).select("unit_id", "cand_text", "candidate_type")
 
 
-@query("mark_units", """WITH c AS (SELECT l_partkey, max((rule_id, l_returnflag)) AS m, count(*) AS n FROM (SELECT l_partkey, l_returnflag, l_orderkey || '_' || l_linenumber || '_' || l_suppkey AS rule_id FROM lineitem WHERE l_quantity > 48) GROUP BY 1)
+@query("mark_units", """WITH c AS (SELECT l_partkey, max((rule_id, l_returnflag)) AS m, count(*) AS n FROM (SELECT l_partkey, l_returnflag, l_orderkey || '_' || l_linenumber || '_' || l_suppkey AS rule_id FROM lineitem) GROUP BY 1)
 SELECT p_partkey AS unit_id, m[2] AS topic, m[1] AS rule_signal, coalesce(n, 0) AS n_candidates FROM part LEFT JOIN c ON p_partkey = l_partkey""")
 def mark_units(t):
-    c = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("unit_id"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_suppkey").alias("seq"), F.col("l_returnflag").alias("candidate_type"))
+    c = t.lineitem.select(F.col("l_partkey").alias("unit_id"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_suppkey").alias("seq"), F.col("l_returnflag").alias("candidate_type"))
     return K.mark_units(t.part.select(F.col("p_partkey").alias("unit_id")), c.withColumn("signal", F.col("seq")))
 
 
@@ -140,8 +140,8 @@ def score_candidates(t):
     return K.score_candidates(_sql(t, SCC)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tests_passed", "error_type", "rubric", "action_taken")
 
 
-BFU = "SELECT concat('U', cast(o_orderkey AS string)) AS unit_id, o_orderstatus = 'F' AS has_exception, o_orderkey % 3 = 0 AS has_threshold, o_custkey % 4 = 0 AS has_deadline, o_custkey % 5 = 0 AS has_document FROM {orders}"
-BFC = "SELECT concat('U', cast(l_orderkey AS string)) AS unit_id, CASE cast(l_linenumber % 4 AS int) WHEN 0 THEN 'condition' WHEN 1 THEN 'threshold' WHEN 2 THEN 'deadline' ELSE 'duty' END AS candidate_type FROM {lineitem} WHERE l_quantity > 35"
+BFU = "SELECT concat('U', cast(doc_id AS string)) AS unit_id, lang = 'fr' AS has_exception, n_chars % 3 = 0 AS has_threshold, n_chars % 4 = 0 AS has_deadline, source = 'src1' AS has_document FROM {documents}"
+BFC = "SELECT concat('U', cast(doc_id AS string)) AS unit_id, CASE WHEN quality = 0 THEN 'condition' WHEN toxic = 1 THEN 'threshold' WHEN doc_id % 2 = 0 THEN 'deadline' ELSE 'duty' END AS candidate_type FROM {labels}"
 
 
 @query("backfill_gaps", f"WITH u AS ({_own(BFU)}), c AS ({_own(BFC)}) SELECT unit_id, (has_exception::INT + has_threshold::INT + has_deadline::INT + has_document::INT)::INT AS n_markers FROM u WHERE n_markers > 0 AND unit_id NOT IN (SELECT unit_id FROM c)")
@@ -192,7 +192,7 @@ def split_flags(t):
     return FR.split_flags(_sql(t, FRM)).select("frame_id", F.array_join("split_reasons", ";").alias("split_reasons"), "n_parts")
 
 
-SFC = "SELECT concat('F', cast(o_orderkey AS string)) AS ns_id, CASE WHEN o_custkey % 2 = 0 THEN 'nếu có' ELSE 'câu' END AS cand_text, CASE cast(o_custkey % 4 AS int) WHEN 0 THEN 'deadline' WHEN 1 THEN 'document_requirement' WHEN 2 THEN 'authority_action' ELSE 'duty' END AS candidate_type FROM {orders} WHERE o_orderkey % 9 <> 0"
+SFC = "SELECT concat('F', cast(o_orderkey AS string)) AS ns_id, CASE WHEN o_custkey % 2 = 0 THEN 'nếu có' ELSE 'câu' END AS cand_text, CASE cast(o_custkey % 4 AS int) WHEN 0 THEN 'deadline' WHEN 1 THEN 'document_requirement' WHEN 2 THEN 'authority_action' ELSE 'duty' END AS candidate_type FROM {orders}"
 
 
 @query("score_frames", f"""WITH f AS ({FRO}), c AS ({_own(SFC)}), j AS (SELECT f.*, cand_text, candidate_type FROM f LEFT JOIN c USING (ns_id)),
@@ -217,18 +217,18 @@ def validate_frames(t):
     return FR.validate_frames(f).select("frame_id", F.array_join("errors", ";").alias("errors"), "ok")
 
 
-@query("enrich_frames", f"""WITH f AS ({FRO}), u AS (SELECT 'U' || p_partkey AS unit_id, 'Mục ' || p_brand AS heading, CASE p_partkey % 3 WHEN 0 THEN 'nộp tiền thuế.' WHEN 1 THEN 'bị thu hồi giấy.' ELSE 'hồ sơ bao gồm đơn.' END AS text FROM part WHERE p_partkey % 10 <> 0),
+@query("enrich_frames", f"""WITH f AS ({FRO}), u AS (SELECT 'U' || p_partkey AS unit_id, 'Mục ' || p_brand AS heading, CASE p_partkey % 3 WHEN 0 THEN 'nộp tiền thuế.' WHEN 1 THEN 'bị thu hồi giấy.' ELSE 'hồ sơ bao gồm đơn.' END AS text FROM part),
 g AS (SELECT f.*, concat_ws(' ', source_text, heading, text) AS gr FROM f LEFT JOIN u USING (unit_id)), h AS (SELECT *, nullif(regexp_extract(gr, '(hồ sơ bao gồm[^.]*)', 1), '') AS nd, nullif(regexp_extract(gr, 'nộp ([^.;,]{{3,60}})', 1), '') AS no, nullif(regexp_extract(gr, '(bị thu hồi[^.;]*)', 1), '') AS ne FROM g)
 SELECT frame_id, coalesce(documents, nd) AS documents, coalesce(CASE WHEN object <> 'việc' THEN object END, no) AS object, coalesce(effect, ne) AS effect, concat_ws(';', CASE WHEN documents IS NULL AND nd IS NOT NULL THEN 'bo_sung_ho_so' END, CASE WHEN (object IS NULL OR object = 'việc') AND no IS NOT NULL THEN 'bo_sung_doi_tuong' END, CASE WHEN effect IS NULL AND ne IS NOT NULL THEN 'bo_sung_ket_qua' END) AS notes_added FROM h""")
 def enrich_frames(t):
-    u = t.part.filter("p_partkey % 10 <> 0").select(F.concat(F.lit("U"), F.col("p_partkey").cast("string")).alias("unit_id"), F.concat(F.lit("Mục "), "p_brand").alias("heading"),
+    u = t.part.select(F.concat(F.lit("U"), F.col("p_partkey").cast("string")).alias("unit_id"), F.concat(F.lit("Mục "), "p_brand").alias("heading"),
                                                     F.expr("CASE p_partkey % 3 WHEN 0 THEN 'nộp tiền thuế.' WHEN 1 THEN 'bị thu hồi giấy.' ELSE 'hồ sơ bao gồm đơn.' END").alias("text"))
     return FR.enrich_frames(_sql(t, FRM), u).select("frame_id", "documents", "object", "effect", F.array_join("notes_added", ";").alias("notes_added"))
 
 
-@query("apply_overrides", f"WITH f AS ({FRO}), p AS (SELECT 'F' || o_orderkey AS ns_id, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Sửa' END AS s FROM orders WHERE o_orderkey % 4 = 0) SELECT frame_id, CASE WHEN s IS NULL THEN subject WHEN s = '' THEN NULL ELSE s END AS subject, CASE WHEN p.ns_id IS NOT NULL THEN 'da_sua' ELSE '' END AS notes FROM f LEFT JOIN p USING (ns_id)")
+@query("apply_overrides", f"WITH f AS ({FRO}), p AS (SELECT 'F' || o_orderkey AS ns_id, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Sửa' END AS s FROM orders) SELECT frame_id, CASE WHEN s IS NULL THEN subject WHEN s = '' THEN NULL ELSE s END AS subject, CASE WHEN p.ns_id IS NOT NULL THEN 'da_sua' ELSE '' END AS notes FROM f LEFT JOIN p USING (ns_id)")
 def apply_overrides(t):
-    p = t.orders.filter("o_orderkey % 4 = 0").select(F.concat(F.lit("F"), F.col("o_orderkey").cast("string")).alias("ns_id"), F.expr("CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Sửa' END").alias("subject"))
+    p = t.orders.select(F.concat(F.lit("F"), F.col("o_orderkey").cast("string")).alias("ns_id"), F.expr("CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Sửa' END").alias("subject"))
     return FR.apply_overrides(_sql(t, FRM), p, "ns_id", ["subject"], "da_sua").select("frame_id", "subject", "notes")
 
 

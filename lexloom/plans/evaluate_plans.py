@@ -180,7 +180,7 @@ def diagnosis_table(t):
     return A.diagnosis_table(c)
 
 
-@query("stage_funnel", """WITH u AS (SELECT l_partkey AS k, count(*) AS units, count(*) FILTER (l_returnflag = 'A') AS flagged FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1), c AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS candidates FROM lineitem WHERE l_discount > 0.07 GROUP BY 1),
+@query("stage_funnel", """WITH u AS (SELECT l_partkey AS k, count(*) AS units, count(*) FILTER (l_returnflag = 'A') AS flagged FROM lineitem GROUP BY 1), c AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS candidates FROM lineitem WHERE l_discount > 0.07 GROUP BY 1),
 f AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS frames FROM lineitem WHERE l_discount > 0.08 GROUP BY 1), r AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS rules FROM lineitem WHERE l_discount > 0.09 GROUP BY 1),
 j AS (SELECT k, coalesce(units, 0) AS units, coalesce(flagged, 0) AS flagged, coalesce(candidates, 0) AS candidates, coalesce(frames, 0) AS frames, coalesce(rules, 0) AS rules FROM u FULL JOIN c USING (k) FULL JOIN f USING (k) FULL JOIN r USING (k))
 SELECT k AS article_key, units, flagged, candidates, frames, rules, CASE WHEN units = 0 OR (flagged = 0 AND candidates = 0) THEN 'no_content' WHEN candidates = 0 THEN 'lost_at_candidate' WHEN frames = 0 THEN 'lost_at_frame' WHEN rules = 0 THEN 'lost_at_rule'
@@ -188,7 +188,7 @@ SELECT k AS article_key, units, flagged, candidates, frames, rules, CASE WHEN un
 def stage_funnel(t):
     l = t.lineitem.withColumnRenamed("l_partkey", "article_key")
     s = lambda x: l.filter(F.col("l_discount") > x).select("article_key", F.col("l_orderkey").alias("id"))
-    return A.stage_funnel(l.filter("l_linenumber <= 5").select("article_key", (F.col("l_returnflag") == "A").alias("flagged")), s(0.07), s(0.08), s(0.09))
+    return A.stage_funnel(l.select("article_key", (F.col("l_returnflag") == "A").alias("flagged")), s(0.07), s(0.08), s(0.09))
 
 
 @query("rules_per_frame", "SELECT n_rules, count(*) AS n_frames FROM (SELECT frame_id, count(*) AS n_rules FROM seeds GROUP BY 1) GROUP BY 1", uses=["seeds"])
@@ -202,9 +202,9 @@ def corpus_stats(t):
     return A.corpus_stats(t.clauses, "doc_code")
 
 
-@query("stratified_sample", "WITH r AS (SELECT o_orderkey AS case_id, o_orderpriority AS domain, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn FROM orders WHERE o_orderstatus = 'F') SELECT case_id, domain, turn::INT AS turn FROM r ORDER BY turn, domain LIMIT 33")
+@query("stratified_sample", "WITH r AS (SELECT o_orderkey AS case_id, o_orderpriority AS domain, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn FROM orders) SELECT case_id, domain, turn::INT AS turn FROM r ORDER BY turn, domain LIMIT 33")
 def stratified_sample(t):
-    return A.stratified_sample(t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("domain")), 33)
+    return A.stratified_sample(t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("domain")), 33)
 
 
 @query("trace_presence", """WITH e AS (SELECT l_orderkey AS case_id, 'R' || l_partkey AS rule_id FROM lineitem), n AS (SELECT case_id, count(*) AS n_retrieved, count(*) FILTER (rule_id IN (SELECT 'R' || p_partkey FROM part WHERE p_size % 2 = 0)) AS in_canonical, count(*) FILTER (rule_id IN (SELECT 'R' || p_partkey FROM part WHERE p_size % 3 = 0)) AS in_runtime FROM e GROUP BY 1)

@@ -7,11 +7,11 @@ from lexloom.plans.registry import query
 
 
 def _sql(t, text, **extra):
-    return t.spark.sql(text, **{n: getattr(t, n) for n in ("orders", "lineitem", "customer", "supplier", "nation", "part", "events", "conversations") if "{" + n + "}" in text}, **extra)
+    return t.spark.sql(text, **{n: getattr(t, n) for n in ("orders", "lineitem", "customer", "supplier", "nation", "part", "events", "conversations", "documents", "labels") if "{" + n + "}" in text}, **extra)
 
 
 def _own(text):
-    for n in ("orders", "lineitem", "customer", "supplier", "nation", "part", "events", "conversations"):
+    for n in ("orders", "lineitem", "customer", "supplier", "nation", "part", "events", "conversations", "documents", "labels"):
         text = text.replace("{" + n + "}", n)
     return text
 

@@ -47,15 +47,15 @@ def normalize_scores(t):
 
 
 @query("hybrid_combine", """
-WITH l AS (SELECT l_suppkey AS query_id, l_partkey AS item_id, sum(l_quantity) AS score FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
-s AS (SELECT l_suppkey AS query_id, l_partkey AS item_id, max(l_tax) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+WITH l AS (SELECT l_suppkey AS query_id, l_partkey AS item_id, sum(l_quantity) AS score FROM lineitem GROUP BY ALL),
+s AS (SELECT l_suppkey AS query_id, l_partkey AS item_id, max(l_tax) AS score FROM lineitem GROUP BY ALL),
 ln AS (SELECT query_id, item_id, score / (CASE WHEN max(score) OVER w = 0 THEN 1e-9 ELSE max(score) OVER w END) AS x FROM l WINDOW w AS (PARTITION BY query_id)),
 sn AS (SELECT query_id, item_id, score / (CASE WHEN max(score) OVER w = 0 THEN 1e-9 ELSE max(score) OVER w END) AS y FROM s WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, item_id, round(0.35 * coalesce(x, 0) + 0.65 * coalesce(y, 0), 9) AS hybrid FROM ln FULL JOIN sn USING (query_id, item_id)""")
 def hybrid_combine(t):
     base = t.lineitem.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("item_id"), "l_returnflag", "l_quantity", "l_tax")
-    lex = base.filter("l_returnflag = 'A'").groupBy("query_id", "item_id").agg(F.sum("l_quantity").alias("score"))
-    st = base.filter("l_returnflag = 'R'").groupBy("query_id", "item_id").agg(F.max("l_tax").alias("score"))
+    lex = base.groupBy("query_id", "item_id").agg(F.sum("l_quantity").alias("score"))
+    st = base.groupBy("query_id", "item_id").agg(F.max("l_tax").alias("score"))
     return R.hybrid_combine(lex, st).withColumn("hybrid", F.round("hybrid", 9))
 
 

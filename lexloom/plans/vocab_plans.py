@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexloom.common import cut_lineage
+from lexloom.functions.text import slug
 from lexloom.operators import vocab as V
 from lexloom.plans.canonical_plans import TERMS, _terms
 from lexloom.plans.registry import query
@@ -122,31 +123,27 @@ def refine_objects(t):
     return kept.select("canonical", F.lit(False).alias("dropped")).union(dropped.select("canonical", F.lit(True)))
 
 
-HALF = "length(canonical) % 3 <> 0"
-
-
 @query("normalize_with_vocab", f"""
-WITH {PRED}, pk AS (SELECT canonical FROM pr WHERE {HALF}), ov AS (SELECT DISTINCT canonical FROM ({OBJ_ROWS}) WHERE {HALF}), ev AS (SELECT DISTINCT canonical FROM ({EFF_ROWS}) WHERE {HALF}),
-tv AS (SELECT DISTINCT kind, canonical FROM ({ENT_ROWS}) WHERE {HALF}), {MET},
+WITH {PRED}, pk AS (SELECT canonical FROM pr), ov AS (SELECT DISTINCT canonical FROM ({OBJ_ROWS})), ev AS (SELECT DISTINCT canonical FROM ({EFF_ROWS})),
+bo AS (SELECT DISTINCT {SLUG.format('object')} AS canonical FROM seeds WHERE rule_type = 'khac' AND object IS NOT NULL),
+tv AS (SELECT DISTINCT kind, canonical FROM ({ENT_ROWS})), {MET},
 kk AS (SELECT *, CASE WHEN canonical_predicate IS NOT NULL THEN {SLUG.format('canonical_predicate')} END AS cp, CASE WHEN typed_predicate IS NOT NULL THEN {SLUG.format("split_part(typed_predicate, ':', 2)")} END AS tp,
   CASE WHEN action <> '' THEN {SLUG.format('action')} END AS ac, {SLUG.format('object')} AS ob, {SLUG.format('effect')} AS e1, {SLUG.format('result')} AS e2, {SLUG.format('subject')} AS su, {SLUG.format('subject_type')} AS st,
   {SLUG.format('handler')} AS a1, {SLUG.format('receiver')} AS a2, {SLUG.format('scope')} AS so, CASE WHEN metric IS NULL THEN '' ELSE {SLUG.format('metric')} END AS mm, CASE WHEN unit IS NULL THEN '' ELSE {SLUG.format('unit')} END AS uu FROM seeds),
-lk AS (SELECT kk.*, coalesce(p1.canonical, p2.canonical, p3.canonical) AS predicate, o.canonical AS oc, CASE WHEN effect IS NOT NULL AND f1.canonical IS NOT NULL THEN f1.canonical WHEN result IS NOT NULL THEN f2.canonical END AS ec,
+lk AS (SELECT kk.*, coalesce(p1.canonical, p2.canonical, p3.canonical) AS predicate, CASE WHEN bo.canonical IS NULL THEN o.canonical END AS oc, bo.canonical IS NOT NULL AS cut, CASE WHEN effect IS NOT NULL AND f1.canonical IS NOT NULL THEN f1.canonical WHEN result IS NOT NULL THEN f2.canonical END AS ec,
   CASE WHEN subject IS NOT NULL THEN s1.canonical END AS sc, s2.canonical AS stc, coalesce(CASE WHEN handler IS NOT NULL THEN h1.canonical END, CASE WHEN receiver IS NOT NULL THEN h2.canonical END) AS hc, CASE WHEN scope IS NOT NULL THEN g.canonical END AS gc,
-  EXISTS (SELECT 1 FROM mg WHERE mg.mc = mm AND (mg.uc = uu OR mg.uc = '')) AS mok FROM kk LEFT JOIN pk p1 ON p1.canonical = cp LEFT JOIN pk p2 ON p2.canonical = tp LEFT JOIN pk p3 ON p3.canonical = ac LEFT JOIN ov o ON o.canonical = ob
+  EXISTS (SELECT 1 FROM mg WHERE mg.mc = mm AND (mg.uc = uu OR mg.uc = '')) AS mok FROM kk LEFT JOIN pk p1 ON p1.canonical = cp LEFT JOIN pk p2 ON p2.canonical = tp LEFT JOIN pk p3 ON p3.canonical = ac LEFT JOIN ov o ON o.canonical = ob LEFT JOIN bo ON bo.canonical = ob
   LEFT JOIN ev f1 ON f1.canonical = e1 LEFT JOIN ev f2 ON f2.canonical = e2 LEFT JOIN tv s1 ON s1.kind = 'subject' AND s1.canonical = su LEFT JOIN tv s2 ON s2.kind = 'subject_type' AND s2.canonical = st
   LEFT JOIN tv h1 ON h1.kind = 'authority' AND h1.canonical = a1 LEFT JOIN tv h2 ON h2.kind = 'authority' AND h2.canonical = a2 LEFT JOIN tv g ON g.kind = 'scope' AND g.canonical = so),
-nt AS (SELECT *, concat_ws(';', CASE WHEN predicate IS NULL THEN 'predicate_fallback' END, CASE WHEN oc IS NULL THEN 'object_unmapped' END, CASE WHEN coalesce(effect, result) IS NOT NULL AND ec IS NULL THEN 'effect_unmapped' END,
+nt AS (SELECT *, concat_ws(';', CASE WHEN predicate IS NULL THEN 'predicate_fallback' END, CASE WHEN cut THEN 'object_slug_was_split_fragment' WHEN oc IS NULL THEN 'object_unmapped' END, CASE WHEN coalesce(effect, result) IS NOT NULL AND ec IS NULL THEN 'effect_unmapped' END,
   CASE WHEN subject IS NOT NULL AND sc IS NULL THEN 'subject_unmapped' END, CASE WHEN stc IS NULL THEN 'subject_type_unmapped' END, CASE WHEN coalesce(handler, receiver) IS NOT NULL AND hc IS NULL THEN 'authority_unmapped' END,
   CASE WHEN scope IS NOT NULL AND gc IS NULL THEN 'scope_unmapped' END, CASE WHEN coalesce(metric, unit) IS NOT NULL AND NOT mok THEN 'metric_unmapped' END) AS nts FROM lk)
 SELECT rule_id, predicate, oc AS object_canonical, ec AS effect_canonical, hc AS authority_canonical, nts AS notes, CASE WHEN nts = '' THEN 'full' ELSE 'partial' END AS status FROM nt""", uses=["seeds"])
 def normalize_with_vocab(t):
     s = t.seeds
     # The vocabularies are stage tables: they are written once and then looked up several times.
-    half = lambda d: cut_lineage(d.filter(F.length("canonical") % 3 != 0))
-    none = s.select(F.col("object").alias("canonical")).limit(0)
-    n = V.normalize_with_vocab(s, half(V.predicate_vocab(s)), half(V.object_vocab(s)), half(V.effect_vocab(s)), half(V.entity_vocab(s)),
-                               cut_lineage(V.metric_vocab(s)), none)
+    fragments = s.filter("rule_type = 'khac' AND object IS NOT NULL").select(slug("object").alias("canonical"))
+    n = V.normalize_with_vocab(s, *[cut_lineage(v(s)) for v in (V.predicate_vocab, V.object_vocab, V.effect_vocab, V.entity_vocab, V.metric_vocab)], fragments)
     return n.select("rule_id", "predicate", "object_canonical", "effect_canonical", "authority_canonical", F.array_join("notes", ";").alias("notes"), "status")
 
 
