@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexloom.common import scratch_path
 from lexloom.plans.registry import query
 from lexloom.sources import readers, sinks
+from lexloom.streaming.session_facts import latest_updates
 from lexloom.streaming.session_facts import session_facts as latest_facts
 from lexloom.streaming.session_facts import session_facts_stream as stream_facts
 
@@ -74,11 +75,8 @@ def session_facts(t):
 
 @query("session_facts_stream", SESS)
 def session_facts_stream(t):
-    """The stream over the whole events table, run to its end and written as a table of updates; last update per key."""
-    out, ckpt = _scratch(t, "facts"), _scratch(t, "facts_ckpt")
-    src = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.root)
-    q = (stream_facts(_answers(src)).writeStream.outputMode("update").option("checkpointLocation", ckpt)
-         .foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    up = t.spark.read.parquet(out)
-    return up.groupBy("session_id", "fact_key").agg(F.max(F.struct("batch", "value", "seq")).alias("l")).select("session_id", "fact_key", "l.value", "l.seq")
+    """The stream over the whole events table, run to its end in several micro-batches; last update per key."""
+    out, ckpt, src = _scratch(t, "facts"), _scratch(t, "facts_ckpt"), _scratch(t, "events")
+    t.events.repartition(4, "event_id").write.parquet(src)
+    stream_facts(_answers(t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(src)), out, ckpt).awaitTermination()
+    return latest_updates(t.spark.read.parquet(out))

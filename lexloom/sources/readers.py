@@ -38,7 +38,7 @@ def read_corpus(spark: SparkSession, path: str, domain: str, overrides: DataFram
     d = d.withColumn("m", doc_metadata("text")).select("*", "m.*").drop("m")
     if overrides is not None:
         o = overrides.select("file_name", F.col("doc_code").alias("o_code"), F.col("doc_type").alias("o_type"))
-        d = d.join(F.broadcast(o), "file_name", "left").withColumn("doc_code", first_nonblank("o_code", "doc_code")).withColumn("doc_type", first_nonblank("o_type", "doc_type")).drop("o_code", "o_type")
+        d = d.join(o, "file_name", "left").withColumn("doc_code", first_nonblank("o_code", "doc_code")).withColumn("doc_type", first_nonblank("o_type", "doc_type")).drop("o_code", "o_type")
     return d
 
 

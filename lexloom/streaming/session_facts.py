@@ -1,4 +1,4 @@
-"""Latest value per (session, fact key): batch, native stream, and a stateful stream with expiry."""
+"""Latest value per (session, fact key): batch, a stream without state, and a stateful stream with expiry."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.common import is_blank
@@ -32,9 +33,20 @@ def session_facts(answers: DataFrame, initial: DataFrame | None = None) -> DataF
     return _latest(a)
 
 
-def session_facts_stream(answers: DataFrame) -> DataFrame:
-    """The same as a native streaming aggregation (update mode). Keyed by session and fact, so a busy session spreads."""
-    return _latest(prepared(answers))
+def session_facts_stream(answers: DataFrame, updates: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream that appends, per micro-batch, the last answer of each key to the Parquet table `updates`.
+
+    The stream keeps no state: `latest_updates` folds the table, which may be compacted at any time. Batches are written
+    to a folder of their own, so a batch that is repeated after a failure replaces itself.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        _latest(batch).write.mode("overwrite").parquet(f"{updates}/batch={number}")
+
+    return prepared(answers).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def latest_updates(updates: DataFrame) -> DataFrame:
+    return _latest(updates)
 
 
 def session_facts_expiring(answers: DataFrame, ttl_ms: int) -> DataFrame:
