@@ -63,6 +63,8 @@ def atom_truth(pairs: DataFrame, atoms: DataFrame, facts: DataFrame, structured:
 # Spellings of the comparison operators and units on the percent scale.
 OPERATORS = {">=": [">=", "gte", "≥"], "<=": ["<=", "lte", "≤"], ">": [">", "gt"], "<": ["<", "lt"], "=": ["==", "=", "eq"]}
 PERCENT_UNITS = ["phan_tram", "%", "percent"]
+# Words in a fact key that make it stand in for a constraint of this kind.
+STAND_INS = {"deadline": ["deadline", "moc_thoi_gian", "ngay"], "dossier": ["dossier"]}
 
 
 def constraint_eval(pairs: DataFrame, constraints: DataFrame, facts: DataFrame, loose: bool = False) -> DataFrame:
@@ -90,7 +92,10 @@ def constraint_eval(pairs: DataFrame, constraints: DataFrame, facts: DataFrame,
         hits = hits.unionByName(near.groupBy(*ids).agg(F.min_by("value_num", "fact_key").alias("num")).select(*ids, F.lit(5).alias("prec"), "num"))
     best = hits.groupBy(*ids).agg(F.min_by("num", "prec").alias("value"))
     own = facts.select("case_id", F.col("fact_key").alias("session_key"), F.col("value_bool").alias("flag"), F.lit(True).alias("known"))
-    j = p.join(best, ids, "left").join(own, ["case_id", "session_key"], "left")
+    # Any fact of the case that speaks of a date or a dossier stands in for a constraint's own key; the smallest key is named.
+    says_so = F.coalesce(F.col("value_bool"), F.col("value_num") != 0)
+    stand_in = facts.filter(says_so).groupBy("case_id").agg(*[F.min(F.when(F.col("fact_key").rlike("|".join(words)), F.col("fact_key"))).alias(f"any_{kind}") for kind, words in STAND_INS.items()])
+    j = p.join(best, ids, "left").join(own, ["case_id", "session_key"], "left").join(stand_in, "case_id", "left")
 
     c = F.col
     v, t = c("value"), c("target")
@@ -107,11 +112,12 @@ def constraint_eval(pairs: DataFrame, constraints: DataFrame, facts: DataFrame,
     th_status = case_when([(F.coalesce(a, F.lit(False)), b) for a, b, _ in rules], "failed")
     th_detail = case_when([(F.coalesce(a, F.lit(False)), d) for a, _, d in rules], "compared")
     need = {"deadline": "need_date_or_milestone", "dossier": "need_dossier_status", "threshold_note": "need_threshold_note_ack"}
-    other = F.when(F.coalesce(says_no, F.lit(False)), "failed").when(c("known"), "satisfied").otherwise("missing_input")
+    other_key = case_when([(c("kind") == kind, c(f"any_{kind}")) for kind in STAND_INS])
+    other = F.when(F.coalesce(says_no, F.lit(False)), "failed").when(c("known") | other_key.isNotNull(), "satisfied").otherwise("missing_input")
     quant = c("kind") == "threshold"
     known_kind = c("kind").isin(list(need))
     status = F.when(quant, th_status).when(known_kind, other).otherwise("unknown")
-    detail = F.when(quant, th_detail).when(known_kind & (other == "missing_input"), lookup(c("kind"), need)).when(known_kind, "").otherwise("no_evaluator")
+    detail = F.when(quant, th_detail).when(known_kind & (other == "missing_input"), lookup(c("kind"), need)).when(known_kind & c("known").isNull() & (other == "satisfied"), other_key).when(known_kind, "").otherwise("no_evaluator")
     return j.select("case_id", "rule_id", "seq", "session_key", "kind", "value", status.alias("status"), detail.alias("detail"))
 
 

@@ -123,13 +123,13 @@ def predicate_vocab(seeds: DataFrame) -> DataFrame:
     guess = case_when([(F.contains(F.col("canonical"), F.lit(p)), f) for p, f in PREDICATE_FAMILIES], "khac")
     out = out.select("canonical", F.coalesce("family", guess).alias("family"),
                      F.coalesce("typed", F.concat(F.coalesce("mode_type", F.lit("unknown")), F.lit(":"), "canonical")).alias("typed"),
-                     F.substring(F.coalesce("summary", "act", F.lit("")), 1, 200).alias("summary"), F.coalesce("when_used", F.lit("")).alias("when_used"),
+                     F.coalesce("summary", "act", F.lit("")).alias("summary"), F.coalesce("when_used", F.lit("")).alias("when_used"),
                      F.coalesce("n_types", F.lit(0)).alias("n_types"), F.coalesce(F.col("top_n") / F.col("n"), F.lit(1.0)).alias("top_share"),
                      F.col("typed").isNotNull().alias("has_typed"), "example_rule_ids")
     return predicate_qa(out)
 
 
-def _named(rows: DataFrame, min_raw: int, min_name: int, cut: int, n_ids: int, keys: Sequence[str] = ()) -> DataFrame:
+def _named(rows: DataFrame, min_raw: int, min_name: int, n_ids: int, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with their slug, cut to the first `n_ids` rule ids per raw text.
 
     That is all the vocabularies need: every raw text stays, and the smallest ids of a name are among the smallest of
@@ -137,21 +137,21 @@ def _named(rows: DataFrame, min_raw: int, min_name: int, cut: int, n_ids: int, k
     """
     r = rows.withColumn("raw", none_if_blank("raw")).filter(F.length("raw") >= min_raw)
     r = top_k(r, [*keys, "raw"], [F.asc("rule_id")], n_ids).withColumn("canonical", slug("raw"))
-    return r.filter(F.length("canonical") >= min_name).withColumn("raw", F.substring("raw", 1, cut))
+    return r.filter(F.length("canonical") >= min_name)
 
 
 def object_vocab(seeds: DataFrame) -> DataFrame:
     """Objects and the parts of dossier lists."""
     parts = F.transform(F.split(text_or_empty("dossier"), r"[;；]\s*"), lambda x: F.trim(x))
     rows = seeds.select("rule_id", F.explode(F.array_distinct(F.concat(F.array(F.trim("object")), parts))).alias("raw"))
-    g = variant_groups(_named(rows, 2, 3, 300, 5), ["canonical"], 4, 5)
+    g = variant_groups(_named(rows, 2, 3, 5), ["canonical"], 4, 5)
     family = case_when([(has_part("canonical", ps), f) for ps, f in OBJECT_FAMILIES], "khac")
     return object_effect_qa(g.withColumn("family", family))
 
 
 def effect_vocab(seeds: DataFrame) -> DataFrame:
     rows = seeds.select("rule_id", F.explode(F.array_distinct(F.array(F.trim("effect"), F.trim("result")))).alias("raw"))
-    g = variant_groups(_named(rows, 3, 4, 400, 5), ["canonical"], 3, 5)
+    g = variant_groups(_named(rows, 3, 4, 5), ["canonical"], 3, 5)
     family = case_when([(has_prefix("canonical", [p]), f) for p, f in EFFECT_PREFIXES] + [(has_part("canonical", ps), f) for ps, f in EFFECT_PARTS], "khac")
     return object_effect_qa(g.withColumn("family", family))
 
@@ -164,7 +164,7 @@ ENTITY_COLUMNS = [("subject", "subject"), ("subject_type", "subject_type"), ("su
 def entity_rows(seeds: DataFrame, columns: Sequence[tuple[str, str]] = ENTITY_COLUMNS) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("raw")) for c, kind in columns])
     r = seeds.select("rule_id", F.explode(F.array_distinct(pairs)).alias("p")).select("rule_id", "p.kind", "p.raw")
-    return _named(r, 2, 2, 400, 8, ["kind"])
+    return _named(r, 2, 2, 8, ["kind"])
 
 
 def entity_vocab(seeds: DataFrame) -> DataFrame:

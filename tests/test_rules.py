@@ -74,3 +74,14 @@ def test_missing_fact_and_all_na(spark):
                               "id int, mode string, citations array<string>, proof_present boolean, v_parse string, v_rule string, v_forward string, v_answer string, missing_facts array<string>, gold_missing array<string>")
     got = [(r.missing_fact_correct, r.verified) for r in A.score_verifiability(d).orderBy("id").collect()]
     assert got == [(None, 0), (0, 0)]
+
+
+def test_other_facts_stand_in_for_deadline_and_dossier(spark):
+    pairs = spark.createDataFrame([(c, "R") for c in ("a", "b", "c")], "case_id string, rule_id string")
+    cons = spark.createDataFrame([("R", 1, "deadline", "d1", None, None, None, None), ("R", 2, "dossier", "s1", None, None, None, None)],
+                                 "rule_id string, seq int, kind string, session_key string, metric string, op string, target double, unit string")
+    facts = spark.createDataFrame([("a", "ngay_nhan", True, None), ("a", "x_deadline", False, None), ("b", "d1", False, None), ("b", "ngay", None, 3.0), ("b", "dossier_full", None, 2.0), ("c", "dossier", None, 0.0)],
+                                  "case_id string, fact_key string, value_bool boolean, value_num double")
+    got = {(r.case_id, r.seq): (r.status, r.detail) for r in L.constraint_eval(pairs, cons, facts).collect()}
+    assert got == {("a", 1): ("satisfied", "ngay_nhan"), ("a", 2): ("missing_input", "need_dossier_status"), ("b", 1): ("failed", ""), ("b", 2): ("satisfied", "dossier_full"),
+                   ("c", 1): ("missing_input", "need_date_or_milestone"), ("c", 2): ("missing_input", "need_dossier_status")}
