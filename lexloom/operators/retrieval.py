@@ -268,12 +268,54 @@ def _sum_overlap(left: Column, right: Column) -> Column:
         right, F.lit(0.0), lambda a, h: a + _set_overlap(g, h)))
 
 
+# What speaks for and against a rule when a registration deadline is asked for.
+REGISTRATION_ANCHORS = ["thay doi noi dung dang ky doanh nghiep", "thong bao thay doi noi dung dang ky doanh nghiep", "dang ky doanh nghiep", "enterprise_registration", "deadline"]
+REGISTRATION_DOMAINS = ["enterprise", "enterprise_registration", "shared"]
+DEADLINE_HEADS = ["deadline", "regulatory_deadline", "regulatory_deadline_requirement"]
+TAX_ATTRACTORS = ["thuc_hien_nop_thay_so_tien_thue_bi_cuong_che", "cuong che thue", "nop thay tien thue", "nguoi nop thue bi cuong che", "thue bi cuong che", "nop_thay", "cuong_che"]
+OTHER_FAMILY_TERMS = ["thuc_hien_nop_thay_so_tien_thue_bi_cuong_che", "cuong che thue", "nop thay tien thue", "nguoi nop thue bi cuong che", "ben thu ba"]
+LABOR_DOMAINS = ["labor", "lao_dong"]
+ANCHOR_TERMS = ["head_predicate_match", "event_type_match", "goal_family_match", "goal_head_arg_overlap", "condition_atom_overlap", "action_modality_overlap", "action_object_match"]
+
+
+def _holds_any(text: Column, words: Sequence[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def _asked_terms(columns: Sequence[str], blob: Column) -> dict[str, Column]:
+    """Terms of the optional inputs q_subject_type and q_registration_deadline; without the column a term is 0."""
+    c, zero = F.col, F.lit(0.0)
+    on = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), F.lit(v)).otherwise(zero)
+    kind = text_or_empty("q_subject_type") if "q_subject_type" in columns else F.lit("")
+    asked = c("q_registration_deadline") if "q_registration_deadline" in columns else F.lit(False)
+    boost = on(_holds_any(blob, REGISTRATION_ANCHORS), 4.0) + on(F.lower(c("r_domain")).isin(REGISTRATION_DOMAINS), 1.5) + on(F.lower(c("r_head")).isin(DEADLINE_HEADS), 1.5)
+    return {
+        "subject_type_guess": on(~kind.isin("", "unknown") & F.contains(blob, kind), 0.8),
+        "registration_boost": F.when(F.coalesce(asked, F.lit(False)), boost).otherwise(zero),
+        "tax_attractor_penalty": on(asked & _holds_any(blob, TAX_ATTRACTORS), -22.0),
+        "family_mismatch_penalty": on(asked & _holds_any(blob, OTHER_FAMILY_TERMS), -10.0),
+    }
+
+
+def _attractor_penalty(columns: Sequence[str]) -> Column:
+    """What a rule that fits everything loses (optional inputs r_generic and compatibility): more with few anchors and a short question."""
+    if "r_generic" not in columns:
+        return F.lit(0.0)
+    c = F.col
+    anchor = sum((F.greatest(F.lit(0.0), c(t)) for t in ANCHOR_TERMS), F.lit(0.0))
+    on = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), F.lit(v)).otherwise(0.0)
+    clash = on(c("compatibility") < 0, 1.3) if "compatibility" in columns else F.lit(0.0)
+    lost = on(anchor < 2, 1.8) + on(anchor < 4, 0.8) + on(F.size(word_set("q_text")) <= 3, 0.7) + clash + on(F.lower(c("r_domain")).isin(LABOR_DOMAINS) & (anchor < 3), 0.8)
+    return F.when(c("r_generic"), -lost).otherwise(0.0)
+
+
 def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|unknown.*)$") -> DataFrame:
     """Additive structured terms of one (query, rule) row, with the breakdown and a floor at 0.
 
     Reads q_goal, q_focus, q_args, q_text, q_action, q_object, q_event, q_conditions, q_subject, q_time,
     q_exception, q_domain_text and r_head, r_form, r_args, r_event, r_conditions, r_blob, r_action, r_domain,
-    r_shared, q_context, r_context.
+    r_shared, q_context, r_context; where they are there also q_subject_type, q_registration_deadline, r_generic and
+    compatibility.
     """
     c = F.col
     zero = F.lit(0.0)
@@ -322,11 +364,12 @@ def structured_score(pairs: DataFrame, placeholders: str = r"^(?:[A-Z]\w*|_.*|un
         "goal_family_match": family,
         "action_object_match": 2.2 * over("__qa", "__rb") + 1.8 * over("__qo", "__rb"),
         "context_mismatch_penalty": -(2.2 * missing + on(enforced, 1.8)),
+        **_asked_terms(columns, blob),
     }
     out = pairs.select(*columns, *[v.cast("double").alias(n) for n, v in terms.items()], loose_deadline.alias("deadline_mismatch"))
     anchored = (c("head_predicate_match") > 0) | (c("goal_head_arg_overlap") > 0.01) | (c("condition_atom_overlap") > 0.01) | (c("action_modality_overlap") > 0.01)
-    out = out.withColumn("shared_anchor_penalty", F.when(c("r_shared") & ~anchored, F.lit(-3.5)).otherwise(zero))
-    names = [*terms, "shared_anchor_penalty"]
+    out = out.withColumn("shared_anchor_penalty", F.when(c("r_shared") & ~anchored, F.lit(-3.5)).otherwise(zero)).withColumn("attractor_penalty", _attractor_penalty(columns))
+    names = [*terms, "shared_anchor_penalty", "attractor_penalty"]
     total = sum((c(n) for n in names), zero)
     return out.withColumn("structured_total", F.greatest(total, zero))
 

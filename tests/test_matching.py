@@ -66,3 +66,15 @@ def test_evidence_by_source_reference_or_one_of_several_rules(spark):
                               "item_id int, text string, rule_ids array<string>, article string, clause string")
     got = {(r.query_id, r.item_id): (r.source_ref_substring, r.rule_id_match) for r in R.evidence_topk(q, c).collect()}
     assert got == {("q", 1): (3.5, 0.0), ("q", 2): (0.0, 6.0)}
+
+
+def test_registration_and_attractor_terms(spark):
+    base = dict(q_goal="deadline", q_focus="deadline", q_args=["X"], q_text="dang ky", q_action="", q_object="", q_event="", q_conditions=[], q_subject="", q_time="", q_exception="", q_domain_text="", r_head="deadline",
+                r_form="deadline", r_args=["Y"], r_event="", r_conditions=[], r_action="", r_domain="enterprise", r_shared=False, q_context=[], r_context=[], q_subject_type="company", q_registration_deadline=True, r_generic=False, compatibility=1.0)
+    rows = [dict(base, k=1, r_blob="đăng ký doanh nghiệp company"), dict(base, k=2, r_blob="cưỡng chế thuế"), dict(base, k=3, r_blob="xyz", q_registration_deadline=False, r_head="unknown", r_form="threshold", r_generic=True, r_domain="labor", compatibility=-1.0)]
+    schema = ", ".join(f"{c} {'array<string>' if isinstance(v, list) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'int' if c == 'k' else 'string'}" for c, v in rows[0].items())
+    got = {
+        r.k: r for r in R.structured_score(spark.createDataFrame([tuple(r[c] for c in rows[0]) for r in rows], schema)).collect()}
+    assert (got[1].registration_boost, got[1].subject_type_guess, got[1].tax_attractor_penalty) == (7.0, 0.8, 0.0)
+    assert (got[2].registration_boost, got[2].tax_attractor_penalty, got[2].family_mismatch_penalty) == (3.0, -22.0, -10.0)
+    assert got[3].registration_boost == 0.0 and abs(got[3].attractor_penalty + 1.8 + 0.8 + 0.7 + 1.3 + 0.8) < 1e-9 and got[1].attractor_penalty == 0.0
