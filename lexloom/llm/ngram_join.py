@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.util import arrow_schema, stage
+from lexloom.llm.util import arrow_schema, discard, stage
 from lexloom.llm.words import hash_words, mix
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -44,6 +44,7 @@ SKETCH_BITS = 256
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 2_000_000
 RANGES = 4
+SALTS = 16
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -106,9 +107,23 @@ def block_keys(own: np.ndarray, limit: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(own: np.ndarray) -> bytes:
+def sketch(own: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """Parities of how many hashes fall on each bit; two sketches differ in at most as many bits as the sets in elements."""
-    return np.packbits((np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_sketch(own: np.ndarray) -> bytes:
+    """A sketch of two bits or more per element, so that it tells sets apart that a short one can't."""
+    return sketch(own, max(SKETCH_BITS, 1 << (2 * len(own)).bit_length()))
+
+
+def difference_bound(x: bytes, y: bytes) -> int:
+    """Least symmetric difference that two wide sketches allow; the longer is folded (parities of halves add up)."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
@@ -290,19 +305,30 @@ def _sets(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in _in_slices(b):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], names=["id", "set"])
+                sets = shingle_sets(texts, n)
+                cols = [[len(s) for s in sets], [wide_sketch(s) for s in sets], [s.tobytes() for s in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary())))], names=["id", "n", "wide", "set"])
 
-    return stage(docs.join(asked, "id", "left_semi").mapInArrow(run, "id long, set binary"), "sets")
+    return stage(docs.join(asked, "id", "left_semi").mapInArrow(run, "id long, n long, wide binary, set binary"), "sets")
 
 
 def _links(sets: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
-    """Those of the pairs that link."""
+    """Those of the pairs that link: by their wide sketches first, the few that are left by their sets."""
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            bound = np.array([difference_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(bound <= limit.difference(na, nb), pa.bool_()))
+
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [overlaps(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), limit) >= 0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    side = lambda key, **cols: sets.select(F.col("id").alias(key), *[F.col(c).alias(name) for c, name in cols.items()])
+    told = pairs.join(side("a", n="na", wide="x"), "a").join(side("b", n="nb", wide="y"), "b").select("a", "b", "na", "nb", "x", "y")
+    close = stage(told.mapInArrow(near, "a long, b long").distinct(), "close")
+    both = close.join(side("a", set="x"), "a").join(side("b", set="y"), "b")
     return stage(both.select("a", "b", "x", "y").mapInArrow(multiply, "a long, b long"), "links")
 
 
@@ -332,11 +358,14 @@ def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = stage(_profiles(docs, n, limit), "profiles")
     copies = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    named = stage(profiles.select("id", "n", "digest", "sketch").join(copies, "digest", "left").select(
-        "id", "n", "sketch", F.coalesce("first", "id").alias("first")), "named")
+    # Copies of one text may be a large share of all rows: they are dealt over SALTS tasks.
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = profiles.select("id", "n", "digest", "sketch", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", "sketch", F.coalesce("first", "id").alias("first")), "named")
 
     members = stage(_memberships(profiles).join(named.select("id", "n", "sketch", "first").where("n > 0"), "id").select(
         "head", "key", F.col("first").alias("id"), "n", "sketch").distinct(), "members")
+    discard(profiles)
     sets = _sets(docs, members.select("id").distinct(), n)
     heads = members.groupBy("head", "key").agg(F.min(F.struct("id", "n", "sketch")).alias("one"))
     met = members.join(heads, ["head", "key"]).where("id <> one.id").select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.col("one.n").alias("na"), F.col("n").alias("nb"), F.col("one.sketch").alias("sa"), F.col("sketch").alias("sb"))

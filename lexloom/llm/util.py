@@ -32,7 +32,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a Parquet table into the shared folder and read it back; later reads survive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stage_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, columns: Sequence[str]) -> DataFrame:

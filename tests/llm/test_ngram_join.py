@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lexloom.llm.ngram_join import Threshold, block_keys, components, keep_first, ngram_components, overlaps, shingle_sets
+from lexloom.llm.ngram_join import Threshold, block_keys, components, difference_bound, keep_first, ngram_components, overlaps, shingle_sets, wide_sketch
 
 
 def plain_set(text, n):
@@ -72,6 +72,7 @@ def test_linked_rows_share_a_block():
             if linked:
                 assert len(np.intersect1d(block_keys(a, limit), block_keys(b, limit)))
                 assert limit.difference(len(a), len(b)) >= len(a) + len(b) - 2 * len(common)
+            assert difference_bound(wide_sketch(a), wide_sketch(b)) <= len(np.setxor1d(a, b))
 
 
 def test_shingles_of_many_texts():
