@@ -151,17 +151,15 @@ def _profiles(docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
 
 
 def _memberships(profiles: DataFrame) -> DataFrame:
-    """Rows (head, key, id): the distinct blocks that hold more than one row, and the rows in them, out of one shuffle.
+    """Rows (key, id) of all blocks that hold more than one row, out of one shuffle of packed keys.
 
-    Keys and ids are sent packed. In each batch equal sets and equal keys are met first: one row stands for a key in
-    the shuffle, the others follow it (and are put beside it in all of its blocks, which can only add candidates). So a
-    key has at most one row per batch. Rows that are near each other share most of their slices; blocks with the same
-    rows are told by the smallest id and a hash of all ids, and count once.
+    In each batch equal sets and equal keys are met first: one row stands for a key in the shuffle, the others are
+    members already and go along beside it.
     """
     total = profiles.agg(F.sum(F.length("keys")) / 8).first()[0] or 0
     spark = profiles.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_ROWS) + 1)
-    ddl = "bucket int, follows boolean, keys binary, ids binary"
+    ddl = "bucket int, met boolean, keys binary, ids binary"
     schema = arrow_schema(ddl)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,71 +177,55 @@ def _memberships(profiles: DataFrame) -> DataFrame:
             by = np.argsort(key, kind="stable")
             key, doc = key[by], doc[by]
             first = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
-            lead = doc[first][np.cumsum(first) - 1]
-            pairs = np.unique(np.stack([lead[~first], doc[~first]]), axis=1)
-            key, doc = key[first], doc[first]
-            bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)  # rises with the key
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[:len(bucket)]).tolist()
-            rows = [(int(bucket[a]), False, key[a:z].tobytes(), doc[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(key)])]
-            if pairs.size:
-                rows.append((int(pairs[0, 0] % buckets), True, pairs[0].tobytes(), pairs[1].tobytes()))
+            alone = first & np.append(first[1:], True)[:len(key)]
+            rows = []
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
+            for met, mask in ((False, first), (True, ~alone)):
+                k, d, p = key[mask], doc[mask], bucket[mask].astype(np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[:len(p)]).tolist()
+                rows += [(int(p[a]), met, k[a:z].tobytes(), d[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(p)])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for bucket, follows, keys, ids in zip(*(c.to_pylist() for c in b.columns)):
-                if follows:
-                    yield _rows(True, np.frombuffer(keys, np.int64), np.zeros(len(keys) // 8, np.int64), np.frombuffer(ids, np.int64))
+            for bucket, met, keys, ids in zip(*(c.to_pylist() for c in b.columns)):
+                key, doc = np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
+                if met:
+                    yield _member_rows(key, doc)
                     continue
                 if bucket != now:
-                    yield from _blocks(held)
+                    yield from _met(held)
                     now, held = bucket, []
-                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)))
-        yield from _blocks(held)
+                held.append((key, doc))
+        yield from _met(held)
 
     sent = profiles.where(F.col("n") > 0).select("id", "digest", "keys").where(F.col("id").isNotNull()).mapInArrow(send, ddl)
-    found = stage(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "follows boolean, head long, key long, id long").distinct(), "blocks")
-    blocks = found.where("NOT follows").select("head", "key", "id")
-    behind = found.where("follows").select("head", "id")
-    beside = blocks.withColumnRenamed("id", "__id").join(behind.select(F.col("head").alias("__id"), "id"), "__id").select("head", "key", "id")
-    local = behind.select("head", F.lit(0).cast("long").alias("key"), F.explode(F.array("head", "id")).alias("id"))
-    return blocks.union(beside).union(local).distinct()
-
-
-def _rows(follows: bool, head: np.ndarray, key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), follows)), pa.array(head), pa.array(key), pa.array(ids)], names=["follows", "head", "key", "id"])
-
-
-def _blocks(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The distinct blocks of more than one id among keys that share a bucket."""
-    if not held:
-        return
-    key, doc = (np.concatenate(c) for c in zip(*held))
-    by = np.lexsort((doc, key))
-    key, doc = key[by], doc[by]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    key, doc = key[new], doc[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
-    name, head = np.add.reduceat(mix(doc.astype(np.uint64)), start), doc[start]
-    several = np.flatnonzero(size > 1)
-    if not len(several):
-        return
-    several = several[np.unique(np.stack([head[several].astype(np.uint64), name[several]]), axis=1, return_index=True)[1]]
-    n = size[several]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[several], n)
-    yield _rows(False, np.repeat(head[several], n), np.repeat(name[several].view(np.int64), n), doc[at])
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long")
+
+
+def _member_rows(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], names=["key", "id"])
+
+
+def _met(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if held:
+        key, doc = (np.concatenate(c) for c in zip(*held))
+        by = np.argsort(key, kind="stable")
+        key, doc = key[by], doc[by]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        several = ~(first & np.append(first[1:], True))
+        yield _member_rows(key[several], doc[several])
 
 
 def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFrame:
     """Pairs of rows of one block that are in different components so far and that sizes and sketches allow."""
-    sizes = members.groupBy("head", "key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = members.join(sizes.where("lo <> hi"), ["head", "key"])
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = members.join(sizes.where("lo <> hi"), "key")
     mine = open_.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     # Chunk i meets chunk j >= i: as the left side once per j, as the right side once per i.
     sent = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "head", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "n", "sketch", "component")
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "n", "sketch", "component")
 
     ddl = "a long, b long"
 
@@ -251,8 +233,8 @@ def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFr
         rest = None
         for b in batches:
             now = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            head, key, i, j = (now.column(c).to_numpy() for c in ("head", "key", "i", "j"))
-            same = (head[1:] == head[:-1]) & (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+            key, i, j = (now.column(c).to_numpy() for c in ("key", "i", "j"))
+            same = (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on in the next batch
             yield from pairs(now.slice(0, cut))
             rest = now.slice(cut)
@@ -263,9 +245,9 @@ def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFr
         """Rows of a group stand together: row r meets row r + d for d = 1, 2, ... as long as any group reaches so far."""
         if not t.num_rows:
             return
-        head, key, i, j, left, ids, n, group = (t.column(c).to_numpy() for c in ("head", "key", "i", "j", "left", "id", "n", "component"))
+        key, i, j, left, ids, n, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "n", "component"))
         bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        edge = np.concatenate([[True], (head[1:] != head[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         run = np.cumsum(edge) - 1
         ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]
         row, d = np.arange(t.num_rows), 1
@@ -280,7 +262,7 @@ def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
             d += 1
 
-    keys = ["head", "key", "i", "j"]
+    keys = ["key", "i", "j"]
     return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, ddl).where("a <> b").distinct()
 
 
@@ -364,16 +346,16 @@ def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (
     named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", "sketch", F.coalesce("first", "id").alias("first")), "named")
 
     members = stage(_memberships(profiles).join(named.select("id", "n", "sketch", "first").where("n > 0"), "id").select(
-        "head", "key", F.col("first").alias("id"), "n", "sketch").distinct(), "members")
+        "key", F.col("first").alias("id"), "n", "sketch").distinct(), "members")
     discard(profiles)
     sets = _sets(docs, members.select("id").distinct(), n)
-    heads = members.groupBy("head", "key").agg(F.min(F.struct("id", "n", "sketch")).alias("one"))
-    met = members.join(heads, ["head", "key"]).where("id <> one.id").select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.col("one.n").alias("na"), F.col("n").alias("nb"), F.col("one.sketch").alias("sa"), F.col("sketch").alias("sb"))
+    heads = members.groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("one"))
+    met = members.join(heads, "key").where("id <> one.id").select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.col("one.n").alias("na"), F.col("n").alias("nb"), F.col("one.sketch").alias("sa"), F.col("sketch").alias("sb"))
     links = _links(sets, stage(_allowed(met, limit), "pairs"), limit)
     same = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     found = stage(components(links), "components")
 
-    labelled = members.join(found, "id", "left").select("head", "key", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    labelled = members.join(found, "id", "left").select("key", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
     more = _links(sets, stage(_pairs_in_chunks(labelled, limit, chunk), "pairs"), limit)
     final = stage(components(links.union(more).union(same)), "components")
     return named.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
