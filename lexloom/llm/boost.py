@@ -70,12 +70,15 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
     return Trees(edges, base, feature, cut, value)
 
 
-def monotone_probability(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic calibration: scores and the probability from each of them on (pool adjacent violators)."""
+def monotone_probability(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic calibration: scores and the probability from each of them on (pool adjacent violators).
+
+    With `n`, row i stands for n[i] rows of score z[i], y[i] of them positive.
+    """
     blocks: list[list[float]] = []  # first score, sum, count
     order = np.argsort(z, kind="stable")
-    for s, v in zip(z[order], y[order]):
-        blocks.append([float(s), float(v), 1.0])
+    for s, v, c in zip(z[order], y[order], np.ones(len(z)) if n is None else n[order]):
+        blocks.append([float(s), float(v), float(c)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, v2, n2 = blocks.pop()
             blocks[-1][1] += v2

@@ -73,3 +73,17 @@ def test_pii_query_and_redaction(docs_of):
     assert len(clean) == len(rows) and {r.text for r in clean if r.doc_id in (900, 901)} == {None, ""}
     assert all("<PHONE>" in r.text and "<EMAIL>" in r.text and "order" in r.text for r in clean if r.doc_id < 300)
     assert pii.find_pii(docs_of([])).count() == 0
+
+
+def test_pii_thresholds_follow_the_corpus_mix_above_the_sample(spark):
+    """Proposals that look alike are personal ten times in eleven: under 0.98, whatever the sample of the trees holds."""
+    x = lambda like: [3.0, like] + [0.0] * 24
+    spans = [(1, 1.0)] * 400 + [(0, 1.0)] * 40 + [(0, 0.0)] * 8000
+    rows = [(i, [("phone", 0, 9, y, x(like))]) for i, (y, like) in enumerate(spans)]
+    scanned = spark.createDataFrame(rows, "doc_id long, found array<struct<family:string,a:int,b:int,y:int,x:array<float>>>").repartition(3)
+    for sample in (200, 10_000):
+        assert pii.fit_selector(scanned, sample).least == {}
+    clear = scanned.where("doc_id < 400 or doc_id >= 440")
+    for sample in (200, 10_000):
+        selector = pii.fit_selector(clear, sample)
+        assert selector.choose([{"family": "phone", "a": 0, "b": 9, "x": x(1.0)}], []) and not selector.choose([{"family": "phone", "a": 0, "b": 9, "x": x(0.0)}], [])
