@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 import hashlib
+from itertools import chain
 import re
 
 import numpy as np
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lexloom.llm.util import arrow_schema
 from lexloom.llm.words import hash_words
@@ -241,24 +244,68 @@ def _search(docs: DataFrame, bench: Broadcast, shard_bytes: int, share: int | No
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns."""
+    """The rows of documents that are not contaminated, with all their columns.
+
+    Rows without an id are judged each by itself, and so are all rows where the benchmark is one block. With more blocks
+    the others are judged by their id: rows that share one stay or go together.
+    """
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, more = next(blocks, []), next(blocks, None)
-    if more is not None:  # a document's hits add up over blocks: judged by id, so rows that share an id go together
-        gone = decontaminate(docs, benchmark, id_col, text_col, item_col, item_text_col, window, share, shard_bytes, block_bytes)
-        gone = gone.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    bench, at = docs.sparkSession.sparkContext.broadcast(Benchmark(first, window)), docs.columns.index(text_col)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _keep_rows(docs, [first], text_col, window, share, shard_bytes)
+    named = docs.where(docs[id_col].isNotNull())
+    gone = decontaminate(named, benchmark, id_col, text_col, item_col, item_text_col, window, share, shard_bytes, block_bytes)
+    gone = gone.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return named.join(gone, named[id_col] == F.col("__gone"), "left_anti").unionAll(
+        _keep_rows(docs.where(docs[id_col].isNull()), chain([first, second], blocks), text_col, window, share, shard_bytes))
+
+
+def _keep_rows(docs: DataFrame, blocks: Iterable[list[tuple[str, str]]], text_col: str, window: int, share: int, shard_bytes: int) -> DataFrame:
+    """The rows that are not contaminated, each judged by itself: hit ranges are carried along from block to block."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+    carried = StructType([*docs.schema, StructField("__hits" + "_" * max(map(len, docs.columns)), ArrayType(LongType()))])
+    out, own, blocks = docs, len(docs.columns), iter(blocks)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        out = _sift(out, sc.broadcast(Benchmark(block, window)), at, own, shard_bytes, share, docs.schema if after is None else carried)
+        block = after
+    return out
+
+
+def _sift(docs: DataFrame, bench: Broadcast, at: int, own: int, shard_bytes: int, share: int, result: StructType) -> DataFrame:
+    """One pass for one block: the `own` first columns, with the hit ranges so far ([a, b, a, b ...]) or, at the end, without contaminated rows."""
+    carried, last = len(docs.columns) > own, len(result) == own
+    schema = to_arrow_schema(result)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, texts in _shards(b.column(at), shard_bytes):
+                part = b.slice(a, len(texts))
                 shard = Shard(texts)
                 word, which = shard.find(bench.value)
+                first = np.concatenate([[0], np.cumsum(shard.n_words)])
                 edge = np.zeros(len(shard.start) + 1, np.int64)
                 np.add.at(edge, word, 1)
                 np.add.at(edge, word + bench.value.width[which], -1)
-                hit = np.bincount(shard.doc, np.cumsum(edge)[:-1] > 0, len(texts))
-                yield b.slice(a, len(texts)).filter(pa.array((hit == 0) | (share * hit < shard.n_words)))
-
-    return docs.mapInArrow(run, docs.schema)
+                if carried:
+                    so_far = part.column(own).to_pylist()
+                    ranges = np.array([x + f for r, f in zip(so_far, first.tolist()) for x in r], np.int64)
+                    np.add.at(edge, ranges[0::2], 1)
+                    np.add.at(edge, ranges[1::2], -1)
+                covered = np.cumsum(edge)[:-1] > 0
+                rows = part.columns[:own]
+                if last:
+                    hit = np.bincount(shard.doc, covered, len(texts))
+                    yield pa.RecordBatch.from_arrays(rows, names=schema.names).filter(pa.array((hit == 0) | (share * hit < shard.n_words)))
+                    continue
+                # A run of hit words ends with its document.
+                fresh = np.concatenate([[True], shard.doc[1:] != shard.doc[:-1]]) if len(covered) else covered
+                begin = np.flatnonzero(covered & (fresh | ~np.concatenate([[False], covered[:-1]])))
+                end = np.flatnonzero(covered & np.concatenate([(fresh | ~covered)[1:], [True]])) + 1 if len(covered) else begin
+                found: list[list[int]] = [[] for _ in texts]
+                for d, x, y in zip(shard.doc[begin].tolist(), begin.tolist(), end.tolist()):
+                    found[d] += [x - int(first[d]), y - int(first[d])]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(found, schema.types[own])], names=schema.names)
+
+    return docs.mapInArrow(run, result)

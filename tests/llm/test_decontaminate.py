@@ -48,6 +48,27 @@ def test_against_brute_force(spark, docs_of):
         assert kept.columns[:2] == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == {r[0] for r in want} - {r[0] for r in want if r[5]}
 
 
+def test_rows_without_id_are_judged_by_themselves_at_every_benchmark_size(spark, docs_of):
+    docs, items = case(3)
+    docs = [(i if i % 3 == 1 else None, t) for i, (_, t) in enumerate(docs)] + [(None, items[4][1]), (None, "zz zz"), (None, None), (70, items[4][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([d for d, r in zip(docs, (brute([d], items, 5)[0] for d in docs)) if not r[5]], key=str)
+    assert 0 < len(want) < len(docs)
+    for block in (40, 1 << 20):
+        kept = keep_clean(docs_of(docs), bench, window=5, block_bytes=block, shard_bytes=400)
+        assert kept.columns == docs_of(docs).columns
+        assert sorted([tuple(r)[:2] for r in kept.collect()], key=str) == want
+
+
+def test_hits_of_a_row_add_up_over_blocks(spark, docs_of):
+    items = [(1, "a b c d e"), (2, "f g h i j")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(None, "a b c d e " + "x " * 20), (None, "a b c d e f g h i j " + "x " * 20), (3, "f g h i j"), (4, "x")]
+    for block in (1, 1 << 20):
+        kept = keep_clean(docs_of(docs), bench, window=5, share=3, block_bytes=block)
+        assert sorted(r.text for r in kept.collect()) == sorted([docs[0][1], "x"])
+
+
 def test_empty_tables(spark, docs_of):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs_of([]), bench).count() == 0
