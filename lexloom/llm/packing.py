@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 import re
 import zlib
 
@@ -103,68 +104,93 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 
 
+Run = tuple[int, int]  # a length and how often it is taken
+
+
+def _best_fit(counts: dict[int, int], lengths: list[int], top: int, space: int) -> tuple[list[Run], int]:
+    """The longest of lengths[:top] that fits, as often as it fits, again and again; and the space that is left."""
+    out = []
+    while (top := bisect_right(lengths, space, 0, top)) > 0:
+        size = lengths[top - 1]
+        k = min(counts[size], space // size)
+        if k:
+            out.append((size, k))
+            space -= k * size
+        top -= 1
+    return out, space
+
+
 def complete(counts: dict[int, int], lengths: list[int], room: int, nodes: int) -> list[int]:
     """The undominated filling of `room` that leaves the least waste, by depth-first branch and bound.
 
-    Branches take lengths in falling order. A branch ends when nothing fits (such a filling is undominated by any
-    that adds a piece), or when even the whole rest cannot beat the incumbent. The first descent is best fit.
+    Branches say how often a length is taken, lengths in falling order, the highest number first. Every node is completed
+    by best fit, so each is a whole filling of any number of pieces, and `nodes` bounds the branching only: the first node
+    is best fit. A branch ends when the whole rest of shorter pieces cannot beat the incumbent, or when it leaves out a
+    piece that fits and weighs no less than all shorter pieces together (that piece dominates whatever they make).
     """
-    best: list[int] = []
-    least, left = room, nodes
-    taken: list[int] = []
-
-    def descend(space: int, top: int) -> None:
-        nonlocal best, least, left
+    best, least = _best_fit(counts, lengths, len(lengths), room)
+    below = [0]  # what the pieces of lengths[:i] weigh together
+    if least and nodes > 1:
+        below += accumulate(n * counts[n] for n in lengths)
+    todo: list[tuple[int, int, list[Run], int | None]] = [(len(lengths), room, [], None)]
+    left = nodes - 1
+    while todo and least and left > 0:
+        top, space, taken, k = todo.pop()
+        if k is None:  # a state that has been completed; branch at the longest length that fits
+            top = bisect_right(lengths, space, 0, top)
+            if not top or space - below[top] >= least:
+                continue
+            k = min(counts[lengths[top - 1]], space // lengths[top - 1])
+        size, most = lengths[top - 1], min(counts[lengths[top - 1]], space // lengths[top - 1])
+        rest = space - k * size
+        if rest - below[top - 1] >= least or (k < most and below[top - 1] <= size):
+            continue  # nor can a lower number do better: more space, the same rest
+        if k:
+            todo.append((top, space, taken, k - 1))
+        own = [*taken, (size, k)] if k else taken
         left -= 1
-        if nodes == 1:  # best fit: the longest that fits, again and again
-            while (i := bisect_right(lengths, space) - 1) >= 0:
-                while i >= 0 and counts[lengths[i]] <= taken.count(lengths[i]):
-                    i -= 1
-                if i < 0:
-                    break
-                taken.append(lengths[i])
-                space -= lengths[i]
-            best = list(taken)
-            return
-        free = counts.get(space, 0) - taken.count(space)
-        if free > 0 and space <= top:
-            best, least = [*taken, space], 0
-            return
-        if space < least:
-            best, least = list(taken), space
-        i = bisect_right(lengths, min(space, top)) - 1
-        while i >= 0 and least and left > 0:
-            size = lengths[i]
-            if counts[size] > taken.count(size):
-                # With no piece longer than `size`, fillings of this space waste at least this much.
-                if size == 1 and space - (counts[1] - taken.count(1)) >= least:
-                    return
-                taken.append(size)
-                descend(space - size, size)
-                taken.pop()
-            i -= 1
-
-    if lengths and room >= lengths[0]:
-        descend(room, room)
-    return best
+        more, waste = _best_fit(counts, lengths, top - 1, rest)
+        if waste < least:
+            best, least = [*own, *more], waste
+        todo.append((top - 1, rest, own, None))
+    return [n for n, k in best for _ in range(k)]
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 400, mixes: int = 16) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and their multiplicities that use up the histogram. `nodes` bounds the search for one pattern.
 
-    The plan by bin completion has to beat the best-fit plan (the first descent of each search), which is the incumbent.
+    The best of: best fit; bin completion, with `nodes` or less, over all pieces or with the small ones kept to fill what
+    the others leave; and the first patterns of each of these followed by best fit, from `mixes` places on. A plan of ceil(pieces / capacity) bins cannot be beaten and ends this.
     """
-    plans = [_plan(histogram, capacity, k) for k in (1, nodes)]
-    return min(reversed(plans), key=lambda plan: sum(times for _, times in plan))
+    bins = lambda plan: sum(times for _, times in plan)
+    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best = _plan(histogram, capacity, 1)
+    for budget, small in ((nodes, 0), (nodes, capacity // 16), (nodes // 16, 0), (nodes // 64, capacity // 16)):
+        if bins(best) == bound:
+            break
+        own = _plan(histogram, capacity, budget, small)
+        best = min(own, best, key=bins)
+        for cut in sorted({len(own) * i // mixes for i in range(1, mixes)}):
+            if bins(best) == bound:
+                break
+            rest = Counter(histogram)
+            for filling, times in own[:cut]:
+                for n in filling:
+                    rest[n] -= times
+            best = min(best, own[:cut] + _plan(rest, capacity, 1), key=bins)
+    return best
 
 
-def _plan(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(histogram: dict[int, int], capacity: int, nodes: int, small: int = 0) -> list[tuple[tuple[int, ...], int]]:
     counts = {n: c for n, c in histogram.items() if c > 0}
     lengths, plan = sorted(counts), []
     while lengths:
         big = lengths[-1]
         counts[big] -= 1
-        filling = (big, *complete(counts, lengths, capacity - big, nodes))
+        low = bisect_right(lengths, small)
+        filling = (big, *complete(counts, lengths[low:] if low else lengths, capacity - big, nodes))
+        if low:
+            filling += tuple(n for n, k in _best_fit(counts, lengths, low, capacity - sum(filling))[0] for _ in range(k))
         counts[big] += 1
         need = Counter(filling)
         times = min(counts[n] // k for n, k in need.items())

@@ -67,6 +67,19 @@ def test_plan_is_near_the_bound_and_exact():
         assert sum(times for _, times in plan) <= len(first_fit) + 1
 
 
+def test_many_tiny_pieces_fill_their_bins():
+    """Best fit of the long pieces leaves gaps, and more tiny pieces than nodes fit into one bin."""
+    for histogram in ({1678: 15, 1029: 58, 1341: 5, 8: 913, 3: 2412}, {1248: 41, 1220: 28, 1233: 52, 1599: 17, 3: 3343}, {1112: 51, 1642: 51, 1703: 45, 1507: 10, 1100: 38, 5: 8889, 3: 1152}, {1: 9000}):
+        plan = plan_bins(histogram, 4096)
+        used = defaultdict(int)
+        for filling, times in plan:
+            assert sum(filling) <= 4096
+            for n in filling:
+                used[n] += times
+        assert used == histogram
+        assert sum(times for _, times in plan) == -(-sum(n * c for n, c in histogram.items()) // 4096)
+
+
 def test_empty_table_and_ids(docs_of):
     assert pack(docs_of([]), PATH).count() == 0
     r = pack(docs_of([(7, "of the")]), PATH, keep_ids=True).collect()[0]
