@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
-from lexloom.llm import decontaminate, html, langid, ngram_join, packing, pii, quality, secrets, topk, urls
+from lexloom.llm import decontaminate, html, langid, merkle, ngram_join, packing, pii, quality, secrets, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,48 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines())
+    return merkle.verified(entries).select(entries.id.alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _leaf_sql(text: str) -> str:
+    one = lambda c: f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')"
+    return f"sha256({' || '.join(map(one, ['doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', text]))})"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Levels of a tree as a recursive table (grp, lvl, r, h, n), and the children of its nodes."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS lvl, r, h, n FROM {leaves}
+  UNION ALL SELECT grp, lvl + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY grp, lvl, r // 3, n
+), {name}_kids AS (SELECT grp, lvl + 1 AS lvl, r // 3 AS r, list(h ORDER BY r) AS kids FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walk_sql(name: str, start: str, tree: str) -> str:
+    left, right = "array_to_string(kids[1:w.r % 3], '')", "array_to_string(kids[w.r % 3 + 2:], '')"
+    return f"""{name} AS (
+  SELECT *, 0 AS lvl FROM ({start})
+  UNION ALL SELECT w.doc_id, w.source, w.grp, w.r // 3, sha256({left} || acc || {right}), proof || {left} || {right}, w.lvl + 1
+  FROM {name} w JOIN {tree}_kids p ON p.grp IS NOT DISTINCT FROM w.grp AND p.lvl = w.lvl + 1 AND p.r = w.r // 3
+), {name}_end AS (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1)"""
+
+
+CRC_SQL = """(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))))"""
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN {CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS shown FROM documents
+), l0 AS (SELECT source AS grp, doc_id, leaf AS h, shown, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+{_levels_sql('tree', 'l0')},
+s0 AS (SELECT 0 AS grp, grp AS source, h, row_number() OVER (ORDER BY encode(grp) NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_levels_sql('top', 's0')},
+{_walk_sql('low', "SELECT doc_id, grp AS source, grp, r, shown AS acc, '' AS proof FROM l0", 'tree')},
+{_walk_sql('high', "SELECT e.doc_id, e.source, 0 AS grp, s0.r, e.acc, e.proof FROM low_end e JOIN s0 ON s0.source IS NOT DISTINCT FROM e.source", 'top')}
+SELECT doc_id, leaf, s0.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.h AS verified
+FROM high_end e JOIN d USING (doc_id) JOIN s0 ON s0.source IS NOT DISTINCT FROM e.source CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+"""
