@@ -13,10 +13,13 @@ Within blocks, pairs whose sizes or parity sketches (a lower bound of the differ
 for the rest the overlap is accumulated over ranges of columns, and a pair is dropped as soon as what is left cannot
 lift it to the bound of its sizes.
 
-Only components are asked for, so a block need not give all of its pairs. First every row is multiplied with the first
-row of its block (linear in the block); only blocks that then still hold several components give pairs between these,
-in chunks of at most `chunk` rows a side. Equal sets meet by their digest, and only one of each enters the product; a
-batch sends one row per block, however many of its rows are in it. So no group is gathered in one place.
+Only components are asked for, so a block need not give all of its pairs. First every row is multiplied with a head of
+its block (linear in the block). Blocks that then still hold several components are open. In an open block rows are
+compared by their sketches where they stand, in chunks of at most `chunk` rows a side, and only pairs that the sketches
+allow leave the task: in the first rounds two partners a row, so that what hangs together becomes one component at a
+cost linear in the block; in the last round all pairs that are left between different components. Equal sets meet by
+their digest, and only one of each enters the product; a batch sends one row per block, however many of its rows are in
+it. So no group is gathered in one place.
 
 N-grams are compared by 64-bit hashes. Null and empty texts have no n-grams and link with nothing. Rows that share an
 id are one document. Rows without an id come back as they are, linked with nothing.
@@ -24,12 +27,13 @@ id are one document. Rows without an id come back as they are, linked with nothi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ _FOLD[0x41:0x5B] += 32
 _WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SKETCH_BITS = 256
+SENT_BITS = 1024
+ROUNDS = ("near", "near", "all")
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 2_000_000
 RANGES = 4
@@ -117,13 +123,16 @@ def wide_sketch(own: np.ndarray) -> bytes:
     return sketch(own, max(SKETCH_BITS, 1 << (2 * len(own)).bit_length()))
 
 
+def folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch of at most so many bytes: the parities of its halves add up."""
+    a = np.frombuffer(x, np.uint8)
+    return a if len(a) <= size else np.bitwise_xor.reduce(a.reshape(-1, size), axis=0)
+
+
 def difference_bound(x: bytes, y: bytes) -> int:
-    """Least symmetric difference that two wide sketches allow; the longer is folded (parities of halves add up)."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) != len(b):
-        a, b = (a, b) if len(a) < len(b) else (b, a)
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+    """Least symmetric difference that two wide sketches allow; the longer is folded."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
@@ -136,30 +145,33 @@ def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
             a, size = i + 1, 0
 
 
-def _profiles(docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    ddl = "id long, n long, digest binary, sketch binary, keys binary"
+def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Per document: size, digest, block keys and wide sketch of its set, and the sketch folded to what is sent to blocks."""
+    ddl = "id long, n long, digest binary, keys binary, sketch binary, small binary"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in _in_slices(b):
                 sets = shingle_sets(texts, n)
-                cols = [ids, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [sketch(s) for s in sets], [block_keys(s, limit).tobytes() if len(s) else b"" for s in sets]]
+                sketches = [wide_sketch(s) for s in sets]
+                cols = [ids, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [keys(s).tobytes() if len(s) else b"" for s in sets],
+                        sketches, [folded(x, SENT_BITS // 8).tobytes() for x in sketches]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     return docs.mapInArrow(run, ddl)
 
 
-def _memberships(profiles: DataFrame) -> DataFrame:
-    """Rows (key, id) of all blocks that hold more than one row, out of one shuffle of packed keys.
+def memberships(profiles: DataFrame) -> DataFrame:
+    """Rows (key, id, head) of all blocks that hold more than one row, out of one shuffle of packed keys.
 
-    In each batch equal sets and equal keys are met first: one row stands for a key in the shuffle, the others are
-    members already and go along beside it.
+    In each batch equal sets and equal keys are met first: one row stands for a key in the shuffle and is the head of the
+    others, which are members already and go along beside it. The rows that stand for a key have the smallest id as head.
     """
     total = profiles.agg(F.sum(F.length("keys")) / 8).first()[0] or 0
     spark = profiles.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_ROWS) + 1)
-    ddl = "bucket int, met boolean, keys binary, ids binary"
+    ddl = "bucket int, met boolean, keys binary, ids binary, heads binary"
     schema = arrow_schema(ddl)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,26 +185,22 @@ def _memberships(profiles: DataFrame) -> DataFrame:
                     ids.append(np.full(len(keys[-1]), doc, np.int64))
             if not keys:
                 continue
-            key, doc = np.concatenate(keys), np.concatenate(ids)
-            by = np.argsort(key, kind="stable")
-            key, doc = key[by], doc[by]
-            first = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
-            alone = first & np.append(first[1:], True)[:len(key)]
+            key, doc, head, first, several = _blocks(np.concatenate(keys), np.concatenate(ids))
             rows = []
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
-            for met, mask in ((False, first), (True, ~alone)):
-                k, d, p = key[mask], doc[mask], bucket[mask].astype(np.int64)
+            for met, mask in ((False, first), (True, several)):
+                k, d, h, p = key[mask], doc[mask], head[mask], bucket[mask].astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[:len(p)]).tolist()
-                rows += [(int(p[a]), met, k[a:z].tobytes(), d[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(p)])]
+                rows += [(int(p[a]), met, k[a:z].tobytes(), d[a:z].tobytes(), h[a:z].tobytes() if met else b"") for a, z in zip(cuts, [*cuts[1:], len(p)])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for bucket, met, keys, ids in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, met, keys, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
                 key, doc = np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
                 if met:
-                    yield _member_rows(key, doc)
+                    yield _member_rows(key, doc, np.frombuffer(heads, np.int64))
                     continue
                 if bucket != now:
                     yield from _met(held)
@@ -200,33 +208,56 @@ def _memberships(profiles: DataFrame) -> DataFrame:
                 held.append((key, doc))
         yield from _met(held)
 
-    sent = profiles.where(F.col("n") > 0).select("id", "digest", "keys").where(F.col("id").isNotNull()).mapInArrow(send, ddl)
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long")
+    sent = profiles.select("id", "digest", "keys").mapInArrow(send, ddl)
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long, head long")
+
+
+def _blocks(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows by key and id, each with the smallest id of its key; which stand first; which have company."""
+    by = np.lexsort((doc, key))
+    key, doc = key[by], doc[by]
+    first = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    head = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return key, doc, head, first, ~(first & np.append(first[1:], True)[:len(key)])
 
 
-def _member_rows(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], names=["key", "id"])
+def _member_rows(key: np.ndarray, doc: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(head)], names=["key", "id", "head"])
 
 
 def _met(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if held:
-        key, doc = (np.concatenate(c) for c in zip(*held))
-        by = np.argsort(key, kind="stable")
-        key, doc = key[by], doc[by]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        several = ~(first & np.append(first[1:], True))
-        yield _member_rows(key[several], doc[several])
-
-
-def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFrame:
-    """Pairs of rows of one block that are in different components so far and that sizes and sketches allow."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = members.join(sizes.where("lo <> hi"), "key")
-    mine = open_.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    # Chunk i meets chunk j >= i: as the left side once per j, as the right side once per i.
-    sent = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "n", "sketch", "component")
+        key, doc, head, _, several = _blocks(*(np.concatenate(c) for c in zip(*held)))
+        yield _member_rows(key[several], doc[several], head[several])
+
+
+def _open_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, id, component, k) of the blocks that hold several components; k is the size of the block."""
+    now = stage(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "k")
+    # One block may hold a large share of the rows: its members are dealt over SALTS tasks.
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") > SALTS, SALTS - 1).otherwise(0))))
+    salted = now.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    large, small = sizes.where(F.col("k") > SALTS), sizes.where(F.col("k") <= SALTS)
+    out = salted.join(large, ["key", "salt"]).select("key", "id", "component", "k").union(now.join(small, "key").select("key", "id", "component", "k"))
+    out = stage(out, "open")
+    discard(now)
+    return out
+
+
+def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns: Sequence[str], chunk: int, round_no: int, every: bool) -> DataFrame:
+    """Distinct pairs of rows that share an open block, are in different components so far and that `able` allows.
 
+    Rows meet the other rows of their chunk of the block; where `every`, those of all its chunks. If not, two pairs a row
+    leave the task at most, with its first and its last partner.
+    """
+    mine = open_.join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
+        "mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
+    if every:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
+        mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    else:
+        mine = mine.withColumn("other", F.col("mine"))
+    sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", *columns)
     ddl = "a long, b long"
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,25 +276,57 @@ def _pairs_in_chunks(members: DataFrame, limit: Threshold, chunk: int) -> DataFr
         """Rows of a group stand together: row r meets row r + d for d = 1, 2, ... as long as any group reaches so far."""
         if not t.num_rows:
             return
-        key, i, j, left, ids, n, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "n", "component"))
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        key, i, j, left, ids, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "component"))
+        test = able(*(t.column(c) for c in columns))
         edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        run = np.cumsum(edge) - 1
-        ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]
+        ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[np.cumsum(edge) - 1]
         row, d = np.arange(t.num_rows), 1
+        first, last, found = np.full(t.num_rows, -1), np.full(t.num_rows, -1), []
         while len(row := row[row + d < ends[row]]):
             x, y = row, row + d
-            able = (group[x] != group[y]) & ((i[x] == j[x]) | (left[x] != left[y]))
-            x, y = x[able], y[able]
-            able = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= limit.difference(n[x], n[y])
-            x, y = ids[x[able]], ids[y[able]]
-            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            if found.size:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            fit = (group[x] != group[y]) & ((i[x] == j[x]) | (left[x] != left[y]))
+            x, y = x[fit], y[fit]
+            fit = test(x, y)
+            x, y = x[fit], y[fit]
+            if every:
+                found.append((x, y))
+            first[y], last[x] = x, y  # later rounds reach farther
             d += 1
+        if not every:
+            found = [(first[y], y) for y in [np.flatnonzero(first >= 0)]] + [(x, last[x]) for x in [np.flatnonzero(last >= 0)]]
+        if found:
+            x, y = (ids[np.concatenate(c)] for c in zip(*found))
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     keys = ["key", "i", "j"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, ddl).where("a <> b").distinct()
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(meet, ddl).where("a <> b").distinct()
+
+
+def sketches_allow(limit: Threshold) -> Callable:
+    """Test of the rows x and y of a table by their sizes and the sketches sent along; for `_block_pairs`."""
+    def able(n: pa.ChunkedArray, small: pa.ChunkedArray) -> Callable:
+        size, bits = n.to_numpy(), small.combine_chunks()
+        lengths = pa.compute.binary_length(bits).to_numpy().astype(np.int64) // 8
+        words = np.frombuffer(b"".join(bits.to_pylist()), np.uint64)
+        start = np.cumsum(lengths) - lengths
+
+        def of(rows: np.ndarray, long: int, short: int) -> np.ndarray:
+            return np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(long)].reshape(len(rows), -1, short), axis=1)
+
+        def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            most, out = limit.difference(size[x], size[y]), np.zeros(len(x), bool)
+            kinds = lengths[x] << 32 | lengths[y]
+            for kind in np.unique(kinds).tolist():
+                a, b = kind >> 32, kind & 0xFFFFFFFF
+                at = np.flatnonzero((kinds == kind) & (most >= 0))
+                short = min(a, b)
+                out[at] = np.bitwise_count(of(x[at], a, short) ^ of(y[at], b, short)).sum(1) <= most[at]
+            return out
+
+        return test
+
+    return able
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, limit: Threshold) -> int:
@@ -287,15 +350,13 @@ def _sets(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in _in_slices(b):
-                sets = shingle_sets(texts, n)
-                cols = [[len(s) for s in sets], [wide_sketch(s) for s in sets], [s.tobytes() for s in sets]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary())))], names=["id", "n", "wide", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], names=["id", "set"])
 
-    return stage(docs.join(asked, "id", "left_semi").mapInArrow(run, "id long, n long, wide binary, set binary"), "sets")
+    return docs.join(asked, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def _links(sets: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
-    """Those of the pairs that link: by their wide sketches first, the few that are left by their sets."""
+def confirmed(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """Those of the pairs (a, b) that link: by their wide sketches first, the few that are left by their sets."""
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
@@ -307,11 +368,15 @@ def _links(sets: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
             keep = [overlaps(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), limit) >= 0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda key, **cols: sets.select(F.col("id").alias(key), *[F.col(c).alias(name) for c, name in cols.items()])
-    told = pairs.join(side("a", n="na", wide="x"), "a").join(side("b", n="nb", wide="y"), "b").select("a", "b", "na", "nb", "x", "y")
+    side = lambda of, key, **cols: of.select(F.col("id").alias(key), *[F.col(c).alias(name) for c, name in cols.items()])
+    told = pairs.join(side(profiles, "a", n="na", sketch="x"), "a").join(side(profiles, "b", n="nb", sketch="y"), "b").select("a", "b", "na", "nb", "x", "y")
     close = stage(told.mapInArrow(near, "a long, b long").distinct(), "close")
-    both = close.join(side("a", set="x"), "a").join(side("b", set="y"), "b")
-    return stage(both.select("a", "b", "x", "y").mapInArrow(multiply, "a long, b long"), "links")
+    asked = stage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    sets = stage(_sets(docs, asked, n), "sets")
+    both = close.join(side(sets, "a", set="x"), "a").join(side(sets, "b", set="y"), "b")
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(multiply, "a long, b long").distinct(), "links")
+    discard(close, asked, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,53 +392,54 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = stage(small, "edges")
+        last, edges = edges, stage(small, "edges")
+        discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now
 
 
-def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text", chunk: int = 1000) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
-    limit = Threshold(*threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stage(_profiles(docs, n, limit), "profiles")
+def joined_components(docs: DataFrame, profiles: DataFrame, n: int, limit: Threshold, able: Callable, columns: Sequence[str], chunk: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents (id, text) whose staged profiles hold block keys."""
     copies = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     # Copies of one text may be a large share of all rows: they are dealt over SALTS tasks.
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = profiles.select("id", "n", "digest", "sketch", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", "sketch", F.coalesce("first", "id").alias("first")), "named")
-
-    members = stage(_memberships(profiles).join(named.select("id", "n", "sketch", "first").where("n > 0"), "id").select(
-        "key", F.col("first").alias("id"), "n", "sketch").distinct(), "members")
-    discard(profiles)
-    sets = _sets(docs, members.select("id").distinct(), n)
-    heads = members.groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("one"))
-    met = members.join(heads, "key").where("id <> one.id").select(F.col("one.id").alias("a"), F.col("id").alias("b"), F.col("one.n").alias("na"), F.col("n").alias("nb"), F.col("one.sketch").alias("sa"), F.col("sketch").alias("sb"))
-    links = _links(sets, stage(_allowed(met, limit), "pairs"), limit)
-    same = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = stage(components(links), "components")
-
-    labelled = members.join(found, "id", "left").select("key", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    more = _links(sets, stage(_pairs_in_chunks(labelled, limit, chunk), "pairs"), limit)
-    final = stage(components(links.union(more).union(same)), "components")
-    return named.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def _allowed(met: DataFrame, limit: Threshold) -> DataFrame:
-    """Distinct pairs that sizes and sketches allow."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z, na, nb = (b.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 4), np.uint64) for i in (4, 5))
-            keep = np.bitwise_count(x ^ y).sum(1) <= limit.difference(na, nb)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(z[keep])], names=["a", "b"])
+    salted = profiles.select("id", "n", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", "digest", F.coalesce("first", "id").alias("first")), "named")
+    copied = stage(named.where("id <> first").select("id", "digest").distinct(), "copied")
+    own = profiles.where("n > 0 and id is not null").join(copied, ["id", "digest"], "left_anti")
+    own = stage(own.select("id", "n", "digest", "keys", "sketch", *[c for c in columns if c != "n"]), "own")
+    discard(profiles, copied)
+
+    members = stage(memberships(own), "members")
+    with_head = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    found = stage(components(confirmed(docs, own, with_head, n, limit)), "components")
+    for number, reach in enumerate(ROUNDS):
+        open_ = _open_blocks(members, found)
+        discard(members)
+        members = open_
+        if open_.isEmpty():
+            break
+        links = confirmed(docs, own, _block_pairs(open_, own, able, columns, chunk, number, reach == "all"), n, limit)
+        known, found = found, stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "components")
+        discard(known, links)
+    # Copies follow the row that stands for them. Its name may be as frequent as they are, so it is salted again.
+    follow = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("id", "first")
+    ended = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(follow, ["first", "salt"], "left")
+    return ended.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", text_col: str = "text", chunk: int = 1000) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
+    limit = Threshold(*threshold)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    profiles = stage(profiles_of(docs, n, lambda own: block_keys(own, limit)), "profiles")
+    return joined_components(docs, profiles, n, limit, sketches_allow(limit), ["n", "small"], chunk)
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with all their columns. Of rows that share an id all stay."""
-    first = ngram_components(docs, n, threshold, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(first, docs[id_col] == F.col("__gone"), "left_anti")
+    found = ngram_components(docs, n, threshold, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
+    gone = next(f"gone_{i}" for i in range(len(docs.columns) + 1) if f"gone_{i}" not in map(str.lower, docs.columns))
+    return docs.join(found.select(F.col("doc_id").alias(gone)).distinct(), docs[id_col] == F.col(gone), "left_anti")
