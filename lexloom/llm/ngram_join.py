@@ -145,9 +145,9 @@ def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
             a, size = i + 1, 0
 
 
-def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Per document: size, digest, block keys and wide sketch of its set, and the sketch folded to what is sent to blocks."""
-    ddl = "id long, n long, digest binary, keys binary, sketch binary, small binary"
+def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray], signature: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Per document: size, digest, block keys and wide sketch of its set, the sketch folded to what is sent to blocks, a signature."""
+    ddl = "id long, n long, digest binary, keys binary, sketch binary, small binary" + (", sig binary" if signature else "")
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +157,8 @@ def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray
                 sketches = [wide_sketch(s) for s in sets]
                 cols = [ids, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [keys(s).tobytes() if len(s) else b"" for s in sets],
                         sketches, [folded(x, SENT_BITS // 8).tobytes() for x in sketches]]
+                if signature:
+                    cols.append([signature(s).tobytes() for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     return docs.mapInArrow(run, ddl)
@@ -312,7 +314,7 @@ def sketches_allow(limit: Threshold) -> Callable:
         start = np.cumsum(lengths) - lengths
 
         def of(rows: np.ndarray, long: int, short: int) -> np.ndarray:
-            return np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(long)].reshape(len(rows), -1, short), axis=1)
+            return np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(long)].reshape(len(rows), long // short, short), axis=1)
 
         def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             most, out = limit.difference(size[x], size[y]), np.zeros(len(x), bool)
