@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from lexloom.llm import decontaminate, hard_negatives, html, langid, merkle, ngram_join, packing, pii, quality, secrets, topk, urls
+from lexloom.llm import decontaminate, hard_negatives, html, langid, merkle, minhash, ngram_join, packing, pii, quality, secrets, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,6 +134,11 @@ FROM high_end e JOIN d USING (doc_id) JOIN s0 ON s0.source IS NOT DISTINCT FROM
 """
 
 
+@query
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"), n=3, threshold=(85, 100))
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
