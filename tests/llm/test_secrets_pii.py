@@ -38,6 +38,13 @@ def test_base_spans_are_those_of_the_patterns():
     assert seen == {*secrets.KINDS, *pii.KINDS}
 
 
+def test_long_runs_of_digits():
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert pii.base_spans(zeros + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans(nines + ".1.1.1") == []
+    assert pii.base_spans(f"{zeros}255.{zeros}.0.1") == [("ip", 0, 10008)]
+    assert pii.base_spans("+" + nines) == [] and pii.base_spans(nines + "@a.b") == [("email", 0, 5004)]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
