@@ -8,15 +8,16 @@ Words are compared by 64-bit hashes while sorting and searching; the bytes of ev
 end, so a hash collision cannot make a hit. The benchmark is a stated query set: it is read in blocks of at most
 `block_bytes`, one broadcast and one pass per block (in practice one).
 
-Null and empty texts have no words and no hits. Repeated rows give a row each. An item with fewer words than the
-window is one window as a whole; an item without words has none.
+Null and empty texts have no words and no hits. Repeated rows give a row each, also where they share an id. An item with
+fewer words than the window is one window as a whole; an item without words has none. An item without an id is named by
+the empty string. Empty tables give no rows, or rows without hits. Very long documents are shards of their own. Further
+columns of any name cannot clash: the search reads id and text only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 import hashlib
-from itertools import chain
 import re
 
 import numpy as np
@@ -154,7 +155,7 @@ class Shard:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
+    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1])
         if size >= block_bytes:
@@ -246,26 +247,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns.
 
-    Rows without an id are judged each by itself, and so are all rows where the benchmark is one block. With more blocks
-    the others are judged by their id: rows that share one stay or go together.
+    Each row is judged by itself, whatever its id, at every size of the benchmark: hit ranges are carried along from block
+    to block. Columns of the documents may have any names.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return _keep_rows(docs, [first], text_col, window, share, shard_bytes)
-    named = docs.where(docs[id_col].isNotNull())
-    gone = decontaminate(named, benchmark, id_col, text_col, item_col, item_text_col, window, share, shard_bytes, block_bytes)
-    gone = gone.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return named.join(gone, named[id_col] == F.col("__gone"), "left_anti").unionAll(
-        _keep_rows(docs.where(docs[id_col].isNull()), chain([first, second], blocks), text_col, window, share, shard_bytes))
-
-
-def _keep_rows(docs: DataFrame, blocks: Iterable[list[tuple[str, str]]], text_col: str, window: int, share: int, shard_bytes: int) -> DataFrame:
-    """The rows that are not contaminated, each judged by itself: hit ranges are carried along from block to block."""
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
     carried = StructType([*docs.schema, StructField("__hits" + "_" * max(map(len, docs.columns)), ArrayType(LongType()))])
-    out, own, blocks = docs, len(docs.columns), iter(blocks)
-    block = next(blocks)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    out, own, block = docs, len(docs.columns), next(blocks, [])
     while block is not None:
         after = next(blocks, None)
         out = _sift(out, sc.broadcast(Benchmark(block, window)), at, own, shard_bytes, share, docs.schema if after is None else carried)
