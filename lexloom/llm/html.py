@@ -8,7 +8,9 @@ tree). The cheapest labelling is a minimum cut, found by maximum flow.
 The classifier is a logistic regression on the text features alone. It is fitted on a bounded sample of the pages
 (`sample_pages`, smallest hash of the id) whose elements say what is what, so that it also serves pages that don't.
 
-Null and empty pages give an empty text. Repeated rows give a row each. Scripts, styles, forms and other elements that
+Null and empty pages give an empty text. Names that would leave nothing of a page are not held against it. Repeated rows
+give a row each; a tie of two labels goes to boilerplate, unless names were dropped. Very long pages are cut whole. An
+empty table gives no rows; only id, url and page are read, so further columns cannot clash. Scripts, styles, forms and other elements that
 are never text are left out before. Unclosed elements are closed as browsers do for paragraphs and list items.
 """
 
@@ -49,6 +51,7 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 
 SURE, NAMED = 12.0, 5.0  # what it costs to go against an element's meaning, and against its name
 NEXT_TO, SIBLING = 1.0, 0.6
+EVEN = 2.0  # what speaks for text once names are dropped; more than two neighbours can pull
 N_FEATURES = 11
 
 
@@ -57,6 +60,7 @@ class Element:
     tag: str
     number: int
     away: float  # cost of calling the text below it content
+    firm: float  # the part of it that does not come from names
     text: float  # cost of calling it boilerplate
 
 
@@ -66,35 +70,36 @@ class Block:
     tag: str
     path: tuple[int, ...]
     away: float
+    firm: float
     text_cost: float
     linked: int
     features: list[float] = field(default_factory=list)
 
 
-def _meaning(tag: str, attributes: str, inside: Element | None) -> tuple[float, float]:
-    away, text = (inside.away, inside.text) if inside else (0.0, 0.0)
+def _meaning(tag: str, attributes: str, inside: Element | None) -> tuple[float, float, float]:
+    firm, named, text = (inside.firm, inside.away, inside.text) if inside else (0.0, 0.0, 0.0)
     if tag in TEXT_TAGS:
         text = max(text, SURE / 2)
     if tag in AWAY_TAGS:
         # A header or menu of an article is less sure to be one of the page.
-        away = max(away, NAMED / 2 if tag == "header" and text else SURE)
+        firm = max(firm, NAMED / 2 if tag == "header" and text else SURE)
     for key, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value, key = "".join(values), key.lower()
         if key == "role":
             if value.lower() in AWAY_ROLES:
-                away = max(away, SURE)
+                firm = max(firm, SURE)
             if value.lower() in ("main", "article"):
                 text = max(text, SURE / 2)
         elif key == "hidden" or key == "aria-hidden":
             if value.lower() in ("", "true", "hidden"):
-                away = max(away, SURE)
+                firm = max(firm, SURE)
         elif tag not in ("body", "html"):
             names = {n.lower() for n in NAME.findall(value)}
             if names & AWAY_NAMES:
-                away = max(away, SURE if not names & TEXT_NAMES else NAMED)
+                named = max(named, SURE if not names & TEXT_NAMES else NAMED)
             elif names & TEXT_NAMES:
                 text = max(text, NAMED)
-    return away, text
+    return max(firm, named), firm, text
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -112,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 top = stack[-1] if stack else None
                 tag = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-                out.append(Block(text, tag, tuple(e.number for e in stack if e.tag in BLOCK), top.away if top else 0.0, top.text if top else 0.0, linked))
+                out.append(Block(text, tag, tuple(e.number for e in stack if e.tag in BLOCK), top.away if top else 0.0, top.firm if top else 0.0, top.text if top else 0.0, linked))
             parts.clear()
         linked = 0
 
@@ -166,12 +171,11 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in BLOCK:
                     flush()
                 if tag in VOID:
-                    if not skipping:
+                    if tag == "br" and not skipping:  # other elements without content do not part a word
                         parts.append(" ")
                 elif not attributes.endswith("/") or tag in BLOCK or tag in RAW:
                     number += 1
-                    away, text = _meaning(tag, attributes, stack[-1] if stack else None)
-                    stack.append(Element(tag, number, away, text))
+                    stack.append(Element(tag, number, *_meaning(tag, attributes, stack[-1] if stack else None)))
                     skipping += tag in NEVER
                     links += tag == "a"
                     if tag in RAW:  # its content isn't markup
@@ -305,7 +309,10 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
         if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return "\n\n".join(b.text for b, content in zip(blocks, minimum_cut(text_cost, away_cost, edges)) if content)
+    label = minimum_cut(text_cost, away_cost, edges)
+    if not any(label):  # names that would leave nothing of a page are no evidence
+        label = minimum_cut(text_cost, [2 * b.firm - float(np.log(q)) - EVEN for b, q in zip(blocks, p)], edges)
+    return "\n\n".join(b.text for b, content in zip(blocks, label) if content)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 1000) -> DataFrame:

@@ -35,6 +35,17 @@ def test_odd_pages():
     assert len(main_text("<li>a<p>" * 20_000, np.ones(N_FEATURES)).split()) == 20_000
 
 
+def test_void_elements_do_not_part_words():
+    assert main_text("<p>super<wbr>cali<img src=x>fragil<br>istic</p>", NONE) == "supercalifragil istic"
+
+
+def test_a_name_alone_does_not_empty_a_page():
+    assert main_text('<div class="legal-text"><p>All of it.</p><p>And more.</p></div>', NONE) == "All of it.\n\nAnd more."
+    assert main_text('<div class="widget">All of it.</div><footer>no</footer>', NONE) == "All of it."
+    assert main_text('<div class="widget">Away.</div><article>This.</article>', NONE) == "This."
+    assert main_text("<nav>Home</nav><footer>me</footer>", NONE) == ""
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(150):

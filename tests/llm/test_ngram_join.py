@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lexloom.llm.ngram_join import Threshold, block_keys, components, difference_bound, keep_first, ngram_components, overlaps, shingle_sets, wide_sketch
+from lexloom.llm.ngram_join import Threshold, block_keys, components, difference_bound, folded, keep_first, ngram_components, overlaps, shingle_sets, sketches_allow, wide_sketch
 
 
 def plain_set(text, n):
@@ -93,8 +93,28 @@ def test_odd_tables(spark, docs_of):
     assert sorted(map(tuple, ngram_components(docs).collect()), key=str) == sorted([(None, 2, None), (1, 2, 1), (1, 2, 1), (2, 0, 2)], key=str)
 
 
+def test_sketches_in_blocks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    limit = Threshold(8, 10)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (3, 40, 40, 900, 1000, 9000)]
+    sets += [s[: max(1, len(s) - len(s) // 12)] for s in sets]
+    small = [folded(wide_sketch(s), 128).tobytes() for s in sets]
+    test = sketches_allow(limit)(pa.chunked_array([[len(s) for s in sets]]), pa.chunked_array([pa.array(small, pa.binary())]))
+    x, y = map(np.array, zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets))]))
+    got = test(x, y)
+    for i, j, able in zip(x, y, got):
+        a, b = sets[i], sets[j]
+        linked = 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+        assert able or not linked
+        assert not able or limit.difference(len(a), len(b)) >= difference_bound(small[i], small[j])
+    assert got.sum() < len(got) / 2 and not test(x[:0], y[:0]).size and not test(np.array([0]), np.array([5])).any()
+
+
 def test_keep_first(docs_of):
     t = " ".join(f"w{i}" for i in range(60))
     docs = docs_of([(5, t), (3, t + " end"), (9, "other"), (4, None), (6, None)])
+    assert keep_first(docs.withColumnRenamed("start", "gone_0").withColumnRenamed("score", "__gone")).count() == 4
     kept = keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 9]
