@@ -130,5 +130,5 @@ def minhash_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     cut = Cut(limit, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = stage(profiles_of(docs, n, cut.keys, signature), "profiles")
-    out = joined_components(docs, profiles, n, limit, signatures_allow(cut), ["n", "small", "sig"], chunk)
+    out = joined_components(docs, profiles, n, limit, cut.keys, signatures_allow(cut), ["n", "small", "sig"], chunk)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

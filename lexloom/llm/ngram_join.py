@@ -16,8 +16,9 @@ lift it to the bound of its sizes.
 Only components are asked for, so a block need not give all of its pairs. First every row is multiplied with a head of
 its block (linear in the block). Blocks that then still hold several components are open. In an open block rows are
 compared by their sketches where they stand, in chunks of at most `chunk` rows a side, and only pairs that the sketches
-allow leave the task: in the first rounds two partners a row, so that what hangs together becomes one component at a
-cost linear in the block; in the last round all pairs that are left between different components. Equal sets meet by
+allow leave the task: all of them where they are few, else two partners a row, so that what hangs together becomes one
+component at a cost linear in the block; such blocks come up again, until all pairs of different components are out.
+Equal sets meet by
 their digest, and only one of each enters the product; a batch sends one row per block, however many of its rows are in
 it. So no group is gathered in one place.
 
@@ -46,7 +47,8 @@ _WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SKETCH_BITS = 256
 SENT_BITS = 1024
-ROUNDS = ("near", "near", "all")
+ROUNDS = 3  # in the last one all pairs leave an open block
+FEW = 4  # pairs a row that leave it in the others
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 2_000_000
 RANGES = 4
@@ -146,8 +148,8 @@ def _in_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 
 
 def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray], signature: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Per document: size, digest, block keys and wide sketch of its set, the sketch folded to what is sent to blocks, a signature."""
-    ddl = "id long, n long, digest binary, keys binary, sketch binary, small binary" + (", sig binary" if signature else "")
+    """Per document: size and digest of its set, number of its blocks, wide sketch, the sketch folded to what is sent to blocks, a signature."""
+    ddl = "id long, n long, digest binary, blocks long, sketch binary, small binary" + (", sig binary" if signature else "")
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +157,7 @@ def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray
             for ids, texts in _in_slices(b):
                 sets = shingle_sets(texts, n)
                 sketches = [wide_sketch(s) for s in sets]
-                cols = [ids, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [keys(s).tobytes() if len(s) else b"" for s in sets],
-                        sketches, [folded(x, SENT_BITS // 8).tobytes() for x in sketches]]
+                cols = [ids, [len(s) for s in sets], [_digest(s) for s in sets], [len(keys(s)) if len(s) else 0 for s in sets], sketches, [folded(x, SENT_BITS // 8).tobytes() for x in sketches]]
                 if signature:
                     cols.append([signature(s).tobytes() for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
@@ -164,14 +165,17 @@ def profiles_of(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray
     return docs.mapInArrow(run, ddl)
 
 
-def memberships(profiles: DataFrame) -> DataFrame:
-    """Rows (key, id, head) of all blocks that hold more than one row, out of one shuffle of packed keys.
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def memberships(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray], total: int) -> DataFrame:
+    """Rows (key, id, head) of all blocks that hold more than one row, out of one shuffle of packed keys, about `total` in all.
 
     In each batch equal sets and equal keys are met first: one row stands for a key in the shuffle and is the head of the
     others, which are members already and go along beside it. The rows that stand for a key have the smallest id as head.
     """
-    total = profiles.agg(F.sum(F.length("keys")) / 8).first()[0] or 0
-    spark = profiles.sparkSession
+    spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_ROWS) + 1)
     ddl = "bucket int, met boolean, keys binary, ids binary, heads binary"
     schema = arrow_schema(ddl)
@@ -179,15 +183,16 @@ def memberships(profiles: DataFrame) -> DataFrame:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            keys, ids = [], []
-            for doc, digest, own in zip(*(c.to_pylist() for c in b.columns)):
-                if digest not in seen:
-                    seen.add(digest)
-                    keys.append(np.frombuffer(own, np.uint64))
-                    ids.append(np.full(len(keys[-1]), doc, np.int64))
-            if not keys:
+            owned, ids = [], []
+            for docs_in, texts in _in_slices(b):
+                for doc, own in zip(docs_in, shingle_sets(texts, n)):
+                    if len(own) and (digest := _digest(own)) not in seen:
+                        seen.add(digest)
+                        owned.append(keys(own))
+                        ids.append(np.full(len(owned[-1]), doc, np.int64))
+            if not owned:
                 continue
-            key, doc, head, first, several = _blocks(np.concatenate(keys), np.concatenate(ids))
+            key, doc, head, first, several = _blocks(np.concatenate(owned), np.concatenate(ids))
             rows = []
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
             for met, mask in ((False, first), (True, several)):
@@ -199,8 +204,8 @@ def memberships(profiles: DataFrame) -> DataFrame:
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for bucket, met, keys, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
-                key, doc = np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
+            for bucket, met, packed, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
+                key, doc = np.frombuffer(packed, np.uint64), np.frombuffer(ids, np.int64)
                 if met:
                     yield _member_rows(key, doc, np.frombuffer(heads, np.int64))
                     continue
@@ -210,7 +215,7 @@ def memberships(profiles: DataFrame) -> DataFrame:
                 held.append((key, doc))
         yield from _met(held)
 
-    sent = profiles.select("id", "digest", "keys").mapInArrow(send, ddl)
+    sent = docs.mapInArrow(send, ddl)
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long, head long")
 
 
@@ -247,20 +252,23 @@ def _open_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns: Sequence[str], chunk: int, round_no: int, every: bool) -> DataFrame:
-    """Distinct pairs of rows that share an open block, are in different components so far and that `able` allows.
+def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns: Sequence[str], chunk: int, round_no: int) -> DataFrame:
+    """Pairs (a, b) of rows that share an open block, are in different components so far and that `able` allows.
 
-    Rows meet the other rows of their chunk of the block; where `every`, those of all its chunks. If not, two pairs a row
-    leave the task at most, with its first and its last partner.
+    Blocks of more than `chunk` rows are cut into chunks, which meet themselves in the first round, each other in later
+    ones. A group of rows with more than FEW pairs a row gives two pairs a row, with its first and its last partner,
+    except in the last round; its block, like all that have not met as a whole, is named in a row (key).
     """
+    last = round_no == ROUNDS - 1
     mine = open_.join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
         "mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
-    if every:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
+    if round_no:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
         mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     else:
         mine = mine.withColumn("other", F.col("mine"))
-    sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", *columns)
-    ddl = "a long, b long"
+    sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", *columns,
+                       (F.lit(round_no == 0) & (F.col("chunks") > 1)).alias("part"))
+    ddl = "a long, b long, key long"
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -281,28 +289,33 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
         key, i, j, left, ids, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "component"))
         test = able(*(t.column(c) for c in columns))
         edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[np.cumsum(edge) - 1]
-        row, d = np.arange(t.num_rows), 1
-        first, last, found = np.full(t.num_rows, -1), np.full(t.num_rows, -1), []
+        run = np.cumsum(edge) - 1
+        ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]
+        row, d, reach = np.arange(t.num_rows), 1, np.bincount(run)
+        first, final, seen, found = np.full(t.num_rows, -1), np.full(t.num_rows, -1), np.zeros(len(reach), np.int64), []
         while len(row := row[row + d < ends[row]]):
             x, y = row, row + d
             fit = (group[x] != group[y]) & ((i[x] == j[x]) | (left[x] != left[y]))
             x, y = x[fit], y[fit]
             fit = test(x, y)
             x, y = x[fit], y[fit]
-            if every:
-                found.append((x, y))
-            first[y], last[x] = x, y  # later rounds reach farther
+            seen += np.bincount(run[x], minlength=len(seen))
+            first[y], final[x] = x, y  # later rounds reach farther
+            few = last | (seen[run[x]] <= FEW * reach[run[x]])
+            found.append((x[few], y[few]))
             d += 1
-        if not every:
-            found = [(first[y], y) for y in [np.flatnonzero(first >= 0)]] + [(x, last[x]) for x in [np.flatnonzero(last >= 0)]]
-        if found:
-            x, y = (ids[np.concatenate(c)] for c in zip(*found))
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        many = (seen > FEW * reach) & (not last)
+        x, y = (np.concatenate(c) for c in zip(*found)) if found else (first[:0], first[:0])
+        all_of = ~many[run[x]]
+        lead, tail = np.flatnonzero((first >= 0) & many[run]), np.flatnonzero((final >= 0) & many[run])
+        x, y = ids[np.concatenate([x[all_of], first[lead], tail])], ids[np.concatenate([y[all_of], lead, final[tail]])]
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        again = np.unique(key[many[run] | t.column("part").to_numpy()])
+        pair = np.repeat([True, False], [both.shape[1], len(again)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(both[0], again), mask=~pair), pa.array(np.append(both[1], again), mask=~pair), pa.array(np.append(both[0], again), mask=pair)], names=["a", "b", "key"])
 
     keys = ["key", "i", "j"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(meet, ddl).where("a <> b").distinct()
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(meet, ddl).distinct()
 
 
 def sketches_allow(limit: Threshold) -> Callable:
@@ -402,30 +415,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def joined_components(docs: DataFrame, profiles: DataFrame, n: int, limit: Threshold, able: Callable, columns: Sequence[str], chunk: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of documents (id, text) whose staged profiles hold block keys."""
+def joined_components(docs: DataFrame, profiles: DataFrame, n: int, limit: Threshold, keys: Callable[[np.ndarray], np.ndarray], able: Callable, columns: Sequence[str], chunk: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents (id, text) with staged profiles; `keys` are the blocks of a set."""
     copies = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     # Copies of one text may be a large share of all rows: they are dealt over SALTS tasks.
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = profiles.select("id", "n", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", "digest", F.coalesce("first", "id").alias("first")), "named")
-    copied = stage(named.where("id <> first").select("id", "digest").distinct(), "copied")
-    own = profiles.where("n > 0 and id is not null").join(copied, ["id", "digest"], "left_anti")
-    own = stage(own.select("id", "n", "digest", "keys", "sketch", *[c for c in columns if c != "n"]), "own")
-    discard(profiles, copied)
+    named = stage(salted.join(copies, ["digest", "salt"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "named")
+    copied = stage(named.groupBy("id").agg(F.min(F.col("id") != F.col("first")).alias("only_copies")).where("id is null or only_copies").select("id"), "copied")
 
-    members = stage(memberships(own), "members")
+    total = profiles.agg(F.sum("blocks")).first()[0] or 0
+    own = docs.where("id is not null").join(copied, "id", "left_anti").select("id", "text")
+    members = stage(memberships(own, n, keys, total), "members")
     with_head = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    found = stage(components(confirmed(docs, own, with_head, n, limit)), "components")
-    for number, reach in enumerate(ROUNDS):
+    found = stage(components(confirmed(docs, profiles, with_head, n, limit)), "components")
+    for number in range(ROUNDS):
         open_ = _open_blocks(members, found)
         discard(members)
         members = open_
         if open_.isEmpty():
             break
-        links = confirmed(docs, own, _block_pairs(open_, own, able, columns, chunk, number, reach == "all"), n, limit)
+        met = stage(_block_pairs(open_, profiles, able, columns, chunk, number), "met")
+        links = confirmed(docs, profiles, met.where("key is null and a <> b").select("a", "b"), n, limit)
         known, found = found, stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "components")
         discard(known, links)
+        again = met.where("key is not null").select("key")
+        if again.isEmpty():
+            break
+        members = stage(open_.join(again, "key", "left_semi"), "members")
+        discard(open_, met)
     # Copies follow the row that stands for them. Its name may be as frequent as they are, so it is salted again.
     follow = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("id", "first")
     ended = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(follow, ["first", "salt"], "left")
@@ -436,8 +454,8 @@ def ngram_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (
     """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
     limit = Threshold(*threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stage(profiles_of(docs, n, lambda own: block_keys(own, limit)), "profiles")
-    return joined_components(docs, profiles, n, limit, sketches_allow(limit), ["n", "small"], chunk)
+    keys = lambda own: block_keys(own, limit)
+    return joined_components(docs, stage(profiles_of(docs, n, keys), "profiles"), n, limit, keys, sketches_allow(limit), ["n", "small"], chunk)
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
