@@ -166,7 +166,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 2 << 20) -> DataFrame:
+                  item_text_col: str = "text", window: int = 13, share: int = 20, shard_bytes: int = 4 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and its hit word ranges and longest match.
 
     contaminated: n_hit > 0 and share * n_hit >= n_words. `spans` are [start, end) word numbers; `longest` is the
@@ -244,7 +244,7 @@ def _search(docs: DataFrame, bench: Broadcast, shard_bytes: int, share: int | No
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-               window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 2 << 20) -> DataFrame:
+               window: int = 13, share: int = 20, shard_bytes: int = 4 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns.
 
     Each row is judged by itself, whatever its id, at every size of the benchmark: hit ranges are carried along from block
