@@ -50,7 +50,8 @@ SENT_BITS = 1024
 ROUNDS = 3  # in the last one all pairs leave an open block
 FEW = 4  # pairs a row that leave it in the others
 SLICE_BYTES = 4 << 20
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 500_000
+SENT_KEYS = 1 << 19
 RANGES = 4
 SALTS = 16
 
@@ -172,7 +173,7 @@ def _digest(own: np.ndarray) -> bytes:
 def memberships(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray], total: int) -> DataFrame:
     """Rows (key, id, head) of all blocks that hold more than one row, out of one shuffle of packed keys, about `total` in all.
 
-    In each batch equal sets and equal keys are met first: one row stands for a key in the shuffle and is the head of the
+    Equal sets of a task and equal keys of about SENT_KEYS are met first: one row stands for a key in the shuffle and is the head of the
     others, which are members already and go along beside it. The rows that stand for a key have the smallest id as head.
     """
     spark = docs.sparkSession
@@ -182,30 +183,36 @@ def memberships(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        owned, ids, held = [], [], 0
         for b in batches:
-            owned, ids = [], []
             for docs_in, texts in _in_slices(b):
                 for doc, own in zip(docs_in, shingle_sets(texts, n)):
                     if len(own) and (digest := _digest(own)) not in seen:
                         seen.add(digest)
                         owned.append(keys(own))
                         ids.append(np.full(len(owned[-1]), doc, np.int64))
-            if not owned:
-                continue
-            key, doc, head, first, several = _blocks(np.concatenate(owned), np.concatenate(ids))
-            rows = []
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
-            for met, mask in ((False, first), (True, several)):
-                k, d, h, p = key[mask], doc[mask], head[mask], bucket[mask].astype(np.int64)
-                cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[:len(p)]).tolist()
-                rows += [(int(p[a]), met, k[a:z].tobytes(), d[a:z].tobytes(), h[a:z].tobytes() if met else b"") for a, z in zip(cuts, [*cuts[1:], len(p)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        held += len(owned[-1])
+                if held >= SENT_KEYS:
+                    yield packed(owned, ids)
+                    owned, ids, held = [], [], 0
+        if owned:
+            yield packed(owned, ids)
+
+    def packed(owned: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc, head, first, several = _blocks(np.concatenate(owned), np.concatenate(ids))
+        rows = []
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
+        for met, mask in ((False, first), (True, several)):
+            k, d, h, p = key[mask], doc[mask], head[mask], bucket[mask].astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[:len(p)]).tolist()
+            rows += [(int(p[a]), met, k[a:z].tobytes(), d[a:z].tobytes(), h[a:z].tobytes() if met else b"") for a, z in zip(cuts, [*cuts[1:], len(p)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for bucket, met, packed, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
-                key, doc = np.frombuffer(packed, np.uint64), np.frombuffer(ids, np.int64)
+            for bucket, met, own, ids, heads in zip(*(c.to_pylist() for c in b.columns)):
+                key, doc = np.frombuffer(own, np.uint64), np.frombuffer(ids, np.int64)
                 if met:
                     yield _member_rows(key, doc, np.frombuffer(heads, np.int64))
                     continue
