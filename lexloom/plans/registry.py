@@ -13,7 +13,10 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Lazy access to the base tables and to inputs that Spark derives from them."""
+    """Lazy access to the base tables and to inputs that Spark derives from them.
+
+    `lexloom.input.tasks` (unset: as the files are cut) deals every base table over so many tasks.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._seen = spark, root, {}
@@ -24,6 +27,8 @@ class Tables:
         if name not in self._seen:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+                if tasks := self.spark.conf.get("lexloom.input.tasks", None):  # for tables of one file with one row group
+                    df = df.repartition(int(tasks))
             else:
                 needs, sql = DERIVED[name]
                 df = self.spark.sql(sql, **{n: getattr(self, n) for n in needs})

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text
+from lexloom.operators import ranked
 from lexloom.operators import retrieval as R
 from lexloom.plans.registry import query
 
@@ -36,8 +37,7 @@ r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 SELECT query_id, item_id, score, round(score / max(score) OVER (PARTITION BY query_id), 4) AS norm, rank::INT AS rank FROM r2 WHERE rank <= 5""",
        uses=["chunks", "questions"])
 def bm25_topk(t):
-    s = R.bm25_scores(t.questions, t.chunks).withColumn("score", F.round("score", 6))
-    return R.normalize_scores(R.top_items(s, 5)).withColumn("norm", F.round("norm", 4))
+    return R.normalize_scores(ranked.blockmax_topk(t.questions, ranked.blockmax_index(t.chunks), 5, 6)).withColumn("norm", F.round("norm", 4))
 
 
 @query("normalize_scores", f"WITH {SCORES} SELECT query_id, item_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS norm FROM sc",
@@ -109,8 +109,7 @@ et AS (SELECT query_id, item_id, score, (row_number() OVER (PARTITION BY query_i
 
 
 def _evidence(t):
-    mq = R.multi_query_max(_variants(t.questions), t.chunks).withColumn("score", F.round("score", 6))
-    return R.evidence_topk(t.questions, t.chunks, 5, mq).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
+    return ranked.evidence_topk(t.questions, t.chunks, 5, _variants(t.questions))
 
 
 @query("evidence_topk", f"WITH {EVIDENCE} SELECT query_id, item_id, score, rank FROM et", uses=["chunks", "questions"])
