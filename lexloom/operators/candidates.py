@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.common import as_col, case_when, first_nonblank, first_row, has_phrase, is_blank, none_if_blank, phrase_regex, tags, text_or_empty
 from lexloom.functions import patterns as P
+from lexloom.functions.scan import Scanner, compiled, contained
 from lexloom.functions.text import squeeze, stable_hash
 
 # Cue phrases of candidate generation.
@@ -23,57 +26,90 @@ STOP = r"(?s)(?:[.;]\s|\n{2}).*$"
 PRE_CHARS, COMMA_CHARS, NESTED_CHARS = 120, 180, 20
 
 
-def _positions(t: Column, rx: str) -> Column:
-    """0-based start of every match: lengths of the gaps and matches before it."""
-    gaps, hits = F.split(t, rx, -1), F.regexp_extract_all(t, F.lit(rx), 0)
-    gap_len, hit_len = F.transform(gaps, lambda g: F.length(g)), F.transform(hits, lambda h: F.length(h))
-    total = lambda arr, n: F.aggregate(F.slice(arr, 1, n), F.lit(0), lambda a, x: a + x)
-    return F.transform(hit_len, lambda _, i: total(gap_len, i + 1) + total(hit_len, i))
+class _Generator:
+    """Candidates of one text; see `generate_candidates`."""
+
+    def __init__(self, triggers: Sequence[Sequence[str]], exceptions: Sequence[str], effects: Sequence[str], pre_chars: int, max_chars: int | None, max_matches: int | None, per_unit: int | None):
+        self.triggers, self.focused = Scanner(triggers), Scanner([exceptions, effects])
+        self.point, self.stop = compiled(POINT_ITEM.removeprefix("(?imu)").replace("^", "(?m:^)")), compiled(STOP.removeprefix("(?s)").removesuffix(".*$"))
+        self.blank, self.run, self.gap = regex.compile("[ \t\n\x0b\f\r\xa0]+"), regex.compile(r"[\p{L}\p{N}]*[ \t]*"), regex.compile(r"[ \t]*")
+        self.letter = regex.compile(r"[\p{L}\p{N}]")
+        self.pre, self.most, self.matches, self.rows = pre_chars, max_chars, max_matches, per_unit
+
+    def squeezed(self, text: str) -> str:
+        return self.blank.sub(" ", text).strip(" ")
+
+    def cut(self, text: str, a: int, b: int) -> str:
+        """From a to the first sentence end, to b at most."""
+        m = self.stop.search(text, a, b)
+        return text[a:m.start() if m else b]
+
+    def window(self, t: str, p: int, after: int) -> str:
+        a = max(0, p - self.pre)
+        if a:
+            a = (self.run if self.letter.match(t[a - 1]) else self.gap).match(t, a).end()
+        b = after if self.most is None else min(after, a + self.most)
+        while a < b and t[a] == " ":
+            a += 1
+        while a < b and t[b - 1] == " ":  # a mark that only a blank follows here ends nothing
+            b -= 1
+        return self.squeezed(self.cut(t, a, b)) if a < b else ""
+
+    def slice(self, flat: str, p: int) -> str:
+        text = self.cut(flat, p, len(flat) if self.most is None else min(len(flat), p + self.most))
+        return self.squeezed(text.split(",", 1)[0] if len(text) > COMMA_CHARS else text)
+
+    def of(self, text: str, flat: str) -> list[tuple[str, str]]:
+        t = text.replace("\r\n", "\n").replace("\r", "\n")
+        points = [m.start() for m in self.point.finditer(t)]
+        if len(points) >= 2:
+            return self.first([(t[a:b].strip(" \t\n\x0b\f\r"), "split=points") for a, b in zip(points, [*points[1:], len(t)])])
+        at: tuple[list[int], list[int]] = ([], [])
+        for k, a, _ in self.focused.spans(flat):
+            at[k].append(a)
+        exceptions = [(self.slice(flat, p), "split=focused_exception") for p in sorted(at[0])]
+        if len(exceptions) >= 2:
+            return self.first(exceptions)
+        starts = sorted(a for _, a, _ in self.triggers.spans(t))[:self.matches]
+        every = [(self.window(t, p, b), "split=trigger_window") for p, b in zip(starts, [*starts[1:], len(t)])] + exceptions
+        every += [(self.slice(flat, p), "split=focused_legal_effect") for p in sorted(at[1])]
+        one = dict(reversed([x for x in every if x[0]]))  # of equal texts the first
+        kept = {c: one[c] for c in dict.fromkeys(c for c, _ in every) if c}
+        low = {c: c.lower() for c in kept}
+        short: dict[str, list[str]] = {}
+        for c, x in low.items():
+            short.setdefault(x, []).append(c)
+        gone = {c for y, inside in zip(kept, contained(short, low.values())) for x in inside for c in short[x] if len(c) + NESTED_CHARS < len(y)}
+        return self.first([(c, how) for c, how in kept.items() if c not in gone])
+
+    def first(self, rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        return [r for r in rows if r[0]][:self.rows]
 
 
 def generate_candidates(units: DataFrame, triggers: Sequence[Sequence[str]] = TRIGGERS, exceptions: Sequence[str] = EXCEPTION, effects: Sequence[str] = EFFECT,
                         pre_chars: int = PRE_CHARS, max_chars: int | None = None, max_matches: int | None = None, per_unit: int | None = None) -> DataFrame:
-    """(unit_id, idx, cand_text, how) candidates of each unit, inside the row: no shuffle, no Python.
+    """(unit_id, idx, cand_text, how) candidates of each unit, inside the row: no shuffle, one walk over each text.
 
     Two or more `a)` items split the unit, each item as it is; else two or more exception phrases give one slice each;
     else there is a window per trigger match, from `pre_chars` before it (at a word's start) to the next match or the
     first sentence end, then a slice per exception and per effect phrase. Equal texts count once, and a text inside
     another that is longer by more than `NESTED_CHARS` goes. The three maxima cut only where they are given.
     """
-    t = F.regexp_replace(text_or_empty("text"), "\r\n?", "\n")
-    cut = lambda arr, n: arr if n is None else F.slice(arr, 1, n)
-    u = units.select("unit_id", t.alias("t"), squeeze(t).alias("flat"))
-    u = u.select("*", F.length("t").alias("full"), _positions(F.col("t"), POINT_ITEM).alias("pts"),
-                 cut(F.array_sort(F.concat(*[_positions(F.col("t"), phrase_regex(x)) for x in triggers])), max_matches).alias("trg"),
-                 _positions(F.col("flat"), phrase_regex(exceptions)).alias("exc"), _positions(F.col("flat"), phrase_regex(effects)).alias("eff"))
-    row = lambda text, how: F.struct(text.alias("c"), F.lit(how).alias("how"))
-    after = lambda arr, i: F.coalesce(F.get(F.col(arr), i + 1), F.col("full"))
-
-    def window(p: Column, i: Column) -> Column:
-        start = F.greatest(F.lit(0), p - pre_chars)
-        inside = (start > 0) & F.substring("t", start, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-        rest = F.substring("t", start + 1, F.col("full"))
-        skip = lambda rx: F.length(F.regexp_extract(rest, rx, 0))
-        begin = start + F.when(inside, skip(r"^[\p{L}\p{N}]*[ \t]*")).when(start > 0, skip(r"^[ \t]*")).otherwise(0)
-        end = after("trg", i) if max_chars is None else F.least(after("trg", i), begin + max_chars)
-        return row(squeeze(F.regexp_replace(F.trim(F.substring("t", begin + 1, end - begin)), STOP, "")), "split=trigger_window")
-
-    def focused(how: str):
-        def one(p: Column) -> Column:
-            text = F.regexp_replace(F.substring("flat", p + 1, F.col("full") if max_chars is None else F.lit(max_chars)), STOP, "")
-            return row(squeeze(F.when(F.length(text) > COMMA_CHARS, F.substring_index(text, ",", 1)).otherwise(text)), how)
-        return one
-
-    items = F.transform("pts", lambda p, i: row(F.regexp_replace(F.substring("t", p + 1, after("pts", i) - p), r"^\s+|\s+$", ""), "split=points"))
-    exc, eff = F.transform("exc", focused("split=focused_exception")), F.transform("eff", focused("split=focused_legal_effect"))
-    filled = lambda arr: F.filter(arr, lambda r: r["c"] != "")
-    every = filled(F.concat(F.transform("trg", window), exc, eff))
-    texts = F.array_distinct(F.transform(every, lambda r: r["c"]))
-    first = F.transform(texts, lambda x: F.get(F.filter(every, lambda r: r["c"] == x), F.lit(0)))
-    within = lambda x, y: F.contains(F.lower(y["c"]), F.lower(x["c"])) & (F.length(x["c"]) + NESTED_CHARS < F.length(y["c"]))
-    alone = F.filter(first, lambda x: ~F.exists(first, lambda y: within(x, y)))
-    rows = F.when(F.size("pts") >= 2, filled(items)).when(F.size("exc") >= 2, filled(exc)).otherwise(alone)
-    return u.select("unit_id", F.posexplode(cut(rows, per_unit)).alias("idx", "r")).select("unit_id", "idx", F.col("r.c").alias("cand_text"), F.col("r.how").alias("how"))
+    kind = units.schema["unit_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = _Generator(triggers, exceptions, effects, pre_chars, max_chars, max_matches, per_unit)
+        for b in batches:
+            row, idx, text, how = [], [], [], []
+            for i, (t, flat) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for n, (c, h) in enumerate(make.of(t, flat)):
+                    row.append(i)
+                    idx.append(n)
+                    text.append(c)
+                    how.append(h)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array(how, pa.string())], names=["unit_id", "idx", "cand_text", "how"])
+
+    return units.select("unit_id", text_or_empty("text").alias("t"), squeeze(text_or_empty("text")).alias("flat")).mapInArrow(run, f"unit_id {kind}, idx int, cand_text string, how string")
 
 
 # A candidate that defines; its head, then phrases. Not the list for whole units.
@@ -130,17 +166,41 @@ def quality_score(text: str = "cand_text") -> Column:
 def dedupe_overlaps(candidates: DataFrame, per_unit: int | None = None) -> DataFrame:
     """Per unit, best quality first, drop a candidate that contains or is contained in a kept one; text order again.
 
-    The candidates of one unit are gathered, never those of several.
+    The candidates of one unit are gathered, never those of several. Which text stands in which is found by one walk over
+    each, then a single sweep in order of quality decides.
     """
-    row = F.struct((-F.col("quality")).alias("o"), F.col("idx").alias("idx"), F.col("cand_text").alias("cand_text"))
+    kind = candidates.schema["unit_id"].dataType.simpleString()
+    row = F.struct((-F.col("quality")).alias("o"), F.col("idx").alias("idx"), F.col("cand_text").alias("cand_text"), F.lower(squeeze("cand_text")).alias("low"))
     g = candidates.groupBy("unit_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    low = lambda x: F.lower(squeeze(x))
-    t = "array<struct<o:double,idx:int,cand_text:string>>"
-    clash = lambda kept, x: F.exists(kept, lambda k: F.contains(low(k["cand_text"]), low(x["cand_text"])) | F.contains(low(x["cand_text"]), low(k["cand_text"])))
-    kept = F.aggregate("c", F.array().cast(t), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
-    back = F.array_sort(kept, lambda a, b: a["idx"] - b["idx"])
-    back = back if per_unit is None else F.slice(back, 1, per_unit)
-    return g.select("unit_id", F.explode(back).alias("k")).select("unit_id", "k.idx", "k.cand_text", (-F.col("k.o")).alias("quality"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, own in enumerate(b.column(1).to_pylist()):
+                kept = [own[k] for k in _apart([x["low"] for x in own])]
+                rows += [(i, x["idx"], x["cand_text"], -x["o"]) for x in sorted(kept, key=lambda x: x["idx"])[:per_unit]]
+            unit, idx, text, quality = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(unit, pa.int64())), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array(quality, pa.float64())], names=["unit_id", "idx", "cand_text", "quality"])
+
+    return g.mapInArrow(run, f"unit_id {kind}, idx int, cand_text string, quality double")
+
+
+def _apart(texts: Sequence[str | None]) -> list[int]:
+    """Places of the texts that neither contain nor are contained in one kept before. An empty text stands in all."""
+    place: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            place.setdefault(t, i)
+    near: dict[str, set[str]] = {t: set() for t in place}
+    for t, inside in zip(place, contained(place, place)):
+        for x in inside - {t}:
+            near[t].add(x)
+            near[x].add(t)
+    kept: set[str] = set()
+    for t in place:
+        if (near[t].isdisjoint(kept) if t else not kept) and "" not in kept:
+            kept.add(t)
+    return [i for i, t in enumerate(texts) if t is None or t in kept and place[t] == i]
 
 
 # Phrases of the candidate spans, in order.

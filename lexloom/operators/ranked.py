@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.common import cut_lineage, head_of, text_or_empty, top_k
+from lexloom.functions.scan import contained
 from lexloom.functions.text import fold_text, tokens
 
 K1, B = 1.5, 0.75  # fixed values of the ranking formula
@@ -230,18 +230,6 @@ def _by_value(values: list) -> dict:
     return {v: np.array(r) for v, r in rows.items()}
 
 
-def contained(patterns: Iterable[str], texts: Iterable[str | None]) -> Iterator[set[str]]:
-    """Per text the patterns that stand in it: one automaton over all patterns, walked once per text."""
-    automaton = ahocorasick.Automaton()
-    for p in patterns:
-        if p:
-            automaton.add_word(p, p)
-    if len(automaton):
-        automaton.make_automaton()
-    for text in texts:
-        yield {p for _, p in automaton.iter(text)} if text and len(automaton) else set()
-
-
 WEIGHTS = (0.42, 0.58)  # fixed values: lexical and structured share
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.common import as_col, case_when, cut_lineage, first_row, head_of, has_phrase, lookup, shortened, tags, text_or_empty, top_k
+from lexloom.functions.scan import Scanner, contained
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
 
 K1, B = 1.5, 0.75  # fixed values of the ranking formula
+TEXT_BLOCK, PATTERN_CHUNK = 512, 8192
 
 
 def _postings(items: DataFrame, keep_terms: DataFrame | None, fold: bool) -> DataFrame:
@@ -498,32 +502,69 @@ def citations(evidence: DataFrame, rules: DataFrame, limit: int | None = None, e
     return out if limit is None else out.where(F.col("citation_no") <= limit)
 
 
-def pattern_scores(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+class _Patterns:
+    """A chunk of patterns with an automaton over all of them; see `pattern_scores`."""
+
+    def __init__(self, entries: Sequence, patterns: Sequence[str]):
+        self.entries, self.patterns = list(dict.fromkeys(entries)), list(dict.fromkeys(patterns))
+        entry, place = {e: i for i, e in enumerate(self.entries)}, {p: i for i, p in enumerate(self.patterns)}
+        self.of = np.array([(entry[e], place[p]) for e, p in zip(entries, patterns)]).reshape(-1, 2)
+        own = [[w for w in p.split(" ") if len(w) > 2] for p in self.patterns]
+        self.size, self.place = np.array([len(w) for w in own]), place
+        self.bonus = np.array([0.72 + min(0.27, len(p) / 120.0) for p in self.patterns])
+        words: dict[str, list[int]] = {}
+        for i, ws in enumerate(own):
+            for w in ws:
+                words.setdefault(w, []).append(i)
+        self.words = {w: np.array(rows) for w, rows in words.items()}
+
+    def score(self, held: set[str], words: Iterable[str]) -> np.ndarray:
+        """Best score per entry of a text that holds these patterns and consists of these distinct words."""
+        rows = [self.words[w] for w in words if w in self.words]
+        hits = np.bincount(np.concatenate(rows), minlength=len(self.patterns)) if rows else np.zeros(len(self.patterns), int)
+        ratio = hits / np.maximum(self.size, 1)
+        raw = np.select([self.size == 0, ratio >= 0.85, ratio >= 0.66, ratio >= 0.34], [0.0, 0.42 + 0.12 * ratio, 0.22 + 0.18 * ratio, 0.12 + 0.12 * ratio], 0.0)
+        whole = [self.place[p] for p in held]
+        raw[whole] = self.bonus[whole]
+        best = np.zeros(len(self.entries))
+        np.maximum.at(best, self.of[:, 0], raw[self.of[:, 1]])
+        return best
+
+
+def pattern_scores(texts: DataFrame, patterns: DataFrame, chunk: int = PATTERN_CHUNK) -> DataFrame:
     """(text_id, entry_id, raw): best pattern score of each lexicon entry in each text.
 
     texts(text_id, text), patterns(entry_id, pattern). A whole phrase scores .72 + up to .27 by length; else the
-    share of its words (> 2 letters) found as whole words decides. Pairs come from an exact join on contained
-    words, so texts and patterns with nothing in common never meet.
+    share of its words (> 2 letters) found as whole words decides. Blocks of texts meet chunks of patterns; an automaton
+    over a chunk is walked once per text, and only scores above 0 leave the task.
     """
-    t = texts.select("text_id", fold_text("text").alias("text"))
     p = patterns.select("entry_id", fold_text("pattern").alias("pattern")).filter(F.length("pattern") >= 2).distinct()
-    words = F.filter(F.split("pattern", " "), lambda w: F.length(w) > 2)
-    p = p.select("entry_id", "pattern", words.alias("words"))
-    pw = p.select("pattern", F.explode("words").alias("word")).groupBy("pattern", "word").agg(F.count("*").alias("times"))
-    tw = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("word"))
-    part = (tw.join(pw, "word").groupBy("text_id", "pattern").agg(F.sum("times").alias("hits")))
-    # Whole-phrase test: the longest piece of the pattern must be contained in a word of the text.
-    piece = F.element_at(F.array_sort(F.filter(F.split("pattern", " "), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1)
-    heads = p.select("pattern", piece.alias("needle"))
-    near = contained_tokens(heads, t.withColumnRenamed("text_id", "item_id")).join(heads, "needle")
-    phrase = (near.select(F.col("item_id").alias("text_id"), "pattern").join(t, "text_id")
-              .filter(F.contains(F.col("text"), F.col("pattern"))).select("text_id", "pattern", F.lit(True).alias("whole")))
-    both = part.join(phrase, ["text_id", "pattern"], "full_outer").join(p, "pattern")
-    ratio = F.coalesce("hits", F.lit(0)) / F.size("words")
-    raw = (F.when(F.col("whole"), 0.72 + F.least(F.lit(0.27), F.length("pattern") / 120.0))
-           .when(F.size("words") == 0, 0.0).when(ratio >= 0.85, 0.42 + 0.12 * ratio)
-           .when(ratio >= 0.66, 0.22 + 0.18 * ratio).when(ratio >= 0.34, 0.12 + 0.12 * ratio).otherwise(0.0))
-    return both.groupBy("text_id", "entry_id").agg(F.max(raw).alias("raw")).filter("raw > 0")
+    p = cut_lineage(p, "patterns")
+    chunks = max(1, -(-p.count() // chunk))
+    blocks = max(1, -(-texts.count() // TEXT_BLOCK))
+    t = texts.select("text_id", fold_text(text_or_empty("text")).alias("text"))
+    t = t.select("text_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("words"), F.pmod(F.xxhash64("text_id"), F.lit(blocks)).alias("block"), F.explode(_numbers(chunks)).alias("chunk"))
+    asked = p.select("entry_id", "pattern", F.pmod(F.xxhash64("entry_id", "pattern"), F.lit(chunks)).alias("in_chunk"), F.explode(_numbers(blocks)).alias("in_block"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((texts, "text_id"), (patterns, "entry_id"))]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, raws, rows = [], [], []
+        if right.num_rows:
+            own = _Patterns(right.column("entry_id").to_pylist(), right.column("pattern").to_pylist())
+            for i, (held, words) in enumerate(zip(contained(own.patterns, left.column("text").to_pylist()), left.column("words").to_pylist())):
+                best = own.score(held, words)
+                found = np.flatnonzero(best)
+                rows += [i] * len(found)
+                ids += [own.entries[k] for k in found]
+                raws += best[found].tolist()
+        return pa.table([left.column("text_id").combine_chunks().take(pa.array(rows, pa.int64())), pa.array(ids, right.schema.field("entry_id").type), pa.array(raws, pa.float64())], names=["text_id", "entry_id", "raw"])
+
+    met = t.groupBy("block", "chunk").cogroup(asked.groupBy("in_block", "in_chunk")).applyInArrow(run, f"text_id {kinds[0]}, entry_id {kinds[1]}, raw double")
+    return met if chunks == 1 else met.groupBy("text_id", "entry_id").agg(F.max("raw").alias("raw"))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
 def condition_match(scores: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -577,32 +618,33 @@ ROLE_PRIORITY = {"employer": 1, "employee": 1, "labor_leasing_enterprise": 1, "t
                  "company": 3, "member": 4, "shareholder": 4, "legal_representative": 5, "founder": 5, "authority": 9, "unknown": 10}
 
 
-def _placed(hits: Column, gaps: Column, role: str, prio: int) -> Column:
-    """Matches with their offsets: the text before match i is gaps 0..i and matches 0..i-1."""
-    before = lambda i: (F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x)
-                        + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-    return F.transform(hits, lambda h, i: F.struct(
-        F.trim(h).alias("surface"), before(i).alias("start"), F.length(h).alias("length"),
-        F.lit(role).alias("role"), F.lit(prio).alias("prio")))
-
-
 def entity_mentions(texts: DataFrame, patterns: Sequence[tuple[str, str]] = MENTION_PATTERNS,
                     priority: Mapping[str, int] = ROLE_PRIORITY) -> DataFrame:
     """Every mention (text_id, surface, start, role, is_primary); one per (surface, start).
 
-    Positions come from splitting the text at the matches, row by row.
+    One walk over each text, inside the row: no shuffle.
     """
-    per_role = []
-    for role, rx in patterns:
-        rx = "(?iu)" + rx
-        hits = F.regexp_extract_all("text", F.lit(rx), 0)
-        gaps = F.transform(F.split("text", rx, -1), lambda g: F.length(g))
-        per_role.append(_placed(hits, gaps, role, priority.get(role, 10)))
-    found = texts.select("text_id", F.explode(F.concat(*per_role)).alias("m")).select("text_id", "m.*")
-    one = first_row(found.withColumn("__s", F.lower("surface")), ["text_id", "__s", "start"], [F.asc("length"), F.asc("prio"), F.asc("role")])
-    prim = one.groupBy("text_id").agg(F.min(F.struct("prio", "start", "length", "role")).alias("p"))
-    hit = (F.col("prio") == F.col("p.prio")) & (F.col("start") == F.col("p.start")) & (F.col("role") == F.col("p.role"))
-    return one.join(prim, "text_id").select("text_id", "surface", "start", "role", hit.alias("is_primary"))
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner([[rx] for _, rx in patterns], whole=False)
+        for b in batches:
+            row, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                best: dict[tuple[str, int], tuple] = {}
+                for k, a, z in scanner.spans(text or ""):
+                    role, surface = patterns[k][0], text[a:z].strip(" ")
+                    own = (z - a, priority.get(role, 10), role, surface)
+                    best[surface.lower(), a] = min(own, best.get((surface.lower(), a), own))
+                lead = min(((p, a, n, role) for (_, a), (n, p, role, _) in best.items()), default=None)
+                for (_, a), (_, p, role, surface) in sorted(best.items(), key=lambda x: (x[0][1], x[1])):
+                    row.append(i)
+                    rows.append((surface, a, role, (p, a, role) == (lead[0], lead[1], lead[3])))
+            surface, start, role, first = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(surface, pa.string()), pa.array(start, pa.int32()), pa.array(role, pa.string()), pa.array(first, pa.bool_())],
+                                             names=["text_id", "surface", "start", "role", "is_primary"])
+
+    return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, surface string, start int, role string, is_primary boolean")
 
 
 def focus_score(texts: DataFrame, cues: Sequence[tuple[str, float, Sequence[str]]], default: str = "unknown") -> DataFrame:

@@ -78,7 +78,34 @@ def clean_unit_hints(t):
     return S.clean_unit_hints(_hints(t), ["nộp", "sở hữu"])[0].select("unit_id", "deontic_signal", "action_hint")
 
 
-@query("generate_candidates")
+def _candidates_sql():
+    """Matches with positions (lengths of the gaps and matches before), kept where no word goes on around them; then windows and slices."""
+    word, squeeze = r"[\p{L}\p{N}_]", lambda x: rf"trim(regexp_replace({x}, '[\s\x{{00a0}}]+', ' ', 'g'))"
+    stop = lambda x: rf"regexp_replace({x}, '(?s)(?:[.;]\s|\n\n).*$', '')"
+    # A look-ahead for a character that no word holds, then any 40: that character, then any 39.
+    rx = lambda ps: "|".join(ps).replace(r"(?=[^\p{L}\p{N}_]).{0,40}", r"[^\p{L}\p{N}_].{0,39}")
+    kinds = [("t", "t", rx(p)) for p in K.TRIGGERS] + [("x", "flat", rx(K.EXCEPTION)), ("e", "flat", rx(K.EFFECT))]
+    found = " UNION ALL ".join(f"SELECT unit_id, '{k}' AS kind, {c} AS x, regexp_extract_all({c}, '(?i)(?:{p})') AS hits, regexp_split_to_array({c}, '(?i)(?:{p})') AS gaps FROM u" for k, c, p in kinds)
+    points = r"SELECT unit_id, 'p', t, regexp_extract_all(t, '(?im)^\s*[a-zđ]\)\s+'), regexp_split_to_array(t, '(?im)^\s*[a-zđ]\)\s+') FROM u"
+    focus = squeeze(f"CASE WHEN length({stop('substr(x, p + 1)')}) > {K.COMMA_CHARS} THEN split_part({stop('substr(x, p + 1)')}, ',', 1) ELSE {stop('substr(x, p + 1)')} END")
+    begin = rf"""CASE WHEN a = 0 THEN 0 WHEN regexp_matches(substr(x, a, 1), '[\p{{L}}\p{{N}}]') THEN a + length(regexp_extract(substr(x, a + 1), '^[\p{{L}}\p{{N}}]*[ \t]*')) ELSE a + length(regexp_extract(substr(x, a + 1), '^[ \t]*')) END"""
+    return f"""WITH u AS (SELECT unit_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t, {squeeze('text')} AS flat FROM clauses),
+h AS ({found} UNION ALL {points}), n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h),
+m AS (SELECT unit_id, kind, x, length(hits[i]) AS len, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))::BIGINT AS p FROM n),
+k AS (SELECT *, greatest(0, p - {K.PRE_CHARS}) AS a, coalesce(lead(p) OVER (PARTITION BY unit_id, kind ORDER BY p), length(x)) AS b FROM m
+  WHERE kind = 'p' OR NOT regexp_matches(CASE WHEN p = 0 THEN '' ELSE substr(x, p, 1) END, '{word}') AND NOT regexp_matches(substr(x, p + len + 1, 1), '{word}')),
+g AS (SELECT *, {begin} AS start FROM k),
+c AS (SELECT unit_id, kind, p, b, CASE kind WHEN 'p' THEN regexp_replace(substr(x, p + 1, b - p), '^\\s+|\\s+$', '', 'g') WHEN 't' THEN {squeeze(stop("trim(substr(x, start + 1, greatest(0, b - start)), ' ')"))} ELSE {focus} END AS c FROM g),
+z AS (SELECT *, count(*) FILTER (kind = 'p') OVER w AS np, count(*) FILTER (kind = 'x') OVER w AS nx FROM c WINDOW w AS (PARTITION BY unit_id)),
+e AS (SELECT unit_id, c, kind, row_number() OVER (PARTITION BY unit_id ORDER BY position(kind IN 'ptxe'), p, b) AS o, np >= 2 OR nx >= 2 AS plain FROM z
+  WHERE c <> '' AND CASE WHEN np >= 2 THEN kind = 'p' WHEN nx >= 2 THEN kind = 'x' ELSE kind <> 'p' END),
+f AS (SELECT * FROM e QUALIFY plain OR row_number() OVER (PARTITION BY unit_id, c ORDER BY o) = 1),
+r AS (SELECT * FROM f WHERE plain OR NOT EXISTS (SELECT 1 FROM f y WHERE y.unit_id = f.unit_id AND contains(lower(y.c), lower(f.c)) AND length(f.c) + {K.NESTED_CHARS} < length(y.c)))
+SELECT unit_id, (row_number() OVER (PARTITION BY unit_id ORDER BY o) - 1)::INT AS idx, c AS cand_text,
+  CASE kind WHEN 'p' THEN 'split=points' WHEN 't' THEN 'split=trigger_window' WHEN 'x' THEN 'split=focused_exception' ELSE 'split=focused_legal_effect' END AS how FROM r"""
+
+
+@query("generate_candidates", _candidates_sql(), uses=["clauses"])
 def generate_candidates(t):
     return K.generate_candidates(t.clauses)
 
@@ -97,10 +124,23 @@ def filter_candidates(t):
     return _cands(t).select("unit_id", "candidate_type", "modality")
 
 
-@query("dedupe_overlaps")
+LOW = r"trim(regexp_replace(lower({0}), '[\s\x{{00a0}}]+', ' ', 'g'))"
+
+
+@query("dedupe_overlaps", rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS c, unnest(range(0, len(l))) AS i FROM s), u AS (SELECT doc_id, 2 * i AS idx, c FROM e UNION ALL SELECT doc_id, 2 * i + 1, trim(substr(c, 1, length(c) // 2)) FROM e WHERE length(c) > 1),
+o AS (SELECT doc_id, idx, c, (length(c) * 7 + idx) % 11 / 2 AS quality, {LOW.format('c')} AS low, row_number() OVER (PARTITION BY doc_id ORDER BY (length(c) * 7 + idx) % 11 DESC, idx) AS n FROM u),
+r AS (SELECT doc_id, 0::BIGINT AS n, []::VARCHAR[] AS kept, NULL::BIGINT AS idx, NULL::VARCHAR AS c, NULL::DOUBLE AS quality FROM s
+  UNION ALL SELECT r.doc_id, o.n, CASE WHEN x.clash THEN kept ELSE list_append(kept, low) END, CASE WHEN NOT x.clash THEN o.idx END, o.c, o.quality
+  FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1, LATERAL (SELECT len(list_filter(r.kept, lambda k: contains(k, o.low) OR contains(o.low, k))) > 0 AS clash) x)
+SELECT doc_id AS unit_id, idx::INT AS idx, c AS cand_text, quality FROM r WHERE idx IS NOT NULL""")
 def dedupe_overlaps(t):
-    c = K.filter_candidates(K.generate_candidates(t.clauses))
-    return K.dedupe_overlaps(c.withColumn("quality", K.quality_score()))
+    """Sentences of the documents and their first halves as candidates."""
+    parts = F.filter(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    e = t.documents.select("doc_id", F.posexplode(parts).alias("i", "c"))
+    half = e.where(F.length("c") > 1).select("doc_id", (2 * F.col("i") + 1).alias("idx"), F.trim(F.substring(F.col("c"), F.lit(1), F.expr("cast(length(c) div 2 as int)"))).alias("c"))
+    u = e.select("doc_id", (2 * F.col("i")).alias("idx"), "c").union(half)
+    return K.dedupe_overlaps(u.select(F.col("doc_id").alias("unit_id"), "idx", F.col("c").alias("cand_text"), (((F.length("c") * 7 + F.col("idx")) % 11) / 2).alias("quality")))
 
 
 @query("fill_slots", r"""SELECT unit_id, nullif(trim(regexp_extract(text, '((?:trừ\s+trường\s+hợp|ngoại\s+trừ)[^.;]{0,200})', 1)), '') AS exception_span, nullif(trim(regexp_extract(text, '((?:bị\s+thu\s+hồi|hết\s+hiệu\s+lực|chấm\s+dứt)[^.;]{0,120})', 1)), '') AS effect_span,

@@ -308,8 +308,7 @@ def citations(t):
 
 RAW_SQL = f"""
 tx AS (SELECT doc_id AS text_id, {FOLD.format('text')} AS b, source AS sr FROM documents),
-pt AS (SELECT DISTINCT item_id AS entry_id, {FOLD.format("regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+')")} AS p FROM benchmark
-   UNION SELECT item_id, {FOLD.format("regexp_extract(text, '[^ ]+ [^ ]+$')")} FROM benchmark),
+pt AS (SELECT DISTINCT item_id AS entry_id, {FOLD.format('text')} AS p FROM benchmark UNION SELECT DISTINCT entry_id, trim(p) FROM (SELECT item_id AS entry_id, unnest(string_split({FOLD.format('text')}, '.')) AS p FROM benchmark)),
 pw AS (SELECT *, list_filter(string_split(p, ' '), lambda w: length(w) > 2) AS ws FROM pt WHERE length(p) >= 2),
 tw AS (SELECT text_id, sr, b, list_distinct(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+')) AS bw FROM tx),
 s0 AS (SELECT text_id, entry_id, p, contains(b, p) AS whole, len(ws) AS nw, CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda w: list_contains(bw, w))) / len(ws) END AS ratio FROM tw CROSS JOIN pw),
@@ -319,11 +318,11 @@ rw AS (SELECT text_id, entry_id, max(CASE WHEN whole THEN 0.72 + least(0.27, len
 
 
 def _raw(t):
+    """Patterns of an entry: the whole benchmark text, and each of its sentences."""
     texts = t.documents.select(F.col("doc_id").alias("text_id"), "text")
-    b = t.benchmark
-    pats = b.select(F.col("item_id").alias("entry_id"), F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0).alias("pattern")).union(
-        b.select("item_id", F.regexp_extract("text", "[^ ]+ [^ ]+$", 0)))
-    return R.pattern_scores(texts, pats)
+    b = t.benchmark.select(F.col("item_id").alias("entry_id"), fold_text("text").alias("pattern"))
+    parts = b.select("entry_id", F.explode(F.split("pattern", r"\.")).alias("pattern")).select("entry_id", F.trim("pattern"))
+    return R.pattern_scores(texts, b.union(parts))
 
 
 @query("pattern_scores", f"WITH {RAW_SQL} SELECT text_id, entry_id, round(raw, 6) AS raw FROM rw")
@@ -355,7 +354,18 @@ def condition_match(t):
     return m.withColumn("rerank", F.round("rerank", 6))
 
 
-@query("entity_mentions")
+def _mentions_sql():
+    """Positions of a role's mentions are the lengths of the gaps and mentions before them."""
+    per = " UNION ALL ".join(
+        f"SELECT unit_id AS text_id, '{role}' AS role, {R.ROLE_PRIORITY[role]} AS prio, regexp_extract_all(text, '(?i){rx}') AS hits, regexp_split_to_array(text, '(?i){rx}') AS gaps FROM clauses"
+        for role, rx in R.MENTION_PATTERNS)
+    return f"""WITH h AS ({per}), n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h),
+m AS (SELECT text_id, role, prio, trim(hits[i]) AS surface, length(hits[i]) AS len, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))::INT AS start FROM n),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY text_id, lower(surface), start ORDER BY len, prio, role) = 1)
+SELECT text_id, surface, start, role, row_number() OVER (PARTITION BY text_id ORDER BY prio, start, len, role) = 1 AS is_primary FROM o"""
+
+
+@query("entity_mentions", _mentions_sql(), uses=["clauses"])
 def entity_mentions(t):
     return R.entity_mentions(t.clauses.select(F.col("unit_id").alias("text_id"), "text"))
 

@@ -92,10 +92,3 @@ def test_empty_tables(spark, tables):
     none = ranked.blockmax_index(i.limit(0))
     assert ranked.blockmax_topk(q, none).count() == 0 and ranked.blockmax_topk(q.limit(0), ranked.blockmax_index(i)).count() == 0
     assert ranked.evidence_topk(q, i.limit(0)).count() == 0
-
-
-def test_automaton_finds_all_that_are_contained():
-    rng = random.Random(4)
-    texts = ["".join(rng.choice("abc ") for _ in range(30)) for _ in range(50)] + [None, ""]
-    patterns = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 6))) for _ in range(60)] + [""]
-    assert list(ranked.contained(patterns, texts)) == [{p for p in patterns if p and p in (t or "")} for t in texts]
