@@ -207,13 +207,13 @@ def stratified_sample(t):
     return A.stratified_sample(t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("domain")), 33)
 
 
-@query("trace_presence", """WITH e AS (SELECT l_orderkey AS case_id, 'R' || l_partkey AS rule_id FROM lineitem), n AS (SELECT case_id, count(*) AS n_retrieved, count(*) FILTER (rule_id IN (SELECT 'R' || p_partkey FROM part WHERE p_size % 2 = 0)) AS in_canonical, count(*) FILTER (rule_id IN (SELECT 'R' || p_partkey FROM part WHERE p_size % 3 = 0)) AS in_runtime FROM e GROUP BY 1)
-SELECT case_id, n_retrieved, in_canonical, in_runtime, (SELECT count(*) FROM part WHERE p_size % 3 = 0 AND p_type = CASE WHEN case_id % 2 = 0 THEN 'SMALL' ELSE 'ABSENT' END) AS n_goal_rules FROM n""")
+@query("trace_presence", """WITH e AS (SELECT l_orderkey AS case_id, 'R' || l_partkey AS rule_id FROM lineitem), n AS (SELECT case_id, count(*) AS n_retrieved, count(*) FILTER (rule_id IN (SELECT 'R' || s_suppkey FROM supplier)) AS in_canonical, count(*) FILTER (rule_id IN (SELECT 'R' || p_partkey FROM part)) AS in_runtime FROM e GROUP BY 1)
+SELECT case_id, n_retrieved, in_canonical, in_runtime, (SELECT count(*) FROM part WHERE p_type = CASE WHEN case_id % 2 = 0 THEN 'SMALL' ELSE 'ABSENT' END) AS n_goal_rules FROM n""")
 def trace_presence(t):
     cases = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list(F.concat(F.lit("R"), F.col("l_partkey").cast("string"))).alias("retrieved"))
     cases = cases.withColumn("goal", F.when(F.col("case_id") % 2 == 0, "SMALL").otherwise("ABSENT"))
-    p = t.part.select(F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_type").alias("head_predicate"), "p_size")
-    return A.trace_presence(cases, p.filter("p_size % 2 = 0"), p.filter("p_size % 3 = 0"))
+    p = t.part.select(F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_type").alias("head_predicate"))
+    return A.trace_presence(cases, t.supplier.select(F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("rule_id")), p)
 
 
 @query("pending_cases", "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -135,7 +135,7 @@ SELECT concat('R', cast(p_partkey AS string)) AS rule_id, 0 AS seq, CASE cast(p_
   CASE cast(p_partkey % 4 AS int) WHEN 0 THEN 'view' WHEN 1 THEN 'purchase' WHEN 2 THEN 'signup' ELSE 'absent' END AS metric,
   CASE cast(p_partkey % 6 AS int) WHEN 0 THEN '>=' WHEN 1 THEN 'lte' WHEN 2 THEN 'gt' WHEN 3 THEN '<' WHEN 4 THEN 'eq' ELSE '~' END AS op,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE cast(p_size AS double) END AS target, CASE WHEN p_partkey % 2 = 0 THEN 'phan_tram' ELSE '' END AS unit
-FROM {part} WHERE p_partkey % 3 <> 1""")
+FROM {part}""")
 
 DERIVED["results"] = (["orders"], """
 SELECT o_orderkey AS id, CASE cast(o_orderkey % 5 AS int) WHEN 0 THEN 'success' WHEN 1 THEN 'partial' WHEN 2 THEN 'error' WHEN 3 THEN '' ELSE 'success' END AS status,
@@ -149,4 +149,4 @@ DERIVED["gold"] = (["orders"], """
 SELECT o_orderkey AS id, CASE cast(o_custkey % 4 AS int) WHEN 0 THEN 'tax' WHEN 1 THEN 'labor' WHEN 2 THEN 'enterprise' ELSE NULL END AS domain,
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS question_group, CASE cast(o_orderkey % 3 AS int) WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'A+B' END AS mode,
   CASE WHEN o_custkey % 5 = 0 THEN '' ELSE concat('F', cast(o_orderkey % 4 AS string), ',f', cast(o_custkey % 2 AS string)) END AS gm, o_orderkey % 8 <> 0 AS must_answer, o_custkey % 2 = 0 AS must_cite
-FROM {orders} WHERE o_orderkey % 10 <> 7""")
+FROM {orders}""")

@@ -82,8 +82,8 @@ EM = [P.BridgeFact("b_tax", ["tion"], "taxpayer({entity})", "taxpayer(x)"), P.Br
 
 
 @query("emit_bridge_facts", """
-WITH c AS (SELECT conv_id AS case_id, text, regexp_matches(lower(text), 'ing|heit') AS bt, regexp_matches(lower(text), 'th[a-z]+\\s+of') AS bl FROM conversations WHERE turn = 0),
-d AS (SELECT *, NOT bt AND NOT bl AS fr FROM c), e AS (SELECT conv_id AS case_id, role || turn AS entity, turn AS n FROM conversations WHERE turn > 0),
+WITH c AS (SELECT conv_id * 1000 + turn AS case_id, text, regexp_matches(lower(text), 'ing|heit') AS bt, regexp_matches(lower(text), 'th[a-z]+\\s+of') AS bl FROM conversations),
+d AS (SELECT *, NOT bt AND NOT bl AS fr FROM c), e AS (SELECT conv_id * 1000 + turn AS case_id, role || turn AS entity, turn AS n FROM conversations WHERE role <> 'system'),
 f AS (SELECT case_id, 0 AS no, 'b_tax' AS b, 'taxpayer(' AS tp, 'taxpayer(x)' AS fb FROM d WHERE (fr OR bt) AND contains(lower(text), 'tion') UNION ALL SELECT case_id, 1, 'b_labor', 'employer(', NULL FROM d WHERE (fr OR bl) AND contains(lower(text), 'the')
   UNION ALL SELECT case_id, 2, 'b_tax', NULL, 'taxpayer(x)' FROM d WHERE (fr OR bt) AND contains(lower(text), 'that')),
 g AS (SELECT case_id, no, n, b, tp || entity || ')' AS fact_key FROM f JOIN e USING (case_id) WHERE tp IS NOT NULL),
@@ -92,8 +92,8 @@ h AS (SELECT * FROM g UNION ALL SELECT case_id, no, 0, b, fb FROM f WHERE fb IS
 SELECT case_id, fact_key, b AS bridge_id FROM h QUALIFY row_number() OVER (PARTITION BY case_id, fact_key ORDER BY no, n, b) = 1""")
 def emit_bridge_facts(t):
     c = t.conversations
-    cases = P.match_bridges(c.filter("turn = 0").select(F.col("conv_id").alias("case_id"), "text"), BR)
-    ent = c.filter("turn > 0").select(F.col("conv_id").alias("case_id"), F.concat("role", F.col("turn").cast("string")).alias("entity"), F.col("turn").alias("pos"))
+    cases = P.match_bridges(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), "text"), BR)
+    ent = c.filter("role <> 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.concat("role", F.col("turn").cast("string")).alias("entity"), F.col("turn").alias("pos"))
     return P.emit_bridge_facts(cases, ent, EM, {"b_labor": ["declared(k)"]})
 
 

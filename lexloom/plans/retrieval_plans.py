@@ -294,7 +294,7 @@ WITH e AS (SELECT l_orderkey AS a, l_linenumber AS rk, l_partkey % 5 AS ch, CASE
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a, ch, ac, sd ORDER BY rk, tx) = 1),
 u AS (SELECT a, rk, concat_ws(' — ', nullif(ac, ''), sd) AS label, replace(tx, chr(10), ' ') AS excerpt, ch::VARCHAR AS source FROM d
-  UNION ALL SELECT o_orderkey, 1000000, 'ref ' || o_orderpriority, o_orderstatus, 'rule:R' || o_custkey FROM orders WHERE o_orderkey % 3 <> 0)
+  UNION ALL SELECT o_orderkey, 1000000, 'ref ' || o_orderpriority, o_orderstatus, 'rule:R' || o_custkey FROM orders)
 SELECT a AS answer_id, label, excerpt, source, (row_number() OVER (PARTITION BY a ORDER BY rk, source, label, excerpt))::INT AS citation_no FROM u""")
 def citations(t):
     ev = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -302,7 +302,7 @@ def citations(t):
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Điều "), (F.col("l_partkey") % 3).cast("string"))).otherwise("").alias("article_clause"),
         F.col("p_name").alias("source_doc"), F.concat("p_brand", F.lit("\n"), "p_type").alias("text"))
     own = t.orders.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("R"), "o_custkey").alias("rule_id"),
-                          F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("ref "), "o_orderpriority")).alias("source_ref"), F.col("o_orderstatus").alias("source_text"))
+                          F.concat(F.lit("ref "), "o_orderpriority").alias("source_ref"), F.col("o_orderstatus").alias("source_text"))
     return R.citations(ev, own)
 
 
