@@ -18,7 +18,7 @@ its block (linear in the block). Blocks that then still hold several components
 compared by their sketches where they stand, in chunks of at most `chunk` rows a side, and only pairs that the sketches
 allow leave the task: all of them where they are few, else two partners a row, so that what hangs together becomes one
 component at a cost linear in the block; such blocks come up again, until all pairs of different components are out.
-Equal sets meet by
+Near copies share most of their blocks, so at first a row meets only the largest of its open ones. Equal sets meet by
 their digest, and only one of each enters the product; a batch sends one row per block, however many of its rows are in
 it. So no group is gathered in one place.
 
@@ -47,7 +47,7 @@ _WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SKETCH_BITS = 256
 SENT_BITS = 1024
-ROUNDS = 3  # in the last one all pairs leave an open block
+ROUNDS = 4  # in the first a row meets its largest open block only, in the last one all pairs leave an open block
 FEW = 4  # pairs a row that leave it in the others
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 500_000
@@ -259,22 +259,28 @@ def _open_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def _largest(open_: DataFrame) -> DataFrame:
+    """Of each row the membership in its largest open block."""
+    main = open_.groupBy("id").agg(F.max(F.struct("k", "key")).alias("main"))
+    return open_.join(main, "id").where(F.col("key") == F.col("main.key")).drop("main").distinct()
+
+
 def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns: Sequence[str], chunk: int, round_no: int) -> DataFrame:
     """Pairs (a, b) of rows that share an open block, are in different components so far and that `able` allows.
 
-    Blocks of more than `chunk` rows are cut into chunks, which meet themselves in the first round, each other in later
-    ones. A group of rows with more than FEW pairs a row gives two pairs a row, with its first and its last partner,
+    Blocks of more than `chunk` rows are cut into chunks, which meet themselves in the first two rounds, each other in
+    later ones. A group of rows with more than FEW pairs a row gives two pairs a row, with its first and its last partner,
     except in the last round; its block, like all that have not met as a whole, is named in a row (key).
     """
     last = round_no == ROUNDS - 1
     mine = open_.join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
         "mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
-    if round_no:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
+    if round_no > 1:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
         mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     else:
         mine = mine.withColumn("other", F.col("mine"))
     sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", *columns,
-                       (F.lit(round_no == 0) & (F.col("chunks") > 1)).alias("part"))
+                       (F.lit(round_no <= 1) & (F.col("chunks") > 1)).alias("part"))
     ddl = "a long, b long, key long"
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,10 +448,14 @@ def joined_components(docs: DataFrame, profiles: DataFrame, n: int, limit: Thres
         members = open_
         if open_.isEmpty():
             break
-        met = stage(_block_pairs(open_, profiles, able, columns, chunk, number), "met")
+        asked = open_ if number else _largest(open_)
+        met = stage(_block_pairs(asked, profiles, able, columns, chunk, number), "met")
         links = confirmed(docs, profiles, met.where("key is null and a <> b").select("a", "b"), n, limit)
         known, found = found, stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "components")
         discard(known, links)
+        if not number:
+            discard(met)
+            continue
         again = met.where("key is not null").select("key")
         if again.isEmpty():
             break
