@@ -1,10 +1,13 @@
 """Queries for sources, sinks and the session stream."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from lexloom.common import scratch_path
 from lexloom.plans.registry import query
 from lexloom.sources import readers, sinks
+from lexloom.streaming import keyed_state
 from lexloom.streaming.session_facts import latest_updates
 from lexloom.streaming.session_facts import session_facts as latest_facts
 from lexloom.streaming.session_facts import session_facts_stream as stream_facts
@@ -62,10 +65,10 @@ SESS = """WITH e AS (SELECT user_id AS session_id, CASE WHEN event_id % 17 = 0 T
 SELECT session_id, k AS fact_key, coalesce(v, 'true') AS value, seq FROM e WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY session_id, k ORDER BY seq DESC) = 1"""
 
 
-def _answers(e):
+def _answers(e, at=None):
     key = F.when(F.col("event_id") % 17 == 0, "").otherwise(F.concat("event_type", (F.col("event_id") % 3).cast("string")))
     val = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("v"), (F.col("event_id") % 7).cast("string")))
-    return e.select(F.col("user_id").alias("session_id"), key.alias("fact_key"), val.alias("value"), F.col("event_id").alias("seq"))
+    return e.select(F.col("user_id").alias("session_id"), key.alias("fact_key"), val.alias("value"), F.col("event_id").alias("seq"), *([F.col(at).alias("at")] if at else []))
 
 
 @query("session_facts", SESS)
@@ -80,3 +83,41 @@ def session_facts_stream(t):
     t.events.repartition(4, "event_id").write.parquet(src)
     stream_facts(_answers(t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(src)), out, ckpt).awaitTermination()
     return latest_updates(t.spark.read.parquet(out))
+
+
+TTL_DAYS = 6
+TIMED = f"""WITH e AS (SELECT user_id AS session_id, CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type || (event_id % 3) END AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'v' || (event_id % 7) END AS v, event_id AS seq, ts FROM events),
+l AS (SELECT session_id, k AS fact_key, coalesce(v, 'true') AS value, seq, ts FROM e WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY session_id, k ORDER BY ts DESC, seq DESC) = 1)
+SELECT session_id, fact_key, value, seq FROM l WHERE ts + INTERVAL {TTL_DAYS} DAY > (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
+def _slices(t, name, n=4):
+    """The events table in n runs of time, written one after the other, as they would arrive."""
+    src = _scratch(t, name)
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(n):
+        part = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * n / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1))
+        events.where(part == i).coalesce(1).write.mode("append").parquet(src)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src), high
+
+
+@query("session_facts_keyed", TIMED)
+def session_facts_keyed(t):
+    """Session facts that expire six days after their last answer, kept as keyed state over the whole events table."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed_state.STORE)
+    events, high = _slices(t, "timed_events")
+    out = _scratch(t, "timed_facts")
+    keyed_state.start_updates(keyed_state.keyed_facts(_answers(events, "ts"), TTL_DAYS * 86_400_000, "1 hour"), out, _scratch(t, "timed_ckpt")).awaitTermination()
+    return keyed_state.living_facts(t.spark.read.parquet(out), high - timedelta(hours=1), TTL_DAYS * 86_400_000)
+
+
+@query("trace_rollup_stream", """SELECT user_id AS run_id, count(*) AS n_spans, round(sum(value), 2) AS total_ms, max(value) AS max_ms, count(*) FILTER (event_type = 'error') AS n_failed, arg_min('step' || (event_id % 6), event_id) FILTER (event_type = 'error') AS first_failed_step FROM events GROUP BY user_id""")
+def trace_rollup_stream(t):
+    """The rollup of spans as a stream with a watermark, over the whole events table in four micro-batches."""
+    events, _ = _slices(t, "spans")
+    spans = events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.concat(F.lit("step"), (F.col("event_id") % 6).cast("string")).alias("step"),
+                          F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("value").alias("duration_ms"), F.col("ts").alias("at"))
+    out = _scratch(t, "span_windows")
+    keyed_state.start_updates(keyed_state.span_windows(spans, "1 hour", "2 hours"), out, _scratch(t, "spans_ckpt")).awaitTermination()
+    return keyed_state.rollup_windows(t.spark.read.parquet(out))

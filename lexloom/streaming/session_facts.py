@@ -15,9 +15,9 @@ from lexloom.common import is_blank
 OUT = "session_id bigint, fact_key string, value string, seq bigint"
 
 
-def prepared(answers: DataFrame) -> DataFrame:
-    """Blank keys are ignored; an answer without a value states the fact as true. Reads session_id, fact_key, value, seq."""
-    return answers.filter(~is_blank("fact_key")).select("session_id", F.trim("fact_key").alias("fact_key"), F.coalesce("value", F.lit("true")).alias("value"), "seq")
+def prepared(answers: DataFrame, *more: str) -> DataFrame:
+    """Blank keys are ignored; an answer without a value states the fact as true. Reads session_id, fact_key, value, seq, and more."""
+    return answers.filter(~is_blank("fact_key")).select("session_id", F.trim("fact_key").alias("fact_key"), F.coalesce("value", F.lit("true")).alias("value"), "seq", *more)
 
 
 def _latest(df: DataFrame) -> DataFrame:
