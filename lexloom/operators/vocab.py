@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import case_when, first_nonblank, first_row, is_blank, none_if_blank, tags, text_or_empty, top_k
+from lexloom.common import case_when, cut_lineage, first_nonblank, first_row, is_blank, none_if_blank, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import slug
 
@@ -266,54 +266,69 @@ def merge_predicates(vocab: DataFrame, moved: DataFrame) -> DataFrame:
     return extend_vocab(vocab, [moved], ["canonical"])
 
 
+PAIR = "\x01"  # between metric and unit in one text
+
+
+def _vocabulary(predicates: DataFrame, objects: DataFrame, effects: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(kind, key, entry): all vocabularies in one table, one row per key."""
+    one = lambda df, kind, key, family=None: df.select(kind.alias("kind"), key.alias("key"), F.struct(F.col("canonical"), (family if family is not None else F.lit(None).cast("string")).alias("family")).alias("entry"))
+    c = F.col("canonical")
+    pair = metrics.select("unit_canonical", F.col("metric_canonical").alias("canonical"))
+    parts = [one(predicates, F.lit("predicate"), c, F.col("family")), one(objects, F.lit("object"), c), one(effects, F.lit("effect"), c), one(entities, F.col("kind"), c),
+             one(pair, F.lit("metric"), F.concat("canonical", F.lit(PAIR), F.coalesce("unit_canonical", F.lit(""))))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.where("key IS NOT NULL").groupBy("kind", "key").agg(F.min("entry").alias("entry"))
+
+
+def _slots() -> list[tuple[str, str, Column, Column]]:
+    """Slot, kind of vocabulary, text, whether it is filled."""
+    filled = lambda c: ~is_blank(c)
+    tail = F.trim(F.element_at(F.split("typed_predicate", ":", 2), -1))
+    plain = [("canonical_predicate", "predicate"), ("action", "predicate"), ("object", "object"), ("effect", "effect"), ("result", "effect"), ("subject", "subject"),
+             ("subject_type", "subject_type"), ("handler", "authority"), ("receiver", "authority"), ("scope", "scope")]
+    pair = F.concat(F.when(filled("metric"), F.col("metric")).otherwise(""), F.lit(PAIR), F.when(filled("unit"), F.col("unit")).otherwise(""))
+    return [*[(c, kind, F.col(c), filled(c)) for c, kind in plain], ("typed_predicate", "predicate", tail, filled("typed_predicate")), ("metric", "metric", pair, filled("metric") | filled("unit"))]
+
+
+def _resolved(texts: DataFrame, vocabulary: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(kind, raw, hit, blocked) of distinct (kind, raw): each text gets its key once, and a second key to fall back on."""
+    half = lambda i: F.element_at(F.split("raw", PAIR), i)
+    part = lambda i: F.when(half(i) == "", "").otherwise(slug(half(i)))
+    key = F.when(F.col("kind") == "metric", F.concat(part(1), F.lit(PAIR), part(2))).otherwise(slug("raw"))
+    keyed = texts.withColumn("key", key).withColumn("other", F.when(F.col("kind") == "metric", F.concat(F.split_part("key", F.lit(PAIR), F.lit(1)), F.lit(PAIR))).when(F.col("kind") == "effect", split_tail("key")["base"]))
+    keyed = keyed.join(vocabulary.select("kind", "key", F.col("entry").alias("first")), ["kind", "key"], "left")
+    keyed = keyed.join(vocabulary.select("kind", F.col("key").alias("other"), F.col("entry").alias("second")), ["kind", "other"], "left")
+    cut = blocked.select(F.lit("object").alias("kind"), F.col("canonical").alias("key")).distinct().withColumn("cut", F.lit(True))
+    return keyed.join(cut, ["kind", "key"], "left").select("kind", "raw", F.coalesce("first", "second").alias("hit"), F.coalesce("cut", F.lit(False)).alias("blocked"))
+
+
 def normalize_with_vocab(rules: DataFrame, predicates: DataFrame, objects: DataFrame, effects: DataFrame, entities: DataFrame,
                          metrics: DataFrame, blocked_objects: DataFrame) -> DataFrame:
     """Vocabulary entry of each slot of a rule by prioritised lookups, with notes and full / partial status.
 
-    Vocabularies are joined on the slug; how is left to the optimiser.
+    All filled slots of all rules are taken as (kind, text); every distinct one is slugged and looked up once, and one
+    join brings the entries back. Blank slots are never joined.
     """
-    filled = lambda c: ~is_blank(c)
-    key = lambda c: F.when(filled(c), slug(c))
-    tail = F.trim(F.element_at(F.split("typed_predicate", ":", 2), -1))
-    r = rules.select("*", key("canonical_predicate").alias("k_cp"), F.when(filled("typed_predicate"), slug(tail)).alias("k_tp"), key("action").alias("k_act"),
-                     key("object").alias("k_obj"), key("effect").alias("k_e1"), key("result").alias("k_e2"), key("subject").alias("k_subj"),
-                     key("subject_type").alias("k_type"), key("handler").alias("k_a1"), key("receiver").alias("k_a2"), key("scope").alias("k_scope"),
-                     F.coalesce(key("metric"), F.lit("")).alias("k_m"), F.coalesce(key("unit"), F.lit("")).alias("k_u"))
-
-    def attach(df: DataFrame, table: DataFrame, key_col: str, value: str, out: str) -> DataFrame:
-        t = table.select(F.col("canonical").alias(key_col), F.col(value).alias(out))
-        return df.join(t, key_col, "left")
-
-    preds = predicates.select("canonical", "family")
-    for k in ("k_cp", "k_tp", "k_act"):
-        r = attach(r, preds.withColumn("v", F.struct("canonical", "family")), k, "v", f"v{k[1:]}")
-    blocked = blocked_objects.select("canonical").distinct().withColumn("b", F.lit(True))
-    r = attach(r, blocked, "k_obj", "b", "obj_blocked")
-    r = attach(r, objects, "k_obj", "canonical", "v_obj")
-    base = lambda k: split_tail(k)["base"]
-    r = r.withColumn("k_b1", base("k_e1")).withColumn("k_b2", base("k_e2"))
-    for k in ("k_e1", "k_b1", "k_e2", "k_b2"):
-        r = attach(r, effects, k, "canonical", f"v{k[1:]}")
-    for k, kind in (("k_subj", "subject"), ("k_type", "subject_type"), ("k_a1", "authority"), ("k_a2", "authority"), ("k_scope", "scope")):
-        r = attach(r, entities.filter(F.col("kind") == kind), k, "canonical", f"v{k[1:]}")
-    m = metrics.select(F.col("metric_canonical").alias("k_m"), F.col("unit_canonical").alias("k_u"), F.lit(True).alias("m_exact"))
-    bare = metrics.filter("unit_canonical = ''").select(F.col("metric_canonical").alias("k_m"), F.lit(True).alias("m_bare"))
-    r = r.join(m, ["k_m", "k_u"], "left").join(bare, "k_m", "left")
-    pred = F.coalesce("v_cp", "v_tp", "v_act")
-    free = F.col("obj_blocked").isNull()
-    obj = F.when(free, F.col("v_obj"))
-    eff = F.coalesce("v_e1", "v_b1", "v_e2", "v_b2")
-    auth = F.coalesce("v_a1", "v_a2")
-    any_m = filled("metric") | filled("unit")
-    got_m = F.coalesce("m_exact", "m_bare")
-    notes = tags((pred.isNull(), "predicate_fallback"), (~free, "object_slug_was_split_fragment"), (free & F.col("k_obj").isNotNull() & F.col("v_obj").isNull(), "object_unmapped"),
-                 ((filled("effect") | filled("result")) & eff.isNull(), "effect_unmapped"), (filled("subject") & F.col("v_subj").isNull(), "subject_unmapped"),
-                 (filled("subject_type") & F.col("v_type").isNull(), "subject_type_unmapped"), ((filled("handler") | filled("receiver")) & auth.isNull(), "authority_unmapped"),
-                 (filled("scope") & F.col("v_scope").isNull(), "scope_unmapped"), (any_m & got_m.isNull(), "metric_unmapped"))
-    return r.select("rule_id", pred["canonical"].alias("predicate"), pred["family"].alias("predicate_family"), obj.alias("object_canonical"), eff.alias("effect_canonical"),
-                    F.col("v_subj").alias("subject_canonical"), F.col("v_type").alias("subject_type_canonical"), auth.alias("authority_canonical"),
-                    F.col("v_scope").alias("scope_canonical"), F.when(any_m & got_m, F.col("k_m")).alias("metric_canonical"), notes.alias("notes"),
-                    F.when(F.size(notes) == 0, F.lit("full")).otherwise(F.lit("partial")).alias("status"))
+    slots = _slots()
+    each = F.array_compact(F.array(*[F.when(full, F.struct(F.lit(name).alias("slot"), F.lit(kind).alias("kind"), raw.alias("raw"))) for name, kind, raw, full in slots]))
+    numbered = rules.select("rule_id", F.monotonically_increasing_id().alias("row"), each.alias("each"))
+    long = numbered.select("rule_id", "row", F.explode_outer("each").alias("s")).select("rule_id", "row", "s.*")
+    texts = long.where("slot IS NOT NULL").select("kind", "raw").distinct()
+    known = cut_lineage(_resolved(texts, _vocabulary(predicates, objects, effects, entities, metrics), blocked_objects), "slot_texts")
+    met = long.join(known, ["kind", "raw"], "left").groupBy("row", "rule_id").agg(
+        *[F.max(F.when(F.col("slot") == name, F.col("hit"))).alias(name) for name, *_ in slots], F.collect_set("slot").alias("filled"), F.coalesce(F.max("blocked"), F.lit(False)).alias("blocked"))
+    c, has = F.col, lambda *names: F.arrays_overlap("filled", F.array(*[F.lit(n) for n in names]))
+    pred, eff, auth = F.coalesce("canonical_predicate", "typed_predicate", "action"), F.coalesce("effect", "result"), F.coalesce("handler", "receiver")
+    obj = F.when(~c("blocked"), c("object"))
+    notes = tags((pred.isNull(), "predicate_fallback"), (c("blocked"), "object_slug_was_split_fragment"), (~c("blocked") & has("object") & obj.isNull(), "object_unmapped"),
+                 (has("effect", "result") & eff.isNull(), "effect_unmapped"), (has("subject") & c("subject").isNull(), "subject_unmapped"), (has("subject_type") & c("subject_type").isNull(), "subject_type_unmapped"),
+                 (has("handler", "receiver") & auth.isNull(), "authority_unmapped"), (has("scope") & c("scope").isNull(), "scope_unmapped"), (has("metric") & c("metric").isNull(), "metric_unmapped"))
+    return met.select("rule_id", pred["canonical"].alias("predicate"), pred["family"].alias("predicate_family"), obj["canonical"].alias("object_canonical"), eff["canonical"].alias("effect_canonical"),
+                      c("subject.canonical").alias("subject_canonical"), c("subject_type.canonical").alias("subject_type_canonical"), auth["canonical"].alias("authority_canonical"),
+                      c("scope.canonical").alias("scope_canonical"), c("metric.canonical").alias("metric_canonical"), notes.alias("notes"),
+                      F.when(F.size(notes) == 0, F.lit("full")).otherwise(F.lit("partial")).alias("status"))
 
 
 # Entities that rulebases share.
