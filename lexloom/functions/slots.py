@@ -268,5 +268,5 @@ def answer_features(c: Column | str, citation: str = P.CITATION,
 def normalize_family(c: Column | str) -> Column:
     """Alias of a semantic family -> canonical family, blank when unknown."""
     token = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(as_col(c), F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
-    table = {**{f: f for f in P.FAMILIES}, **P.FAMILY_ALIASES}
+    table = P.FAMILY_ALIASES
     return lookup(token, table, F.lit(""))
