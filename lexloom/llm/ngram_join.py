@@ -18,7 +18,8 @@ its block (linear in the block). Blocks that then still hold several components
 compared by their sketches where they stand, in chunks of at most `chunk` rows a side, and only pairs that the sketches
 allow leave the task: all of them where they are few, else two partners a row, so that what hangs together becomes one
 component at a cost linear in the block; such blocks come up again, until all pairs of different components are out.
-Near copies share most of their blocks, so at first a row meets only the largest of its open ones. Equal sets meet by
+Near copies share most of their blocks, so at first a row meets only the largest of its open ones, and later a pair that
+has some of its rows' OWNERS largest blocks in common belongs to the largest of these and leaves no other. Equal sets meet by
 their digest, and only one of each enters the product; a batch sends one row per block, however many of its rows are in
 it. So no group is gathered in one place.
 
@@ -49,6 +50,7 @@ SKETCH_BITS = 256
 SENT_BITS = 1024
 ROUNDS = 4  # in the first a row meets its largest open block only, in the last one all pairs leave an open block
 FEW = 4  # pairs a row that leave it in the others
+OWNERS = 4  # largest blocks of a row that are known where it meets others
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 500_000
 SENT_KEYS = 1 << 19
@@ -273,13 +275,15 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
     except in the last round; its block, like all that have not met as a whole, is named in a row (key).
     """
     last = round_no == ROUNDS - 1
-    mine = open_.join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("k", "key")), asc=False), 1, OWNERS)
+    owners = open_.groupBy("id").agg(largest["key"].alias("owners"))
+    mine = open_.join(owners, "id").join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
         "mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
     if round_no > 1:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
         mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     else:
         mine = mine.withColumn("other", F.col("mine"))
-    sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", *columns,
+    sent = mine.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "id", "component", "owners", *columns,
                        (F.lit(round_no <= 1) & (F.col("chunks") > 1)).alias("part"))
     ddl = "a long, b long, key long"
 
@@ -301,6 +305,9 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
             return
         key, i, j, left, ids, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "component"))
         test = able(*(t.column(c) for c in columns))
+        own = np.zeros((t.num_rows, OWNERS), np.int64)
+        lists = t.column("owners").combine_chunks()
+        own[np.arange(OWNERS)[None, :] < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
         edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         run = np.cumsum(edge) - 1
         ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]
@@ -310,6 +317,9 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
             x, y = row, row + d
             fit = (group[x] != group[y]) & ((i[x] == j[x]) | (left[x] != left[y]))
             x, y = x[fit], y[fit]
+            common = ((own[x][:, :, None] == own[y][:, None, :]) & (own[x] != 0)[:, :, None]).any(2)
+            fit = ~common.any(1) | (own[x, common.argmax(1)] == key[x])  # the largest common block has the pair
+            x, y = x[fit], y[fit]
             fit = test(x, y)
             x, y = x[fit], y[fit]
             seen += np.bincount(run[x], minlength=len(seen))
