@@ -55,6 +55,23 @@ def test_closure_chain(spark):
     assert got == {(1, "a"): 0, (1, "b"): 0, (2, "a"): 0, (1, "c"): 1, (1, "d"): 2}
 
 
+def test_closure_counts_rules_of_one_atom_set_once(spark, monkeypatch):
+    sizes, cut = [], L.cut_lineage
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "cut_lineage", counted)
+    f = spark.createDataFrame([(c, "a") for c in range(20)], "case_id long, fact_key string")
+    r = spark.createDataFrame([(f"r{i}", "c", "a") for i in range(300)] + [("s", "d", "c"), ("s", "e", "c"), ("n", "x", "a"), ("n", "x", None)],
+                              "rule_id string, head_key string, atom_key string")
+    got = {(x.case_id, x.fact_key): x.round for x in L.derive_closure(f, r).collect()}
+    assert got == {(c, k): n for c in range(20) for k, n in (("a", 0), ("c", 1), ("d", 2), ("e", 2))}
+    assert max(sizes) <= 60
+
+
 def test_temporal(spark):
     rows = [(1, "2024-01-01", "2025-01-01", None), (2, "2024-01-01", None, "2023-01-01"), (3, "2024-01-01", None, None), (4, "2024-01-01", "xx", "")]
     d = spark.createDataFrame(rows, "id int, at string, valid_from string, valid_to string").withColumn("at", F.to_timestamp("at"))
