@@ -119,13 +119,13 @@ def expand_query(queries: DataFrame, aliases: Mapping[str, Sequence[str]] = QUER
     return queries.withColumn("expanded", F.when(blank, F.lit("")).otherwise(full))
 
 
-def multi_query_max(variants: DataFrame, items: DataFrame) -> DataFrame:
-    """Best score over a query's variants and the variant that gave it.
+def multi_query_max(variants: DataFrame, items: DataFrame, digits: int = 6) -> DataFrame:
+    """Best score over a query's variants, rounded to `digits`, and the variant that gave it.
 
     `variants(query_id, variant, variant_no, text)`; the lowest number is the primary
-    one and wins ties.
+    one and wins ties. Scores are compared rounded: variants of the same words are a tie whatever the order of the sums.
     """
-    s = bm25_scores(variants, items, query_keys=("query_id", "variant_no", "variant"))
+    s = bm25_scores(variants, items, query_keys=("query_id", "variant_no", "variant")).withColumn("score", F.round("score", digits))
     best = s.groupBy("query_id", "item_id").agg(
         F.max("score").alias("score"),
         F.max_by("variant", F.struct(F.col("score"), -F.col("variant_no"))).alias("variant"))

@@ -92,3 +92,9 @@ def test_empty_tables(spark, tables):
     none = ranked.blockmax_index(i.limit(0))
     assert ranked.blockmax_topk(q, none).count() == 0 and ranked.blockmax_topk(q.limit(0), ranked.blockmax_index(i)).count() == 0
     assert ranked.evidence_topk(q, i.limit(0)).count() == 0
+
+
+def test_variants_that_differ_by_the_order_of_a_sum_are_a_tie(spark, monkeypatch):
+    s = spark.createDataFrame([(1, 0, "primary", 7, 1.0), (1, 1, "other", 7, 1.0 + 2e-16), (1, 1, "other", 8, 2.0)], "query_id long, variant_no int, variant string, item_id long, score double")
+    monkeypatch.setattr(R, "bm25_scores", lambda *a, **k: s)
+    assert {(r.item_id, r.score, r.variant) for r in R.multi_query_max(None, None).collect()} == {(7, 1.0, "primary"), (8, 2.0, "other")}
