@@ -40,6 +40,23 @@ def test_unless_unknown_and_missing_input(spark):
     assert {r.rule_id: r.reason for r in L.forward_eval(pairs, c, "rule_reading").collect()}["R2"] == "none"
 
 
+def test_one_row_of_checks_per_candidate_says_what_the_long_table_says(spark):
+    pairs = spark.createDataFrame([(c, r) for c in (1, 2, 3) for r in ("R1", "R2", "R3", "R4")], "case_id long, rule_id string")
+    atoms = spark.createDataFrame([("R1", "positive", 0, "a(x)"), ("R1", "unless", 0, "b(x)"), ("R2", "exception", 0, "a(x)"), ("R2", "positive", 0, None)], "rule_id string, role string, seq int, key string")
+    cons = spark.createDataFrame([("R1", 0, "threshold", "k", "m", ">=", 30.0, "phan_tram"), ("R1", 1, "threshold", None, None, "<", 1.0, None), ("R3", 0, "deadline", "d", None, None, None, None),
+                                  ("R3", 1, "threshold", "m(9)", "m", "gt", 9.0, ""), ("R3", 2, "other", "z", "m", None, None, None)],
+                                 "rule_id string, seq int, kind string, session_key string, metric string, op string, target double, unit string")
+    f = facts(spark, [(1, "a(x)", True, None), (1, "b(x)", None, None), (1, "numeric:m", None, 40.0), (1, "k", True, 2.0), (2, "a(x)", False, None), (2, "o(m,12)", True, None), (2, "ngay", True, None)])
+    rows = L.with_checks(pairs, atoms, cons, f)
+    long = L.checks(L.atom_truth(pairs, atoms, f), L.constraint_eval(pairs, cons, f))
+    got = sorted((r.case_id, r.rule_id, x.role, x.seq, str(x.key), x.status) for r in rows.collect() for x in r.checks)
+    assert rows.count() == 12 and got == sorted((r.case_id, r.rule_id, r.role, r.seq, str(r.key), r.status) for r in long.collect())
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(L.forward_eval(rows), L.forward_eval(pairs, long)) and same(L.requirement_set(rows), L.requirement_set(long))
+    told = L.forward_eval(rows, keep=["checks"])
+    assert same(L.proof_steps(told), L.proof_steps(L.forward_eval(pairs, long), long))
+
+
 def test_scale_mismatch_is_unknown(spark):
     pairs = spark.createDataFrame([(1, "R")], "case_id long, rule_id string")
     cons = spark.createDataFrame([("R", 0, "threshold", "k", "ty_le", ">=", 30.0, "phan_tram")], "rule_id string, seq int, kind string, session_key string, metric string, op string, target double, unit string")
