@@ -162,6 +162,41 @@ def blockmax_topk(queries: DataFrame, index: DataFrame, k: int = 5, digits: int
     return top_k(both, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
 
 
+def all_scores(queries: DataFrame, items: DataFrame, keys: list[str], fold: bool = False, block_items: int = 2048) -> DataFrame:
+    """(keys, item_id, score) of every item that shares a term with the query; item ids are unique.
+
+    All pairs by definition, but only the postings of asked terms and the term weights are shuffled, once per block and
+    chunk of queries; a block's scores are added up in one task and leave it as they are, so no row is written per common term.
+    """
+    index = blockmax_index(items, fold, block_items)
+    weights = cut_lineage(term_weights(queries, index, keys, fold), "weights")
+    chunks = max(1, -(-weights.select(*keys).distinct().count() // QUERY_CHUNK))
+    dealt = weights.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int"))
+    asked = index.where(F.col("term") == ALL).select("block").crossJoin(dealt)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    postings = index.select("block", "term", "items", "impacts").join(weights.select("term").distinct(), "term", "left_semi").select(
+        F.col("block").alias("in_block"), numbers.alias("in_chunk"), "term", "items", "impacts")
+    ddl = ", ".join([*(f"{k} {_kind(weights, k)}" for k in keys), f"item_id {index.schema['items'].dataType.elementType.simpleString()}", "score double"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, at, impact, place = _columns(right)
+        ids = pa.array(ids, right.schema.field("items").type.value_type)
+        own: dict[tuple, list[tuple[str, float]]] = {}
+        for *key, term, w in zip(*(left.column(c).to_pylist() for c in (*keys, "term", "w"))):
+            own.setdefault(tuple(key), []).append((term, w))
+        hits, scores = [], []
+        for terms in own.values():
+            s = _scores(sorted(terms), place, at, impact, len(ids))
+            hits.append(np.flatnonzero(s > 0))
+            scores.append(s[hits[-1]])
+        rows = np.repeat(np.arange(len(own)), [len(h) for h in hits]) if own else np.zeros(0, np.int64)
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        named = {k: pa.array([key[j] for key in own], left.schema.field(k).type).take(pa.array(rows)) for j, k in enumerate(keys)}
+        return pa.table({**named, "item_id": ids.take(pa.array(flat(hits, np.int64))), "score": pa.array(flat(scores, np.float64))})
+
+    return asked.groupBy("block", "chunk").cogroup(postings.groupBy("in_block", "in_chunk")).applyInArrow(run, ddl)
+
+
 def open_blocks(bounds: DataFrame, least: DataFrame) -> DataFrame:
     """Those (query_id, block) whose bound reaches the query's threshold; all where it has none."""
     return bounds.join(least, "query_id", "left").where((F.col("bound") * (1 + 1e-9) >= F.col("least")) | F.col("least").isNull()).select("query_id", "block")

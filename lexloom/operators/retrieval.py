@@ -13,6 +13,7 @@ from lexloom.common import as_col, case_when, cut_lineage, first_row, head_of, h
 from lexloom.functions.scan import Scanner, contained
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
+from lexloom.operators import ranked
 
 K1, B = 1.5, 0.75  # fixed values of the ranking formula
 TEXT_BLOCK, PATTERN_CHUNK = 512, 8192
@@ -54,24 +55,17 @@ def bm25_scores(queries: DataFrame, items: DataFrame, fold: bool = False,
     Items without a shared term score 0 in the reference; those rows are not
     materialised. A term repeated in the query counts once per repetition.
     """
-    qt = (queries.select(*query_keys, F.explode(tokens("text", fold)).alias("term"))
-          .groupBy(*query_keys, "term").agg(F.count("*").alias("qtf")))
-    tf = _postings(items, qt.select("term").distinct(), fold).repartition("item_id")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(items, fold)
-    n, avgdl = size.select("n_items").scalar(), size.select("avgdl").scalar()
-    weights = qt.join(df, "term").select(
-        *query_keys, "term", (F.col("qtf") * F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.greatest(avgdl, F.lit(1e-6)))
-    part = F.col("w") * (F.col("tf") * (K1 + 1)) / norm
-    return (tf.join(weights, "term")
-            .groupBy(*query_keys, "item_id").agg(F.sum(part).alias("score")))
+    return ranked.all_scores(queries, items, list(query_keys), fold)
 
 
 def normalize_scores(scores: DataFrame, score: str = "score", key: str = "query_id",
-                     out: str = "norm") -> DataFrame:
-    """score / best score of the query's pool; a pool whose best is 0 divides by 1e-9."""
+                     out: str = "norm", store: bool = False) -> DataFrame:
+    """score / best score of the query's pool; a pool whose best is 0 divides by 1e-9.
+
+    With `store` the best scores are a table of their own, small enough to go to the scores instead of the scores to them.
+    """
     best = scores.groupBy(key).agg(F.max(score).alias("__max"))
+    best = cut_lineage(best, "best") if store else best
     best = best.withColumn("__max", F.when(F.col("__max") == 0, F.lit(1e-9)).otherwise(F.col("__max")))
     return scores.join(best, key).withColumn(out, F.col(score) / F.col("__max")).drop("__max")
 

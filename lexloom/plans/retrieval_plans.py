@@ -43,7 +43,7 @@ def bm25_topk(t):
 @query("normalize_scores", f"WITH {SCORES} SELECT query_id, item_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS norm FROM sc",
        uses=["chunks", "questions"])
 def normalize_scores(t):
-    return R.normalize_scores(R.bm25_scores(t.questions, t.chunks)).select("query_id", "item_id", F.round("norm", 6).alias("norm"))
+    return R.normalize_scores(R.bm25_scores(t.questions, t.chunks), store=True).select("query_id", "item_id", F.round("norm", 6).alias("norm"))
 
 
 @query("hybrid_combine", """

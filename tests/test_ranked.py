@@ -98,3 +98,15 @@ def test_variants_that_differ_by_the_order_of_a_sum_are_a_tie(spark, monkeypatch
     s = spark.createDataFrame([(1, 0, "primary", 7, 1.0), (1, 1, "other", 7, 1.0 + 2e-16), (1, 1, "other", 8, 2.0)], "query_id long, variant_no int, variant string, item_id long, score double")
     monkeypatch.setattr(R, "bm25_scores", lambda *a, **k: s)
     assert {(r.item_id, r.score, r.variant) for r in R.multi_query_max(None, None).collect()} == {(7, 1.0, "primary"), (8, 2.0, "other")}
+
+
+def test_scores_of_all_pairs_write_no_row_per_common_term(spark, tables, monkeypatch):
+    items, queries, i, q = tables
+    monkeypatch.setattr(ranked, "QUERY_CHUNK", 16)
+    scores = R.bm25_scores(q, i)
+    assert "Aggregate [query_id" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in scores.collect():
+        got.setdefault(r.query_id, {})[r.item_id] = round(r.score, 6)
+    want = {x[0]: bm25(items, x[1]) for x in queries}
+    assert got == {k: v for k, v in want.items() if v}
