@@ -401,12 +401,12 @@ def rank_rules(pairs: DataFrame, k: int = 8) -> DataFrame:
 def action_group_override(ranked: DataFrame) -> DataFrame:
     """When the first rule's action group is not the query's, lift the best rule of the query's group.
 
-    Works on the top-k rows only, so the groups are at most k rows.
+    Works on the top-k rows only, so the groups are at most k rows; they are read once, where the ranking left them.
     """
-    first = ranked.filter("rank = 1").select("query_id", F.col("r_group").alias("first_group"))
-    best = (ranked.filter("r_group = q_group").groupBy("query_id")
-            .agg(F.min_by("rank", F.struct(-F.col("total"), F.col("rank"))).alias("lift")))
-    r = ranked.join(first, "query_id").join(best, "query_id", "left")
+    q = Window.partitionBy("query_id")
+    fits = F.col("r_group") == F.col("q_group")
+    r = ranked.select("*", F.max(F.when(F.col("rank") == 1, F.col("r_group"))).over(q).alias("first_group"), F.max(F.col("rank") == 1).over(q).alias("__led"),
+                      F.min_by(F.when(fits, F.col("rank")), F.when(fits, F.struct(-F.col("total"), F.col("rank")))).over(q).alias("lift")).filter("__led").drop("__led")
     lifted = (F.col("first_group") != F.col("q_group")) & (F.col("rank") == F.col("lift"))
     moved = (F.col("first_group") != F.col("q_group")) & (F.col("rank") < F.col("lift"))
     pos = F.when(lifted, 1).when(moved, F.col("rank") + 1).otherwise(F.col("rank"))

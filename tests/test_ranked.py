@@ -110,3 +110,10 @@ def test_scores_of_all_pairs_write_no_row_per_common_term(spark, tables, monkeyp
         got.setdefault(r.query_id, {})[r.item_id] = round(r.score, 6)
     want = {x[0]: bm25(items, x[1]) for x in queries}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_override_reads_the_ranking_once(spark):
+    rows = [(1, "a", "x", "y", 3.0, 1), (1, "b", "x", "z", 2.0, 2), (1, "c", "x", "x", 1.0, 3), (2, "a", "x", "x", 3.0, 1), (2, "b", "x", "x", 2.0, 2), (3, "b", "x", "x", 2.0, 2), (4, "a", "x", None, 2.0, 1), (4, "b", "x", "x", 1.0, 2)]
+    r = R.action_group_override(spark.createDataFrame(rows, "query_id long, rule_id string, q_group string, r_group string, total double, rank int"))
+    assert {(x.query_id, x.rule_id): x.position for x in r.collect()} == {(1, "c"): 1, (1, "a"): 2, (1, "b"): 3, (2, "a"): 1, (2, "b"): 2, (4, "a"): 1, (4, "b"): 2}
+    assert r._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
