@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.common import case_when, cut_lineage, first_nonblank, first_row, is_blank, none_if_blank, tags, text_or_empty, top_k
+from lexloom.common import case_when, cut_lineage, first_nonblank, first_row, is_blank, none_if_blank, smallest_k, tags, text_or_empty, top_k
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import slug
 
@@ -99,18 +99,22 @@ def has_prefix(c: Column | str, parts: Sequence[str]) -> Column:
 def predicate_vocab(seeds: DataFrame) -> DataFrame:
     """One row per predicate: family, typed form, rule-type mix, examples and quality.
 
-    The seeds are aggregated by their raw name first (map-side), so the slug and all later steps run on that small table.
+    The seeds are read twice: once counted by their raw name, type and typed form, once cut to the first rows per raw name.
+    Both small tables are stored, so the slug and all later steps run on them.
     """
     raw = first_nonblank("canonical_predicate", "action")
     w = seeds.select(raw.alias("raw"), is_blank("canonical_predicate").alias("is_act"), "rule_id", none_if_blank("rule_type").alias("rule_type"), none_if_blank("typed_predicate").alias("typed"),
                      F.nullif(normalize_family("family"), F.lit("")).alias("family"), none_if_blank("summary").alias("summary"), none_if_blank("action").alias("act")).filter("raw IS NOT NULL")
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rule_id", c)))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rule_id", c)))[c].alias(c)
     name = F.when(F.col("is_act"), slug("raw")).otherwise(F.col("raw"))
-    small = w.groupBy("raw", "is_act", "rule_type", "typed").agg(first("family").alias("family"), first("summary").alias("summary"), first("act").alias("act"), F.count("*").alias("n"))
-    small = small.withColumn("canonical", name)
-    base = small.groupBy("canonical").agg(F.min("family")["family"].alias("family"), F.min("summary")["summary"].alias("summary"), F.min("act")["act"].alias("act"), F.sum("n").alias("n"))
+    small = cut_lineage(w.groupBy("raw", "is_act", "rule_type", "typed").agg(F.count("*").alias("n")).withColumn("canonical", name), "predicates")
+    # Per filling of the three texts the first five rows hold the first of each text and the first five ids.
+    texts = ["family", "summary", "act"]
+    early = w.select("raw", "is_act", "rule_id", *texts, *[F.col(c).isNotNull().alias(f"has_{c}") for c in texts])
+    early = smallest_k(early, ["raw", "is_act", *[f"has_{c}" for c in texts]], "rule_id", 5).withColumn("canonical", name)
+    ids = cut_lineage(early.select("canonical", "rule_id", *texts), "predicate_ids")
+    base = ids.groupBy("canonical").agg(*[first(c) for c in texts]).join(small.groupBy("canonical").agg(F.sum("n").alias("n")), "canonical")
     types = small.filter("rule_type IS NOT NULL").groupBy("canonical", "rule_type").agg(F.sum("n").alias("m"))
-    ids = top_k(w.select("raw", "is_act", "rule_id"), ["raw", "is_act"], [F.asc("rule_id")], 5).select(name.alias("canonical"), "rule_id")
     top5 = top_k(types, ["canonical"], [F.desc("m"), F.asc("rule_type")], 5)
     lead = F.struct((-F.col("m")).alias("o"), F.col("rule_type").alias("t"))
     mix = top5.groupBy("canonical").agg(
