@@ -1,7 +1,8 @@
 """Streams with state in event time: session facts that expire, and the rollup of trace spans.
 
-Facts are kept per session in a map of keyed state. A fact lives for `ttl` after its last answer, in the time of the
-answers: a timer fires when the watermark passes, the fact is forgotten, and that is told downstream. Answers older than
+Facts are kept per session in one keyed state with one timer, so a session is read and written once per micro-batch. A fact
+lives for `ttl` after its last answer, in the time of the answers: when the watermark passes the earliest end of a session's
+facts the timer fires, the facts that ended are forgotten, and that is told downstream. Answers older than
 the watermark come too late and are dropped. Spans are added up by native windowed aggregation, whose state goes when the
 watermark passes the window. Both write their updates per micro-batch; folding the updates gives the state at any time,
 and a batch that is repeated after a failure replaces itself.
@@ -10,12 +11,13 @@ and a batch that is repeated after a failure replaces itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.streaming.session_facts import prepared
 
@@ -23,57 +25,53 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 UPDATES = "session_id bigint, fact_key string, value string, seq bigint, at timestamp, expired boolean"
 
 
-class _Facts(StatefulProcessor):
-    """Latest answer of each fact of a session, by time and then by number."""
+def _step(ttl: int):
+    """Latest answer of each fact of a session, by time and then by number; a session's facts are one state with one timer."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.facts = handle.getMapState("facts", "fact_key string", "value string, seq bigint, at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        late = state.getCurrentWatermarkMs()
+        facts: dict[str, list] = json.loads(state.get[0]) if state.exists else {}  # fact -> at, seq, value
         best: dict[str, tuple[int, int, str]] = {}
-        late = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
-            at = pdf["at"].astype("datetime64[us]").astype("int64")
-            for fact, own in zip(pdf["fact_key"], zip(at, pdf["seq"], pdf["value"])):
-                if own[0] >= late:  # the engine's own filter lags a micro-batch behind
+            at = pdf["at"].astype("datetime64[us]").astype("int64").tolist()
+            for fact, own in zip(pdf["fact_key"], zip(at, pdf["seq"].tolist(), pdf["value"])):
+                if own[0] >= late * 1000:  # the engine's own filter lags a micro-batch behind
                     best[fact] = max(own, best.get(fact, own))
         out = []
+        for fact, (at, seq, _) in sorted(facts.items()):
+            if at // 1000 + ttl <= late:
+                out.append((key[0], fact, None, seq, at, True))
+        gone = {row[1] for row in out}
         for fact, (at, seq, value) in sorted(best.items()):
-            if self.facts.containsKey((fact,)):
-                before = self.facts.getValue((fact,))
-                if (before[2], before[1]) >= (at, seq):
-                    continue
-                if before[2] // 1000 + self.ttl <= late // 1000:  # rows come before the timers of their micro-batch
-                    out.append((key[0], fact, None, before[1], before[2], True))
-            self.facts.updateValue((fact,), (value, int(seq), int(at)))
-            self.handle.registerTimer(int(at) // 1000 + self.ttl)
-            out.append((key[0], fact, value, int(seq), at, False))
-        if out:
-            yield self._rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for fact, (value, seq, at) in list(self.facts.iterator()):
-            if at // 1000 + self.ttl <= due:  # an answer since then has a later timer
-                self.facts.removeKey(fact)
-                out.append((key[0], fact[0], None, seq, at, True))
+            if fact in facts and (facts[fact][0], facts[fact][1]) >= (at, seq):
+                continue
+            facts[fact] = [at, seq, value]
+            gone.discard(fact)
+            out.append((key[0], fact, value, seq, at, False))
+        for fact in gone:
+            del facts[fact]
+        if facts:
+            state.update((json.dumps(facts),))
+            due = min(at for at, *_ in facts.values()) // 1000 + ttl
+            state.setTimeoutTimestamp(max(due - 1, late + 1))  # it fires when the watermark is past this time
+        elif state.exists:
+            state.remove()
         if out:
-            yield self._rows(out)
+            yield _rows(out)
+
+    return step
+
 
-    @staticmethod
-    def _rows(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["session_id", "fact_key", "value", "seq", "at", "expired"])
-        out["at"] = out["at"].astype("int64").astype("datetime64[us]")
-        return out
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["session_id", "fact_key", "value", "seq", "at", "expired"])
+    out["at"] = out["at"].astype("int64").astype("datetime64[us]")
+    return out
 
 
 def keyed_facts(answers: DataFrame, ttl_ms: int, delay: str) -> DataFrame:
     """Stream of updates of answers(session_id, fact_key, value, seq, at): an answer that counts, or a fact that expired."""
-    return prepared(answers, "at").withWatermark("at", delay).groupBy("session_id").transformWithStateInPandas(_Facts(ttl_ms), UPDATES, "Update", "EventTime")
+    grouped = prepared(answers, "at").withWatermark("at", delay).groupBy("session_id")
+    return grouped.applyInPandasWithState(_step(ttl_ms), UPDATES, "facts string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_updates(stream: DataFrame, updates: str, checkpoint: str) -> StreamingQuery:

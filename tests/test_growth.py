@@ -2,10 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from lexloom.common import smallest_k, top_k
+from lexloom.operators import canonical as C
+from lexloom.operators import retrieval as R
 from lexloom.operators import vocab as V
+from lexloom.streaming import keyed_state
 from pyspark.sql import functions as F
 
 SEED = ("rule_id string, rule_type string, typed_predicate string, canonical_predicate string, action string, family string, summary string, object string, dossier string, effect string, "
@@ -49,3 +53,50 @@ def test_predicate_vocab_reads_the_seeds_twice(spark):
     own, read = counted(spark, df)
     V.add_lexicon_terms(V.predicate_vocab(own), spark.createDataFrame([("moi", "")], "normalized string, group string")).collect()
     assert read.value <= 2 * df.count()
+
+
+def test_a_session_is_one_state_with_one_timer():
+    class State:
+        exists, hasTimedOut, calls = False, False, []
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.calls.append("update")
+
+        def setTimeoutTimestamp(self, at):
+            self.calls.append("timer")
+
+    rows = pd.DataFrame({"fact_key": ["a", "b", "c", "a"], "value": list("wxyz"), "seq": [1, 2, 3, 4], "at": pd.to_datetime(["2024-05-01"] * 4)})
+    out = pd.concat(keyed_state._step(1000)((7,), iter([rows]), State()))
+    assert State.calls == ["update", "timer"] and sorted(zip(out["fact_key"], out["value"])) == [("a", "z"), ("b", "x"), ("c", "y")]
+
+
+def test_dedupe_by_content_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(f"r{i}", "x" if i % 2 else "y", "s" * (i % 5), "" if i else None) for i in range(20)], "rule_id string, c string, summary string, notes string").cache()
+    n = df.count()
+    own, read = counted(spark, df)
+    rich = C.Richness([], [], "summary", "summary")
+    got = {r.rule_id: r.notes for r in C.dedupe_by_content(own, ["c"], rich).collect()}
+    assert set(got) == {"r14", "r19"} and read.value == n
+    assert got["r19"].split("=")[1].split("|") == sorted(f"r{i}" for i in range(1, 20, 2) if i != 19)
+    few = {r.rule_id: r.notes for r in C.dedupe_by_content(df, ["c"], rich, notes_chars=7).collect()}
+    assert few["r19"].endswith("merged_rule_ids=" + got["r19"].split("=")[1][:7])
+
+
+def test_normalize_with_vocab_does_not_multiply_rules(spark):
+    df = seeds(spark)
+    vocabularies = [v(df) for v in (V.predicate_vocab, V.object_vocab, V.effect_vocab, V.entity_vocab, V.metric_vocab)]
+    n = V.normalize_with_vocab(df, *vocabularies, df.where("rule_type = 'khac'").select(F.lit("ho_so").alias("canonical")))
+    assert n.count() == df.count()
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_provenance_rescue_ranks_once(spark):
+    top, read = counted(spark, spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.4, 2)], "query_id long, item_id long, score double, rank int"))
+    chunks = spark.createDataFrame([(10, "1"), (11, "2")], "item_id long, article string")
+    queries = spark.createDataFrame([(1, "R1", "9")], "query_id long, rule_id string, article string")
+    got = R.provenance_rescue(top, chunks, queries).orderBy("position").collect()
+    assert [r.snippet for r in got] == ["rule_provenance:R1", "10", "11"] and read.value == 2
