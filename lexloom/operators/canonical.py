@@ -91,25 +91,27 @@ def content_fingerprint(cols: Sequence[str]) -> Column:
 
 
 def dedupe_by_content(rows: DataFrame, cols: Sequence[str], rich: Richness, id_col: str = "rule_id",
-                      notes_chars: int | None = None) -> DataFrame:
-    """Keep the richest row per content; name the merged ids in its notes.
+                      notes_chars: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Keep the richest row per content; name the merged ids in its notes. `keep` are the columns to return (all without).
 
-    The kept row comes from a per-partition first-row cut. All merged ids are named; where `notes_chars` is given, only
-    the ids that can stand in so many characters are gathered, so that a huge group of copies stays cheap.
+    One pass: the best row and all ids of a content meet once, since all of them are named. Where `notes_chars` is given,
+    only the ids that can stand in so many characters are gathered, so that a huge group of copies stays cheap.
     """
-    w = rows.withColumn("__fp", content_fingerprint(cols)).withColumn("__score", richness(rich))
-    kept = first_row(w, ["__fp"], [F.desc("__score"), F.asc(id_col)])
-    ids = w.select("__fp", F.col(id_col).alias("__id"))
-    losers = ids.join(kept.select(F.col("__fp").alias("__kfp"), F.col(id_col).alias("__kid")),
-                      (F.col("__fp") == F.col("__kfp")) & (F.col("__id") == F.col("__kid")), "left_anti")
-    few = losers if notes_chars is None else top_k(losers, ["__fp"], [F.asc("__id")], notes_chars // 2)
-    merged = few.groupBy("__fp").agg(F.array_sort(F.collect_list("__id")).alias("__ids"))
+    names = list(rows.columns if keep is None else keep)
+    carried = list(dict.fromkeys([*names, id_col, "notes"]))
+    w = rows.select(F.unhex(content_fingerprint(cols)).alias("__fp"), (-richness(rich)).alias("__less"), F.col(id_col).alias("__id"), F.struct(*carried).alias("__row"))
+    best = F.min_by("__row", F.struct("__less", "__id")).alias("__row")
+    if notes_chars is None:
+        out = w.groupBy("__fp").agg(best, F.collect_list("__id").alias("__ids"))
+    else:  # the kept id may be among the few
+        few = top_k(w.select("__fp", "__id"), ["__fp"], [F.asc("__id")], notes_chars // 2 + 1).groupBy("__fp").agg(F.collect_list("__id").alias("__ids"))
+        out = w.groupBy("__fp").agg(best).join(few, "__fp", "left")
+    out = out.select("__row.*", F.array_sort(F.filter("__ids", lambda x: ~x.eqNullSafe(F.col(f"__row.{id_col}")))).alias("__ids"))
     text = head_of(F.array_join("__ids", "|"), notes_chars)
-    out = kept.join(merged, "__fp", "left")
     parts = F.filter(F.transform(F.split(text_or_empty("notes"), ";"), lambda x: F.trim(x)), lambda x: x != "")
     extra = F.array(F.lit("dedup_theo_noi_dung"), F.lit("giu_ban_day_du_hon"), F.concat(F.lit("merged_rule_ids="), text))
-    notes = F.when(F.col("__ids").isNull(), text_or_empty("notes")).otherwise(F.array_join(F.array_union(parts, extra), ";"))
-    return out.withColumn("notes", notes).drop("__fp", "__score", "__ids")
+    notes = F.when(F.coalesce(F.size("__ids"), F.lit(0)) <= 0, text_or_empty("notes")).otherwise(F.array_join(F.array_union(parts, extra), ";"))
+    return out.withColumn("notes", notes).select(*names)
 
 
 def term_text(t: Column) -> Column:

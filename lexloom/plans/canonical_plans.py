@@ -43,7 +43,7 @@ l AS (SELECT fp, string_agg(rule_id, '|' ORDER BY rule_id) AS ids FROM r WHERE r
 SELECT rule_id, CASE WHEN ids IS NULL THEN notes ELSE concat_ws(';', nullif(notes, ''), 'dedup_theo_noi_dung', 'giu_ban_day_du_hon', 'merged_rule_ids=' || ids) END AS notes
 FROM r LEFT JOIN l USING (fp) WHERE rn = 1""", uses=["seeds"])
 def dedupe_by_content(t):
-    return C.dedupe_by_content(t.seeds, CONTENT_COLS, RICH).select("rule_id", "notes")
+    return C.dedupe_by_content(t.seeds, CONTENT_COLS, RICH, keep=["rule_id", "notes"])
 
 
 def _terms(t):
