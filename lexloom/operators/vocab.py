@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,11 +139,11 @@ def _named(rows: DataFrame, min_raw: int, min_name: int, n_ids: int, keys: Seque
     """Rows with their slug, cut to the first `n_ids` rule ids per raw text.
 
     That is all the vocabularies need: every raw text stays, and the smallest ids of a name are among the smallest of
-    its raw texts. The cut happens before the shuffle, and the slug runs on distinct texts only.
+    its raw texts. The cut happens before the shuffle, the slug runs on distinct texts only, and the few rows are stored.
     """
     r = rows.withColumn("raw", none_if_blank("raw")).filter(F.length("raw") >= min_raw)
-    r = top_k(r, [*keys, "raw"], [F.asc("rule_id")], n_ids).withColumn("canonical", slug("raw"))
-    return r.filter(F.length("canonical") >= min_name)
+    r = smallest_k(r.select(*keys, "raw", "rule_id"), [*keys, "raw"], "rule_id", n_ids).withColumn("canonical", slug("raw"))
+    return cut_lineage(r.filter(F.length("canonical") >= min_name), "named")
 
 
 def object_vocab(seeds: DataFrame) -> DataFrame:
@@ -312,18 +314,19 @@ def normalize_with_vocab(rules: DataFrame, predicates: DataFrame, objects: DataF
                          metrics: DataFrame, blocked_objects: DataFrame) -> DataFrame:
     """Vocabulary entry of each slot of a rule by prioritised lookups, with notes and full / partial status.
 
-    All filled slots of all rules are taken as (kind, text); every distinct one is slugged and looked up once, and one
-    join brings the entries back. Blank slots are never joined.
+    All filled slots of all rules are taken as (kind, text); every distinct one is slugged and looked up once. Each slot
+    then joins the looked-up texts of its kind, so rules are not multiplied, and not shuffled where these are few.
     """
     slots = _slots()
-    each = F.array_compact(F.array(*[F.when(full, F.struct(F.lit(name).alias("slot"), F.lit(kind).alias("kind"), raw.alias("raw"))) for name, kind, raw, full in slots]))
-    numbered = rules.select("rule_id", F.monotonically_increasing_id().alias("row"), each.alias("each"))
-    long = numbered.select("rule_id", "row", F.explode_outer("each").alias("s")).select("rule_id", "row", "s.*")
-    texts = long.where("slot IS NOT NULL").select("kind", "raw").distinct()
-    known = cut_lineage(_resolved(texts, _vocabulary(predicates, objects, effects, entities, metrics), blocked_objects), "slot_texts")
-    met = long.join(known, ["kind", "raw"], "left").groupBy("row", "rule_id").agg(
-        *[F.max(F.when(F.col("slot") == name, F.col("hit"))).alias(name) for name, *_ in slots], F.collect_set("slot").alias("filled"), F.coalesce(F.max("blocked"), F.lit(False)).alias("blocked"))
-    c, has = F.col, lambda *names: F.arrays_overlap("filled", F.array(*[F.lit(n) for n in names]))
+    each = F.array_compact(F.array(*[F.when(full, F.struct(F.lit(kind).alias("kind"), raw.alias("raw"))) for _, kind, raw, full in slots]))
+    texts = rules.select(F.explode(each).alias("s"))
+    known = cut_lineage(_resolved(texts.select("s.*").distinct(), _vocabulary(predicates, objects, effects, entities, metrics), blocked_objects), "slot_texts")
+    met = rules.select("rule_id", *[F.when(full, raw).alias(f"{name}__raw") for name, _, raw, full in slots])
+    for name, kind, *_ in slots:
+        own = known.where(F.col("kind") == kind).select(F.col("raw").alias(f"{name}__raw"), F.col("hit").alias(name), *([F.col("blocked")] if name == "object" else []))
+        met = met.join(own, f"{name}__raw", "left").withColumn(f"{name}__raw", F.col(f"{name}__raw").isNotNull())
+    met = met.withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    c, has = F.col, lambda *names: reduce(or_, [F.col(f"{n}__raw") for n in names])
     pred, eff, auth = F.coalesce("canonical_predicate", "typed_predicate", "action"), F.coalesce("effect", "result"), F.coalesce("handler", "receiver")
     obj = F.when(~c("blocked"), c("object"))
     notes = tags((pred.isNull(), "predicate_fallback"), (c("blocked"), "object_slug_was_split_fragment"), (~c("blocked") & has("object") & obj.isNull(), "object_unmapped"),
