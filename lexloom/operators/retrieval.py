@@ -221,7 +221,8 @@ def evidence_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, bm25: DataF
 
 
 def provenance_rescue(top: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, score: float = 0.35) -> DataFrame:
-    """Put the rule's own text first when no listed passage shares the rule's article; cut to k again."""
+    """Put the rule's own text first when no listed passage shares the rule's article; cut to k again. The ranking is computed once."""
+    top = cut_lineage(top, "listed")
     hit = (top.join(chunks.select("item_id", F.col("article").alias("c_article")), "item_id")
            .join(queries.select("query_id", "article"), "query_id").filter("article = c_article").select("query_id").distinct())
     miss = queries.filter("rule_id IS NOT NULL").select("query_id", "rule_id").join(hit, "query_id", "left_anti")
