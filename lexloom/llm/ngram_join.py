@@ -19,7 +19,8 @@ compared by their sketches where they stand, in chunks of at most `chunk` rows a
 allow leave the task: all of them where they are few, else two partners a row, so that what hangs together becomes one
 component at a cost linear in the block; such blocks come up again, until all pairs of different components are out.
 Near copies share most of their blocks, so at first a row meets only the largest of its open ones, and later a pair that
-has some of its rows' OWNERS largest blocks in common belongs to the largest of these and leaves no other. Equal sets meet by
+has some of its rows' OWNERS largest blocks in common belongs to the largest of these and leaves no other. From blocks of
+more than `chunk` rows those go beforehand that have no pair there: that share such a larger block with all of its rows. Equal sets meet by
 their digest, and only one of each enters the product; a batch sends one row per block, however many of its rows are in
 it. So no group is gathered in one place.
 
@@ -51,6 +52,9 @@ SENT_BITS = 1024
 ROUNDS = 4  # in the first a row meets its largest open block only, in the last one all pairs leave an open block
 FEW = 4  # pairs a row that leave it in the others
 OWNERS = 4  # largest blocks of a row that are known where it meets others
+MARKS = 64  # largest blocks of a row by which its pairs in blocks of more than a chunk are known beforehand
+FEW_MARKS = 16  # of these count in blocks of more than MANY_ROWS rows
+MANY_ROWS = 1 << 14
 SLICE_BYTES = 4 << 20
 BUCKET_ROWS = 500_000
 SENT_KEYS = 1 << 19
@@ -267,6 +271,64 @@ def _largest(open_: DataFrame) -> DataFrame:
     return open_.join(main, "id").where(F.col("key") == F.col("main.key")).drop("main").distinct()
 
 
+def _with_pairs(large: DataFrame, chunk: int) -> DataFrame:
+    """Of the memberships (key, id, component, k) in large blocks those that have a pair there which no larger block has; `chunks` by their number.
+
+    The largest blocks of one row of a block are its landmarks. Two rows that have in common a landmark larger than the block
+    meet there, so a row goes when it has one in common with every row of its block. That is decided by the distinct sets of
+    landmarks.
+    """
+    lists = large.groupBy("id").agg(_largest_keys(MARKS).alias("own"))
+    with_own = large.join(lists, "id")
+    marked = with_own.join(with_own.groupBy("key").agg(F.min_by("own", "id").alias("marks")), "key").select("key", "id", "k", "own", "marks")
+
+    def hold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, k, own, marks = b.column(0).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), MARKS), _matrix(b.column(4), MARKS)
+            marks[np.logical_or.accumulate(marks == key[:, None], axis=1)] = 0  # lists fall in size: from here on none is larger
+            held = np.zeros(len(key), np.int64)
+            for i in range(MARKS):
+                held |= ((own == marks[:, i:i + 1]).any(1) & (marks[:, i] != 0) & ((k <= MANY_ROWS) | (i < FEW_MARKS))).astype(np.int64) << i
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held)], names=["key", "id", "held"])
+
+    def staying(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, sets in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held, rows = np.array([(x["held"], x["rows"]) for x in sets], np.int64).T
+                stay = _disjoint(held)
+                n = int(stay.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(held[stay]), pa.array(np.full(n, -(-int(rows[stay].sum()) // chunk), np.int32))], names=["key", "held", "chunks"])
+
+    held = stage(marked.mapInArrow(hold, "key long, id long, held long"), "held")
+    sets = held.groupBy("key", "held").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.collect_list(F.struct("held", "rows")).alias("sets"))
+    stay = held.join(sets.mapInArrow(staying, "key long, held long, chunks int"), ["key", "held"]).select("key", "id", "chunks")
+    return large.join(stay, ["key", "id"])
+
+
+def _largest_keys(most: int):
+    """Of the memberships of a row the keys of the largest blocks."""
+    return F.slice(F.sort_array(F.collect_list(F.struct("k", "key")), asc=False), 1, most)["key"]
+
+
+def _matrix(lists: pa.Array, most: int) -> np.ndarray:
+    """Lists of at most so many keys as rows of a matrix, zeros behind."""
+    out = np.zeros((len(lists), most), np.int64)
+    out[np.arange(most)[None, :] < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _disjoint(held: np.ndarray) -> np.ndarray:
+    """Which of the sets of landmarks (bits) have nothing in common with some set among them."""
+    if len(held) <= MANY_ROWS:
+        return np.array([not (held & h).all() for h in held], bool)
+    inside = np.zeros(1 << FEW_MARKS, bool)  # does any set lie inside this one
+    inside[held] = True
+    for i in range(FEW_MARKS):
+        halves = inside.reshape(-1, 2, 1 << i)
+        halves[:, 1] |= halves[:, 0]
+    return inside[held ^ ((1 << FEW_MARKS) - 1)]
+
+
 def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns: Sequence[str], chunk: int, round_no: int) -> DataFrame:
     """Pairs (a, b) of rows that share an open block, are in different components so far and that `able` allows.
 
@@ -275,10 +337,11 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
     except in the last round; its block, like all that have not met as a whole, is named in a row (key).
     """
     last = round_no == ROUNDS - 1
-    largest = F.slice(F.sort_array(F.collect_list(F.struct("k", "key")), asc=False), 1, OWNERS)
-    owners = open_.groupBy("id").agg(largest["key"].alias("owners"))
-    mine = open_.join(owners, "id").join(profiles.select("id", *columns), "id").withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int")).withColumn(
-        "mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
+    owners = open_.groupBy("id").agg(_largest_keys(OWNERS).alias("owners"))
+    mine = open_.withColumn("chunks", F.ceil(F.col("k") / chunk).cast("int"))
+    if round_no:
+        mine = mine.where(F.col("k") <= chunk).unionByName(_with_pairs(open_.where(F.col("k") > chunk), chunk))
+    mine = mine.join(owners, "id").join(profiles.select("id", *columns), "id").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("chunks")).cast("int"))
     if round_no > 1:  # chunk i meets chunk j >= i: as the left side once per j, as the right side once per i
         mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     else:
@@ -305,9 +368,7 @@ def _block_pairs(open_: DataFrame, profiles: DataFrame, able: Callable, columns:
             return
         key, i, j, left, ids, group = (t.column(c).to_numpy() for c in ("key", "i", "j", "left", "id", "component"))
         test = able(*(t.column(c) for c in columns))
-        own = np.zeros((t.num_rows, OWNERS), np.int64)
-        lists = t.column("owners").combine_chunks()
-        own[np.arange(OWNERS)[None, :] < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+        own = _matrix(t.column("owners").combine_chunks(), OWNERS)
         edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         run = np.cumsum(edge) - 1
         ends = np.append(np.flatnonzero(edge)[1:], t.num_rows)[run]

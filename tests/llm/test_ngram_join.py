@@ -118,3 +118,28 @@ def test_keep_first(docs_of):
     assert keep_first(docs.withColumnRenamed("start", "gone_0").withColumnRenamed("score", "__gone")).count() == 4
     kept = keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 9]
+
+
+def test_rows_of_large_blocks_go_where_their_pairs_are_owned(spark):
+    """Near copies share most blocks: what is sent to the chunks of all blocks grows with the rows, and every pair keeps its largest block."""
+    from itertools import combinations
+
+    from lexloom.llm import ngram_join
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    member = rng.random((300, 80)) < np.linspace(0.8, 0.5, 80)
+    k = member.sum(0)
+    rows = [(int(b) + 1, int(i), 0 if i % 2 else int(i), int(k[b])) for i, b in zip(*np.nonzero(member))]
+    kept = ngram_join._with_pairs(spark.createDataFrame(rows, "key long, id long, component long, k long"), 40).collect()
+    stay = {(r.key, r.id) for r in kept}
+    order = sorted(range(80), key=lambda b: (-k[b], -b))
+    for i, j in combinations(range(300), 2):
+        b = next(b for b in order if member[i, b] and member[j, b])
+        assert (b + 1, i) in stay and (b + 1, j) in stay
+    assert sum(r.chunks for r in kept) < sum(int(n) * -(-int(n) // 40) for n in k) / 3
+    held = np.array([0b0011, 0b0101, 0b1001, 0b1100])
+    assert ngram_join._disjoint(held).tolist() == [True, False, False, True]
+    many = rng.integers(0, 1 << 16, 40_000)
+    got = ngram_join._disjoint(many)
+    assert all(got[i] == bool((many & many[i] == 0).any()) for i in range(0, 40_000, 500))
