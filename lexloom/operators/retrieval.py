@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.common import as_col, case_when, cut_lineage, first_row, head_of, has_phrase, lookup, shortened, tags, text_or_empty, top_k
+from lexloom.common import HELD_ROWS, as_col, case_when, cut_lineage, first_row, head_of, has_phrase, lookup, shortened, tags, text_or_empty, top_k
 from lexloom.functions.scan import Scanner, contained
 from lexloom.functions.slots import normalize_family
 from lexloom.functions.text import fold_text, token_overlap, tokens, word_set
@@ -562,27 +563,67 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def _contenders(s: DataFrame, scores: Sequence[str], k: int) -> DataFrame:
+    """The rows of s(text_id, entry_id, generic, raw, ...) that are among the k best of their text and kind by one of the scores at least.
+
+    Tasks cut their rows as they come, without sorting all of them, so more rows than these may be left.
+    """
+    def cut(t: pa.Table) -> pa.Table:
+        kind = pc.fill_null(pc.cast(t.column("generic").combine_chunks(), pa.int8()), 2).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = t.column("text_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) * 3 + kind
+        keep = np.zeros(t.num_rows, bool)
+        for name in scores:
+            at = pc.sort_indices(pa.table({"code": code, "score": t.column(name), "raw": t.column("raw"), "entry": t.column("entry_id")}),
+                                 [("code", "ascending"), ("score", "descending"), ("raw", "descending"), ("entry", "ascending")]).to_numpy()
+            first = np.flatnonzero(np.diff(code[at], prepend=-1))
+            keep[at[np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k]] = True
+        return t.filter(pa.array(keep))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, limit = [], 0, HELD_ROWS
+        for b in batches:
+            held, rows = [*held, b], rows + b.num_rows
+            if rows < limit:
+                continue
+            t = cut(pa.Table.from_batches(held))
+            if t.num_rows > HELD_ROWS:  # too many texts to hold: the shuffle brings them together
+                yield from t.to_batches()
+                held, rows, limit = [], 0, HELD_ROWS
+            else:
+                held, rows, limit = t.to_batches(), t.num_rows, t.num_rows + HELD_ROWS
+        if held:
+            yield from cut(pa.Table.from_batches(held)).to_batches()
+
+    return s.mapInArrow(run, s.schema)
+
+
 def condition_match(scores: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """Best lexicon entry per text after the context re-rank, with an ambiguity reason or the fallback label.
 
     entries(entry_id, predicate, domain, family, priority, generic); texts(text_id, text, domain_hint, family_hint).
     """
     c = F.col
-    s = scores.join(entries, "entry_id").join(texts.select("text_id", "domain_hint", "family_hint"), "text_id")
-    top_specific = s.filter("NOT generic").groupBy("text_id").agg(F.max("raw").alias("best_specific"))
-    s = s.join(top_specific, "text_id", "left")
-    eff = (c("raw") + c("priority") / 1000.0) * F.when(c("generic") & (F.coalesce("best_specific", F.lit(0.0)) >= 0.58), 0.82).otherwise(1.0)
+    # The texts' hints are few beside the scores: these stream past them and are not sorted.
+    s = scores.join(entries, "entry_id").join(texts.select("text_id", "domain_hint", "family_hint").hint("shuffle_hash"), "text_id")
     off = (text_or_empty("domain_hint") != "") & (c("domain") != c("domain_hint"))
     wrong = (text_or_empty("family_hint") != "") & (c("family") != c("family_hint"))
     dom = F.when(text_or_empty("domain_hint") == "", 0.0).when(off, -0.12).otherwise(0.08)
     fam = F.when(text_or_empty("family_hint") == "", 0.0).when(wrong, -0.14).otherwise(0.08)
-    rerank = eff + 0.05 + dom + fam - F.when((c("raw") >= 0.6) & (off | wrong), 0.18).otherwise(0.0)
-    s = s.select("text_id", "entry_id", "predicate", "raw", rerank.alias("rerank"), off.alias("off"), wrong.alias("wrong"))
-    top2 = top_k(s, ["text_id"], [F.desc("rerank"), F.desc("raw"), F.asc("entry_id")], 2, rank="n")
-    a = top2.filter("n = 1").drop("n")
-    b = top2.filter("n = 2").select("text_id", c("predicate").alias("p2"), c("rerank").alias("rerank2"),
-                                    (c("off") | c("wrong")).alias("bad2"))
-    m = texts.select("text_id").join(a, "text_id", "left").join(b, "text_id", "left")
+
+    def rerank(factor: Column) -> Column:
+        eff = (c("raw") + c("priority") / 1000.0) * factor
+        return eff + 0.05 + dom + fam - F.when((c("raw") >= 0.6) & (off | wrong), 0.18).otherwise(0.0)
+
+    # A generic entry counts less where a specific one of the text is good. Which holds is known when all scores of a text
+    # are; until then the best two of either case stay, and the best specific ones.
+    s = s.select("text_id", "entry_id", "predicate", "generic", "raw", rerank(F.lit(1.0)).alias("full"), rerank(F.when(c("generic"), 0.82).otherwise(1.0)).alias("less"), off.alias("off"), wrong.alias("wrong"))
+    s = _contenders(s, ["full", "less", "raw"], 2)
+    specific = F.max(F.when(~c("generic"), c("raw"))).over(Window.partitionBy("text_id"))
+    s = s.withColumn("rerank", F.when(F.coalesce(specific, F.lit(0.0)) >= 0.58, c("less")).otherwise(c("full"))).drop("full", "less", "generic")
+    placed = Window.partitionBy("text_id").orderBy(F.desc("rerank"), F.desc("raw"), F.asc("entry_id"))
+    following = [F.lead(x).over(placed).alias(name) for x, name in ((c("predicate"), "p2"), (c("rerank"), "rerank2"), (c("off") | c("wrong"), "bad2"))]
+    best = s.select("*", F.row_number().over(placed).alias("n"), *following).filter("n = 1").drop("n")
+    m = texts.select("text_id").join(best, "text_id", "left")
     gap = F.when(c("p2").isNull(), 1.0).otherwise(c("rerank") - c("rerank2"))
     usable = (c("rerank").isNotNull() & ~(c("wrong") & (c("rerank") < 0.62)) & ~(c("off") & (c("rerank") < 0.64))
               & ((c("rerank") >= 0.48) | ((c("raw") >= 0.58) & ~c("off") & ~c("wrong")) | ((c("raw") >= 0.5) & (c("rerank") >= 0.42) & ~c("wrong"))))

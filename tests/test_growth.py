@@ -100,3 +100,30 @@ def test_provenance_rescue_ranks_once(spark):
     queries = spark.createDataFrame([(1, "R1", "9")], "query_id long, rule_id string, article string")
     got = R.provenance_rescue(top, chunks, queries).orderBy("position").collect()
     assert [r.snippet for r in got] == ["rule_provenance:R1", "10", "11"] and read.value == 2
+
+
+def test_condition_match_reads_the_scores_once(spark):
+    """A text's scores are read once and cut to a few before they are sorted; the answer is that of all of them."""
+    rng = random.Random(11)
+    entries = [(e, f"p{e % 5}", f"d{e % 3}", "", e % 10, rng.choice([True, False])) for e in range(120)]
+    hints = {t: rng.choice(["", "d0", "d1"]) for t in range(30)}
+    raw = {(t, e): rng.choice([0.2, 0.45, 0.57, 0.58, 0.6, 0.74]) if t % 2 else rng.choice([0.2, 0.3, 0.5]) for t in range(29) for e in range(120) if rng.random() < 0.8}
+    scores, read = counted(spark, spark.createDataFrame([(t, e, x) for (t, e), x in raw.items()], "text_id long, entry_id long, raw double"))
+    texts = spark.createDataFrame([(t, h, "") for t, h in hints.items()], "text_id long, domain_hint string, family_hint string")
+    by = {e[0]: e for e in entries}
+    got = {r.text_id: r for r in R.condition_match(scores, spark.createDataFrame(entries, "entry_id long, predicate string, domain string, family string, priority int, generic boolean"), texts).collect()}
+    assert read.value == len(raw) and len(got) == 30
+    for t, hint in hints.items():
+        own = {e: x for (u, e), x in raw.items() if u == t}
+        specific = max((x for e, x in own.items() if not by[e][5]), default=0.0)
+
+        def rerank(e):
+            off = hint != "" and by[e][2] != hint
+            eff = (own[e] + by[e][4] / 1000.0) * (0.82 if by[e][5] and specific >= 0.58 else 1.0)
+            return eff + 0.05 + (0.0 if hint == "" else -0.12 if off else 0.08) + 0.0 - (0.18 if own[e] >= 0.6 and off else 0.0)
+
+        if own:
+            best = min(own, key=lambda e: (-rerank(e), -own[e], e))
+            assert (got[t].raw, got[t].rerank) == (own[best], rerank(best)) and got[t].predicate in (by[best][1], "stated_condition")
+        else:
+            assert (got[t].predicate, got[t].raw, got[t].ambiguity) == ("stated_condition", 0.0, "no_usable_contextual_match")
