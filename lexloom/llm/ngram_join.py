@@ -60,6 +60,7 @@ BUCKET_ROWS = 500_000
 SENT_KEYS = 1 << 19
 RANGES = 4
 SALTS = 16
+STAR_ROWS = 1 << 18  # edges that a task holds to replace them by stars
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -253,13 +254,17 @@ def _met(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 def _open_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, id, component, k) of the blocks that hold several components; k is the size of the block."""
-    now = stage(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    known = ["k"] if "k" in members.columns else []
+    now = stage(members.select("key", "id", *known).join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), *known), "labelled")
     sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "k")
     # One block may hold a large share of the rows: its members are dealt over SALTS tasks.
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") > SALTS, SALTS - 1).otherwise(0))))
-    salted = now.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    large, small = sizes.where(F.col("k") > SALTS), sizes.where(F.col("k") <= SALTS)
-    out = salted.join(large, ["key", "salt"]).select("key", "id", "component", "k").union(now.join(small, "key").select("key", "id", "component", "k"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    if known:  # blocks stay whole, so that a row has the size of its block since the first time
+        out = now.withColumn("salt", F.when(F.col("k") > SALTS, salt).otherwise(0)).join(sizes.drop("k"), ["key", "salt"]).select("key", "id", "component", "k")
+    else:
+        large, small = sizes.where(F.col("k") > SALTS), sizes.where(F.col("k") <= SALTS)
+        out = now.withColumn("salt", salt).join(large, ["key", "salt"]).select("key", "id", "component", "k").union(now.join(small, "key").select("key", "id", "component", "k"))
     out = stage(out, "open")
     discard(now)
     return out
@@ -454,13 +459,19 @@ def _sets(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     return docs.join(asked, "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
+def _each_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch once; those of different batches may come again."""
+    for b in batches:
+        yield from pa.Table.from_batches([b]).group_by(b.schema.names, use_threads=False).aggregate([]).to_batches()
+
+
 def confirmed(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """Those of the pairs (a, b) that link: by their wide sketches first, the few that are left by their sets."""
+    """Those of the pairs (a, b) that link, some repeated: by their wide sketches first, the few that are left by their sets."""
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
             bound = np.array([difference_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(bound <= limit.difference(na, nb), pa.bool_()))
+            yield from _each_once([pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(bound <= limit.difference(na, nb), pa.bool_()))])
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -469,20 +480,53 @@ def confirmed(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, n: int, li
 
     side = lambda of, key, **cols: of.select(F.col("id").alias(key), *[F.col(c).alias(name) for c, name in cols.items()])
     told = pairs.join(side(profiles, "a", n="na", sketch="x"), "a").join(side(profiles, "b", n="nb", sketch="y"), "b").select("a", "b", "na", "nb", "x", "y")
-    close = stage(told.mapInArrow(near, "a long, b long").distinct(), "close")
-    asked = stage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    close = stage(told.mapInArrow(near, "a long, b long"), "close")
+    asked = close.select(F.explode(F.array("a", "b")).alias("id")).mapInArrow(_each_once, "id long")
     sets = stage(_sets(docs, asked, n), "sets")
     both = close.join(side(sets, "a", set="x"), "a").join(side(sets, "b", set="y"), "b")
-    links = stage(both.select("a", "b", "x", "y").mapInArrow(multiply, "a long, b long").distinct(), "links")
-    discard(close, asked, sets)
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(multiply, "a long, b long"), "links")
+    discard(close, sets)
     return links
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every id, but the smallest of its component, to that one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    up = np.arange(len(ids))
+    while (apart := up[x] != up[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(up, np.maximum(up[x], up[y]), np.minimum(up[x], up[y]))
+        while (up != up[up]).any():
+            up = up[up]
+    leaf = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[leaf], ids[up[leaf]]
+
+
+def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars instead of the edges of a task, by at most STAR_ROWS of them; ids stay connected as they were."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
+        if len(a) > STAR_ROWS:
+            a, b = stars(a, b)
+            if 2 * len(a) > STAR_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                a = b = np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in stars(a, b)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ids in `edges` (a, b): the smallest id that can be reached. Alternating stars."""
-    edges = stage(edges.where("a <> b").distinct(), "edges")
-    before = None
+    """(id, component) of the ids in `edges` (a, b): the smallest id that can be reached.
+
+    Tasks replace the edges that they read by stars; then alternating stars, until nothing changes or no more edges are
+    left than one task may hold, which needs no shuffle.
+    """
+    edges = stage(edges.where("a <> b").mapInArrow(_local_stars, "a long, b long"), "edges")
+    before, left = None, edges.count()
     while True:
+        if left <= STAR_ROWS:
+            return edges.coalesce(1).mapInArrow(_local_stars, "a long, b long").toDF("id", "component")
         # Large star: every larger neighbour of u points to the smallest of u and its neighbours.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -496,7 +540,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = now
+        before, left = now, now[0]
 
 
 def joined_components(docs: DataFrame, profiles: DataFrame, n: int, limit: Threshold, keys: Callable[[np.ndarray], np.ndarray], able: Callable, columns: Sequence[str], chunk: int) -> DataFrame:

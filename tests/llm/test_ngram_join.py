@@ -87,6 +87,24 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 100: 99}
 
 
+def test_few_edges_are_joined_without_a_shuffle(spark, monkeypatch):
+    from lexloom.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3000, (2, 2000))
+    ids, root = ngram_join.stars(a, b)
+    assert (root < ids).all() and len(np.unique(ids)) == len(ids) and not np.isin(root, ids).any()
+    assert [x.size for x in ngram_join.stars(a[:0], b[:0])] == [0, 0]
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long").repartition(5)
+    few = components(edges)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngram_join, "STAR_ROWS", 100)  # by alternating stars
+    many = components(edges)
+    want = dict(zip(ids.tolist(), root.tolist()))
+    for got in (few, many):
+        assert {r.id: r.component for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_odd_tables(spark, docs_of):
     assert ngram_components(docs_of([])).count() == 0
     docs = spark.createDataFrame([(None, "a b c d", 1), (1, "a b c d", 2), (1, "a b c d", 3), (2, None, 4)], "doc_id long, text string, n_shingles int")
